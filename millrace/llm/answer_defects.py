@@ -3,7 +3,7 @@
 Each response gets votes (yes, no, abstain) from several labelling functions for every defect. Votes are packed into one number
 per response; only response ids, times and votes are shuffled or kept, never texts. A label model per defect is fitted by
 expectation-maximisation on the counts of vote patterns (the number of patterns is bounded by the labelling functions, not by
-the rows): the class share and, for either class, how often each function says yes, no or nothing. Functions start from stated
+the rows): the class share and, for either class, how often each function says yes. Functions start from stated
 reliabilities, which also stay as a weak prior. A pair keeps every defect whose posterior exceeds the defect's cutoff; the
 cutoffs are validated on hand-labelled answers in tests/llm.
 
@@ -52,7 +52,7 @@ FUNCTIONS = (
     ("most_letters_differ", "other_language", 0.50, 0.02),
 )
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "truncated": 0.5, "other_language": 0.5}
-START_SHARE, PRIOR_ROWS, ROUNDS = 0.04, 200.0, 40
+START_SHARE, PRIOR_SHARE, ROUNDS = 0.03, 0.05, 40
 NO, YES = 1, 2
 
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)\s*>")
@@ -95,8 +95,8 @@ FINISHED = re.compile(
     r"|(?:=>|\banswer\s*[:=]|\bresult\s*[:=])[^.\n]{1,60}\Z|\A[\s$*]*[-+]?[\d.,/ ]+[\s$*%]*\Z",
     re.I,
 )
-DANGLING = re.compile(r"(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*\Z|\b(?:mr|mrs|dr|st|no|e\.g|i\.e|vs)\.\Z", re.I)
-CUT_MARK = re.compile(r"(?:\w\s*(?:\.\.\.|…)|[\[(<](?:cut|truncated|snip|continued|\.\.\.|…|max[ _]?(?:tokens|length)|length)[\])>])\s*\Z", re.I)
+DANGLING = re.compile(r"(?:\.\.\.|…)\s*\Z|(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*\Z|\b(?:mr|mrs|dr|st|no|e\.g|i\.e|vs)\.\Z", re.I)
+CUT_MARK = re.compile(r"(?:\S\s*(?:\.\.\.|…)|[\[(<](?:cut|truncated|snip|continued|\.\.\.|…|max[ _]?(?:tokens|length)|length)[\])>])\s*\Z", re.I)
 STEPS = re.compile(r"\d")
 HALF_TAG = re.compile(r"</?[A-Za-z_]?[A-Za-z0-9_]*\Z")
 HALF_FENCE = re.compile(r"(?:^|[^`])`{1,2}\Z")
@@ -139,7 +139,7 @@ def votes(text: str | None, question: Question, tokens: int | None, last: int |
     nothing = re.search(r"[^\W_]", seen) is None
     stands = not nothing and (seen.replace(" ", "").lower() in PLACEHOLDERS or seen.strip().lower() in PLACEHOLDERS)
     void = nothing or stands
-    out = [YES if nothing else NO, YES if stands else 0 if nothing else NO, 0 if tokens is None else YES if tokens <= 12 else NO]
+    out = [YES if nothing else NO, YES if stands else 0 if nothing else NO, 0 if tokens is None else YES if tokens <= 12 else NO if tokens > 40 else 0]
     if void:
         return [*out, NO, 0, NO, NO, NO, 0, NO, 0, 0, 0, 0, 0, 0, 0, 0]
     prose, code = prose_of(text)
@@ -147,12 +147,12 @@ def votes(text: str | None, question: Question, tokens: int | None, last: int |
     worked = bool(code and "return" in code) or len(STEPS.findall(prose)) > 0
     stripped = text.rstrip()
     tail = stripped[-TAIL:]
-    concludes = bool(CONCLUDES.search(tail))
+    half_tag = HALF_TAG.search(tail) is not None
+    finished = bool(FINISHED.search(tail)) and not DANGLING.search(tail) and not half_tag
+    concludes = finished and bool(CONCLUDES.search(tail))
     bare = len(said) <= 3 and any(w[0].isdigit() for w in said)
     solves = bare or bool(code and "return" in code) or concludes and STEPS.search(text[-60:]) is not None
     declines = not solves and bool(DECLINES.search(prose))
-    half_tag = HALF_TAG.search(tail) is not None
-    finished = bool(FINISHED.search(tail)) and not DANGLING.search(tail) and not half_tag
     grams = set(zip(said, said[1:], said[2:]))
     similar: list[int]
     if question.grams and grams:
@@ -269,29 +269,42 @@ def _without_token_vote(votes, keeps):
 
 
 def fit(patterns: list[tuple[int, int]], defect: str) -> dict[int, float]:
-    """Posterior of the defect for every vote pattern (votes, rows)."""
+    """Posterior of the defect for every vote pattern (votes, rows).
+
+    An abstention says nothing: only votes count, in the likelihood and in the rates. The starting rates stay as a prior worth
+    PRIOR_SHARE of the rows, so the model behaves alike at every size, and no function may speak for the other side.
+    """
     mine = [(k, f[2], f[3]) for k, f in enumerate(FUNCTIONS) if f[1] == defect]
     counts: dict[tuple[int, ...], float] = {}
     for bits, n in patterns:
         key = tuple(bits >> (2 * k) & 3 for k, _, _ in mine)
         counts[key] = counts.get(key, 0) + n
-    rates = [[[0.1, 0.9 * (1 - yes), 0.9 * yes], [0.1, 0.9 * (1 - false), 0.9 * false]] for _, yes, false in mine]
-    prior = [[[p * PRIOR_ROWS for p in side] for side in r] for r in rates]
+    rows = sum(counts.values())
+    weight = PRIOR_SHARE * rows
+    yes_rates = [[yes, false] for _, yes, false in mine]
     share, post = START_SHARE, {}
     for _ in range(ROUNDS):
         for key in counts:
             odds = math.log(share) - math.log(1 - share)
-            for j, v in enumerate(key):
-                odds += math.log(rates[j][0][v]) - math.log(rates[j][1][v])
+            for (bad, good), vote in zip(yes_rates, key, strict=True):
+                if vote == YES:
+                    odds += math.log(bad) - math.log(good)
+                elif vote == NO:
+                    odds += math.log(1 - bad) - math.log(1 - good)
             post[key] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-        rows = sum(counts.values())
-        share = min(0.5, max(1e-4, (sum(n * post[k] for k, n in counts.items()) + START_SHARE * PRIOR_ROWS) / (rows + PRIOR_ROWS)))
-        for j in range(len(mine)):
-            for side in (0, 1):
-                sums = list(prior[j][side])
+        share = (sum(n * post[key] for key, n in counts.items()) + START_SHARE * weight) / (rows + weight)
+        for j, (_, yes, false) in enumerate(mine):
+            both = []
+            for start, bad in ((yes, True), (false, False)):
+                part = weight * (START_SHARE if bad else 1 - START_SHARE)
+                said, told = start * part, part
                 for key, n in counts.items():
-                    sums[key[j]] += n * (post[key] if side == 0 else 1 - post[key])
-                rates[j][side] = [max(s, 1e-9) / sum(sums) for s in sums]
+                    if key[j]:
+                        mass = n * (post[key] if bad else 1 - post[key])
+                        told += mass
+                        said += mass * (key[j] == YES)
+                both.append(min(1 - 1e-6, max(1e-6, said / told)))
+            yes_rates[j] = [max(both), min(both)]
     return {bits: post[tuple(bits >> (2 * k) & 3 for k, _, _ in mine)] for bits, _ in patterns}
 
 
