@@ -53,6 +53,7 @@ SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2
 _SINGLE = {e for e in TAKEN_FOR if e not in ("gb18030", "big5", "shift_jis", "euc-kr")}
 #: Garbled text may have been lower-cased afterwards; lead characters are put back, with or without the ambiguous one.
 _RAISED = (("raise", str.maketrans("ãÿ", "ÃŸ")), ("raise", str.maketrans("ãâÿ", "ÃÂŸ")))
+DIGIT = re.compile(r"[0-9]")
 LOST = re.compile("â€|[�\x80-\x84\x86-\x9f]")
 
 _WHOLE = set("–—‘’“”„‚«»…•·°²³¹½¼¾×÷±≤≥≠≈≡√∑∏∫∞∂π∎□■→←⇒∈∉⊂∪∩∅∀∃€£¥¢§¿¡№│─┼，。：；？！、（）「」《》％＋－＝　")
@@ -230,7 +231,18 @@ _found: dict[str, tuple] = {}
 
 
 def _remember(piece: str) -> tuple:
-    """Search and gains of all swaps of a piece."""
+    """Search and gains of all swaps of a piece. Pieces that differ in ASCII digits only share one search where those survive it."""
+    shape = DIGIT.sub("0", piece)
+    text, *rest = _searched(shape)
+    if shape == piece:
+        return text, *rest
+    if text.count("0") != shape.count("0"):
+        return _searched(piece)
+    digits = iter(DIGIT.findall(piece))
+    return DIGIT.sub(lambda _: next(digits), text), *rest
+
+
+def _searched(piece: str) -> tuple:
     known = _found.get(piece)
     if known is None:
         if len(_found) > 50_000:
