@@ -1,10 +1,13 @@
 """Same or near-same records across splits: winnowing fingerprints, collinear seed chains, alignment.
 
 Fingerprints. Word 5-grams are hashed by a rolling hash, and of every 4 consecutive ones the smallest (rightmost if equal) is
-kept, so any 8 common consecutive words give a common fingerprint. Two texts at similarity s >= 0.75 over word 3-grams have
-such a run: with u different 3-grams in either, at most 0.25u are not shared, a break between shared runs costs at least 4 of
-them, hence a run has at least 0.75u / (0.0625u + 1) >= 6 3-grams from u = 16 on. Texts of at most 16 words also give all
-their 3-grams, in a namespace of their own, which covers the pairs below that. So no pair at or over the threshold is missed.
+kept, so any 8 common consecutive words give a common fingerprint. Let u be the number of different word 3-grams in either of
+two texts without repeated word pairs, and t their least similarity. At most (1-t)u 3-grams are not shared and a break between
+two shared runs costs at least 3 of them, so there are at most (1-t)u/3 + 1 runs over at least tu shared 3-grams. At t = 0.75
+that leaves a run of 8 words from u = 15 on, and in sum at least (u/3 - 5)/4 common fingerprints. Texts of at most 16 words also
+give all their 3-grams, in a namespace of their own, which covers the pairs below that. Candidates with fewer common
+fingerprints than the bound, or with sizes too far apart, cannot reach the threshold and are left out before alignment; where a
+text repeats a word pair the bound does not hold and one common fingerprint is enough.
 
 Copies. Rows of one split side with the same word sequence form one class and are fingerprinted once; a class that holds a third
 of the rows is one text. A repeated fingerprint of a text keeps its first position. Seeds of a pair are bounded by its shorter
@@ -27,6 +30,7 @@ from millrace.runtime import cut_lineage
 
 GRAM, WINDOW, SHORT, SHINGLE = 5, 4, 16, 3
 SHORT_SALT = np.uint64(0x5851F42D4C957F2D)
+PRINTS = "print bigint, record bigint, place int, n int, repeats boolean"
 OVERLAP = "a bigint, b bigint, similarity double, coverage_a double, coverage_b double, seeds int, chained int"
 
 
@@ -52,6 +56,12 @@ def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints, places[first]
 
 
+def measure(sequence: np.ndarray) -> tuple[int, bool]:
+    """Number of different 3-grams, and whether a word pair occurs twice."""
+    pairs = gram_hashes(sequence, 2)
+    return len(np.unique(gram_hashes(sequence, SHINGLE))), len(np.unique(pairs)) < len(pairs)
+
+
 def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(record, train, text) to (record, train, content, sequence) for texts with a 3-gram."""
     known = WordHashes()
@@ -66,18 +76,16 @@ def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(record, sequence) to (print, record, place)."""
+    """(record, sequence) to PRINTS rows: fingerprint, record, place, the text's number of 3-grams and whether it repeats a word pair."""
     for batch in batches:
-        prints, places, records = [], [], []
+        parts = []
         for record, sequence in zip(batch["record"], batch["sequence"], strict=True):
-            p, at = winnow(np.asarray(sequence, dtype=np.int64).view(np.uint64))
-            prints.append(p.view(np.int64))
-            places.append(at)
-            records.append(np.full(len(p), record))
-        if records:
-            yield pd.DataFrame(
-                {"print": np.concatenate(prints), "record": np.concatenate(records), "place": np.concatenate(places).astype(np.int32)}
-            )
+            text = np.asarray(sequence, dtype=np.int64).view(np.uint64)
+            p, at = winnow(text)
+            n, repeats = measure(text)
+            parts.append((p.view(np.int64), np.full(len(p), record), at.astype(np.int32), np.full(len(p), n, dtype=np.int32), np.full(len(p), repeats)))
+        if parts:
+            yield pd.DataFrame(dict(zip(("print", "record", "place", "n", "repeats"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,27 +164,24 @@ def split_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def class_overlaps(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, ...) with a a train class and b a class of another split, at or over the similarity threshold."""
-    sides = {}
-    for side, name in ((True, "a"), (False, "b")):
+    prints, texts = {}, {}
+    for side, name, at in ((True, "a", "x"), (False, "b", "y")):
         own = classes.where(F.col("train") == side).select("record", "sequence")
-        sides[name] = (
-            own.mapInPandas(_fingerprints, "print bigint, record bigint, place int").withColumnRenamed("record", name),
-            own.withColumnRenamed("record", name).withColumnRenamed("sequence", f"s{name}"),
-        )
+        made = own.mapInPandas(_fingerprints, PRINTS)
+        prints[name] = made.select("print", F.col("record").alias(name), F.col("place").alias(at), F.col("n").alias(f"n{name}"), F.col("repeats").alias(f"r{name}"))
+        texts[name] = own.withColumnRenamed("record", name).withColumnRenamed("sequence", f"s{name}")
+    gain = threshold - 5 * (1 - threshold) / 3
+    least = F.when(F.max("ra") | F.max("rb"), F.lit(1.0)).otherwise((gain * F.greatest(F.max("na"), F.max("nb")) - 5) / 4)
     seeds = (
-        sides["a"][0]
-        .withColumnRenamed("place", "x")
-        .join(sides["b"][0].withColumnRenamed("place", "y"), "print")
+        prints["a"]
+        .join(prints["b"], "print")
+        .where(F.least("na", "nb") + 1e-9 >= threshold * F.greatest("na", "nb"))
         .groupBy("a", "b")
-        .agg(F.collect_list(F.struct("x", "y")).alias("seeds"))
+        .agg(F.collect_list(F.struct("x", "y")).alias("seeds"), least.alias("least"))
+        .where(F.size("seeds") >= F.col("least") - 1e-9)
         .select("a", "b", F.col("seeds.x").alias("xs"), F.col("seeds.y").alias("ys"))
     )
-    return (
-        seeds.join(sides["a"][1], "a")
-        .join(sides["b"][1], "b")
-        .select("a", "b", "xs", "ys", "sa", "sb")
-        .mapInPandas(_align(threshold), OVERLAP)
-    )
+    return seeds.join(texts["a"], "a").join(texts["b"], "b").select("a", "b", "xs", "ys", "sa", "sb").mapInPandas(_align(threshold), OVERLAP)
 
 
 def cross_split_pairs(records: DataFrame, threshold: float = 0.75) -> DataFrame:
