@@ -19,19 +19,19 @@ def group_ranks(rows: DataFrame, groups: list[str], value: str, ties: list[str],
     The value's range is cut into buckets; a row's rank is the number of rows in the buckets before it, from one aggregate of
     groups x buckets rows, plus its place in its own bucket. So a group is sorted by `buckets` tasks. Null groups are groups.
     """
-    cut = rows.withColumn("_bucket", F.floor(F.col(value) * buckets).cast("int"))
-    counts = cut.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.withColumn("__bucket", F.floor(F.col(value) * buckets).cast("int"))
+    counts = cut.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        *(F.col(g).alias(f"_{g}") for g in groups), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        *(F.col(g).alias(f"__g_{g}") for g in groups), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(value, *ties)
-    ranked = cut.withColumn("_place", F.row_number().over(inside))
-    same = F.col("_bucket") == F.col("_b")
+    inside = Window.partitionBy(*groups, "__bucket").orderBy(value, *ties)
+    ranked = cut.withColumn("__place", F.row_number().over(inside))
+    same = F.col("__bucket") == F.col("__b")
     for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
     return (
         ranked.join(starts, same)
-        .withColumn(name, F.col("_before") + F.col("_place"))
-        .drop("_bucket", "_place", "_b", "_before", *(f"_{g}" for g in groups))
+        .withColumn(name, F.col("__before") + F.col("__place"))
+        .drop("__bucket", "__place", "__b", "__before", *(f"__g_{g}" for g in groups))
     )
