@@ -29,7 +29,7 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Co
     share = successes.cast("double") / n
     spread = F.lit(z) * F.sqrt(share * (1 - share) / n + F.lit(z * z) / (4 * n * n))
     middle, scale = share + F.lit(z * z) / (2 * n), 1 + F.lit(z * z) / n
-    return F.greatest(F.lit(0.0), (middle - spread) / scale), F.least(F.lit(1.0), (middle + spread) / scale)
+    return F.when(total > 0, F.greatest(F.lit(0.0), (middle - spread) / scale)), F.when(total > 0, F.least(F.lit(1.0), (middle + spread) / scale))
 
 
 def mcnemar(improved: Column, regressed: Column) -> Column:

@@ -53,7 +53,7 @@ def graph_problem(graphs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     sink, no cycle, every node contributes to main.
     """
     ids = F.transform("nodes", lambda n: n["id"])
-    edges = F.coalesce("edges", F.slice(F.col("edges"), 1, 0))
+    edges = F.coalesce("edges", F.array().cast(graphs.schema["edges"].dataType))
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     rules = [
         (F.coalesce(F.size("nodes"), F.lit(0)) <= 0, "no nodes"),

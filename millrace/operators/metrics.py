@@ -27,9 +27,9 @@ def trajectory_metrics(trajectories: DataFrame) -> DataFrame:
     )
     r = F.col("x.r")
     node_results = F.map_values(r["execution"]["node_results"])
-    tests = F.flatten(F.transform(node_results, lambda n: F.coalesce(n["test_results"], F.slice(n["test_results"], 1, 0))))
+    tests = F.flatten(F.filter(F.transform(node_results, lambda n: n["test_results"]), lambda t: t.isNotNull()))
     values = lambda m: F.coalesce(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
-    calls = F.coalesce(r["rollout"]["tool_call_count"], F.aggregate(F.coalesce(r["rollout"]["parsed_spans"], F.slice(r["rollout"]["parsed_spans"], 1, 0)), F.lit(0), lambda a, s: a + F.greatest(F.size(s["code_blocks"]), F.lit(0))), F.lit(0))
+    calls = F.coalesce(r["rollout"]["tool_call_count"], F.aggregate(r["rollout"]["parsed_spans"], F.lit(0), lambda a, s: a + F.greatest(F.size(s["code_blocks"]), F.lit(0))), F.lit(0))
     count = lambda a: F.greatest(F.coalesce(F.size(a), F.lit(0)), F.lit(0))
     correct = final(r)
     attempted = F.coalesce(r["repair"]["status"] != "not_needed", F.lit(True))
@@ -96,7 +96,7 @@ def test_totals(results: DataFrame, by: list[str]) -> DataFrame:
 
     results: expected array<struct<kind>>, actual array<struct<passed>>.
     """
-    both = F.zip_with("expected", F.slice(F.coalesce("actual", F.slice(F.col("actual"), 1, 0)), F.lit(1), F.size("expected")), lambda e, a: F.struct(F.when(e["kind"] == "property", "property").otherwise("unit").alias("kind"), F.coalesce(a["passed"], F.lit(False)).alias("passed")))
+    both = F.zip_with("expected", F.slice(F.coalesce("actual", F.array().cast(results.schema["actual"].dataType)), F.lit(1), F.size("expected")), lambda e, a: F.struct(F.when(e["kind"] == "property", "property").otherwise("unit").alias("kind"), F.coalesce(a["passed"], F.lit(False)).alias("passed")))
     one = results.withColumn("_b", both)
     n = lambda kind, passed: F.coalesce(F.sum(F.size(F.filter("_b", lambda t: (t["kind"] == kind) & (t["passed"] | F.lit(not passed))))), F.lit(0))
     return one.groupBy(*by).agg(*(n(k, p).alias(f"{k}_{'passed' if p else 'total'}") for k in ("unit", "property") for p in (True, False)))

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORRUPT = "_corrupt_record"
-
 
 class SourceError(ValueError):
     """A file does not hold what it must."""
@@ -18,17 +16,19 @@ class SourceError(ValueError):
 def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, check: bool = True) -> DataFrame:
     """JSON lines of one or several files, all rows of all files. Blank lines are skipped.
 
-    Lines that are no JSON object raise with examples (`check`, one eager pass that reads only the raw text of bad lines).
+    Lines that are no JSON object raise with examples (`check`, one eager pass); unchecked, they are left out. Catalyst parses
+    only the fields that a query uses.
     """
     typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    wide = T.StructType([*typed.fields, T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(paths)
+    lines = spark.read.text(paths if isinstance(paths, list) else [paths]).where(F.trim("value") != "")
+    parsed = F.try_parse_json("value")
+    good = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
     if check:
-        raw = spark.read.text(paths if isinstance(paths, list) else [paths]).where(F.trim("value") != "")
-        bad = raw.where(F.try_parse_json("value").isNull() | (F.substring(F.schema_of_variant(F.try_parse_json("value")), 1, 6) != "OBJECT"))
-        if found := [r[0][:80] for r in bad.limit(5).collect()]:
+        if found := [r[0][:80] for r in lines.where(~good).limit(5).collect()]:
             raise SourceError(f"lines that are no JSON object: {found}")
-    return rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    else:
+        lines = lines.where(good)
+    return lines.select(F.from_json("value", typed).alias("r")).select("r.*")
 
 
 def json_document(spark: SparkSession, path: str, item: T.StructType | str) -> DataFrame:
