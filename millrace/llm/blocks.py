@@ -21,6 +21,8 @@ def shingle_batches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.D
         flat, ends = flat_word_hashes(batch["text"], known)
         sets = [np.unique(g).view(np.int64) for g in split_grams(gram_hashes(flat, size), ends, size)]
         kept = [i for i, s in enumerate(sets) if len(s)]
+        if not kept:
+            continue
         yield pd.DataFrame(
             {
                 "record": batch["record"].to_numpy()[kept],

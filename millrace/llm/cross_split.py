@@ -72,7 +72,8 @@ def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sequence = flat[ends[k] : ends[k + 1]]
             if len(sequence) >= SHINGLE:
                 rows.append((record, train, hashlib.blake2b(sequence.tobytes(), digest_size=16).hexdigest(), sequence.view(np.int64)))
-        yield pd.DataFrame(rows, columns=["record", "train", "content", "sequence"]).astype({"record": "int64", "train": "bool"})
+        if rows:
+            yield pd.DataFrame(rows, columns=["record", "train", "content", "sequence"])
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,7 +141,8 @@ def _align(threshold: float):
                 chained = chain(list(zip(xs, ys, strict=True)))
                 aligned = extend(a, b, chained)
                 rows.append((ra, rb, similarity, aligned / len(a), aligned / len(b), len(xs), len(chained)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP.split(", ")]).astype({"a": "int64", "b": "int64"})
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP.split(", ")])
 
     return run
 

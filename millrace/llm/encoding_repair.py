@@ -5,7 +5,7 @@ texts: an edge encodes the text with one encoding and decodes the bytes with ano
 kept by hash; the frontier is ordered by a character-plausibility cost plus a price per edge. The cheapest text reached wins if
 it is cheaper than the start by a margin. An edge into UTF-8 carries its own proof, since multi-byte sequences rarely are valid
 by chance; an edge between two single-byte encodings does not, so its gains count only where the pieces of the whole text agree
-on it with enough gain in sum.
+on it with enough gain in sum; it then holds for every piece that gains by it.
 
 Whole texts are searched, of any length; pieces repeat, so each worker remembers results up to a bound.
 Null, empty and ASCII texts without entities are never garbled. Ties in cost go to the shorter list of steps, then to the text
@@ -46,7 +46,7 @@ SWAPS = tuple(
     )
     for wrong in wrongs
 )
-MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, MOST_STATES = 0.3, 0.15, 0.8, 3.0, 80
+MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY, MOST_STATES = 0.3, 0.15, 0.8, 3.0, 0.1, 80
 PIECE = re.compile(r"[^ \t\r\n]+")
 SUSPECT = re.compile(r"[^\x00-\x7f]|&#?\w+;")
 SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xf1-\xf3][\x80-\xbf]{3}|\xf0[\x90-\xbf][\x80-\xbf]{2}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
@@ -199,7 +199,7 @@ def search(piece: str) -> tuple[str, list[str], float, float]:
 
     Steps that carry no proof (unescaping, restoring case) must lead on into an encoding step.
     """
-    start = cost(piece)
+    start = max(cost(piece), cost(html.unescape(piece))) if "&" in piece else cost(piece)
     best = (start, 0, piece, [])
     frontier, seen = [(start, 0, piece, [])], {piece}
     while frontier and len(seen) < MOST_STATES:
@@ -230,9 +230,24 @@ def swap(piece: str, wrong: str, right: str) -> tuple[str, float]:
 _found: dict[str, tuple] = {}
 
 
+def _same_way(piece: str, ways: list[str]) -> tuple[str, list[str], float, float]:
+    """A piece under a step into UTF-8 that repaired others of its text; any gain is enough then."""
+    was = cost(piece)
+    for way in ways:
+        encoding, _, right = way.partition(">")
+        if right == "utf-8" and (raw := _bytes(piece, encoding)) is not None and not raw.isascii():
+            try:
+                there = raw.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if cost(there) < was:
+                return there, [way], was, cost(there)
+    return piece, [], was, was
+
+
 def _remember(piece: str) -> tuple:
     """Search and gains of all swaps of a piece. Pieces that differ in ASCII digits only share one search where those survive it."""
-    shape = DIGIT.sub("0", piece)
+    shape = piece if "&" in piece else DIGIT.sub("0", piece)
     text, *rest = _searched(shape)
     if shape == piece:
         return text, *rest
@@ -261,6 +276,9 @@ def repair(text: str) -> tuple[str, bool, int, str, float, float] | None:
     if not pieces:
         return None
     results = [_remember(p) for _, _, p in pieces]
+    proven = sorted({r[1][0] for r in results if len(r[1]) == 1})
+    if proven:
+        results = [r if r[1] else (*_same_way(p, proven), r[4]) for r, (_, _, p) in zip(results, pieces, strict=True)]
     sums: dict[tuple[str, str], float] = {}
     for _, steps, *_, gains in results:
         if not steps:
@@ -271,7 +289,7 @@ def repair(text: str) -> tuple[str, bool, int, str, float, float] | None:
     pair = pair if pair and sums[pair] >= SWAP_SUM else None
     out, last, n, ways, before, after, complete = [], 0, 0, {}, 0.0, 0.0, True
     for (start, end, piece), (there, steps, was, now, gains) in zip(pieces, results, strict=True):
-        if not steps and pair and gains.get(pair, 0.0) >= SWAP_MARGIN:
+        if not steps and pair and gains.get(pair, 0.0) >= SWAP_ANY:
             there, steps = swap(piece, *pair)[0], [">".join(pair)]
             now = was - gains[pair]
         if steps:
@@ -292,7 +310,8 @@ def _repairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for batch in batches:
         rows = [(doc, *found) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if (found := repair(text))]
-        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "int64"})
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
 
 def garbled_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

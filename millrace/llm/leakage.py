@@ -161,7 +161,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 12, ne
                         offsets = word_offsets(text)
                         for item, n, matched, size, first, last, follows in hits:
                             rows.append((doc, item, n, matched, size, matched / size, offsets[first][0], offsets[last][1], follows))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"doc_id": "int64"})
+                if rows:
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
         passes.append(texts.mapInPandas(scan, SCHEMA))
     if not passes:
