@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import identifier_tokens, lexical_tokens
 from millrace.operators.dedup import upsert
+from millrace.runtime import spread
 
 #: Queries a vector scan holds at a time; 4,096 vectors of 1,024 floats are 16 MB.
 BLOCK = 4096
@@ -27,44 +28,131 @@ def item_tokens(text: Column, keywords: Column | None = None) -> Column:
     return own if keywords is None else F.array_distinct(F.concat(F.coalesce(keywords, F.array().cast("array<string>")), own))
 
 
-def jaccard_top_k(queries: DataFrame, items: DataFrame, k: int, weight: float = 1.0) -> DataFrame:
+#: Scores a task holds at a time: 2 million doubles are 16 MB.
+CELLS = 2_000_000
+
+
+def _query_blocks(queries: DataFrame, columns: list[str], block: int) -> Iterator[list]:
+    """The stated queries in blocks of bounded size."""
+    held = []
+    for row in queries.select(*columns).orderBy(columns[0]).toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _postings(block: list) -> dict[str, np.ndarray]:
+    """Token to the places of the block's queries that hold it."""
+    lists: dict[str, list[int]] = {}
+    for place, row in enumerate(block):
+        for token in row[1]:
+            lists.setdefault(token, []).append(place)
+    return {t: np.array(p) for t, p in lists.items()}
+
+
+def _scan(items: DataFrame, block: list, score, keep_zeros: bool, k: int, kinds: dict[str, str]) -> DataFrame:
+    """(query_id, item_id, ordinal, common, score): the k best of every Arrow batch of items (item_id, ordinal, tokens) for each query.
+
+    `score(common, sums, sizes, item_size)` gives the scores of one item for all queries; `sums` adds the weights of common tokens.
+    """
+    shared = items.sparkSession.sparkContext.broadcast(([r[0] for r in block], _postings(block), np.array([len(r[1]) for r in block]), score))
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, ordinal {kinds['ordinal']}, common bigint, score double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, postings, sizes, (rule, weights) = shared.value
+        names = np.array(ids)
+        step = max(1, CELLS // len(ids))
+        for batch in batches:
+            ordered = batch.sort_values("ordinal", kind="stable")
+            for start in range(0, len(ordered), step):
+                part = ordered.iloc[start : start + step]
+                common = np.zeros((len(part), len(ids)), dtype=np.int32)
+                scores = np.zeros((len(part), len(ids)))
+                for i, tokens in enumerate(part["tokens"]):
+                    sums = np.zeros(len(ids))
+                    for token in tokens:
+                        if (places := postings.get(token)) is not None:
+                            common[i, places] += 1
+                            if weights is not None:
+                                sums[places] += weights[token]
+                    scores[i] = rule(common[i], sums, sizes, len(tokens))
+                best = np.argsort(-np.round(scores, 12), axis=0, kind="stable")[:k]
+                chosen = np.take_along_axis(scores, best, 0).ravel()
+                counts = np.take_along_axis(common, best, 0).ravel()
+                out = pd.DataFrame(
+                    {"query_id": np.tile(names, len(best)), "item_id": part["item_id"].to_numpy()[best.ravel()], "ordinal": part["ordinal"].to_numpy()[best.ravel()], "common": counts, "score": chosen}
+                )
+                out = out if keep_zeros else out[out["common"] > 0]
+                if len(out):
+                    yield out
+
+    return spread(items.select("item_id", "ordinal", "tokens")).mapInPandas(run, schema)
+
+
+def _kinds(queries: DataFrame, items: DataFrame) -> dict[str, str]:
+    return {"query_id": dict(queries.dtypes)["query_id"], "item_id": dict(items.dtypes)["item_id"], "ordinal": dict(items.dtypes).get("ordinal", dict(items.dtypes)["item_id"])}
+
+
+def _jaccard(common, _sums, sizes, size):
+    union = sizes + size - common
+    return np.where(union > 0, common / np.maximum(union, 1), 0.0)
+
+
+def _by_root(_common, sums, _sizes, size):
+    return sums / max(1.0, np.sqrt(size))
+
+
+def jaccard_top_k(queries: DataFrame, items: DataFrame, k: int, weight: float = 1.0, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, common, score, rank): items (item_id, ordinal, tokens) by Jaccard similarity to queries (query_id, tokens).
 
-    An inverted index finds the items that share a token; only counts move. Items at score 0 are kept as the ranking demands: a
-    query with fewer than k matches is filled with the earliest items it does not match, found among the first 2k ordinals
-    that are not matched, since at most k - 1 of any can be matched.
+    Zero scores are kept, ties go by ordinal. The stated queries are read in blocks; a block becomes an inverted index that every
+    task scans its items against, and only a batch's own k best per query are shuffled. Token lists hold no token twice.
     """
-    q = queries.select("query_id", F.size("tokens").alias("_nq"), F.explode("tokens").alias("token"))
-    i = items.select("item_id", "ordinal", F.size("tokens").alias("_ni"), F.explode("tokens").alias("token"))
-    matched = q.join(i, "token").groupBy("query_id", "item_id", "ordinal", "_nq", "_ni").agg(F.count("*").alias("common"))
-    scored = matched.select("query_id", "item_id", "ordinal", "common", (F.lit(weight) * F.col("common") / (F.col("_nq") + F.col("_ni") - F.col("common"))).alias("score"))
-    best = top_k(scored, "query_id", [F.desc("score"), F.asc("ordinal")], k)
-    few = best.groupBy("query_id").agg(F.count("*").alias("_n"))
-    short = queries.select("query_id").join(few, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("query_id")
-    kinds = dict(items.dtypes)
-    early = items.orderBy("ordinal").limit(2 * k).select("item_id", "ordinal").collect()
-    listed = F.array(*(F.struct(F.lit(r.item_id).cast(kinds["item_id"]).alias("item_id"), F.lit(r.ordinal).cast(kinds["ordinal"]).alias("ordinal")) for r in early))
-    if not early:
-        return best.drop("ordinal")
-    fill = short.select("query_id", F.inline(listed)).join(best.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
-    zeros = fill.select("query_id", "item_id", "ordinal", F.lit(0).cast("bigint").alias("common"), F.lit(0.0).alias("score"))
-    return top_k(best.drop("rank").unionByName(zeros), "query_id", [F.desc("score"), F.asc("ordinal")], k).drop("ordinal")
-
-
-def idf_top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    kinds = _kinds(queries, items)
+    held = items.where("tokens is not null")
+    parts = [_scan(held, b, (_jaccard, None), True, k, kinds) for b in _query_blocks(queries.where("tokens is not null"), ["query_id", "tokens"], block)]
+    if not parts:
+        return items.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, common bigint, score double, rank int")
+    scored = _union(parts).withColumn("score", F.lit(weight) * F.col("score"))
+    return top_k(scored, "query_id", [F.desc("score"), F.asc("ordinal")], k).drop("ordinal")
+
+
+def idf_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, score, rank): sum over common tokens of ln((N+1)/(df+1)) + 1, by the root of the item's token count.
 
     Queries are (query_id, text), items (item_id, text). Document frequencies cover all items; items without a common token are
-    not ranked; ties go by item_id. Eager in one count of the items. Frequent tokens are long lists: AQE splits them, none is dropped.
+    not ranked; ties go by item_id. Blocks of queries are scanned as in jaccard_top_k; the frequencies of a block's tokens, and
+    no others, come to the driver. Eager in the count of items and in those frequencies.
     """
-    tokens = items.select("item_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    postings = tokens.select("item_id", F.greatest(F.lit(1.0), F.sqrt(F.size("tokens"))).alias("_norm"), F.explode("tokens").alias("token"))
-    total = items.count()
-    df = postings.groupBy("token").agg(F.count("*").alias("_df"))
-    weights = df.select("token", (F.ln(F.lit(total + 1.0) / (F.col("_df") + 1)) + 1).alias("_idf"))
-    asked = queries.select("query_id", F.explode(lexical_tokens(F.coalesce("text", F.lit("")))).alias("token")).join(weights, "token")
-    scored = asked.join(postings, "token").groupBy("query_id", "item_id").agg((F.sum("_idf") / F.first("_norm")).alias("score"))
-    return top_k(scored, "query_id", [F.desc(F.round("score", 9)), F.asc("item_id")], k)
+    kinds = _kinds(queries, items) | {"ordinal": dict(items.dtypes)["item_id"]}
+    tokens = items.select("item_id", F.col("item_id").alias("ordinal"), lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    asked = queries.select("query_id", lexical_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    spark, total, parts = items.sparkSession, items.count(), []
+    for held in _query_blocks(asked, ["query_id", "tokens"], block):
+        words = spark.createDataFrame([(t,) for t in sorted({t for r in held for t in r[1]})], "token string")
+        found = tokens.select(F.explode("tokens").alias("token")).join(words, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).collect()
+        weights = {r.token: float(np.log((total + 1.0) / (r.df + 1)) + 1) for r in found}
+        parts.append(_scan(tokens, held, (_by_root, _Weights(weights)), False, k, kinds))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, rank int")
+    return top_k(_union(parts), "query_id", [F.desc(F.round("score", 9)), F.asc("item_id")], k).drop("ordinal", "common")
+
+
+class _Weights(dict):
+    """Weights of tokens; a token that no item holds weighs nothing."""
+
+    def __missing__(self, _token: str) -> float:
+        return 0.0
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -74,40 +162,27 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOC
     is one matrix product, of which only its own k best per query leave the task. Zero vectors score 0; nulls are left out.
     """
     spark = items.sparkSession
-    rows = queries.where("vector is not null").select("query_id", "vector").orderBy("query_id").toLocalIterator()
-    parts, held = [], []
 
     def scan(block_rows: list) -> DataFrame:
         ids = np.array([r[0] for r in block_rows])
-        matrix = _unit(np.array([r[1] for r in block_rows], dtype=np.float64))
-        shared = spark.sparkContext.broadcast((ids, matrix))
+        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in block_rows], dtype=np.float64))))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, vectors = shared.value
+            step = max(1, CELLS // len(own))
             for batch in batches:
-                if not len(batch):
-                    continue
-                scores = vectors @ _unit(np.array(batch["vector"].tolist(), dtype=np.float64)).T
-                items_here = batch["item_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(items_here, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(own, order.shape[1]), "item_id": items_here[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+                for start in range(0, len(batch), step):
+                    part = batch.iloc[start : start + step].sort_values("item_id", kind="stable")
+                    scores = vectors @ _unit(np.array(part["vector"].tolist(), dtype=np.float64)).T
+                    best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(own, best.shape[1]), "item_id": part["item_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
-        found = items.where("vector is not null").select("item_id", "vector").mapInPandas(run, "query_id bigint, item_id bigint, score double")
-        return top_k(found, "query_id", [F.desc(F.round("score", 9)), F.asc("item_id")], k)
+        return items.where("vector is not null").select("item_id", "vector").mapInPandas(run, "query_id bigint, item_id bigint, score double")
 
-    for row in rows:
-        held.append(row)
-        if len(held) == block:
-            parts.append(scan(held))
-            held = []
-    if held:
-        parts.append(scan(held))
+    parts = [scan(b) for b in _query_blocks(queries.where("vector is not null"), ["query_id", "vector"], block)]
     if not parts:
         return spark.createDataFrame([], "query_id bigint, item_id bigint, score double, rank int")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return top_k(_union(parts), "query_id", [F.desc(F.round("score", 9)), F.asc("item_id")], k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

@@ -33,6 +33,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan in at least as many partitions as there are cores.
+
+    For operators that spend long on a row: a table of one small file would otherwise be one task. Tables with enough splits
+    are left as they are, so large data is never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a data folder, one parquet file or directory each."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
