@@ -486,6 +486,81 @@ def efficiency(spark, folder):
     return scored.groupBy("backend").agg(F.count("*").alias("n"), F.round(F.avg("penalty"), 6).alias("mean_penalty"))
 
 
+def _as_tests(passed, total, kind):
+    places = F.when(F.col(total) > 0, F.sequence(F.lit(1), F.col(total))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(F.lit(kind).alias("kind"), (i <= F.coalesce(F.col(passed), F.lit(0))).alias("passed")))
+
+
+def _tests(rows: DataFrame) -> DataFrame:
+    """Results with an array of test results made of the counts."""
+    unit = _as_tests("test_counts.unit_passed", "test_counts.unit_total", "unit")
+    return rows.withColumn("tests", F.concat(unit, _as_tests("test_counts.property_passed", "test_counts.property_total", "property")))
+
+
+def node_scores(spark, folder):
+    rows = _tests(results(spark, folder))
+    score = scoring.node_score(F.lit("x"), F.lit(True), F.col("python_executable"), F.col("tests"), F.lit(None).cast("double"))
+    scored = rows.select("adapter", score.alias("s")).select("adapter", "s.*")
+    return scored.groupBy("adapter").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("execution", "unit", "property", "combined")))
+
+
+def positional_tests(spark, folder):
+    rows = _tests(results(spark, folder)).select("adapter", F.transform("tests", lambda t: F.struct(t["kind"].alias("kind"))).alias("expected"), F.transform("tests", lambda t: F.struct(t["passed"].alias("passed"))).alias("actual"))
+    return metrics.test_totals(rows, ["adapter"])
+
+
+def failure_classes(spark, folder):
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kinds = {"python_executable": "execution_failure", "backward_target_correct": "dependency_failure", "final_answer_correct": "final_answer_failure"}
+    failures = F.array_compact(F.array(*(F.when(~flag(c), F.struct(F.lit(k).alias("type"))) for c, k in kinds.items())))
+    return results(spark, folder).groupBy("adapter", scoring.failure_class(failures).alias("failure")).agg(F.count("*").alias("n"))
+
+
+def trajectory_metrics(spark, folder):
+    """Every recorded result as a trajectory of one rollout."""
+    rows = _tests(results(spark, folder))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    final = flag("final_answer_correct").cast("double")
+    none = F.array().cast("array<struct<code_blocks:array<string>>>")
+    record = F.struct(
+        F.struct(F.greatest(F.coalesce("completion_token_count", F.lit(0)), F.lit(0)).alias("completion_token_count"), F.lit(1).alias("tool_call_count"), none.alias("parsed_spans")).alias("rollout"),
+        F.struct(F.lit(0.5).alias("runtime_seconds"), flag("python_executable").alias("executable"), (F.col("status") == "timeout").alias("timeout"), F.create_map(F.lit("main"), F.struct(flag("python_executable").alias("executable"), F.transform("tests", lambda t: F.struct(t["passed"].alias("passed"))).alias("test_results"))).alias("node_results")).alias("execution"),
+        F.struct(F.create_map(F.lit("main"), flag("all_hidden_tests_pass").cast("double")).alias("node_scores"), F.create_map().cast("map<string,double>").alias("edge_scores"), final.alias("final_answer_score")).alias("verification"),
+        F.struct(final.alias("final_reward")).alias("reward"), F.struct(F.when(F.col("status") == "ok", "not_needed").alias("status"), F.struct(F.lit(0.0).alias("final_answer_score")).alias("verification_before_repair")).alias("repair"),
+    )
+    out = metrics.trajectory_metrics(rows.select(F.coalesce("generation_seconds", F.lit(0.0)).alias("wall_time_seconds"), F.array(record).alias("rollout_records")))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+def metadata_fields(spark, folder):
+    rows = table(spark, folder, "problems").select(text.json_object(F.col("metadata")).alias("v"))
+    found = rows.select(F.try_variant_get("v", "$.subject", "string").alias("subject"), F.try_variant_get("v", "$.rev", "int").alias("rev"))
+    return found.groupBy("subject", "rev").agg(F.count("*").alias("n"))
+
+
+def token_counts(spark, folder):
+    rows = table(spark, folder, "problems").where("text is not null")
+    return rows.select("record_no", F.size(text.identifier_tokens(F.col("text"))).alias("identifiers"), F.size(text.lexical_tokens(F.col("text"))).alias("lexical"))
+
+
+def known_ids(spark, folder):
+    rows = table(spark, folder, "problems").select(F.explode(dedup.candidate_ids([F.col("id"), F.col("source")])).alias("name"))
+    return rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def answer_kinds(spark, folder):
+    rows = problems(spark, folder).where("gold_answer is not null")
+    return rows.groupBy(canonical.numeric_answer(F.col("gold_answer")).alias("numeric"), canonical.family(F.col("id")).alias("family")).agg(F.count("*").alias("n"))
+
+
+def theorem_names(spark, folder):
+    """Sources as dotted names, courses as premises."""
+    rows = table(spark, folder, "documents").where("source is not null and course_id is not null").groupBy("source").agg(F.collect_set("course_id").alias("c"))
+    traces = rows.select(F.concat(F.lit("Notes."), F.replace("source", F.lit("_"), F.lit("."))).alias("full_name"), F.col("source").alias("file_path"), F.array(F.col("c"), F.array(F.lit("Notes.scan.ocr"))).alias("premises"))
+    out = records.theorem_records(traces)
+    return out.select("lean_name", "namespace", F.size("premise_ids").alias("premises"), F.array_min("premise_ids").alias("first_premise"))
+
+
 def seeded_uniform(spark, folder):
     return table(spark, folder, "eval_items").select("item_id", F.round(uniform(F.col("item_id"), SEED), 9).alias("u"))
 
@@ -497,4 +572,5 @@ ALL = (
     replay_mix, shards, hard_set, reject_reasons, canonical_omni, normalised_problems, problem_labels, rate_buckets, safe_labels, chat_records, encoded_features, padded_batches,
     ids_digest, selection_manifest, jaccard_top_k, idf_top_k, cosine_top_k, memory_sizes, memory_update, tagged_spans, first_tags, exact_tags, code_checks, boxed_answers,
     answer_matches, dag_check, ancestors, edge_scores, consensus, rewards, span_rewards, group_advantages, span_advantages, token_advantages, efficiency, seeded_uniform,
+    node_scores, positional_tests, failure_classes, trajectory_metrics, metadata_fields, token_counts, known_ids, answer_kinds, theorem_names,
 )

@@ -327,6 +327,41 @@ with {ROLL}, p as (select backend, (least(1.0, coalesce(generation_seconds, 0) /
 select backend, count(*) as n, round(avg(x), 6) as mean_penalty from p group by backend""",
     "seeded_uniform": f"select item_id, round({uniform('item_id')}, 9) as u from eval_items",
 }
+U_TOTAL, U_PASSED, P_TOTAL, P_PASSED = (
+    "greatest(coalesce(test_counts.unit_total, 0), 0)", "least(greatest(coalesce(test_counts.unit_passed, 0), 0), greatest(coalesce(test_counts.unit_total, 0), 0))",
+    "greatest(coalesce(test_counts.property_total, 0), 0)", "least(greatest(coalesce(test_counts.property_passed, 0), 0), greatest(coalesce(test_counts.property_total, 0), 0))",
+)
+TESTED = f"""tested as (select *, {U_TOTAL} as ut, {U_PASSED} as up, {P_TOTAL} as pt, {P_PASSED} as pp, {flag("python_executable")} as x, {flag("final_answer_correct")} as f from results)"""
+SQL |= {
+    "node_scores": f"""
+with {RESULTS}, {TESTED}, s as (select adapter, x, coalesce(up::double / nullif(ut, 0), 0) as u, coalesce(pp::double / nullif(pt, 0), 0) as p,
+  0.25 + case when ut > 0 then 0.5 else 0 end + case when pt > 0 then 0.25 else 0 end as w from tested)
+select adapter, round(avg(x), 6) as execution, round(avg(u), 6) as unit, round(avg(p), 6) as property, round(avg((0.25 * x + 0.5 * u + 0.25 * p) / w), 6) as combined from s group by adapter""",
+    "positional_tests": f"with {RESULTS}, {TESTED} select adapter, sum(up) as unit_passed, sum(ut) as unit_total, sum(pp) as property_passed, sum(pt) as property_total from tested group by adapter",
+    "failure_classes": f"""
+with {RESULTS} select adapter, case when not coalesce(python_executable, false) then 'execution' when not coalesce(backward_target_correct, false) then 'dependency'
+  when not coalesce(final_answer_correct, false) then 'verification' else 'none' end as failure, count(*) as n from results group by 1, 2""",
+    "trajectory_metrics": f"""
+with {RESULTS}, {TESTED}, t as (select *, coalesce(generation_seconds, 0) as wall, greatest(coalesce(completion_token_count, 0), 0) as tokens, {flag("all_hidden_tests_pass")} as h from tested)
+select round(avg(f), 6) as rollout_accuracy, round(avg(f), 6) as pass_at_k, round(avg(wall), 6) as average_solving_time_seconds, 0.5::double as average_sandbox_time_seconds, 1.0::double as average_tool_calls,
+  round(avg(tokens), 6) as average_generated_tokens, round(avg(f) / avg(wall), 6) as cost_normalized_accuracy, round(avg(h), 6) as node_verification_pass_rate, 0.0::double as edge_consistency_rate,
+  0.0::double as repair_success_rate, round(avg(((h >= 1) <> (f >= 1))::int), 6) as verifier_disagreement_rate, round(avg((x = 1 and f < 1)::int), 6) as executable_but_wrong_rate,
+  round(sum(f) / (count(*) + 1), 6) as tool_productivity, round(sum(up + pp)::double / sum(ut + pt), 6) as useful_tool_ratio, round(avg(1 - x), 6) as invalid_tool_rate,
+  round(avg(coalesce(status = 'timeout', false)::int), 6) as timeout_rate from t""",
+    "metadata_fields": "select json_extract_string(metadata, '$.subject') as subject, json_extract(metadata, '$.rev')::int as rev, count(*) as n from problems group by 1, 2",
+    "token_counts": rf"""
+select record_no, len({IDENTIFIERS.format("text")})::int as identifiers, len({LEXICAL.format("text")})::int as lexical from problems where text is not null""",
+    "known_ids": """
+with c as (select record_no, unnest(list_distinct([id, source, split_part(id, ':', 1), split_part(source, ':', 1)])) as name, row_number() over () as r from problems)
+select name, count(*) as n from c where name is not null and trim(name) <> '' group by name having count(*) > 1""",
+    "answer_kinds": f"""
+with {PROB} select regexp_matches(gold_answer, '[0-9]') and not regexp_matches(lower(gold_answer), 'none|cannot|insufficient|all of the above') as numeric,
+  case when id like 'medium\\_%' escape '\\' then 'medium' else 'omni' end as family, count(*) as n from prob where gold_answer is not null group by 1, 2""",
+    "theorem_names": r"""
+with n as (select 'Notes.' || replace(source, '_', '.') as lean_name, list(distinct course_id) || ['Notes.scan.ocr'] as c from documents where source is not null and course_id is not null group by source),
+  p as (select lean_name, list_sort(list_filter(list_distinct(c), lambda x: x <> lean_name)) as ps from n)
+select lean_name, regexp_replace(lean_name, '\.[^.]*$', '') as namespace, len(ps)::int as premises, ps[1] as first_premise from p""".replace("\\.", "\."),
+}
 _SOURCE = f"""
 with {RESULTS}, {PROB}, {ORIGIN}, p as ({long_pairs("stage2", "teacher_judge", ("final_answer_correct", "python_executable"))}),
   c as (select coalesce(o.source, 'unknown') as source, metric, count(*) filter (not was and now) as improved, count(*) filter (was and not now) as regressed from p join origin o on p.id = o.id group by 1, 2),
