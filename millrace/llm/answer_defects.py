@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.words import words
 from millrace.llm.languages import language_words, main_language
-from millrace.runtime import cut_lineage
+from millrace.runtime import cut_lineage, spread
 
 DEFECTS = ("empty", "refusal", "copied_question", "truncated", "other_language")
 END_TOKEN, TOKEN_LIMITS, KEEPS_END = 7, (256, 512), 0.5
@@ -237,10 +237,10 @@ def with_questions(rollouts: DataFrame, problems: DataFrame, items: DataFrame) -
     Only rows without a prompt join, against the questions they need; AQE splits a hot problem there.
     """
     kept = ["rollout_id", "ingested_at", "backend", "raw_text", "tokens", "last_token"]
-    base = rollouts.select(
+    base = spread(rollouts.select(
         "rollout_id", "ingested_at", "backend", "raw_text", "prompt_text", "problem_id",
         F.size("completion_token_ids").alias("tokens"), F.try_element_at("completion_token_ids", F.lit(-1)).alias("last_token"),
-    )
+    ))
     open_rows = base.where("prompt_text is null")
     texts = problems.select(F.col("id").alias("problem_id"), "text").unionByName(items.select(F.col("item_id").alias("problem_id"), "text"))
     needed = rollouts.where("prompt_text is null and problem_id is not null").select("problem_id").distinct()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.words import WordHashes, flat_word_hashes, gram_hashes, mix
-from millrace.runtime import cut_lineage
+from millrace.runtime import cut_lineage, spread
 
 GRAM, WINDOW, SHORT, SHINGLE = 5, 4, 16, 3
 SHORT_SALT = np.uint64(0x5851F42D4C957F2D)
@@ -152,11 +152,8 @@ def split_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The classes are cut in the checkpoint folder: four later passes read them.
     """
-    made = (
-        records.select("record", (split_name() == "train").alias("train"), "text")
-        .where("text is not null")
-        .mapInPandas(_sequences, "record bigint, train boolean, content string, sequence array<bigint>")
-    )
+    texts = spread(records.select("record", (split_name() == "train").alias("train"), "text").where("text is not null"))
+    made = texts.mapInPandas(_sequences, "record bigint, train boolean, content string, sequence array<bigint>")
     classes = cut_lineage(made.groupBy("content", "train").agg(F.min("record").alias("record"), F.first("sequence").alias("sequence")))
     members = made.select("record", "train", "content").join(
         classes.select("content", "train", F.col("record").alias("class")), ["content", "train"]

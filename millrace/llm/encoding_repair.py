@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.runtime import spread
+
 SCHEMA = "doc_id bigint, restored string, complete boolean, pieces int, steps string, cost_before double, cost_after double"
 
 #: Encodings that bytes of UTF-8 are often taken for.
@@ -220,9 +222,10 @@ def search(piece: str) -> tuple[str, list[str], float, float]:
 
 def swap(piece: str, wrong: str, right: str) -> tuple[str, float]:
     """The piece under another single-byte encoding, and how much cheaper it is."""
+    raw = _bytes(piece, wrong)
     try:
-        there = piece.encode(wrong).decode(right)
-    except (UnicodeDecodeError, UnicodeEncodeError):
+        there = piece if raw is None else raw.decode(right)
+    except UnicodeDecodeError:
         return piece, 0.0
     return there, cost(piece) - cost(there)
 
@@ -320,4 +323,4 @@ def garbled_texts(documents: DataFrame, key: str = "doc_id", text: str = "text")
     complete is false where characters were lost (replacement characters, stray control codes), restored is then as far as it goes.
     """
     suspect = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]|&#?\w+;"))
-    return suspect.mapInPandas(_repairs, SCHEMA)
+    return spread(suspect).mapInPandas(_repairs, SCHEMA)

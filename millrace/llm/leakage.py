@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.words import WORD, normalise, words
+from millrace.runtime import spread
 
 SCHEMA = (
     "doc_id bigint, item_id string, windows int, matched_words int, item_words int, coverage double, "
@@ -147,7 +148,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 12, ne
     after that.
     """
     spark = documents.sparkSession
-    texts = documents.select("doc_id", "text").where("text is not null")
+    texts = spread(documents.select("doc_id", "text").where("text is not null"))
     passes = []
     for block in item_blocks(items, block_bytes):
         shared = _Shared(spark.sparkContext.broadcast(block))
