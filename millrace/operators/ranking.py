@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.runtime import shuffle_partitions
+
 
 def uniform(key: Column, seed: Column | int) -> Column:
     """A number in [0, 1) from the SHA-256 of "seed:key" (its first 52 bits); the same on every run and partitioning."""
@@ -13,12 +15,14 @@ def uniform(key: Column, seed: Column | int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def group_ranks(rows: DataFrame, groups: list[str], value: str, ties: list[str], buckets: int = 64, name: str = "rank") -> DataFrame:
+def group_ranks(rows: DataFrame, groups: list[str], value: str, ties: list[str], buckets: int | None = None, name: str = "rank") -> DataFrame:
     """row_number over (partition by groups order by value, ties) for a value spread evenly over [0, 1).
 
     The value's range is cut into buckets; a row's rank is the number of rows in the buckets before it, from one aggregate of
-    groups x buckets rows, plus its place in its own bucket. So a group is sorted by `buckets` tasks. Null groups are groups.
+    groups x buckets rows, plus its place in its own bucket. So a group is sorted by `buckets` tasks (four times the shuffle
+    partitions and at least 64, unless given). Null groups are groups.
     """
+    buckets = buckets or max(64, 4 * shuffle_partitions(rows.sparkSession))
     cut = rows.withColumn("__bucket", F.floor(F.col(value) * buckets).cast("int"))
     counts = cut.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
