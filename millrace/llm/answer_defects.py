@@ -53,6 +53,7 @@ FUNCTIONS = (
 )
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "truncated": 0.5, "other_language": 0.5}
 START_SHARE, PRIOR_SHARE, ROUNDS = 0.03, 0.05, 40
+MOST_BROADCAST = 100_000
 NO, YES = 1, 2
 
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)\s*>")
@@ -135,7 +136,7 @@ def votes(text: str | None, question: Question, tokens: int | None, last: int |
     """One vote per labelling function but the token function, which needs the backends' habits."""
     if text is None:
         return [YES, 0, 0, NO, 0, NO, NO, NO, 0, NO, 0, 0, 0, 0, 0, 0, 0, 0]
-    seen = visible(text) if len(text) < 400 else text
+    seen = visible(text)
     nothing = re.search(r"[^\W_]", seen) is None
     stands = not nothing and (seen.replace(" ", "").lower() in PLACEHOLDERS or seen.strip().lower() in PLACEHOLDERS)
     void = nothing or stands
@@ -328,4 +329,5 @@ def answer_defects(pairs: DataFrame, cutoffs: dict[str, float] = CUTOFFS) -> Dat
             best = max(found, key=lambda f: (min(f[1], 0.99), -DEFECTS.index(f[0])))[0]
             rows += [(bits, defect, p, defect == best) for defect, p in found]
     labels = spark.createDataFrame(rows, "votes bigint, defect string, posterior double, main boolean")
-    return settled.join(F.broadcast(labels), "votes").select("rollout_id", "defect", "posterior", "main")
+    labels = F.broadcast(labels) if len(rows) <= MOST_BROADCAST else labels
+    return settled.join(labels, "votes").select("rollout_id", "defect", "posterior", "main")
