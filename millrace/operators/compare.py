@@ -85,16 +85,29 @@ def label_pairs(labels: list[str], baseline: str) -> list[tuple[str, str]]:
     return [(baseline, x) for x in others] + [(a, b) for i, a in enumerate(others) for b in others[i + 1 :]]
 
 
+def all_paired(rows: DataFrame, label: str, key: str, pairs: list[tuple[str, str]], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """(left_label, right_label, metric, was, now) of every key that both labels of a pair have.
+
+    One aggregate per key holds all labels and metrics, so any number of pairs costs one scan and one shuffle.
+    """
+    labels = list(dict.fromkeys(x for pair in pairs for x in pair))
+    flag = lambda name, c: F.bool_or(F.when(F.col(label) == name, F.coalesce(F.col(c), F.lit(False))))
+    wide = rows.where(F.col(label).isin(labels)).groupBy(key).agg(*(flag(name, m).alias(f"{i}_{m}") for i, name in enumerate(labels) for m in metrics))
+    cells = [
+        F.struct(F.lit(a).alias("left_label"), F.lit(b).alias("right_label"), F.lit(m).alias("metric"), F.col(f"{labels.index(a)}_{m}").alias("was"), F.col(f"{labels.index(b)}_{m}").alias("now"))
+        for a, b in pairs
+        for m in metrics
+    ]
+    return wide.select(F.inline(F.array(*cells))).where("was is not null and now is not null")
+
+
 def paired_report(rows: DataFrame, label: str, key: str, labels: list[str], baseline: str) -> DataFrame:
     """Every pair of labels and metric with transition counts, rates, Wilson bounds of the second and exact p values.
 
     The Holm adjustment covers the comparisons of the main metric against the baseline; elsewhere it is null.
     """
-    out = None
-    for left, right in label_pairs(labels, baseline):
-        part = paired(rows, label, key, left, right).select(F.lit(left).alias("left_label"), F.lit(right).alias("right_label"), "metric", "was", "now")
-        out = part if out is None else out.unionByName(part)
-    tested = with_tests(transitions(out, ["left_label", "right_label", "metric"]))
+    counted = transitions(all_paired(rows, label, key, label_pairs(labels, baseline)), ["left_label", "right_label", "metric"])
+    tested = with_tests(counted)
     low, high = wilson(F.col("now_successes"), F.col("n"))
     tested = tested.withColumns({"now_low": low, "now_high": high})
     tested = tested.withColumn("_p", F.when((F.col("metric") == MAIN_METRIC) & (F.col("left_label") == baseline), F.col("p_value")))

@@ -131,7 +131,7 @@ def replay_mix(code: DataFrame, graph: DataFrame, solve: DataFrame, repeats: int
     require_count(solve, n, "solve records")
     parts = [many]
     for task, rows in (("graph", graph), ("solve", solve)):
-        chosen = rows.orderBy(stable_hash(F.col(key), seed), key).limit(n)
+        chosen = ranked(rows.select(key, F.lit(0).alias("_all")), ["_all"], key, seed).where(F.col("rank") <= n)
         parts.append(chosen.select(F.col(key).cast("string").alias("id"), F.lit(task).alias("task")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

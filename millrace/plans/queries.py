@@ -18,27 +18,33 @@ STORES = {"solution": "theorem", "theorem_note": "theorem", "worksheet": "templa
 
 # ---- shared inputs
 
-def results(spark: SparkSession, folder: str) -> DataFrame:
-    """One result per adapter and id: the last one recorded."""
-    rows = table(spark, folder, "eval_results").where("adapter is not null and id is not null")
+SUMMARY = (*compare.METRICS, "status", "test_counts", "generation_seconds", "prompt_token_count", "completion_token_count")
+SCORED = ("tags_exact", "signature_exact", "python_executable", "final_answer_correct", "backward_target_correct", "test_counts")
+
+
+def results(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(adapter, id, result_no, columns): one result per adapter and id, the last one recorded. Only these columns are read."""
+    rows = table(spark, folder, "eval_results").where("adapter is not null and id is not null").select("adapter", "id", "result_no", *columns)
     return dedup.last_wins(rows.withColumn("_k", F.concat_ws("|", "adapter", "id")), "_k", ["result_no"]).drop("_k")
 
 
-def problems(spark: SparkSession, folder: str) -> DataFrame:
-    """First delivery of every problem id."""
-    return dedup.first_wins(table(spark, folder, "problems").where("id is not null"), F.col("id"), ["record_no"])
+def problems(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(id, record_no, columns): first delivery of every problem id."""
+    rows = table(spark, folder, "problems").where("id is not null").select("id", "record_no", *columns)
+    return dedup.first_wins(rows, F.col("id"), ["record_no"])
 
 
-def rollouts(spark: SparkSession, folder: str) -> DataFrame:
-    """Last delivery of every rollout."""
-    return dedup.last_wins(table(spark, folder, "rollouts"), "rollout_id", ["ingested_at"])
+def rollouts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """(rollout_id, ingested_at, columns): last delivery of every rollout."""
+    rows = table(spark, folder, "rollouts").select("rollout_id", "ingested_at", *columns)
+    return dedup.last_wins(rows, "rollout_id", ["ingested_at"])
 
 
 def origins(spark: SparkSession, folder: str) -> DataFrame:
     """(id, source, difficulty) of problems and held-out items."""
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "source", "difficulty")
     return dedup.first_wins(
-        problems(spark, folder).select("id", "source", "difficulty", F.lit(0).alias("_o")).unionByName(items.withColumn("_o", F.lit(1))), F.col("id"), ["_o"]
+        problems(spark, folder, "source", "difficulty").select("id", "source", "difficulty", F.lit(0).alias("_o")).unionByName(items.withColumn("_o", F.lit(1))), F.col("id"), ["_o"]
     ).drop("_o")
 
 
@@ -49,20 +55,20 @@ def _r(*names: str) -> dict:
 # ---- evaluation statistics
 
 def paired_report(spark, folder):
-    out = compare.paired_report(results(spark, folder), "adapter", "id", LABELS, BASELINE)
+    out = compare.paired_report(results(spark, folder, *compare.METRICS), "adapter", "id", LABELS, BASELINE)
     return out.withColumns(_r("was_rate", "now_rate", "difference", "p_value", "now_low", "now_high", "p_adjusted"))
 
 
 def eval_summary(spark, folder):
-    return compare.summarise(results(spark, folder), ["adapter"])
+    return compare.summarise(results(spark, folder, *SUMMARY), ["adapter"])
 
 
 def metric_deltas(spark, folder):
-    return compare.deltas(compare.summarise(results(spark, folder), ["adapter"]), "adapter", BASELINE).withColumns(_r("baseline", "candidate", "delta"))
+    return compare.deltas(compare.summarise(results(spark, folder, *SUMMARY), ["adapter"]), "adapter", BASELINE).withColumns(_r("baseline", "candidate", "delta"))
 
 
 def pair_transitions(spark, folder):
-    return compare.transitions(compare.paired(results(spark, folder), "adapter", "id", BASELINE, "main_grpo"), ["metric"])
+    return compare.transitions(compare.paired(results(spark, folder, *compare.METRICS), "adapter", "id", BASELINE, "main_grpo"), ["metric"])
 
 
 def label_pairs(spark, folder):
@@ -70,18 +76,18 @@ def label_pairs(spark, folder):
 
 
 def strata_rates(spark, folder):
-    rows = results(spark, folder).join(origins(spark, folder), "id", "left").withColumn("family", canonical.family(F.col("id")))
+    rows = results(spark, folder, "final_answer_correct").join(origins(spark, folder), "id", "left").withColumn("family", canonical.family(F.col("id")))
     return compare.strata(rows, ["family", "source", "difficulty"], F.col("final_answer_correct"), ["adapter"]).withColumns(_r("rate", "low", "high"))
 
 
 def wilson_rates(spark, folder):
-    rows = results(spark, folder).groupBy("adapter").agg(F.count("*").alias("n"), F.count_if("full_success").alias("successes"))
+    rows = results(spark, folder, "full_success").groupBy("adapter").agg(F.count("*").alias("n"), F.count_if("full_success").alias("successes"))
     low, high = stats.wilson(F.col("successes"), F.col("n"))
     return rows.withColumns({"low": F.round(low, 6), "high": F.round(high, 6)})
 
 
 def mcnemar_by_source(spark, folder):
-    pairs = compare.paired(results(spark, folder), "adapter", "id", BASELINE, "teacher_judge", ("final_answer_correct", "python_executable"))
+    pairs = compare.paired(results(spark, folder, "final_answer_correct", "python_executable"), "adapter", "id", BASELINE, "teacher_judge", ("final_answer_correct", "python_executable"))
     sources = origins(spark, folder).select("id", F.coalesce("source", F.lit("unknown")).alias("source"))
     counts = compare.transitions(pairs.join(sources, "id"), ["source", "metric"])
     return compare.with_tests(counts).select("source", "metric", "improved", "regressed", F.round("p_value", 6).alias("p_value"))
@@ -99,7 +105,7 @@ def pass_at_k(spark, folder):
 
 
 def test_count_totals(spark, folder):
-    rows = results(spark, folder)
+    rows = results(spark, folder, "test_counts")
     total = lambda f: F.coalesce(F.sum(f"test_counts.{f}"), F.lit(0)).alias(f)
     return rows.groupBy("adapter").agg(*(total(f) for f in ("unit_passed", "unit_total", "property_passed", "property_total")))
 
@@ -110,7 +116,7 @@ def frequency_counts(spark, folder):
 
 def merged_summaries(spark, folder):
     parts = (
-        results(spark, folder)
+        results(spark, folder, "finished_at", "generation_seconds", "full_success", "python_executable")
         .groupBy("adapter", F.date_trunc("month", "finished_at").alias("month"))
         .agg(F.count("*").alias("num_problems"), F.sum("generation_seconds").alias("wall_time_seconds"), stats.true_rate(F.col("full_success")).alias("success"), stats.true_rate(F.col("python_executable")).alias("executable"))
     )
@@ -118,7 +124,7 @@ def merged_summaries(spark, folder):
 
 
 def group_ranges(spark, folder):
-    rows = rollouts(spark, folder).where("generation_seconds is not null")
+    rows = rollouts(spark, folder, "problem_id", "generation_seconds").where("generation_seconds is not null")
     return compare.group_stats(rows, "problem_id", "generation_seconds", "seconds").withColumns(_r("min_seconds", "max_seconds", "mean_seconds"))
 
 
@@ -194,7 +200,7 @@ def forbidden_keys(spark, folder):
 # ---- selection
 
 def _pool(spark, folder):
-    rows = problems(spark, folder).where("text is not null")
+    rows = problems(spark, folder, "text", "source", "difficulty", "domain").where("text is not null")
     return rows.select("id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"), canonical.topic(F.col("domain")).alias("topic"), canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"))
 
 
@@ -227,7 +233,7 @@ def seeded_page(spark, folder):
 
 
 def replay_mix(spark, folder):
-    rows = problems(spark, folder).select("id", "split")
+    rows = problems(spark, folder)
     kind = F.pmod(F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("bigint"), F.lit(10))
     return sampling.replay_mix(rows.where(kind < 2), rows.where((kind >= 2) & (kind < 6)), rows.where(kind >= 6), 2, SEED)
 
@@ -272,12 +278,12 @@ def normalised_problems(spark, folder):
 
 
 def problem_labels(spark, folder):
-    rows = problems(spark, folder)
+    rows = problems(spark, folder, "domain", "difficulty")
     return rows.select("id", canonical.family(F.col("id")).alias("family"), canonical.family_by_omni(F.col("id")).alias("other_family"), canonical.domain_key(F.col("domain")).alias("domain_key"), canonical.topic(F.col("domain")).alias("topic"), canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"))
 
 
 def rate_buckets(spark, folder):
-    per = results(spark, folder).groupBy("id").agg(stats.true_rate(F.col("final_answer_correct")).alias("rate"))
+    per = results(spark, folder, "final_answer_correct").groupBy("id").agg(stats.true_rate(F.col("final_answer_correct")).alias("rate"))
     return per.groupBy(canonical.rate_bucket(F.col("rate")).alias("bucket")).agg(F.count("*").alias("problems"))
 
 
@@ -286,7 +292,7 @@ def safe_labels(spark, folder):
 
 
 def chat_records(spark, folder):
-    rows = problems(spark, folder).where("text is not null and gold_answer is not null")
+    rows = problems(spark, folder, "text", "gold_answer").where("text is not null and gold_answer is not null")
     tasks = {
         "graph": [records.message("system", F.lit("Decompose.")), records.message("user", F.col("text")), records.message("assistant", F.col("gold_answer"))],
         "solve": [records.message("user", F.col("text")), records.message("assistant", F.col("gold_answer"))],
@@ -296,13 +302,13 @@ def chat_records(spark, folder):
 
 
 def encoded_features(spark, folder):
-    rows = rollouts(spark, folder).where("completion_token_ids is not null").select("rollout_id", F.slice("completion_token_ids", 1, 20).alias("prompt"), F.col("completion_token_ids").alias("completion"))
+    rows = rollouts(spark, folder, "completion_token_ids").where("completion_token_ids is not null").select("rollout_id", F.slice("completion_token_ids", 1, 20).alias("prompt"), F.col("completion_token_ids").alias("completion"))
     out = records.encoded(rows, "prompt", "completion", 256)
     return out.select("rollout_id", F.size("input_ids").alias("length"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"))
 
 
 def padded_batches(spark, folder):
-    rows = rollouts(spark, folder).where("completion_token_ids is not null").select("rollout_id", F.col("completion_token_ids").alias("completion"), F.slice("completion_token_ids", 1, 8).alias("prompt"))
+    rows = rollouts(spark, folder, "completion_token_ids").where("completion_token_ids is not null").select("rollout_id", F.col("completion_token_ids").alias("completion"), F.slice("completion_token_ids", 1, 8).alias("prompt"))
     wide = records.padded(records.encoded(rows, "prompt", "completion", 4096).withColumn("batch", F.floor(F.col("rollout_id") / 16)), "batch", 0)
     return wide.groupBy("batch").agg(F.max(F.size("input_ids")).alias("width"), F.min(F.size("labels")).alias("least"), F.sum(F.size(F.filter("attention_mask", lambda x: x == 0))).alias("padding"))
 
@@ -357,7 +363,7 @@ def memory_update(spark, folder):
 # ---- responses: spans, graphs, answers
 
 def _tagged(spark, folder):
-    rows = rollouts(spark, folder).where("raw_text is not null").select("rollout_id", "problem_id", "raw_text")
+    rows = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("rollout_id", "problem_id", "raw_text")
     return rows.withColumn("nodes", F.array_distinct(F.concat(F.regexp_extract_all("raw_text", F.lit(r"<a_(f[0-9]+)>"), F.lit(1)), F.array(F.lit("main")))))
 
 
@@ -383,13 +389,13 @@ def code_checks(spark, folder):
 
 
 def boxed_answers(spark, folder):
-    rows = rollouts(spark, folder).where("raw_text like '%boxed{%'")
+    rows = rollouts(spark, folder, "raw_text").where("raw_text like '%boxed{%'")
     return rows.select("rollout_id", canonical.last_boxed("raw_text").alias("boxed"))
 
 
 def answer_matches(spark, folder):
-    gold = problems(spark, folder).select("id", "gold_answer").union(table(spark, folder, "eval_items").select("item_id", "gold_answer"))
-    said = rollouts(spark, folder).where("raw_text is not null").select("rollout_id", F.col("problem_id").alias("id"), F.coalesce(canonical.last_boxed("raw_text"), F.nullif(F.regexp_extract("raw_text", r"(?i)final answer is (-?[\d,./]+\d)", 1), F.lit(""))).alias("said"))
+    gold = problems(spark, folder, "gold_answer").select("id", "gold_answer").union(table(spark, folder, "eval_items").select("item_id", "gold_answer"))
+    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("rollout_id", F.col("problem_id").alias("id"), F.coalesce(canonical.last_boxed("raw_text"), F.nullif(F.regexp_extract("raw_text", r"(?i)final answer is (-?[\d,./]+\d)", 1), F.lit(""))).alias("said"))
     both = said.where("said is not null").join(gold.groupBy("id").agg(F.min("gold_answer").alias("gold")), "id", "left")
     checked = both.withColumn("e", answers.answer_equivalence(F.col("said"), F.col("gold")))
     return checked.groupBy("e.method", "e.equivalent").agg(F.count("*").alias("n"))
@@ -427,7 +433,7 @@ def edge_scores(spark, folder):
 
 
 def consensus(spark, folder):
-    said = rollouts(spark, folder).where("raw_text is not null").select("problem_id", "rollout_id", F.lit("main").alias("node_id"), F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{([^{}]*)\}", 1)), F.lit("")).alias("value"))
+    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("problem_id", "rollout_id", F.lit("main").alias("node_id"), F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{([^{}]*)\}", 1)), F.lit("")).alias("value"))
     return scoring.consensus(said).groupBy("problem_id").agg(F.count("*").alias("rollouts"), F.round(F.avg("consensus"), 6).alias("mean_consensus"))
 
 
@@ -442,13 +448,13 @@ def _components(rows: DataFrame) -> dict:
 
 
 def rewards(spark, folder):
-    rows = results(spark, folder)
+    rows = results(spark, folder, *SCORED)
     out = rows.select("adapter", "id", *(c.alias(n) for n, c in scoring.reward_parts(_components(rows)).items()))
     return out.groupBy("adapter").agg(F.count("*").alias("n"), F.round(F.avg("total_reward"), 6).alias("mean_reward"), F.round(F.max("total_reward"), 6).alias("max_reward"), F.round(F.avg("answer_gate"), 6).alias("mean_gate"))
 
 
 def span_rewards(spark, folder):
-    rows = results(spark, folder)
+    rows = results(spark, folder, *SCORED)
     c = _components(rows)
     outcomes = rows.select(F.col("result_no").alias("rollout_id"), c["format"].alias("format"), c["final"].alias("final"), c["backward"].alias("backward"), F.lit(0.0).alias("consensus"), F.lit(0.0).alias("teacher"))
     scores = {n: c[n].alias(n) for n in ("signature", "execution", "unit_test", "property_test")}
@@ -458,13 +464,13 @@ def span_rewards(spark, folder):
 
 
 def group_advantages(spark, folder):
-    rows = results(spark, folder)
+    rows = results(spark, folder, *SCORED)
     scored = rows.select("id", "result_no", scoring.reward_parts(_components(rows))["total_reward"].alias("reward"))
     return scoring.group_advantages(scored, ["id"], "reward").select("id", "result_no", F.round("advantage", 6).alias("advantage"))
 
 
 def span_advantages(spark, folder):
-    rows = results(spark, folder)
+    rows = results(spark, folder, "tags_exact", "signature_exact", "python_executable")
     metrics_ = ["tags_exact", "signature_exact", "python_executable"]
     rewards_ = rows.select(F.col("result_no").alias("rollout_id"), F.inline(F.array(*(F.struct(F.lit(m).alias("node_id"), F.when(F.col(m), 1.0).alias("reward")) for m in metrics_)))).where("reward is not null")
     out = scoring.span_advantages(rows.select(F.col("id").alias("problem_id"), F.col("result_no").alias("rollout_id")), rewards_)
@@ -472,7 +478,7 @@ def span_advantages(spark, folder):
 
 
 def token_advantages(spark, folder):
-    rows = rollouts(spark, folder).where("completion_token_ids is not null")
+    rows = rollouts(spark, folder, "completion_token_ids").where("completion_token_ids is not null")
     n = F.size("completion_token_ids")
     ranges = F.array(F.struct(F.lit("f1").alias("node"), F.lit(0).alias("start"), F.floor(n / 2).cast("int").alias("end")), F.struct(F.lit("main").alias("node"), F.floor(n / 3).cast("int").alias("start"), n.alias("end")))
     given = F.create_map(F.lit("f1"), F.lit(1.0), F.lit("main"), F.lit(-0.5))
@@ -480,7 +486,7 @@ def token_advantages(spark, folder):
 
 
 def efficiency(spark, folder):
-    rows = rollouts(spark, folder)
+    rows = rollouts(spark, folder, "backend", "raw_text", "generation_seconds", "completion_token_count")
     calls = F.size(F.regexp_extract_all("raw_text", F.lit(r"(```python)"), F.lit(1)))
     scored = rows.select("backend", scoring.efficiency_penalty(F.col("generation_seconds"), F.greatest(calls, F.lit(0)), F.greatest(F.col("completion_token_count"), F.lit(0))).alias("penalty"))
     return scored.groupBy("backend").agg(F.count("*").alias("n"), F.round(F.avg("penalty"), 6).alias("mean_penalty"))
@@ -498,14 +504,14 @@ def _tests(rows: DataFrame) -> DataFrame:
 
 
 def node_scores(spark, folder):
-    rows = _tests(results(spark, folder))
+    rows = _tests(results(spark, folder, "python_executable", "test_counts"))
     score = scoring.node_score(F.lit("x"), F.lit(True), F.col("python_executable"), F.col("tests"), F.lit(None).cast("double"))
     scored = rows.select("adapter", score.alias("s")).select("adapter", "s.*")
     return scored.groupBy("adapter").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("execution", "unit", "property", "combined")))
 
 
 def positional_tests(spark, folder):
-    rows = _tests(results(spark, folder)).select("adapter", F.transform("tests", lambda t: F.struct(t["kind"].alias("kind"))).alias("expected"), F.transform("tests", lambda t: F.struct(t["passed"].alias("passed"))).alias("actual"))
+    rows = _tests(results(spark, folder, "test_counts")).select("adapter", F.transform("tests", lambda t: F.struct(t["kind"].alias("kind"))).alias("expected"), F.transform("tests", lambda t: F.struct(t["passed"].alias("passed"))).alias("actual"))
     return metrics.test_totals(rows, ["adapter"])
 
 
@@ -513,12 +519,12 @@ def failure_classes(spark, folder):
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     kinds = {"python_executable": "execution_failure", "backward_target_correct": "dependency_failure", "final_answer_correct": "final_answer_failure"}
     failures = F.array_compact(F.array(*(F.when(~flag(c), F.struct(F.lit(k).alias("type"))) for c, k in kinds.items())))
-    return results(spark, folder).groupBy("adapter", scoring.failure_class(failures).alias("failure")).agg(F.count("*").alias("n"))
+    return results(spark, folder, "python_executable", "backward_target_correct", "final_answer_correct").groupBy("adapter", scoring.failure_class(failures).alias("failure")).agg(F.count("*").alias("n"))
 
 
 def trajectory_metrics(spark, folder):
     """Every recorded result as a trajectory of one rollout."""
-    rows = _tests(results(spark, folder))
+    rows = _tests(results(spark, folder, *SUMMARY))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     final = flag("final_answer_correct").cast("double")
     none = F.array().cast("array<struct<code_blocks:array<string>>>")
@@ -549,7 +555,7 @@ def known_ids(spark, folder):
 
 
 def answer_kinds(spark, folder):
-    rows = problems(spark, folder).where("gold_answer is not null")
+    rows = problems(spark, folder, "gold_answer").where("gold_answer is not null")
     return rows.groupBy(canonical.numeric_answer(F.col("gold_answer")).alias("numeric"), canonical.family(F.col("id")).alias("family")).agg(F.count("*").alias("n"))
 
 
