@@ -48,6 +48,7 @@ SWAPS = tuple(
     )
     for wrong in wrongs
 )
+BY_WRONG = {w: [r for v, r in SWAPS if v == w] for w in dict.fromkeys(v for v, _ in SWAPS)}
 MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY, MOST_STATES = 0.3, 0.15, 0.8, 3.0, 0.1, 80
 PIECE = re.compile(r"[^ \t\r\n]+")
 SUSPECT = re.compile(r"[^\x00-\x7f]|&#?\w+;")
@@ -55,7 +56,7 @@ SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2
 _SINGLE = {e for e in TAKEN_FOR if e not in ("gb18030", "big5", "shift_jis", "euc-kr")}
 #: Garbled text may have been lower-cased afterwards; lead characters are put back, with or without the ambiguous one.
 _RAISED = (("raise", str.maketrans("ãÿ", "ÃŸ")), ("raise", str.maketrans("ãâÿ", "ÃÂŸ")))
-DIGIT = re.compile(r"[0-9]")
+DIGIT, CONTROL = re.compile(r"[0-9]"), re.compile("[\x80-\x9f]")
 LOST = re.compile("â€|[�\x80-\x84\x86-\x9f]")
 
 _WHOLE = set("–—‘’“”„‚«»…•·°²³¹½¼¾×÷±≤≥≠≈≡√∑∏∫∞∂π∎□■→←⇒∈∉⊂∪∩∅∀∃€£¥¢§¿¡№│─┼，。：；？！、（）「」《》％＋－＝　")
@@ -153,7 +154,7 @@ def _bytes(text: str, encoding: str) -> bytes | None:
     try:
         return text.encode(encoding)
     except UnicodeEncodeError:
-        if encoding not in ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254"):
+        if encoding not in ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254") or not CONTROL.search(text):
             return None
     out = bytearray()
     for ch in text:
@@ -230,6 +231,23 @@ def swap(piece: str, wrong: str, right: str) -> tuple[str, float]:
     return there, cost(piece) - cost(there)
 
 
+def swap_gains(piece: str, was: float) -> dict[tuple[str, str], float]:
+    """How much cheaper the piece gets by each swap that makes it cheaper."""
+    out = {}
+    for wrong, rights in BY_WRONG.items():
+        raw = _bytes(piece, wrong)
+        if raw is None:
+            continue
+        for right in rights:
+            try:
+                gain = was - cost(raw.decode(right))
+            except UnicodeDecodeError:
+                continue
+            if gain > 0:
+                out[wrong, right] = gain
+    return out
+
+
 _found: dict[str, tuple] = {}
 
 
@@ -266,7 +284,7 @@ def _searched(piece: str) -> tuple:
         if len(_found) > 50_000:
             _found.clear()
         text, steps, before, after = search(piece)
-        gains = {} if steps else {pair: g for pair in SWAPS if (g := swap(piece, *pair)[1]) != 0}
+        gains = {} if steps else swap_gains(piece, before)
         known = (text, steps, before, after, gains)
         if len(piece) < 200:
             _found[piece] = known
