@@ -6,6 +6,8 @@ the first non-null value, which is the documented difference to looking at key p
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,19 +32,26 @@ def normalise_problem(rows: DataFrame, ordinal: Column) -> DataFrame:
     )
 
 
-def _record(rows: DataFrame, prefix: str, problem: Column, solution: Column, answer: Column, domain: Column, difficulty: Column, source: str) -> DataFrame:
-    return rows.select(
+def _record(rows: DataFrame, problem: Column, solution: Column, answer: Column, domain: Column, difficulty: Column, source: str) -> DataFrame:
+    """The canonical columns; the id is made of the source's name and the problem's hash. Blank problems or solutions are left out."""
+    slug = re.sub(r"[^a-z0-9]+", "_", source.lower()).strip("_")
+    made = rows.select(
         problem.alias("problem"), solution.alias("reference_solution"), answer.alias("gold_answer"), domain.alias("domain"),
-        difficulty.alias("difficulty"), F.lit(source).alias("source"), F.lit("train").alias("source_split"),
-    ).select(content_id(prefix, F.col("problem")).alias("id"), "*", F.sha2("problem", 256).alias("problem_sha256"))
+        difficulty.cast("string").alias("difficulty"), F.lit(source).alias("source"), F.lit("train").alias("source_split"),
+    ).where("problem <> '' and reference_solution <> ''")
+    return made.select(content_id(f"medium_{slug}", F.col("problem")).alias("id"), "*", F.sha2("problem", 256).alias("problem_sha256"))
+
+
+def _clamped(steps: Column) -> Column:
+    return F.least(F.greatest(steps, F.lit(2)), F.lit(5))
 
 
-def grade_school(rows: DataFrame) -> DataFrame:
+def grade_school(rows: DataFrame, source: str = "openai/gsm8k") -> DataFrame:
     """(question, answer) with the final number after ####: 3 to 8 calculator marks <<..>> are kept, difficulty is their number within 2..5."""
     steps = F.size(F.regexp_extract_all("answer", F.lit(r"<<(.*?)>>"), F.lit(1)))
     final = F.regexp_replace(F.trim(F.regexp_extract("answer", r"####\s*(.+)\s*$", 1)), ",", "")
-    kept = rows.where(F.col("question").isNotNull() & steps.between(3, 8) & (final != ""))
-    return _record(kept, "medium_gsm8k", F.trim("question"), F.trim("answer"), final, F.array(F.lit("Applied Mathematics -> Word Problems")), F.least(F.greatest(steps, F.lit(2)), F.lit(5)).cast("string"), "gsm8k")
+    kept = rows.where(F.col("question").isNotNull() & steps.between(3, 8) & numeric_answer(final))
+    return _record(kept, F.trim("question"), F.trim("answer"), final, F.array(F.lit("Arithmetic"), F.lit("Multi-step Word Problems")), _clamped(steps), source)
 
 
 @F.pandas_udf(T.StringType())
@@ -73,12 +82,12 @@ def _last_boxed(text: str) -> str | None:
     return values[-1].strip() if values else None
 
 
-def competition(rows: DataFrame, longest_answer: int = 160) -> DataFrame:
-    """(problem, solution, level, type): levels 1 to 3 with a boxed answer of bounded length."""
+def competition(rows: DataFrame, config: str, source: str = "EleutherAI/hendrycks_math", longest_answer: int = 160) -> DataFrame:
+    """(problem, solution, level, type): levels 1 to 3 with a boxed answer of bounded length; `config` names the part of the source."""
     level = F.regexp_extract("level", r"(\d+)", 1).try_cast("int")
     held = rows.withColumn("_level", level).where(F.col("_level").between(1, 3)).withColumn("_answer", last_boxed("solution"))
     kept = held.where(F.col("_answer").isNotNull() & (F.col("_answer") != "") & (F.length("_answer") <= longest_answer))
-    return _record(kept, "medium_math", F.trim("problem"), F.trim("solution"), F.col("_answer"), F.array(F.col("type")), F.col("_level").cast("string"), "math")
+    return _record(kept, F.trim("problem"), F.trim("solution"), F.col("_answer"), F.array(F.lit(config), F.coalesce("type", F.lit(config))), F.col("_level"), source)
 
 
 def option_map(options: Column) -> Column:
@@ -94,13 +103,16 @@ def numeric_answer(answer: Column) -> Column:
     return answer.rlike(r"\d") & ~F.lower(answer).rlike(r"none|cannot|insufficient|all of the above")
 
 
-def multiple_choice(rows: DataFrame, longest_answer: int = 96) -> DataFrame:
+def multiple_choice(rows: DataFrame, source: str = "allenai/math_qa", longest_answer: int = 96) -> DataFrame:
     """(Problem, Rationale, options, correct, linear_formula, category): 2 to 5 operations and a numeric right option."""
     steps = F.size(F.filter(F.split("linear_formula", r"\|"), lambda s: F.trim(s) != ""))
     answer = F.try_element_at(option_map(F.col("options")), F.lower(F.trim("correct")))
     held = rows.withColumn("_answer", answer).where(steps.between(2, 5))
     kept = held.where(numeric_answer(F.col("_answer")) & (F.length("_answer") <= longest_answer))
-    return _record(kept, "medium_mathqa", F.trim("Problem"), F.trim("Rationale"), F.col("_answer"), F.array(F.col("category")), steps.cast("string"), "mathqa")
+    solution = F.concat(F.trim("Rationale"), F.lit("\nOperation program: "), F.trim("linear_formula"))
+    category = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("general"))
+    kept = kept.where(F.trim("Rationale") != "")
+    return _record(kept, F.trim("Problem"), solution, F.col("_answer"), F.array(F.lit("Math Word Problems"), category), _clamped(steps), source)
 
 
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"

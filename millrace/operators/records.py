@@ -9,11 +9,17 @@ from millrace.functions.text import chatml
 
 #: Keys that must not leave the private side; the four lists differ on purpose.
 PRIVATE_KEYS = {
-    "selection": ("verification_graph", "verifier_implementations", "reference_code", "mutant_code", "hidden_tests"),
-    "bundle": ("verification_graph", "verifier_implementations", "reference_code", "mutant_code", "tests", "expected", "gold_answer"),
-    "code_sft": ("verification_graph", "verifier_implementations", "mutant_code", "tests", "expected", "gold_answer", "hidden_tests"),
-    "export": ("verification_graph", "verifier_implementations", "reference_solution", "gold_answer"),
-}
+    "selection": ("mutant_code", "reference_code", "reference_solution", "tagged_solution", "verifier_implementations"),
+    "bundle": ("expected", "expected_value", "expected_values", "formula", "values", "tests", "target_call", "reference_code", "mutant_code"),
+    "code_sft": (
+        "expected", "expected_value", "expected_values", "formula", "values", "tests", "target_call", "reference_code", "mutant_code",
+        "verification_graph", "verifier_implementations",
+    ),
+    "export": (
+        "gold_answer", "answer", "target_call", "tests", "expected", "reference_implementation", "mutant_implementation", "hidden_tests",
+        "verification_graph", "verifier_annotation", "verifier_execution_audit",
+    ),
+}
 IGNORED_LABEL = -100
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import answers, stats, text
@@ -28,7 +28,7 @@ def results(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return dedup.last_wins(rows.withColumn("_k", F.concat_ws("|", "adapter", "id")), "_k", ["result_no"]).drop("_k")
 
 
-def problems(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def problems(spark: SparkSession, folder: str, *columns: str | Column) -> DataFrame:
     """(id, record_no, columns): first delivery of every problem id."""
     rows = table(spark, folder, "problems").where("id is not null").select("id", "record_no", *columns)
     return dedup.first_wins(rows, F.col("id"), ["record_no"])
@@ -200,7 +200,7 @@ def forbidden_keys(spark, folder):
 # ---- selection
 
 def _pool(spark, folder):
-    rows = problems(spark, folder, "text", "source", "difficulty", "domain").where("text is not null")
+    rows = problems(spark, folder, F.col("text").isNotNull().alias("has_text"), "source", "difficulty", "domain").where("has_text")
     return rows.select("id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"), canonical.topic(F.col("domain")).alias("topic"), canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"))
 
 

@@ -100,9 +100,9 @@ def test_edge_relations(spark):
 def test_canonical(spark):
     g = spark.createDataFrame([("Q ", "a <<1+1=2>> b <<2*3=6>> c <<6+1=7>>\n#### 1,018"), ("Q2", "<<1>> #### 3"), (None, "x")], "question string, answer string")
     rows = canonical.grade_school(g).collect()
-    assert [(r.gold_answer, r.difficulty) for r in rows] == [("1018", "3")] and rows[0].id.startswith("medium_gsm8k_")
+    assert [(r.gold_answer, r.difficulty) for r in rows] == [("1018", "3")] and rows[0].id.startswith("medium_openai_gsm8k_")
     m = spark.createDataFrame([("P", "so \\boxed{\\frac{3}{7}}", "Level 2", "Algebra"), ("P", "none", "Level 2", "A"), ("P", "\\boxed{1}", "Level 5", "A")], "problem string, solution string, level string, type string")
-    assert [r.gold_answer for r in canonical.competition(m).collect()] == ["\\frac{3}{7}"]
+    assert [r.gold_answer for r in canonical.competition(m, "algebra").collect()] == ["\\frac{3}{7}"]
     q = spark.createDataFrame([("P", "R", "a ) 24 , b ) 120 , c ) none of these", o, "multiply(n0,n1)|power(#0,n2)|", "physics") for o in ("c", "b", "z")], "Problem string, Rationale string, options string, correct string, linear_formula string, category string")
     assert [r.gold_answer for r in canonical.multiple_choice(q).collect()] == ["120"]
     o = spark.createDataFrame([(" p ", "s", "\xa0a ", None, None, None), ("p", " ", "a", ["x"], "1", "s")], "problem string, solution string, answer string, domain array<string>, difficulty string, source string")
