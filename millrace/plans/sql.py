@@ -360,7 +360,7 @@ with {PROB} select regexp_matches(gold_answer, '[0-9]') and not regexp_matches(l
     "theorem_names": r"""
 with n as (select 'Notes.' || replace(source, '_', '.') as lean_name, list(distinct course_id) || ['Notes.scan.ocr'] as c from documents where source is not null and course_id is not null group by source),
   p as (select lean_name, list_sort(list_filter(list_distinct(c), lambda x: x <> lean_name)) as ps from n)
-select lean_name, regexp_replace(lean_name, '\.[^.]*$', '') as namespace, len(ps)::int as premises, ps[1] as first_premise from p""".replace("\\.", "\."),
+select lean_name, regexp_replace(lean_name, '\.[^.]*$', '') as namespace, len(ps)::int as premises, ps[1] as first_premise from p""",
 }
 _SOURCE = f"""
 with {RESULTS}, {PROB}, {ORIGIN}, p as ({long_pairs("stage2", "teacher_judge", ("final_answer_correct", "python_executable"))}),
