@@ -37,8 +37,10 @@ def spread(scan: DataFrame) -> DataFrame:
     """The rows of a plain scan in at least as many partitions as there are cores.
 
     For operators that spend long on a row: a table of one small file would otherwise be one task. Tables with enough splits
-    are left as they are, so large data is never shuffled for this.
+    are left as they are, so large data is never shuffled for this, and so are plans that shuffle anyway.
     """
+    if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
