@@ -125,7 +125,7 @@ def merged_summaries(spark, folder):
 
 def group_ranges(spark, folder):
     rows = rollouts(spark, folder, "problem_id", "generation_seconds").where("generation_seconds is not null")
-    return compare.group_stats(rows, "problem_id", "generation_seconds", "seconds").withColumns(_r("min_seconds", "max_seconds", "mean_seconds"))
+    return compare.group_stats(rows, "problem_id", "generation_seconds", "seconds").withColumns(_r("min_seconds", "max_seconds") | {"mean_seconds": F.round("mean_seconds", 9)})
 
 
 # ---- deduplication, leakage, constraints

@@ -169,7 +169,7 @@ with {RESULTS}, parts as (select adapter, date_trunc('month', finished_at) as m,
 select adapter, sum(k) as num_problems, round(max(w), 6) as wall_time_seconds, round(sum(s * k) / sum(k), 6) as success, round(sum(x * k) / sum(k), 6) as executable from parts group by adapter""",
     "group_ranges": f"""
 with {ROLL} select problem_id, count(*) as n, round(min(generation_seconds), 6) as min_seconds, round(max(generation_seconds), 6) as max_seconds,
-  round(avg(generation_seconds), 6) as mean_seconds, max(generation_seconds) - min(generation_seconds) > 1e-9 as differs from roll where generation_seconds is not null group by problem_id""",
+  round(avg(generation_seconds), 9) as mean_seconds, max(generation_seconds) - min(generation_seconds) > 1e-9 as differs from roll where generation_seconds is not null group by problem_id""",
     "dedup_first": f"select record_no, id, text_key from (select *, {ascii_hash('text')} as text_key from problems where text is not null) qualify row_number() over (partition by text_key order by record_no) = 1",
     "dedup_conflicts": f"""select id, count(*) as rows, count(distinct {ascii_hash("coalesce(text, '')")} || '|' || trim(coalesce(gold_answer, ''))) as versions from problems group by id""",
     "unique_pool": f"""
