@@ -45,6 +45,17 @@ with {_POOLS},
 select a.manifest_id, a.family, a.band from asked a left join available v on a.family = v.family and a.band = v.band
 where coalesce(v.n, 0) < greatest(a.floor_rows, floor(a.target_share * a.target + 0.5))""",
     "p2_sample": f"with {_POOLS}, {_SAMPLE} select manifest_id, family, band, key, rank, floor_row from sample",
+    "p2_report": f"""
+with {_POOLS}, {_SAMPLE},
+  available as (select family, band, count(*) as n from record group by family, band),
+  chosen as (select manifest_id, family, band, count(*) as n from sample group by all),
+  r as (
+    select a.manifest_id, a.family, a.band, coalesce(v.n, 0) as available, greatest(a.floor_rows, floor(a.target_share * a.target + 0.5))::bigint as requested,
+           coalesce(c.n, 0) as selected, a.target_share
+    from asked a left join available v on a.family = v.family and a.band = v.band
+    left join chosen c on a.manifest_id = c.manifest_id and a.family = c.family and a.band = c.band)
+select *, greatest(requested - available, 0) as shortfall,
+  coalesce(selected / nullif(sum(selected) over (partition by manifest_id, family), 0)::double, 0) as share from r""",
     "p4_stable_sample": r"""
 with keys as (
     select id, case when id like 'medium\_%' escape '\' then 'medium' else 'omni' end as family, min(coalesce(batch_no, 12)) as batch_no
