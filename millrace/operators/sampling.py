@@ -27,10 +27,11 @@ def seeded_order(rows: DataFrame, key: str, seed: int, offset: int = 0, limit: i
     return out if limit is None else out.limit(limit)
 
 
-def ranked(rows: DataFrame, strata: list[str], key: str, seed: int, name: str = "rank") -> DataFrame:
-    """Rank of every row within its stratum in the order of a seeded uniform number of its key, exact at any stratum size."""
+def ranked(rows: DataFrame, strata: list[str], key: str, seed: int, name: str = "rank", at_most: Column | None = None) -> DataFrame:
+    """Rank of every row within its stratum in the order of a seeded uniform number of its key, exact at any stratum size; with
+    `at_most` only the ranks up to it."""
     keyed = rows.withColumn("_u", uniform(F.col(key), seed))
-    return group_ranks(keyed, strata, "_u", [key], name=name).drop("_u")
+    return group_ranks(keyed, strata, "_u", [key], name=name, at_most=at_most).drop("_u")
 
 
 def tuple_text(columns: list[str]) -> Column:
@@ -83,7 +84,7 @@ def stratified_select(rows: DataFrame, strata: list[str], key: str, count: int,
     same = F.lit(True)
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"__g_{s}"))
-    kept = ranked(rows, strata, key, seed).join(quotas, same).where("rank <= quota")
+    kept = ranked(rows.join(quotas, same), strata, key, seed, at_most=F.col("quota"))
     return kept.drop("quota", *(f"__g_{s}" for s in strata))
 
 
@@ -95,7 +96,7 @@ def stratified_split(rows: DataFrame, strata: list[str], key: str, fraction: flo
 
 def balanced_select(rows: DataFrame, group: str, key: str, count: int, seed: int) -> DataFrame:
     """Round robin over groups: first of every group, then the second of each, until `count` rows; groups in text order."""
-    turns = ranked(rows, [group], key, seed, name="turn").where(F.col("turn") <= count)
+    turns = ranked(rows, [group], key, seed, name="turn", at_most=F.lit(count))
     return turns.orderBy("turn", F.col(group).cast("string"), key).limit(count)
 
 
@@ -131,7 +132,7 @@ def replay_mix(code: DataFrame, graph: DataFrame, solve: DataFrame, repeats: int
     require_count(solve, n, "solve records")
     parts = [many]
     for task, rows in (("graph", graph), ("solve", solve)):
-        chosen = ranked(rows.select(key, F.lit(0).alias("_all")), ["_all"], key, seed).where(F.col("rank") <= n)
+        chosen = ranked(rows.select(key, F.lit(0).alias("_all")), ["_all"], key, seed, at_most=F.lit(n))
         parts.append(chosen.select(F.col(key).cast("string").alias("id"), F.lit(task).alias("task")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
