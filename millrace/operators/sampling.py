@@ -84,8 +84,8 @@ def stratified_select(rows: DataFrame, strata: list[str], key: str, count: int,
     same = F.lit(True)
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"__g_{s}"))
-    kept = ranked(rows.join(quotas, same), strata, key, seed, at_most=F.col("quota"))
-    return kept.drop("quota", *(f"__g_{s}" for s in strata))
+    allotted = rows.join(quotas, same).drop(*(f"__g_{s}" for s in strata))
+    return ranked(allotted, strata, key, seed, at_most=F.col("quota")).drop("quota")
 
 
 def stratified_split(rows: DataFrame, strata: list[str], key: str, fraction: float, seed: int) -> DataFrame:
