@@ -93,8 +93,9 @@ def proportional_sample(problems: DataFrame, omni: DataFrame, manifest: DataFram
         )
     drawn = records.select("family", "band", "key", F.explode(seeds).alias("plan")).select("family", "band", "key", "plan.*")
     drawn = drawn.withColumn("u", uniform(F.col("key"), F.col("seed"))).drop("seed")
-    ranked = group_ranks(drawn, ["manifest_id", "family", "band"], "u", ["key"]).join(asked, ["manifest_id", "family", "band"])
-    can = ranked.where((F.col("rank") <= F.greatest("target", "floor")) & (F.col("target") > 0)).withColumns(
+    wanted = drawn.join(asked.where("target > 0"), ["manifest_id", "family", "band"])
+    ranked = group_ranks(wanted, ["manifest_id", "family", "band"], "u", ["key"], at_most=F.greatest("target", "floor"))
+    can = ranked.withColumns(
         {"floor_row": F.col("rank") <= F.col("floor"), "priority": F.try_divide(F.col("rank") - 0.5, F.col("target_share"))}
     )
     order = Window.partitionBy("manifest_id", "family").orderBy(F.desc("floor_row"), F.asc_nulls_last("priority"), "band", "rank")
