@@ -54,6 +54,8 @@ FUNCTIONS = (
 CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "truncated": 0.5, "other_language": 0.5}
 START_SHARE, PRIOR_SHARE, ROUNDS = 0.03, 0.05, 40
 MOST_BROADCAST = 100_000
+#: Questions a worker remembers; 8,000 take about 60 MB.
+REMEMBERED = 8_000
 NO, YES = 1, 2
 
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)\s*>")
@@ -221,7 +223,7 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, asked, tokens, last in zip(batch["raw_text"], batch["question"], batch["tokens"], batch["last_token"], strict=True):
             question = known.get(asked)
             if question is None:
-                if len(known) > 20_000:
+                if len(known) > REMEMBERED:
                     known.clear()
                 question = known[asked] = Question(asked)
             n = None if tokens != tokens or tokens is None or tokens < 0 else int(tokens)

@@ -3,7 +3,7 @@
 A text is cut at blanks; only pieces with non-ASCII characters or entities can be garbled. From such a piece a search runs over
 texts: an edge encodes the text with one encoding and decodes the bytes with another, or unescapes entities; visited texts are
 kept by hash; the frontier is ordered by a character-plausibility cost plus a price per edge. The cheapest text reached wins if
-it is cheaper than the start by a margin. An edge into UTF-8 carries its own proof, since multi-byte sequences rarely are valid
+it is cheaper than the start by a margin; a search looks at up to MOST_STATES texts of a piece. An edge into UTF-8 carries its own proof, since multi-byte sequences rarely are valid
 by chance; an edge between two single-byte encodings does not, so its gains count only where the pieces of the whole text agree
 on it with enough gain in sum; it then holds for every piece that gains by it.
 
