@@ -17,19 +17,66 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PACKED = "container string, container_size int, doc_id bigint, doc_size bigint, piece int, piece_from bigint, piece_size int"
 
 
-def byte_tokens(column: str):
+def byte_tokens(column: str) -> Column:
     """Size in tokens of the byte-level ByT5 tokenizer."""
     return F.octet_length(column).cast("bigint") + 1
 
 
+_counters: dict[tuple[str, str | None], Callable[[list[str]], list[int]]] = {}
+
+
+def _counter(path: str, pattern: str | None) -> Callable[[list[str]], list[int]]:
+    """Token counts of texts by a vocabulary file, loaded once a worker; the ending tells the library."""
+    if (path, pattern) in _counters:
+        return _counters[path, pattern]
+    if path.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        counter = lambda texts: [len(e.ids) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    elif path.endswith(".model"):
+        import sentencepiece
+
+        processor = sentencepiece.SentencePieceProcessor(model_file=path)
+        counter = lambda texts: [len(ids) for ids in processor.encode(texts, num_threads=1)]
+    elif path.endswith(".tiktoken"):
+        import base64
+
+        import tiktoken
+
+        if pattern is None:
+            raise ValueError("ranks need the pattern that splits texts")
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        counter = lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    else:
+        raise ValueError(f"unknown kind of vocabulary file: {path}")
+    _counters[path, pattern] = counter
+    return counter
+
+
+def vocabulary_tokens(column: str, path: str, pattern: str | None = None) -> Column:
+    """Size in tokens by a vocabulary file that every executor can read; null for null."""
+
+    @F.pandas_udf("bigint")
+    def sizes(texts: pd.Series) -> pd.Series:
+        counts = iter(_counter(path, pattern)([t for t in texts if t is not None]))
+        return pd.Series([None if t is None else next(counts) for t in texts], dtype="Int64")
+
+    return sizes(F.col(column))
+
+
 class Gaps:
     """Open containers by free room; the next suitable one is the lowest set bit at or over the size."""
 
@@ -107,13 +154,14 @@ def _pack_shards(pieces: DataFrame, capacity: int, shards: int, label: str) -> D
 
 
 def pack_texts(
-    documents: DataFrame, capacity: int, text: str = "text", key: str = "doc_id", shard_rows: int = 20_000, repack_below: float = 0.9
+    documents: DataFrame, capacity: int, text: str = "text", key: str = "doc_id", shard_rows: int = 20_000, repack_below: float = 0.9, size: Column | None = None
 ) -> DataFrame:
     """Every piece of every non-null text with its container: (container, container_size, doc_id, doc_size, piece, piece_from, piece_size).
 
-    A text of at most the capacity is one piece 0. Eager only in one count of the rows, which sets the number of shards.
+    Sizes are ByT5 tokens unless `size` gives others (see vocabulary_tokens); an item of size 0 needs no container. A text of at
+    most the capacity is one piece 0. Eager only in one count of the rows, which sets the number of shards.
     """
-    sized = documents.select(F.col(key).alias("doc_id"), byte_tokens(text).alias("doc_size")).where("doc_size is not null")
+    sized = documents.select(F.col(key).alias("doc_id"), (byte_tokens(text) if size is None else size.cast("bigint")).alias("doc_size")).where("doc_size > 0")
     shards = max(1, math.ceil(sized.count() / shard_rows))
     pieces = sized.select(
         "doc_id", "doc_size", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("doc_size") - 1, F.lit(capacity).cast("bigint"))).alias("piece", "piece_from")

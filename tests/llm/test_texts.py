@@ -172,3 +172,19 @@ def test_lost_characters_are_flagged(spark):
     assert set(got) == {1, 5, 6}
     assert not got[1].complete and got[6].restored == "Für" and got[5].restored == "für " * 50_000
     assert er.garbled_texts(rows.where("false")).count() == 0
+
+
+VOCABULARIES = [("byte_bpe_50k.json", None), ("piece_bpe_32k.model", None), ("byte_bpe_50k.tiktoken", "PATTERN"), ("word_bpe_49k.json", None)]
+
+
+@pytest.mark.parametrize(("name", "pattern"), VOCABULARIES)
+def test_other_vocabularies(spark, name, pattern):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path(name)
+    size = packing.vocabulary_tokens("text", path, getattr(public, pattern) if pattern else None)
+    rows = spark.createDataFrame([(1, "one two three " * 30), (2, None), (3, ""), (4, "hello")], "doc_id long, text string")
+    sizes = {r.doc_id: r.n for r in rows.select("doc_id", size.alias("n")).collect()}
+    assert sizes[2] is None and sizes[1] >= 90 and sizes[3] == 0
+    packed_rows = packing.pack_texts(rows, 50, size=size).collect()
+    assert sum(r.piece_size for r in packed_rows if r.doc_id == 1) == sizes[1]
+    assert {r.doc_id for r in packed_rows} == {1, 4}
