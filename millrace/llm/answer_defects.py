@@ -186,7 +186,7 @@ def votes(text: str | None, question: Question, tokens: int | None, last: int |
         YES if text.count("```") % 2 or HALF_FENCE.search(tail) else NO if "```" in text else 0,
         YES if CUT_MARK.search(tail) else 0,
         (YES if limit_reached or last != END_TOKEN else NO) if tokens else 0,
-        NO if concludes or bare or copied or declines else YES,
+        NO if concludes or bare or copied or declines or bare_code and finished else YES,
     ]
     counts, sentences = language_words(prose, question.language)
     known = sum(counts.values())

@@ -57,9 +57,9 @@ def test_question_found_by_id(spark):
 
 
 def test_last_delivery_counts_once(spark):
-    rows = labelled(spark) + [row(700, "", day=0), row(700, GOOD[0], day=5), row(701, GOOD[0], day=0), row(701, "null", day=9)]
+    rows = labelled(spark) + [row(710, "```python\ndef f1(n):\n    return n // 3\n```", tokens=[3] * 20), row(700, "", day=0), row(700, GOOD[0], day=5), row(701, GOOD[0], day=0), row(701, "null", day=9)]
     got = [r.rollout_id for r in ad.answer_defects(tables(spark, rows)).where("main").collect()]
-    assert 700 not in got and got.count(701) == 1
+    assert 700 not in got and 710 not in got and got.count(701) == 1
 
 
 def test_partitioning_and_size_do_not_matter(spark):
