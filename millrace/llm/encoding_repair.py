@@ -49,7 +49,7 @@ SWAPS = tuple(
     for wrong in wrongs
 )
 BY_WRONG = {w: [r for v, r in SWAPS if v == w] for w in dict.fromkeys(v for v, _ in SWAPS)}
-MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY, MOST_STATES = 0.3, 0.15, 0.8, 3.0, 0.1, 80
+MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY, MOST_STATES = 0.3, 0.15, 0.8, 2.0, 0.1, 80
 PIECE = re.compile(r"[^ \t\r\n]+")
 SUSPECT = re.compile(r"[^\x00-\x7f]|&#?\w+;")
 SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xf1-\xf3][\x80-\xbf]{3}|\xf0[\x90-\xbf][\x80-\xbf]{2}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
@@ -59,7 +59,8 @@ _RAISED = (("raise", str.maketrans("ãÿ", "ÃŸ")), ("raise", str.maketrans("ã
 DIGIT, CONTROL = re.compile(r"[0-9]"), re.compile("[\x80-\x9f]")
 LOST = re.compile("â€|[�\x80-\x84\x86-\x9f]")
 
-_WHOLE = set("–—‘’“”„‚«»…•·°²³¹½¼¾×÷±≤≥≠≈≡√∑∏∫∞∂π∎□■→←⇒∈∉⊂∪∩∅∀∃€£¥¢§¿¡№│─┼，。：；？！、（）「」《》％＋－＝　")
+_WHOLE = set("©®™ªº–—‘’“”„‚«»…•·°²³¹½¼¾×÷±≤≥≠≈≡√∑∏∫∞∂π∎□■→←⇒∈∉⊂∪∩∅∀∃€£¥¢§¿¡№│─┼，。：；？！、（）「」《》％＋－＝　")
+_MONEY = set("£¥¢€")
 _CYRILLIC = set("абвгдежзийклмнопрстуфхцчшщъыьэюяё")
 _CYRILLIC_COMMON = set("оеаинтсрвлкмдпу")
 _LATIN1 = set("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ")
@@ -105,7 +106,7 @@ def _east_asian(ch: str) -> float:
 
 def cost(text: str) -> float:
     """How implausible the characters are where they stand; 0 for ASCII."""
-    total, before, letters = 0.0, " ", ""
+    total, before, money = 0.0, " ", False
     for at, ch in enumerate(text):
         kind = _kinds.get(ch)
         if kind is None:
@@ -114,7 +115,7 @@ def cost(text: str) -> float:
         if kind == "x":
             total += 4
         elif kind in "lL":
-            total += 0.4 if lower in _LATIN1 else 1.6
+            total += 0.4 if lower in _LATIN1 or "\ufb00" <= ch <= "\ufb06" else 1.6
             if kind == "L" and before in "alc":
                 total += 2
         elif kind in "cC":
@@ -143,9 +144,9 @@ def cost(text: str) -> float:
         if kind in "alA" and before in "cCgGj" or kind in "cC" and before in "alLAgGj" or kind in "gG" and before in "alLcCj" or kind == "j" and before in "lLcCgG":
             if ch not in "rπ" or before not in "gπ":
                 total += 2
-        if kind in "lLgGcCs" and before in "lLgGs" and kind + before not in ("ll", "LL", "gg", "lL"):
+        if kind in "lLgGcCs" and before in "lLgGs" and kind + before not in ("ll", "LL", "gg", "lL") and not (money and ch in _MONEY):
             total += 0.5
-        before = kind
+        before, money = kind, ch in _MONEY
     return total
 
 

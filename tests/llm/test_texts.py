@@ -153,7 +153,7 @@ def test_double_and_entities(sentence):
     assert er.repair(named) is not None
 
 
-@pytest.mark.parametrize("sentence", [*SENTENCES, "plain", "", "QUESTÃO 6 – EQUAÇÃO", "The unit ångström (Å) and the empty set Ø, 24° and πr² ≈ 9.", "Grid: │ 51 │ 98 │", "© 2031 £¥¢ &amp; &lt;b&gt;", "ﬁll ２８ ½", "Âmbito, Ângulo, À Nîmes", "naïve façade Übung № 5"])
+@pytest.mark.parametrize("sentence", [*SENTENCES, "plain", "", "QUESTÃO 6 – EQUAÇÃO", "The unit ångström (Å) and the empty set Ø, 24° and πr² ≈ 9.", "Grid: │ 51 │ 98 │", "© 2031 £¥¢ &amp; &lt;b&gt;", "ﬁll ２８ ½", "Âmbito, Ângulo, À Nîmes", "naïve façade Übung № 5", "satisﬁes ﬁll ﬁnd ﬁve ﬂow", "© 2031 Nº 5 £¥¢ ½ 1ª"])
 def test_clean_text_stays(sentence):
     assert er.repair(sentence) is None
 
@@ -166,6 +166,11 @@ def test_single_byte_confusions(sentence, right, wrong):
         assert found[0] == sentence * 2
 
 
+@pytest.mark.parametrize(("garbled", "right"), [("The na∩ve way", "The naïve way"), ("Una se±ora dijo", "Una señora dijo"), ("Ein fⁿr alle", "Ein für alle")])
+def test_one_garbled_word_is_enough(garbled, right):
+    assert er.repair(garbled)[0] == right
+
+
 def test_lost_characters_are_flagged(spark):
     rows = spark.createDataFrame([(1, "La quantit� d�pend", 0), (2, None, 0), (3, "", 0), (4, "ok", 0), (5, "fÃ¼r " * 50_000, 0), (6, "FÃ¼r", 0)], "doc_id long, text string, complete int")
     got = {r.doc_id: r for r in er.garbled_texts(rows).collect()}
