@@ -5,7 +5,8 @@ texts: an edge encodes the text with one encoding and decodes the bytes with ano
 kept by hash; the frontier is ordered by a character-plausibility cost plus a price per edge. The cheapest text reached wins if
 it is cheaper than the start by a margin; a search looks at up to MOST_STATES texts of a piece. An edge into UTF-8 carries its own proof, since multi-byte sequences rarely are valid
 by chance; an edge between two single-byte encodings does not, so its gains count only where the pieces of the whole text agree
-on it with enough gain in sum; it then holds for every piece that gains by it.
+on it with enough gain in sum; it then holds for every piece that gains by it. Where only part of a piece is garbled, each run of it is
+judged with its neighbours alone, so clean characters around it, in any script, have no vote. That needs a single-byte encoding taken; a swap of part of a piece needs agreement of whole pieces of the text.
 
 Whole texts are searched, of any length; pieces repeat, so each worker remembers results up to a bound.
 Null, empty and ASCII texts without entities are never garbled. Ties in cost go to the shorter list of steps, then to the text
@@ -51,6 +52,11 @@ SWAPS = tuple(
 BY_WRONG = {w: [r for v, r in SWAPS if v == w] for w in dict.fromkeys(v for v, _ in SWAPS)}
 MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY, MOST_STATES = 0.3, 0.15, 0.8, 2.0, 0.1, 80
 PIECE = re.compile(r"[^ \t\r\n]+")
+#: Cost a non-ASCII character up to which a text is plausible.
+PLAUSIBLE = 0.5
+NON_ASCII = re.compile(r"[^\x00-\x7f]")
+#: Where Latin letters meet those of another script, as in prose without blanks.
+SCRIPTS = re.compile("(?<=[A-Za-zÀ-ɏ])(?=[Ͱ-ԯぁ-ヿ一-鿿가-힣])|(?<=[Ͱ-ԯぁ-ヿ一-鿿가-힣])(?=[A-Za-zÀ-ɏ])")
 SUSPECT = re.compile(r"[^\x00-\x7f]|&#?\w+;")
 SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xf1-\xf3][\x80-\xbf]{3}|\xf0[\x90-\xbf][\x80-\xbf]{2}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _SINGLE = {e for e in TAKEN_FOR if e not in ("gb18030", "big5", "shift_jis", "euc-kr")}
@@ -60,6 +66,7 @@ DIGIT, CONTROL = re.compile(r"[0-9]"), re.compile("[\x80-\x9f]")
 LOST = re.compile("â€|[�\x80-\x84\x86-\x9f]")
 
 _WHOLE = set("©®™ªº–—‘’“”„‚«»…•·°²³¹½¼¾×÷±≤≥≠≈≡√∑∏∫∞∂π∎□■→←⇒∈∉⊂∪∩∅∀∃€£¥¢§¿¡№│─┼，。：；？！、（）「」《》％＋－＝　")
+_MARKS = set("\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030b\u030c\u0323\u0327\u0328\u0338")
 _MONEY = set("£¥¢€")
 _CYRILLIC = set("абвгдежзийклмнопрстуфхцчшщъыьэюяё")
 _CYRILLIC_COMMON = set("оеаинтсрвлкмдпу")
@@ -129,7 +136,7 @@ def cost(text: str) -> float:
         elif kind == "o":
             total += 3.0
         elif kind == "m":
-            total += 0.8 if ch < "\u0370" else 3.0
+            total += 0.8 if ch in _MARKS else 3.0
         elif kind == "s":
             total += 0.4 if ch in _WHOLE else 1.3
             if ch in "\xa0\xad":
@@ -169,14 +176,43 @@ def _bytes(text: str, encoding: str) -> bytes | None:
     return bytes(out)
 
 
-def _partly(text: str, encoding: str) -> str:
-    """Only the valid multi-byte sequences decoded, everything else as it is."""
-    raw = bytes((b[0] if (b := _bytes(ch, encoding)) else 0x3F) for ch in text)
-    out, last = [], 0
+def _runs(text: str, encoding: str) -> list[tuple[int, int, str, float]]:
+    """(start, end, decoded, gain) of the runs of valid multi-byte sequences that get cheaper where they stand, whatever is around."""
+    raw = bytes((b[0] if (b := _bytes(ch, encoding)) else 0x3F) for ch in text) if CONTROL.search(text) else text.encode(encoding, "replace")
+    spans: list[list[int]] = []
     for m in SEQUENCE.finditer(raw):
-        out += [text[last : m.start()], m.group().decode("utf-8", "replace")]
-        last = m.end()
-    return "".join([*out, text[last:]])
+        if spans and spans[-1][1] == m.start():
+            spans[-1][1] = m.end()
+        else:
+            spans.append([m.start(), m.end()])
+    out = []
+    for start, end in spans:
+        there, left, right = raw[start:end].decode("utf-8", "replace"), text[max(0, start - 1) : start], text[end : end + 1]
+        gain = cost(left + text[start:end] + right) - cost(left + there + right)
+        if gain > 0:
+            out.append((start, end, there, gain))
+    return out
+
+
+def _partly(text: str, encoding: str, proven: bool = False) -> str:
+    """Only the runs of valid multi-byte sequences that get cheaper decoded, everything else as it is.
+
+    The text must cost half of what it did, or be plausible by and large once decoded; for the latter one run must cost half of what it
+    did, by the margin, unless other pieces have proven the encoding. So the clean rest has no vote, and a rest garbled otherwise has.
+    """
+    runs = _runs(text, encoding)
+    out, last = [], 0
+    for start, end, there, _ in runs:
+        out += [text[last:start], there]
+        last = end
+    decoded = "".join([*out, text[last:]])
+    if not runs:
+        return text
+    price = cost(decoded)
+    if price <= 0.5 * cost(text):
+        return decoded
+    shown = proven or any(gain >= MARGIN + STEP and cost(there) <= 0.5 * cost(text[start:end]) for start, end, there, gain in runs)
+    return decoded if shown and cost(SCRIPTS.sub(" ", decoded)) <= PLAUSIBLE * len(NON_ASCII.findall(decoded)) else text
 
 
 def _edges(text: str) -> Iterator[tuple[str, str]]:
@@ -194,7 +230,7 @@ def _edges(text: str) -> Iterator[tuple[str, str]]:
                 continue
             except UnicodeDecodeError:
                 pass
-        if encoding in _SINGLE and (there := _partly(text, encoding)) != text and cost(there) <= 0.5 * cost(text):
+        if encoding in _SINGLE and (there := _partly(text, encoding)) != text:
             yield f"{encoding}>utf-8", there
 
 
@@ -223,13 +259,37 @@ def search(piece: str) -> tuple[str, list[str], float, float]:
 
 
 def swap(piece: str, wrong: str, right: str) -> tuple[str, float]:
-    """The piece under another single-byte encoding, and how much cheaper it is."""
+    """The piece under another single-byte encoding, and how much cheaper it is.
+
+    Where the piece has characters that the wrong encoding lacks, these stay, and so do the parts between them that gain too little.
+    """
     raw = _bytes(piece, wrong)
-    try:
-        there = piece if raw is None else raw.decode(right)
-    except UnicodeDecodeError:
-        return piece, 0.0
-    return there, cost(piece) - cost(there)
+    if raw is not None:
+        try:
+            there = raw.decode(right)
+        except UnicodeDecodeError:
+            return piece, 0.0
+        return there, cost(piece) - cost(there)
+    held, out, gained, part = [_bytes(ch, wrong) for ch in piece], [], 0.0, 0
+    while part < len(piece):
+        end = part + 1
+        while end < len(piece) and (held[end] is None) == (held[part] is None):
+            end += 1
+        here = there = piece[part:end]
+        if held[part] is not None and not here.isascii():
+            try:
+                there = b"".join(held[part:end]).decode(right)
+            except UnicodeDecodeError:
+                pass
+            before, after = piece[max(0, part - 1) : part], piece[end : end + 1]
+            gain = cost(before + here + after) - cost(before + there + after)
+            if gain >= SWAP_MARGIN:
+                gained += gain
+            else:
+                there = here
+        out.append(there)
+        part = end
+    return "".join(out), gained
 
 
 def swap_gains(piece: str, was: float) -> dict[tuple[str, str], float]:
@@ -257,13 +317,18 @@ def _same_way(piece: str, ways: list[str]) -> tuple[str, list[str], float, float
     was = cost(piece)
     for way in ways:
         encoding, _, right = way.partition(">")
-        if right == "utf-8" and (raw := _bytes(piece, encoding)) is not None and not raw.isascii():
+        if right != "utf-8":
+            continue
+        there, raw = piece, _bytes(piece, encoding)
+        if raw is not None and not raw.isascii():
             try:
                 there = raw.decode("utf-8")
             except UnicodeDecodeError:
-                continue
-            if cost(there) < was:
-                return there, [way], was, cost(there)
+                pass
+        if there == piece and encoding in _SINGLE:
+            there = _partly(piece, encoding, proven=True)
+        if cost(there) < was:
+            return there, [way], was, cost(there)
     return piece, [], was, was
 
 
@@ -311,9 +376,9 @@ def repair(text: str) -> tuple[str, bool, int, str, float, float] | None:
     pair = pair if pair and sums[pair] >= SWAP_SUM else None
     out, last, n, ways, before, after, complete = [], 0, 0, {}, 0.0, 0.0, True
     for (start, end, piece), (there, steps, was, now, gains) in zip(pieces, results, strict=True):
-        if not steps and pair and gains.get(pair, 0.0) >= SWAP_ANY:
-            there, steps = swap(piece, *pair)[0], [">".join(pair)]
-            now = was - gains[pair]
+        if not steps and pair and (swapped := swap(piece, *pair))[1] >= SWAP_ANY:
+            there, steps = swapped[0], [">".join(pair)]
+            now = was - swapped[1]
         if steps:
             n += 1
             ways["+".join(steps)] = ways.get("+".join(steps), 0) + 1

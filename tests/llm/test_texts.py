@@ -171,6 +171,14 @@ def test_one_garbled_word_is_enough(garbled, right):
     assert er.repair(garbled)[0] == right
 
 
+@pytest.mark.parametrize("around", ["因为每排有个硬币所以乘以小明今天去学校看书他们都很高兴，我们一起来做这道题目。" * 2, "これは数学のテストです。" * 5, "пустьмельникхранитпуговиц"])
+@pytest.mark.parametrize("word", ["José", "für", "señor"])
+@pytest.mark.parametrize("taken", ["cp1252", "cp437", "cp1251"])
+def test_clean_rest_does_not_outvote_a_garbled_run(around, word, taken):
+    assert er.repair(around + word.encode().decode(taken) + around)[0] == around + word + around
+    assert er.repair(around + word + around) is None
+
+
 def test_lost_characters_are_flagged(spark):
     rows = spark.createDataFrame([(1, "La quantit� d�pend", 0), (2, None, 0), (3, "", 0), (4, "ok", 0), (5, "fÃ¼r " * 50_000, 0), (6, "FÃ¼r", 0)], "doc_id long, text string, complete int")
     got = {r.doc_id: r for r in er.garbled_texts(rows).collect()}
