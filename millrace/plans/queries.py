@@ -382,10 +382,13 @@ def exact_tags(spark, folder):
 
 
 def code_checks(spark, folder):
-    rows = _tagged(spark, folder).select("rollout_id", F.regexp_extract_all("raw_text", F.lit(r"(?s)```python\n(.*?)```"), F.lit(1)).alias("blocks"))
-    code = rows.where(F.size("blocks") > 0).withColumn("first", F.try_element_at("blocks", F.lit(1)))
-    name = F.regexp_extract("first", r"def (\w+\([^)]*\))", 1)
-    return code.select("rollout_id", F.coalesce(spans.unsafe_code(F.col("first")), F.lit("ok")).alias("safety"), spans.python_signature_ok(name, F.slice("blocks", 1, 1)).alias("signature_ok"))
+    """Every block: its safety and, within a node, whether it is the node's one block and defines the node's function once. No table
+    holds wanted parameters, so they are those of the block's first function; a block outside all nodes has no wanted signature."""
+    rows = _tagged(spark, folder).where(F.col("raw_text").contains("```python\n"))
+    code = rows.select("rollout_id", F.explode(spans.code_blocks("raw_text", "nodes")).alias("c")).select("rollout_id", "c.*")
+    wanted = F.concat("node_id", F.regexp_extract("code", r"def \w+(\([^)]*\))", 1))
+    signature = F.when(F.col("node_id").isNotNull(), spans.python_signature_ok(wanted, F.col("node_blocks")))
+    return code.select("rollout_id", "block", "node_id", F.coalesce(spans.unsafe_code(F.col("code")), F.lit("ok")).alias("safety"), signature.alias("signature_ok"))
 
 
 def boxed_answers(spark, folder):

@@ -51,6 +51,23 @@ def test_json_and_tokens(spark):
     assert [r.r for r in got] == [[1, 3], None, None]
 
 
+def test_every_code_block_is_checked(spark, monkeypatch):
+    from millrace.plans import queries
+
+    block = lambda code: f"```python\n{code}\n```\n"
+    raw = [
+        "<a_f1>" + block("def f1(x):\n    return x") + "</a_f1><a_f2>" + block("import os") + "</a_f2><a_f3>" + block("def g(x):\n    return x") + "</a_f3>",
+        "<a_f1>" + block("def f1(x):\n    return x") + block("def f1(x):\n    return x") + "</a_f1>" + block("def h(:"),
+    ]
+    rows = spark.createDataFrame([(i, "p", t) for i, t in enumerate(raw)], "rollout_id int, problem_id string, raw_text string")
+    monkeypatch.setattr(queries, "rollouts", lambda *_: rows)
+    got = {(r.rollout_id, r.block): (r.node_id, r.safety == "ok", r.signature_ok) for r in queries.code_checks(spark, "").collect()}
+    assert got == {
+        (0, 1): ("f1", True, True), (0, 2): ("f2", False, False), (0, 3): ("f3", True, False),
+        (1, 1): ("f1", True, False), (1, 2): ("f1", True, False), (1, 3): (None, False, None),
+    }
+
+
 G = "graph_id int, nodes array<struct<id:string,question:string,signature:string,expected_output_type:string>>, edges array<struct<source:string,target:string,relation_type:string>>"
 
 
