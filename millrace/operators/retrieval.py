@@ -17,7 +17,7 @@ from millrace.runtime import spread
 BLOCK = 4096
 
 
-def top_k(scored: DataFrame, query: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
+def top_k(scored: DataFrame, query: str | list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of every query. Spark limits the window's rows per task before the shuffle (WindowGroupLimit)."""
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col(name) <= k)
 
@@ -51,6 +51,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _part_scores(part: pd.DataFrame, count: int, postings: dict[str, np.ndarray], sizes: np.ndarray, rule, weights) -> tuple[np.ndarray, np.ndarray]:
+    """Common tokens and scores of a part of the items (rows) for all queries of a block (columns)."""
+    common = np.zeros((len(part), count), dtype=np.int32)
+    scores = np.zeros((len(part), count))
+    for i, tokens in enumerate(part["tokens"]):
+        sums = np.zeros(count)
+        for token in tokens:
+            if (places := postings.get(token)) is not None:
+                common[i, places] += 1
+                if weights is not None:
+                    sums[places] += weights[token]
+        scores[i] = rule(common[i], sums, sizes, len(tokens))
+    return common, scores
+
+
 def _postings(block: list) -> dict[str, np.ndarray]:
     """Token to the places of the block's queries that hold it."""
     lists: dict[str, list[int]] = {}
@@ -76,16 +91,7 @@ def _scan(items: DataFrame, block: list, score, keep_zeros: bool, k: int, kinds:
             ordered = batch.sort_values("ordinal", kind="stable")
             for start in range(0, len(ordered), step):
                 part = ordered.iloc[start : start + step]
-                common = np.zeros((len(part), len(ids)), dtype=np.int32)
-                scores = np.zeros((len(part), len(ids)))
-                for i, tokens in enumerate(part["tokens"]):
-                    sums = np.zeros(len(ids))
-                    for token in tokens:
-                        if (places := postings.get(token)) is not None:
-                            common[i, places] += 1
-                            if weights is not None:
-                                sums[places] += weights[token]
-                    scores[i] = rule(common[i], sums, sizes, len(tokens))
+                common, scores = _part_scores(part, len(ids), postings, sizes, rule, weights)
                 best = np.argsort(-np.round(scores, 12), axis=0, kind="stable")[:k]
                 chosen = np.take_along_axis(scores, best, 0).ravel()
                 counts = np.take_along_axis(common, best, 0).ravel()
@@ -127,6 +133,55 @@ def jaccard_top_k(queries: DataFrame, items: DataFrame, k: int, weight: float =
     return top_k(scored, "query_id", [F.desc("score"), F.asc("ordinal")], k).drop("ordinal")
 
 
+def memory_top_k(queries: DataFrame, items: DataFrame, k: int, keyword_weight: float = 0.5, embedding_weight: float = 0.5, order: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, memory_type, item_id, common, score, rank): the k first items of each store for every query.
+
+    Queries are (query_id, tokens, vector), items (item_id, ordinal, memory_type, tokens, vector). The score is keyword_weight * Jaccard
+    + embedding_weight * cosine, summed before any cut; a null or zero vector adds nothing. Zero scores are kept, ties go by ordinal.
+    Each store is cut to 2k, put in the order of an outside ranker (query_id, memory_type, item_id, position) if given, and cut to k.
+    Blocks of queries are scanned as in jaccard_top_k, in blocks of bounded size.
+    """
+    kinds = _kinds(queries, items)
+    held = items.where("tokens is not null and memory_type is not null").select("item_id", "ordinal", "memory_type", "tokens", "vector")
+    schema = f"query_id {kinds['query_id']}, memory_type string, item_id {kinds['item_id']}, ordinal {kinds['ordinal']}, common bigint, score double"
+    by = ["query_id", "memory_type"]
+
+    def scan(rows: list) -> DataFrame:
+        width = next((len(r[2]) for r in rows if r[2] is not None), 0)
+        asked = _unit(np.array([r[2] if r[2] is not None else np.zeros(width) for r in rows], dtype=np.float64))
+        shared = items.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), _postings(rows), np.array([len(r[1]) for r in rows]), asked))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, postings, sizes, wanted = shared.value
+            step = max(1, CELLS // len(ids))
+            for batch in batches:
+                for store, of_store in batch.groupby("memory_type"):
+                    ordered = of_store.sort_values("ordinal", kind="stable")
+                    for start in range(0, len(ordered), step):
+                        part = ordered.iloc[start : start + step]
+                        common, scores = _part_scores(part, len(ids), postings, sizes, _jaccard, None)
+                        scores *= keyword_weight
+                        if wanted.shape[1]:
+                            vectors = np.array([v if v is not None else np.zeros(wanted.shape[1]) for v in part["vector"]], dtype=np.float64)
+                            scores += embedding_weight * (_unit(vectors) @ wanted.T)
+                        best = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[: 2 * k]
+                        places = best.ravel()
+                        yield pd.DataFrame(
+                            {
+                                "query_id": np.tile(ids, len(best)), "memory_type": store, "item_id": part["item_id"].to_numpy()[places], "ordinal": part["ordinal"].to_numpy()[places],
+                                "common": np.take_along_axis(common, best, 0).ravel(), "score": np.take_along_axis(scores, best, 0).ravel(),
+                            }
+                        )
+
+        return spread(held).mapInPandas(run, schema)
+
+    parts = [scan(b) for b in _query_blocks(queries.where("tokens is not null"), ["query_id", "tokens", "vector"], block)]
+    if not parts:
+        return items.sparkSession.createDataFrame([], f"{schema}, rank int").drop("ordinal")
+    ranked = top_k(_union(parts), by, [F.desc(F.round("score", 9)), F.asc("ordinal")], 2 * k).drop("ordinal")
+    return (ranked if order is None else rerank(ranked, order, by)).where(F.col("rank") <= k)
+
+
 def idf_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query_id, item_id, score, rank): sum over common tokens of ln((N+1)/(df+1)) + 1, by the root of the item's token count.
 
@@ -190,13 +245,14 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1, length)
 
 
-def rerank(ranked: DataFrame, order: DataFrame) -> DataFrame:
-    """Ranked rows (query_id, item_id, rank) in the order an outside ranker gave (query_id, item_id, position).
+def rerank(ranked: DataFrame, order: DataFrame, by: str | list[str] = "query_id") -> DataFrame:
+    """Ranked rows (query_id, item_id, rank) in the order an outside ranker gave (query_id, item_id, position), within `by`.
 
     Ids it made up are dropped, items it left out follow in their old order.
     """
-    joined = ranked.join(order, ["query_id", "item_id"], "left")
-    place = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("position"), "rank")
+    keys = [by] if isinstance(by, str) else by
+    joined = ranked.join(order, [*keys, "item_id"], "left")
+    place = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("position"), "rank")
     return joined.withColumn("rank", F.row_number().over(place)).drop("position")
 
 

@@ -347,9 +347,21 @@ def cosine_top_k(spark, folder):
     return retrieval.cosine_top_k(queries, rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 5).withColumns(_r("score"))
 
 
-def memory_sizes(spark, folder):
+def _store() -> Column:
     kinds = F.create_map(*(F.lit(x) for pair in STORES.items() for x in pair))
-    items = _items(spark, folder).select(F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit("prior")).alias("memory_type"))
+    return F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit("prior")).alias("memory_type")
+
+
+def memory_top_k(spark, folder):
+    """Without an embedding model, as no table holds vectors of these texts: cosine adds nothing."""
+    none = F.lit(None).cast("array<double>").alias("vector")
+    queries = table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), retrieval.item_tokens(F.col("text")).alias("tokens"), none)
+    items = _items(spark, folder).select("item_id", "ordinal", _store(), retrieval.item_tokens(F.col("text")).alias("tokens"), none)
+    return retrieval.memory_top_k(queries, items, 3).withColumns(_r("score"))
+
+
+def memory_sizes(spark, folder):
+    items = _items(spark, folder).select(_store())
     return retrieval.memory_sizes(items, ["theorem", "template", "prior", "failure", "spare"])
 
 
@@ -579,7 +591,7 @@ ALL = (
     frequency_counts, merged_summaries, group_ranges, dedup_first, dedup_first_unicode, dedup_conflicts, unique_pool, last_delivery, leak_exclude, resume_missing, repeated_keys,
     split_overlap, unknown_results, invalid_results, forbidden_keys, stratified_sample, stratified_select, stratified_split, balanced_select, assign_splits, hash_split, seeded_page,
     replay_mix, shards, hard_set, reject_reasons, canonical_omni, normalised_problems, problem_labels, rate_buckets, safe_labels, chat_records, encoded_features, padded_batches,
-    ids_digest, selection_manifest, jaccard_top_k, idf_top_k, cosine_top_k, memory_sizes, memory_update, tagged_spans, first_tags, exact_tags, code_checks, boxed_answers,
+    ids_digest, selection_manifest, jaccard_top_k, idf_top_k, cosine_top_k, memory_top_k, memory_sizes, memory_update, tagged_spans, first_tags, exact_tags, code_checks, boxed_answers,
     answer_matches, dag_check, ancestors, edge_scores, consensus, rewards, span_rewards, group_advantages, span_advantages, token_advantages, efficiency, seeded_uniform,
     node_scores, positional_tests, failure_classes, trajectory_metrics, metadata_fields, token_counts, known_ids, answer_kinds, theorem_names,
 )

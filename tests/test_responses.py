@@ -51,6 +51,24 @@ def test_json_and_tokens(spark):
     assert [r.r for r in got] == [[1, 3], None, None]
 
 
+def test_memory_ranks_each_store_by_the_sum_of_both_scores(spark):
+    t = "tokens array<string>, vector array<double>"
+    queries = spark.createDataFrame([("q", ["a", "b"], [1.0, 0.0]), ("n", ["z"], None)], f"query_id string, {t}")
+    rows = [
+        (1, 1, "theorem", ["a", "b"], [0.0, 1.0]), (2, 2, "theorem", ["c"], [1.0, 0.0]), (3, 3, "theorem", ["a", "c"], [3.0, 4.0]), (4, 4, "theorem", ["a"], [4.0, 3.0]),
+        (5, 5, "failure", ["x"], None), (6, 6, "failure", ["y"], [0.0, 0.0]), (7, 7, "prior", ["b"], [0.0, -1.0]),
+    ]
+    items = spark.createDataFrame(rows, f"item_id int, ordinal int, memory_type string, {t}")
+    best = lambda df, q="q": [(r.memory_type, r.item_id, round(r.score, 6)) for r in df.where(F.col("query_id") == q).orderBy("memory_type", "rank").collect()]
+    for block in (1, 9):
+        assert best(retrieval.memory_top_k(queries, items, 1, block=block)) == [("failure", 5, 0.0), ("prior", 7, 0.25), ("theorem", 4, 0.65)]
+    assert best(retrieval.memory_top_k(queries, items, 4))[3:] == [("theorem", 4, 0.65), ("theorem", 1, 0.5), ("theorem", 2, 0.5), ("theorem", 3, round(0.5 / 3 + 0.3, 6))]
+    order = spark.createDataFrame([("q", "theorem", 1, 0), ("q", "theorem", 3, -1), ("q", "failure", 6, 0)], "query_id string, memory_type string, item_id int, position int")
+    assert best(retrieval.memory_top_k(queries, items, 1, order=order)) == [("failure", 6, 0.0), ("prior", 7, 0.25), ("theorem", 1, 0.5)]
+    assert [i for _, i, _ in best(retrieval.memory_top_k(queries, items, 1), "n")] == [5, 7, 1]
+    assert retrieval.memory_top_k(queries.where("false"), items, 1).count() == 0
+
+
 def test_every_code_block_is_checked(spark, monkeypatch):
     from millrace.plans import queries
 
