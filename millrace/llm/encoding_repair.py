@@ -3,7 +3,8 @@
 A text is cut at blanks; only pieces with non-ASCII characters or entities can be garbled. From such a piece a search runs over
 texts: an edge encodes the text with one encoding and decodes the bytes with another, or unescapes entities; visited texts are
 kept by hash; the frontier is ordered by a character-plausibility cost plus a price per edge. The cheapest text reached wins if
-it is cheaper than the start by a margin; a search looks at up to MOST_STATES texts of a piece. An edge into UTF-8 carries its own proof, since multi-byte sequences rarely are valid
+it is cheaper than the start by a margin; a text whose next step alone costs as much
+as the best found is not followed, as no text costs less than nothing, so the search is exact. An edge into UTF-8 carries its own proof, since multi-byte sequences rarely are valid
 by chance; an edge between two single-byte encodings does not, so its gains count only where the pieces of the whole text agree
 on it with enough gain in sum; it then holds for every piece that gains by it. Where only part of a piece is garbled, each run of it is
 judged with its neighbours alone, so clean characters around it, in any script, have no vote. That needs a single-byte encoding taken; a swap of part of a piece needs agreement of whole pieces of the text.
@@ -50,7 +51,7 @@ SWAPS = tuple(
     for wrong in wrongs
 )
 BY_WRONG = {w: [r for v, r in SWAPS if v == w] for w in dict.fromkeys(v for v, _ in SWAPS)}
-MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY, MOST_STATES = 0.3, 0.15, 0.8, 2.0, 0.1, 80
+MARGIN, STEP, SWAP_MARGIN, SWAP_SUM, SWAP_ANY = 0.3, 0.15, 0.8, 2.0, 0.1
 PIECE = re.compile(r"[^ \t\r\n]+")
 #: Cost a non-ASCII character up to which a text is plausible.
 PLAUSIBLE = 0.5
@@ -242,8 +243,10 @@ def search(piece: str) -> tuple[str, list[str], float, float]:
     start = max(cost(piece), cost(html.unescape(piece))) if "&" in piece else cost(piece)
     best = (start, 0, piece, [])
     frontier, seen = [(start, 0, piece, [])], {piece}
-    while frontier and len(seen) < MOST_STATES:
+    while frontier:
         _, depth, text, steps = heapq.heappop(frontier)
+        if STEP * (len(steps) + 1) >= best[0]:
+            continue
         for step, there in _edges(text):
             if there in seen:
                 continue

@@ -179,6 +179,13 @@ def test_clean_rest_does_not_outvote_a_garbled_run(around, word, taken):
     assert er.repair(around + word + around) is None
 
 
+def test_search_goes_on_to_the_cheapest_text(monkeypatch):
+    start = "ÃÃÃÃ"
+    ways = {start: [("a>utf-8", start + "©" * i) for i in range(1, 101)], start + "©" * 100: [("b>utf-8", "plain")]}
+    monkeypatch.setattr(er, "_edges", lambda text: iter(ways.get(text, [])))
+    assert er.search(start)[:2] == ("plain", ["a>utf-8", "b>utf-8"])
+
+
 def test_lost_characters_are_flagged(spark):
     rows = spark.createDataFrame([(1, "La quantit� d�pend", 0), (2, None, 0), (3, "", 0), (4, "ok", 0), (5, "fÃ¼r " * 50_000, 0), (6, "FÃ¼r", 0)], "doc_id long, text string, complete int")
     got = {r.doc_id: r for r in er.garbled_texts(rows).collect()}
