@@ -72,8 +72,14 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_both(spark, folder), threshold=0.6, size=3)
 
 
+#: Kinds of containers, each a scan of the documents.
+MOST_KINDS = 1000
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    limits = table(spark, folder, "pack_limits").orderBy("container_kind").limit(1000).collect()
+    limits = table(spark, folder, "pack_limits").orderBy("container_kind").limit(MOST_KINDS + 1).collect()
+    if len(limits) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     parts = [
         packing.pack_texts(table(spark, folder, "documents"), limit.capacity).withColumns(
             {"container_kind": F.lit(limit.container_kind), "capacity": F.lit(limit.capacity)}
