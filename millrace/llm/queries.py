@@ -56,7 +56,28 @@ def p3_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_stable_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return stable_sample.stable_sample(table(spark, folder, "problems"), table(spark, folder, "lock_manifest"))
+    return stable_sample.stable_sample(table(spark, folder, "problems"), table(spark, folder, "lock_manifest"))[0]
+
+
+#: Rows that come in more than a day after the event are late.
+PUNCTUAL = "ingested_at <= created_at + interval 1 day"
+
+
+def _late_runs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples of the punctual rows and, with their thresholds kept, of all rows, in which late rows enter batches already drawn."""
+    rows, manifest = table(spark, folder, "problems"), table(spark, folder, "lock_manifest")
+    before, kept = stable_sample.stable_sample(rows.where(PUNCTUAL), manifest)
+    after, levels = stable_sample.stable_sample(rows, manifest, earlier=kept)
+    return before, after, levels
+
+
+def p4_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    before, after, _ = _late_runs(spark, folder)
+    return stable_sample.kept_and_added(before, after)
+
+
+def p4_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    return _late_runs(spark, folder)[2].withColumn("threshold", F.round("threshold", 9))
 
 
 def _both(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,7 +166,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_defects, p2_found, p2_sample, p2_report, p3_found, p3_overlap_report, p4_stable_sample, p5_found, p5_groups,
+            p1_found, p1_defects, p2_found, p2_sample, p2_report, p3_found, p3_overlap_report, p4_stable_sample, p4_late_rows, p4_thresholds, p5_found, p5_groups,
             p6_found, p6_containers, p6_fill_report, p7_found, p7_passages, p7_items, p8_found, p8_restored,
         )
     }

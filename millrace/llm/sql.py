@@ -38,6 +38,42 @@ _SAMPLE = rf"""
     from ranked where rank <= greatest(target, floor_rows) and target > 0),
   sample as (select manifest_id, family, band, key, rank, floor_row from seated where seat <= target)"""
 
+PUNCTUAL = "ingested_at <= created_at + interval 1 day"
+
+
+def _keys(name: str, rows: str) -> str:
+    return rf"""
+  {name} as (
+    select id, case when id like 'medium\_%' escape '\' then 'medium' else 'omni' end as family, min(coalesce(batch_no, 12)) as batch_no
+    from problems where id is not null and {rows} group by id)"""
+
+
+def _levels(name: str, keys: str, earlier: str | None = None) -> str:
+    """Thresholds of the keys; those of an earlier run count beside the new rates."""
+    more = f" union all select plan, stratum, batch, threshold from {earlier}" if earlier else ""
+    return f"""
+  {name} as (
+    select plan, stratum, batch, max(threshold) over (partition by plan, stratum order by batch) as threshold
+    from (
+      select plan, stratum, batch, max(threshold) as threshold
+      from (
+        select m.manifest_id as plan, p.family as stratum, p.batch_no as batch,
+               least(1.0, coalesce(case when p.family = 'medium' then m.medium_target else m.omni_target end, 0)::double * least(p.batch_no, 12) / 12.0::double / p.pool) as threshold
+        from (select family, batch_no, sum(n) over (partition by family order by batch_no) as pool
+              from (select family, batch_no, count(*) as n from {keys} group by family, batch_no)) p cross join lock_manifest m{more})
+      group by plan, stratum, batch))"""
+
+
+def _drawn(name: str, keys: str, levels: str) -> str:
+    return f"""
+  {name} as (
+    select d.manifest_id, d.id, d.family, d.batch_no, min(l.batch) as chosen_at
+    from (select m.manifest_id, k.id, k.family, k.batch_no, ('0x' || substr(sha256(m.selection_seed::varchar || ':' || k.id), 1, 13))::bigint / 4503599627370496.0 as u
+          from {keys} k cross join lock_manifest m) d
+    join {levels} l on d.manifest_id = l.plan and d.family = l.stratum and l.batch >= d.batch_no and l.threshold > d.u
+    group by d.manifest_id, d.id, d.family, d.batch_no)"""
+
+
 SQL = {
     "p2_found": f"""
 with {_POOLS},
@@ -54,26 +90,20 @@ with {_POOLS}, {_SAMPLE},
            coalesce(c.n, 0) as selected, a.target_share
     from asked a left join available v on a.family = v.family and a.band = v.band
     left join chosen c on a.manifest_id = c.manifest_id and a.family = c.family and a.band = c.band)
-select *, greatest(requested - available, 0) as shortfall,
+select *, least(available, requested) as filled, greatest(requested - available, 0) as shortfall,
   coalesce(selected / nullif(sum(selected) over (partition by manifest_id, family), 0)::double, 0) as share from r""",
-    "p4_stable_sample": r"""
-with keys as (
-    select id, case when id like 'medium\_%' escape '\' then 'medium' else 'omni' end as family, min(coalesce(batch_no, 12)) as batch_no
-    from problems where id is not null group by id),
-  pool as (
-    select family, batch_no, sum(n) over (partition by family order by batch_no) as pool
-    from (select family, batch_no, count(*) as n from keys group by family, batch_no)),
-  level as (
-    select m.manifest_id, p.family, p.batch_no,
-           max(least(1.0, (case when p.family = 'medium' then m.medium_target else m.omni_target end)::double * least(p.batch_no, 12) / 12.0::double / p.pool))
-             over (partition by m.manifest_id, p.family order by p.batch_no) as threshold
-    from pool p cross join lock_manifest m),
-  drawn as (
-    select m.manifest_id, k.id, k.family, k.batch_no, ('0x' || substr(sha256(m.selection_seed::varchar || ':' || k.id), 1, 13))::bigint / 4503599627370496.0 as u
-    from keys k cross join lock_manifest m)
-select d.manifest_id, d.id, d.family, d.batch_no, min(l.batch_no) as chosen_at
-from drawn d join level l on d.manifest_id = l.manifest_id and d.family = l.family and l.batch_no >= d.batch_no and l.threshold > d.u
-group by d.manifest_id, d.id, d.family, d.batch_no""",
+    "p4_stable_sample": f"""
+with {_keys("keys", "true")}, {_levels("level", "keys")}, {_drawn("chosen", "keys", "level")}
+select manifest_id, id, family, batch_no, chosen_at from chosen""",
+    "p4_thresholds": f"""
+with {_keys("early", PUNCTUAL)}, {_levels("kept", "early")}, {_keys("keys", "true")}, {_levels("level", "keys", "kept")}
+select plan, stratum, batch, round(threshold, 9) as threshold from level""",
+    "p4_late_rows": f"""
+with {_keys("early", PUNCTUAL)}, {_levels("kept", "early")}, {_keys("keys", "true")}, {_levels("level", "keys", "kept")},
+  {_drawn("was", "early", "kept")}, {_drawn("now", "keys", "level")}
+select manifest_id, family, count(w) filter (n is not null) as kept, count(w) filter (n is null) as lost, count(n) filter (w is null) as added
+from (select manifest_id, id, family, 1 as w from was) full join (select manifest_id, id, family, 1 as n from now) using (manifest_id, id, family)
+group by manifest_id, family""",
     "p6_found": """
 select l.container_kind, d.doc_id from documents d cross join pack_limits l
 where d.text is not null and octet_length(encode(d.text)) + 1 > l.capacity""",

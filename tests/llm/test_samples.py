@@ -3,6 +3,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import proportional, stable_sample
@@ -73,7 +75,7 @@ def test_empty(spark):
 
 
 def draw(spark, rows, plans=((1, 7, 60, 20, "p"), (2, 8, 60, 20, "p"))):
-    return {(r.manifest_id, r.id) for r in stable_sample.stable_sample(spark.createDataFrame(rows, PROBLEMS), spark.createDataFrame(list(plans), MANIFEST)).collect()}
+    return {(r.manifest_id, r.id) for r in stable_sample.stable_sample(spark.createDataFrame(rows, PROBLEMS), spark.createDataFrame(list(plans), MANIFEST))[0].collect()}
 
 
 def test_earlier_choices_stay(spark):
@@ -92,6 +94,37 @@ def test_earlier_choices_stay(spark):
     assert {i for m, i in before if m == 1} != {i for m, i in before if m == 2}
 
 
+def test_late_rows_in_an_old_batch_lose_no_choice(spark):
+    """The caller keeps the thresholds: rows that enter a batch already drawn double its pool and still no chosen id is lost."""
+    manifest = spark.createDataFrame([(1, 7, 60, 20, "p")], MANIFEST)
+    first = [problem(i, "1", key=f"medium_{i}", batch=1) for i in range(10)]
+    late = [problem(100 + i, "1", key=f"medium_late{i}", batch=(1, None, 2)[i % 3]) for i in range(30)]
+    again = [problem(200 + i, "1", key=f"medium_{i}", batch=0) for i in range(5)]
+    before, kept = stable_sample.stable_sample(spark.createDataFrame(first, PROBLEMS), manifest)
+    grown = spark.createDataFrame(first + late + again, PROBLEMS)
+    after, levels = stable_sample.stable_sample(grown, manifest, earlier=kept)
+    chosen, now = ({r.id for r in df.collect()} for df in (before, after))
+    assert chosen and chosen <= now
+    fallen = {r.id for r in stable_sample.stable_sample(grown, manifest)[0].collect() if r.chosen_at == 1}
+    assert not chosen <= fallen  # without the kept thresholds the doubled pool lowers the first one
+    assert kept.where("batch = 1").first().threshold <= levels.where("batch = 1").first().threshold
+    report = stable_sample.kept_and_added(before, after).first()
+    assert (report.kept, report.lost) == (len(chosen), 0)
+    emptied, still = stable_sample.stable_sample(grown.where("false"), manifest, earlier=kept)
+    assert emptied.count() == 0 and still.count() == kept.count()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0.5, 0.25, 0.1, 0.3, 1 / 3, 0.0]), st.integers(0, 6)), min_size=1, max_size=6), st.integers(0, 120))
+def test_seats_from_counts_equal_a_full_order(bands, target):
+    named = [(f"b{i}", n, share, floor) for i, (n, share, floor) in enumerate(bands)]
+    order = sorted((rank > floor, (rank - 0.5) / share if share else float("inf"), band, rank) for band, n, share, floor in named for rank in range(1, n + 1))
+    expected = {band: 0 for band, *_ in named}
+    for _, _, band, _ in order[:target]:
+        expected[band] += 1
+    assert proportional.seats(named, target) == expected
+
+
 def test_thresholds_never_fall(spark):
     keys = spark.createDataFrame([(f"k{i}", "medium", 1 + i % 12) for i in range(600)], "key string, stratum string, batch int")
     goals = spark.createDataFrame([(1, "medium", 50.0)], "plan int, stratum string, target double")
@@ -101,6 +134,6 @@ def test_thresholds_never_fall(spark):
 
 def test_stable_defined_cases(spark):
     assert draw(spark, [problem(1, "1")], plans=()) == set()
-    assert stable_sample.stable_sample(spark.createDataFrame([], PROBLEMS), spark.createDataFrame([(1, 7, 5, 5, "p")], MANIFEST)).count() == 0
+    assert stable_sample.stable_sample(spark.createDataFrame([], PROBLEMS), spark.createDataFrame([(1, 7, 5, 5, "p")], MANIFEST))[0].count() == 0
     rows = [problem(1, None, batch=None), (2, None, None, None, None, None, None), problem(3, "1"), problem(4, "1", key="medium_3", batch=9)]
     assert draw(spark, rows, plans=((1, 7, 1000, 10, "p"),)) == {(1, "medium_1"), (1, "medium_3")}
