@@ -3,6 +3,8 @@
 Plan. Only (doc_id, size) moves. Ids are hashed into shards of about `shard_rows` rows, the number of shards follows a count of
 the rows, so a task never grows with the data; each shard is packed on its own. A shard leaves at most a few loosely filled
 containers at its end: the items of containers filled less than `repack_below` go into a second round with far fewer shards.
+Texts are scanned once, for all kinds of containers: sizes are cut in the checkpoint folder, counted there and then meet every kind;
+the first round is cut as well, as its two halves are read apart.
 
 Within a shard. Texts larger than the capacity C give full containers and one rest; nothing else is split. Items over C/3 are
 taken by size, largest first, and each gets as partner the largest unpaired one that fits, so a container holds at most two.
@@ -10,7 +12,8 @@ The others, largest first, go into the container with the least room that suffic
 
 Sizes. Tokens of the byte-level ByT5 tokenizer: one per UTF-8 byte and one end token. Null texts have no size and are left out;
 an empty text is one token. Ties are broken by doc_id, so reruns and other partitionings give the same containers.
-Rows with the same doc_id are items of their own only if `doc_id` is unique; duplicates are packed as often as they occur.
+Rows with the same doc_id are items of their own only if `doc_id` is unique; duplicates are packed as often as they occur. A kind
+without a positive capacity is an error when rows are packed; no kinds give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PACKED = "container string, container_size int, doc_id bigint, doc_size bigint, piece int, piece_from bigint, piece_size int"
+from millrace.runtime import cut_lineage
+
+PACKED = "container_kind string, capacity int, container string, container_size int, doc_id bigint, doc_size bigint, piece int, piece_from bigint, piece_size int"
 
 
 def byte_tokens(column: str) -> Column:
@@ -132,7 +137,7 @@ def pack(items: list[tuple[int, int]], capacity: int) -> list[list[int]]:
     return containers
 
 
-def pack_group(shard: str, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def pack_group(kind: str, capacity: int, shard: str, rows: pd.DataFrame) -> pd.DataFrame:
     """Containers of one shard; rows are pieces (doc_id, doc_size, piece, piece_from, piece_size)."""
     rows = rows.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
     containers = pack(list(zip(rows["piece_size"].tolist(), range(len(rows)), strict=True)), capacity)
@@ -142,47 +147,62 @@ def pack_group(shard: str, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
         filled = sum(sizes[i] for i in members)
         for i in members:
             name[i], fill[i] = f"{shard}-{k}", filled
-    return rows.assign(container=name, container_size=fill)[[c.split()[0] for c in PACKED.split(", ")]]
+    return rows.assign(container_kind=kind, capacity=capacity, container=name, container_size=fill)[[c.split()[0] for c in PACKED.split(", ")]]
 
 
-def _pack_shards(pieces: DataFrame, capacity: int, shards: int, label: str) -> DataFrame:
+def _pack_shards(pieces: DataFrame, shards: int, label: str) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pack_group(f"{label}{key[0]}", rows, capacity)
+        kind, capacity, shard = key
+        return pack_group(kind, int(capacity), f"{label}{shard}", rows)
 
     keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return keyed.groupBy("shard").applyInPandas(run, PACKED)
+    return keyed.groupBy("container_kind", "capacity", "shard").applyInPandas(run, PACKED)
 
 
-def pack_texts(
-    documents: DataFrame, capacity: int, text: str = "text", key: str = "doc_id", shard_rows: int = 20_000, repack_below: float = 0.9, size: Column | None = None
+def pack_kinds(
+    documents: DataFrame, limits: DataFrame, text: str = "text", key: str = "doc_id", shard_rows: int = 20_000, repack_below: float = 0.9, size: Column | None = None
 ) -> DataFrame:
-    """Every piece of every non-null text with its container: (container, container_size, doc_id, doc_size, piece, piece_from, piece_size).
+    """Every piece of every non-null text with its container, for every kind of limits (container_kind, capacity).
 
-    Sizes are ByT5 tokens unless `size` gives others (see vocabulary_tokens); an item of size 0 needs no container. A text of at
-    most the capacity is one piece 0. Eager only in one count of the rows, which sets the number of shards.
+    Columns: container_kind, capacity, container, container_size, doc_id, doc_size, piece, piece_from, piece_size; a container is
+    named within its kind. Sizes are ByT5 tokens unless `size` gives others (see vocabulary_tokens); an item of size 0 needs no
+    container. A text of at most the capacity is one piece 0. Eager in the sizes and the first round.
     """
-    sized = documents.select(F.col(key).alias("doc_id"), (byte_tokens(text) if size is None else size.cast("bigint")).alias("doc_size")).where("doc_size > 0")
+    sized = cut_lineage(documents.select(F.col(key).alias("doc_id"), (byte_tokens(text) if size is None else size.cast("bigint")).alias("doc_size")).where("doc_size > 0"))
     shards = max(1, math.ceil(sized.count() / shard_rows))
-    pieces = sized.select(
-        "doc_id", "doc_size", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("doc_size") - 1, F.lit(capacity).cast("bigint"))).alias("piece", "piece_from")
-    ).withColumn("piece_size", F.least(F.lit(capacity).cast("bigint"), F.col("doc_size") - F.col("piece_from")).cast("int"))
-    full = pieces.where(F.col("piece_size") == capacity).select(
-        F.concat(F.lit("full-"), "doc_id", F.lit("-"), "piece").alias("container"), F.col("piece_size").alias("container_size"), "doc_id", "doc_size", "piece", "piece_from", "piece_size"
-    )
-    first = _pack_shards(pieces.where(F.col("piece_size") < capacity), capacity, shards, "a")
+    room = F.coalesce(F.when(F.col("capacity") > 0, F.col("capacity").cast("int")), F.raise_error(F.lit("a kind of container needs a positive capacity")).cast("int"))
+    kinds = limits.agg(F.collect_list(F.struct("container_kind", room.alias("capacity"))).alias("kinds")).scalar()
+    wanted = sized.select("doc_id", "doc_size", F.inline(kinds))
+    pieces = wanted.select(
+        "container_kind", "capacity", "doc_id", "doc_size",
+        F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("doc_size") - 1, F.col("capacity").cast("bigint"))).alias("piece", "piece_from"),
+    ).withColumn("piece_size", F.least(F.col("capacity").cast("bigint"), F.col("doc_size") - F.col("piece_from")).cast("int"))
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    whole = F.concat(F.lit("full-"), "doc_id", F.lit("-"), "piece")
+    full = pieces.where("piece_size = capacity").withColumns({"container": whole, "container_size": F.col("piece_size")}).select(*names)
+    first = _pack_shards(pieces.where("piece_size < capacity"), shards, "a")
     if shards == 1:
         return full.unionByName(first)
-    loose = F.col("container_size") < int(repack_below * capacity)
-    again = first.where(loose).select("doc_id", "doc_size", "piece", "piece_from", "piece_size")
-    return full.unionByName(first.where(~loose)).unionByName(_pack_shards(again, capacity, max(1, math.ceil(shards / 50)), "b"))
+    first = cut_lineage(first)
+    loose = F.col("container_size") < F.floor(F.col("capacity") * repack_below)
+    again = first.where(loose).drop("container", "container_size")
+    return full.unionByName(first.where(~loose)).unionByName(_pack_shards(again, max(1, math.ceil(shards / 50)), "b"))
+
+
+def pack_texts(documents: DataFrame, capacity: int, **more) -> DataFrame:
+    """pack_kinds for one capacity, without the columns of the kind."""
+    limits = documents.sparkSession.createDataFrame([("one", capacity)], "container_kind string, capacity int")
+    return pack_kinds(documents, limits, **more).drop("container_kind", "capacity")
 
 
-def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, the least possible number of containers, and the share of unused room."""
-    total = packed.groupBy("container").agg(F.sum("piece_size").alias("held"))
-    return total.agg(F.count("*").alias("containers"), F.sum("held").alias("tokens")).select(
+def fill_report(packed: DataFrame) -> DataFrame:
+    """Per kind of container: containers, tokens, the least possible number of containers, and the share of unused room."""
+    held = packed.groupBy("container_kind", "capacity", "container").agg(F.sum("piece_size").alias("held"))
+    total = held.groupBy("container_kind", "capacity").agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"))
+    return total.select(
+        "container_kind",
         "containers",
         "tokens",
-        F.ceil(F.col("tokens") / capacity).alias("least_containers"),
-        (1 - F.try_divide(F.col("tokens"), F.col("containers") * F.lit(capacity))).alias("unused_share"),
+        F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"),
+        (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused_share"),
     )

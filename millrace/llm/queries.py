@@ -93,24 +93,8 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_both(spark, folder), threshold=0.6, size=3)
 
 
-#: Kinds of containers, each a scan of the documents.
-MOST_KINDS = 1000
-
-
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    limits = table(spark, folder, "pack_limits").orderBy("container_kind").limit(MOST_KINDS + 1).collect()
-    if len(limits) > MOST_KINDS:
-        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
-    parts = [
-        packing.pack_texts(table(spark, folder, "documents"), limit.capacity).withColumns(
-            {"container_kind": F.lit(limit.container_kind), "capacity": F.lit(limit.capacity)}
-        )
-        for limit in limits
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return packing.pack_kinds(table(spark, folder, "documents"), table(spark, folder, "pack_limits"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,19 +106,7 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_fill_report(spark: SparkSession, folder: str) -> DataFrame:
-    packed = _packed(spark, folder)
-    held = packed.groupBy("container_kind", "capacity", "container").agg(F.sum("piece_size").alias("held"))
-    return (
-        held.groupBy("container_kind", "capacity")
-        .agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"))
-        .select(
-            "container_kind",
-            "containers",
-            "tokens",
-            F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"),
-            F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("unused_share"),
-        )
-    )
+    return packing.fill_report(_packed(spark, folder)).withColumn("unused_share", F.round("unused_share", 6))
 
 
 def _passages(spark: SparkSession, folder: str) -> DataFrame:

@@ -32,9 +32,3 @@ def test_schema_and_rows(spark, name):
     rows = df.collect()
     if name.endswith("_found"):
         assert len(rows) == len(set(rows))
-
-
-def test_too_many_kinds_of_containers_raise(spark, monkeypatch):
-    monkeypatch.setattr(queries, "MOST_KINDS", 1, raising=False)
-    with pytest.raises(ValueError, match="kinds of containers"):
-        queries.p6_containers(spark, FOLDER)

@@ -61,13 +61,35 @@ def test_packing_does_not_depend_on_partitioning(spark):
     docs = spark.createDataFrame([(i, "z" * (i % 37)) for i in range(300)], "doc_id long, text string")
     one, other = packing.pack_texts(docs, 64, shard_rows=50).collect(), packing.pack_texts(docs.repartition(9), 64, shard_rows=50).collect()
     assert sorted(one) == sorted(other)
-    report = packing.fill_report(packing.pack_texts(docs, 64), 64).first()
-    assert report.containers <= 1.1 * report.least_containers + 1
+
+
+LIMITS = "container_kind string, capacity int, text string"
+
+
+def test_fill_of_every_kind(spark):
+    docs = spark.createDataFrame([(i, "z" * (i % 37)) for i in range(300)], "doc_id long, text string")
+    kinds = spark.createDataFrame([(f"k{c}", c, "") for c in (40, 64, 100)], LIMITS)
+    for shard_rows in (50, 1000):
+        rows = packing.fill_report(packing.pack_kinds(docs, kinds, shard_rows=shard_rows)).collect()
+        assert {r.container_kind for r in rows} == {"k40", "k64", "k100"}
+        assert all(r.containers <= 1.1 * r.least_containers + 1 and r.tokens == 300 + sum(i % 37 for i in range(300)) for r in rows)
+
+
+def test_more_than_a_thousand_kinds(spark):
+    docs = spark.createDataFrame([(1, "abc"), (2, "x" * 2000)], "doc_id long, text string")
+    kinds = spark.createDataFrame([(f"k{c}", 1000 + c, "") for c in range(1001)], LIMITS)
+    rows = packing.pack_kinds(docs, kinds).where("piece = 1").collect()
+    assert len({r.container_kind for r in rows}) == 1001
 
 
 def test_packing_empty(spark):
     assert packed(spark, [(1, None)], 8) == []
-    assert packing.fill_report(packing.pack_texts(spark.createDataFrame([], DOCS), 8), 8).first().containers == 0
+    kinds = spark.createDataFrame([("k", 8, "")], LIMITS)
+    assert packing.fill_report(packing.pack_kinds(spark.createDataFrame([], DOCS), kinds)).count() == 0
+    docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
+    assert packing.pack_kinds(docs, kinds.where("false")).count() == 0
+    with pytest.raises(Exception, match="positive capacity"):
+        packing.pack_kinds(docs, spark.createDataFrame([("k", 0, "")], LIMITS)).collect()
 
 
 ITEM = "item_id string, text string, gold_answer string, windows int"
