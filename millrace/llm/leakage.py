@@ -2,7 +2,8 @@
 
 Patterns. Every window of `window` consecutive words of a question, and the answer as a whole, are keys of one Aho-Corasick
 automaton whose letters are word numbers (words as in millrace.functions.words). A document is normalised, split into words
-and scanned once; hits are merged per item into passages and mapped back to offsets of the original text.
+and scanned once; hits of an item that overlap or touch form one run, and every run is a passage with its offsets in the original
+text, so two far-apart hits never make one passage over unrelated text.
 
 Size. The items are the stated query set. Their bytes are counted first; beyond `block_bytes` they are cut into blocks of that
 size by a running sum, and each block has its own automaton and its own pass, so no worker holds more than one bounded
@@ -26,7 +27,7 @@ from millrace.functions.words import WORD, normalise, words
 from millrace.runtime import spread
 
 SCHEMA = (
-    "doc_id bigint, item_id string, windows int, matched_words int, item_words int, coverage double, "
+    "doc_id bigint, item_id string, run int, windows int, words int, item_words int, coverage double, "
     "start_char int, end_char int, answer_leaked boolean"
 )
 
@@ -60,7 +61,10 @@ class Matcher:
         return tuple(get(w, 0) for w in words(text))
 
     def scan(self, text: str, near: int) -> list[tuple]:
-        """(item, windows, matched words, item words, first word, last word, answer follows) of every item with a window in the text."""
+        """(item, run, windows, words of the run, item words, coverage, first word, last word, answer follows), one a run of hits.
+
+        Coverage is the share of the item's words inside any hit of the text, the same for all its runs.
+        """
         sequence = self._numbers(text)
         if self.empty or len(sequence) < self.window:
             return []
@@ -75,9 +79,15 @@ class Matcher:
         for at, hits in asked.items():
             item, size, _ = self.items[at]
             covered = {k + j for _, k in hits for j in range(self.window)}
-            first, last = min(h for h, _ in hits), max(h for h, _ in hits) + self.window - 1
-            follows = any(last < s <= last + near for s in told.get(at, ()))
-            found.append((item, len(hits), len(covered), size, first, last, follows))
+            runs: list[list[int]] = []
+            for start in sorted({h for h, _ in hits}):
+                if runs and start <= runs[-1][1] + 1:
+                    runs[-1][1], runs[-1][2] = start + self.window - 1, runs[-1][2] + 1
+                else:
+                    runs.append([start, start + self.window - 1, 1])
+            for run, (first, last, n) in enumerate(runs, 1):
+                follows = any(last < s <= last + near for s in told.get(at, ()))
+                found.append((item, run, n, last - first + 1, size, len(covered) / size, first, last, follows))
         return found
 
 
@@ -85,7 +95,8 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
     """Start and end in the original text of every word of the normalised text.
 
     Normalisation is done piece by piece, a piece being a character with its combining marks; where the pieces do not add up to
-    the whole normalised text, pieces between blanks are taken.
+    the whole normalised text (final sigma, Jamo), pieces between blanks are taken. Empty where those do not add up either:
+    offsets are never guessed.
     """
     whole = normalise(text)
     for pieces in (re.finditer(r".[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]*", text, re.S), re.finditer(r"\s+|\S+", text)):
@@ -98,7 +109,7 @@ def word_offsets(text: str) -> list[tuple[int, int]]:
         if "".join(made) == whole:
             break
     else:
-        origin = [(round(i * len(text) / max(1, len(whole))), round((i + 1) * len(text) / max(1, len(whole)))) for i in range(len(whole))]
+        return []
     return [(origin[m.start()][0], origin[m.end() - 1][1]) for m in WORD.finditer(whole)]
 
 
@@ -141,11 +152,11 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
 
 
 def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 12, near: int = 60, block_bytes: int = 4 << 20) -> DataFrame:
-    """One row per document (doc_id, text) and item (item_id, text, gold_answer) with at least one common window.
+    """One row per document (doc_id, text), item (item_id, text, gold_answer) and run of common windows, runs counted from 1.
 
-    windows counts the hits, matched_words and coverage the words of the item inside them; start_char and end_char delimit
-    the first to the last hit in the original text; answer_leaked tells whether the item's answer begins within `near` words
-    after that.
+    windows counts the hits of the run, words its length; coverage is the share of the item's words inside hits anywhere in the
+    document; start_char and end_char delimit the run in the original text (null where normalisation hides the offsets);
+    answer_leaked tells whether the item's answer begins within `near` words after the run.
     """
     spark = documents.sparkSession
     texts = spread(documents.select("doc_id", "text").where("text is not null"))
@@ -160,10 +171,12 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 12, ne
                 for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                     if hits := matcher.scan(text, near):
                         offsets = word_offsets(text)
-                        for item, n, matched, size, first, last, follows in hits:
-                            rows.append((doc, item, n, matched, size, matched / size, offsets[first][0], offsets[last][1], follows))
+                        for *found, first, last, follows in hits:
+                            start, end = (offsets[first][0], offsets[last][1]) if offsets else (None, None)
+                            rows.append((doc, *found, start, end, follows))
                 if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    made = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    yield made.astype({"start_char": "Int32", "end_char": "Int32"})
 
         passes.append(texts.mapInPandas(scan, SCHEMA))
     if not passes:
@@ -175,9 +188,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 12, ne
 
 
 def leaked_items(passages: DataFrame) -> DataFrame:
-    """Per item: documents that hold part of it, the largest coverage, and in how many its answer follows."""
+    """Per item: documents that hold part of it, passages in them, the largest coverage, and passages that its answer follows."""
     return passages.groupBy("item_id").agg(
-        F.count("*").alias("documents"),
+        F.count_if(F.col("run") == 1).alias("documents"),
+        F.count("*").alias("passages"),
         F.max("coverage").alias("max_coverage"),
         F.count_if("answer_leaked").alias("with_answer"),
     )

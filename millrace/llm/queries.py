@@ -114,7 +114,7 @@ def _passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _passages(spark, folder).select("doc_id", "item_id")
+    return _passages(spark, folder).where("run = 1").select("doc_id", "item_id")
 
 
 def p7_passages(spark: SparkSession, folder: str) -> DataFrame:
