@@ -69,10 +69,10 @@ def stable_sample(
     targets, keys = plan_targets(manifest), stratum_keys(records, planned_batches)
     levels = thresholds(keys, targets, planned_batches, earlier)
     steps = levels.groupBy("plan", "stratum").agg(F.sort_array(F.collect_list(F.struct("batch", "threshold"))).alias("steps"))
-    drawn = keys.join(targets.select("plan", "seed", "stratum").join(steps, ["plan", "stratum"]), "stratum")
-    drawn = drawn.withColumn("u", uniform(F.col("key"), F.col("seed")))
+    drawn = keys.join(targets.select("plan", "seed", "stratum"), "stratum").withColumn("u", uniform(F.col("key"), F.col("seed"))).drop("seed")
     sample = (
-        drawn.withColumn("chosen_at", F.try_element_at(F.expr("filter(steps, s -> s.batch >= batch and s.threshold > u)"), F.lit(1))["batch"])
+        drawn.join(steps, ["plan", "stratum"])  # after the hash, which is then made once a key and plan and not once a step
+        .withColumn("chosen_at", F.try_element_at(F.expr("filter(steps, s -> s.batch >= batch and s.threshold > u)"), F.lit(1))["batch"])
         .where("chosen_at is not null")
         .select(F.col("plan").alias("manifest_id"), F.col("key").alias("id"), F.col("stratum").alias("family"), F.col("batch").alias("batch_no"), "chosen_at")
     )
