@@ -3,12 +3,15 @@
 Fingerprints. Word 5-grams are hashed by a rolling hash, and of every 4 consecutive ones the smallest (rightmost if equal) is
 kept, so any 8 common consecutive words give a common fingerprint. Let u be the number of different word 3-grams in either of
 two texts without repeated word pairs, and t their least similarity. At most (1-t)u 3-grams are not shared and a break between
-two shared runs costs at least 3 of them, so there are at most (1-t)u/3 + 1 runs over at least tu shared 3-grams. At t = 0.75
-that leaves a run of 8 words from u = 15 on, and in sum at least (u/3 - 5)/4 common fingerprints. Texts of at most 16 words also
-give all their 3-grams, in a namespace of their own, which covers the pairs below that. Candidates with fewer common
+two shared runs costs at least 3 of them, so there are at most (1-t)u/3 + 1 runs over at least tu shared 3-grams. With
+g = t - 5(1-t)/3 that leaves a run of 8 words where u > 5/g, and in sum at least (gu - 5)/4 common fingerprints. Texts of at most
+5/g + 2 words (17 at t = 0.75; every text where g <= 0) also give all their 3-grams, in a namespace of their own, which covers
+the pairs below that. So no pair of texts without a repeated word pair is missed at any threshold. Candidates with fewer common
 fingerprints than the bound, or with sizes too far apart, cannot reach the threshold and are left out before alignment; where a
 text repeats a word pair the bound does not hold and one common fingerprint is enough.
 
+Batches. Sequences, fingerprints and 3-gram counts of all texts of a batch are made together in a few numpy passes.
+
 Copies. Rows of one split side with the same word sequence form one class and are fingerprinted once; a class that holds a third
 of the rows is one text. A repeated fingerprint of a text keeps its first position. Seeds of a pair are bounded by its shorter
 text. Null, blank and too short texts (under 3 words) have no 3-gram and never overlap.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from millrace.functions.words import WordHashes, flat_word_hashes, gram_hashes, mix
 from millrace.runtime import cut_lineage, spread
 
-GRAM, WINDOW, SHORT, SHINGLE = 5, 4, 16, 3
+GRAM, WINDOW, SHINGLE = 5, 4, 3
 SHORT_SALT = np.uint64(0x5851F42D4C957F2D)
 PRINTS = "print bigint, record bigint, place int, n int, repeats boolean"
 OVERLAP = "a bigint, b bigint, similarity double, coverage_a double, coverage_b double, seeds int, chained int"
@@ -39,27 +43,61 @@ def split_name(column: str = "split") -> Column:
     return F.coalesce(F.lower(F.regexp_replace(column, r"^\s+|\s+$", "")), F.lit("train"))
 
 
-def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and their first word positions of one text given as word hashes."""
-    grams = gram_hashes(words, GRAM)
-    if len(grams):
-        width = min(WINDOW, len(grams))
-        windows = np.lib.stride_tricks.sliding_window_view(grams, width)
-        at = np.unique(np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1))
-        prints, places = grams[at], at
-    else:
-        prints, places = grams, np.zeros(0, dtype=np.int64)
-    if len(words) <= SHORT:
-        small = mix(gram_hashes(words, SHINGLE) ^ SHORT_SALT)
-        prints, places = np.concatenate([prints, small]), np.concatenate([places, np.arange(len(small))])
-    prints, first = np.unique(prints, return_index=True)
-    return prints, places[first]
-
-
-def measure(sequence: np.ndarray) -> tuple[int, bool]:
-    """Number of different 3-grams, and whether a word pair occurs twice."""
-    pairs = gram_hashes(sequence, 2)
-    return len(np.unique(gram_hashes(sequence, SHINGLE))), len(np.unique(pairs)) < len(pairs)
+def short_text(threshold: float) -> int:
+    """Words up to which a text gives all its 3-grams; every text where no run of 8 common words is certain."""
+    gain = threshold - 5 * (1 - threshold) / 3
+    return math.floor(5 / gain + 1e-9) + 2 if gain > 1e-9 else np.iinfo(np.int64).max
+
+
+def _owned_grams(flat: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, text, place) of every gram of `size` words that lies within one text."""
+    owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    grams = gram_hashes(flat, size)
+    first, last = owner[: len(grams)], owner[size - 1 :] if len(grams) else owner[:0]
+    at = np.nonzero(first == last)[0]
+    return grams[at], owner[at], at - ends[owner[at]]
+
+
+def _different(values: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """Number of different values of each text."""
+    order = np.lexsort((values, owner))
+    v, o = values[order], owner[order]
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[new], minlength=texts)
+
+
+def winnow(flat: np.ndarray, ends: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, text, place) of texts given as word hashes one after another; a fingerprint counts once a text, where it is first."""
+    grams, owner, place = _owned_grams(flat, ends, GRAM)
+    held = np.bincount(owner, minlength=len(ends) - 1)
+    start = np.cumsum(held) - held
+    rank = np.arange(len(grams)) - start[owner]
+    windows = np.nonzero(rank <= np.maximum(held[owner] - WINDOW, 0))[0]
+    last = start[owner[windows]] + held[owner[windows]] - 1
+    best = windows.copy()
+    for k in range(1, WINDOW):
+        there = np.minimum(windows + k, last)
+        best = np.where(grams[there] <= grams[best], there, best)
+    best = np.unique(best)
+    prints, texts, places = grams[best], owner[best], place[best]
+    small, whose, at = _owned_grams(flat, ends, SHINGLE)
+    mine = np.diff(ends)[whose] <= short
+    prints = np.concatenate([prints, mix(small[mine] ^ SHORT_SALT)])
+    texts, places = np.concatenate([texts, whose[mine]]), np.concatenate([places, at[mine]])
+    order = np.lexsort((places, prints, texts))
+    prints, texts, places = prints[order], texts[order], places[order]
+    new = np.ones(len(prints), dtype=bool)
+    new[1:] = (prints[1:] != prints[:-1]) | (texts[1:] != texts[:-1])
+    return prints[new], texts[new], places[new]
+
+
+def measure(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the number of different 3-grams and whether a word pair occurs twice."""
+    texts = len(ends) - 1
+    pairs, owner, _ = _owned_grams(flat, ends, 2)
+    grams, whose, _ = _owned_grams(flat, ends, SHINGLE)
+    return _different(grams, whose, texts), _different(pairs, owner, texts) < np.bincount(owner, minlength=texts)
 
 
 def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,17 +114,21 @@ def _sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["record", "train", "content", "sequence"])
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(record, sequence) to PRINTS rows: fingerprint, record, place, the text's number of 3-grams and whether it repeats a word pair."""
-    for batch in batches:
-        parts = []
-        for record, sequence in zip(batch["record"], batch["sequence"], strict=True):
-            text = np.asarray(sequence, dtype=np.int64).view(np.uint64)
-            p, at = winnow(text)
-            n, repeats = measure(text)
-            parts.append((p.view(np.int64), np.full(len(p), record), at.astype(np.int32), np.full(len(p), n, dtype=np.int32), np.full(len(p), repeats)))
-        if parts:
-            yield pd.DataFrame(dict(zip(("print", "record", "place", "n", "repeats"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+def _fingerprints(short: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(record, sequence) to PRINTS rows: fingerprint, record, place, the text's number of 3-grams and whether it repeats a word pair."""
+        for batch in batches:
+            if batch.empty:
+                continue
+            sequences = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in batch["sequence"]]
+            flat, ends = np.concatenate(sequences), np.cumsum([0, *map(len, sequences)])
+            prints, text, place = winnow(flat, ends, short)
+            n, repeats = measure(flat, ends)
+            yield pd.DataFrame(
+                {"print": prints.view(np.int64), "record": batch["record"].to_numpy()[text], "place": place.astype(np.int32), "n": n[text].astype(np.int32), "repeats": repeats[text]}
+            )
+
+    return run
 
 
 def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -150,10 +192,10 @@ def _align(threshold: float):
 def split_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(record, split, text) to members (record, train, class) and classes (record, train, sequence).
 
-    The classes are cut in the checkpoint folder: four later passes read them.
+    Sequences and classes are cut in the checkpoint folder: texts are split into words once, and four later passes read the classes.
     """
     texts = spread(records.select("record", (split_name() == "train").alias("train"), "text").where("text is not null"))
-    made = texts.mapInPandas(_sequences, "record bigint, train boolean, content string, sequence array<bigint>")
+    made = cut_lineage(texts.mapInPandas(_sequences, "record bigint, train boolean, content string, sequence array<bigint>"))
     classes = cut_lineage(made.groupBy("content", "train").agg(F.min("record").alias("record"), F.first("sequence").alias("sequence")))
     members = made.select("record", "train", "content").join(
         classes.select("content", "train", F.col("record").alias("class")), ["content", "train"]
@@ -166,7 +208,7 @@ def class_overlaps(classes: DataFrame, threshold: float) -> DataFrame:
     prints, texts = {}, {}
     for side, name, at in ((True, "a", "x"), (False, "b", "y")):
         own = classes.where(F.col("train") == side).select("record", "sequence")
-        made = own.mapInPandas(_fingerprints, PRINTS)
+        made = own.mapInPandas(_fingerprints(short_text(threshold)), PRINTS)
         prints[name] = made.select("print", F.col("record").alias(name), F.col("place").alias(at), F.col("n").alias(f"n{name}"), F.col("repeats").alias(f"r{name}"))
         texts[name] = own.withColumnRenamed("record", name).withColumnRenamed("sequence", f"s{name}")
     gain = threshold - 5 * (1 - threshold) / 3
@@ -183,6 +225,18 @@ def class_overlaps(classes: DataFrame, threshold: float) -> DataFrame:
     return seeds.join(texts["a"], "a").join(texts["b"], "b").select("a", "b", "xs", "ys", "sa", "sb").mapInPandas(_align(threshold), OVERLAP)
 
 
+def cross_split_classes(records: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """One row per record of (record, split, text) with a 3-gram: (record, train, class_id, links).
+
+    class_id is the smallest record of the same side with the same words, links the number of classes of the other side at or over
+    the threshold; copies are not expanded into pairs.
+    """
+    members, classes = split_classes(records)
+    found = class_overlaps(classes, threshold).select("a", "b")
+    degree = found.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return members.join(degree, "class", "left").select("record", "train", F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def cross_split_pairs(records: DataFrame, threshold: float = 0.75) -> DataFrame:
     """(train_record, other_record, similarity, coverage_train, coverage_other): rows of (record, split, text), copies expanded."""
     members, classes = split_classes(records)
