@@ -11,22 +11,22 @@ import pandas as pd
 from millrace.functions.words import WordHashes, flat_word_hashes, gram_hashes, split_grams
 
 
-def shingle_batches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """(record, text) to (record, content, shingles): the sorted different shingle hashes of the text and a 128-bit key of that set.
+def shingle_batches(batches: Iterator[pd.DataFrame], size: int, counted: bool = False) -> Iterator[pd.DataFrame]:
+    """(record, text) to (record, content, shingles, counts if counted): sorted different shingle hashes and a 128-bit key of them.
 
     Texts without a shingle are left out: their similarity to any text is 0.
     """
     known = WordHashes()
     for batch in batches:
         flat, ends = flat_word_hashes(batch["text"], known)
-        sets = [np.unique(g).view(np.int64) for g in split_grams(gram_hashes(flat, size), ends, size)]
-        kept = [i for i, s in enumerate(sets) if len(s)]
+        sets = [np.unique(g, return_counts=True) for g in split_grams(gram_hashes(flat, size), ends, size)]
+        kept = [i for i, (s, _) in enumerate(sets) if len(s)]
         if not kept:
             continue
-        yield pd.DataFrame(
-            {
-                "record": batch["record"].to_numpy()[kept],
-                "content": [hashlib.blake2b(sets[i].tobytes(), digest_size=16).hexdigest() for i in kept],
-                "shingles": [sets[i] for i in kept],
-            }
-        )
+        key = lambda i: sets[i][0].tobytes() + (sets[i][1].tobytes() if counted else b"")
+        made = {
+            "record": batch["record"].to_numpy()[kept],
+            "content": [hashlib.blake2b(key(i), digest_size=16).hexdigest() for i in kept],
+            "shingles": [sets[i][0].view(np.int64) for i in kept],
+        }
+        yield pd.DataFrame(made | {"counts": [sets[i][1].astype(np.int32) for i in kept]} if counted else made)

@@ -50,6 +50,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("train_record", "other_record").alias("record_a"), F.greatest("train_record", "other_record").alias("record_b"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return cross_split.cross_split_classes(_split_records(spark, folder), 0.75)
+
+
 def p3_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     report = cross_split.overlap_report(_split_records(spark, folder), 0.75)
     return report.withColumns({c: F.round(c, 6) for c in ("max_coverage", "mean_coverage")})
@@ -89,6 +93,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(_both(spark, folder), threshold=0.6, size=3)
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_links(_both(spark, folder), threshold=0.6, size=3).withColumn("similarity", F.round("similarity", 6))
+
+
+def p5_weighted_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(_both(spark, folder), threshold=0.6, size=3, weights="count")
+
+
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(_both(spark, folder), threshold=0.6, size=3)
 
@@ -138,7 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_defects, p2_found, p2_sample, p2_report, p3_found, p3_overlap_report, p4_stable_sample, p4_late_rows, p4_thresholds, p5_found, p5_groups,
+            p1_found, p1_defects, p2_found, p2_sample, p2_report, p3_found, p3_classes, p3_overlap_report, p4_stable_sample, p4_late_rows, p4_thresholds, p5_found, p5_groups, p5_links, p5_weighted_groups,
             p6_found, p6_containers, p6_fill_report, p7_found, p7_passages, p7_items, p8_found, p8_restored,
         )
     }

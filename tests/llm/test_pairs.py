@@ -74,14 +74,64 @@ def test_bound_holds_for_random_edits():
         a = " ".join(rng.sample(WORDS, rng.randint(5, 120)))
         b = edited(rng, a)
         s = similarity(a, b)
-        if s < 0.75:
+        if s < 0.55:
             continue
         hashes = {w: np.uint64(hash(w) & (2**64 - 1)) for w in (a + " " + b).split()}
-        x, y = (np.array([hashes[w] for w in t.split()], dtype=np.uint64) for t in (a, b))
-        common = len(np.intersect1d(cross_split.winnow(x)[0], cross_split.winnow(y)[0]))
-        (na, ra), (nb, rb) = cross_split.measure(x), cross_split.measure(y)
-        least = 1 if ra or rb else max(1.0, (max(na, nb) / 3 - 5) / 4)
-        assert common >= least - 1e-9, (a, b)
+        both = [np.array([hashes[w] for w in t.split()], dtype=np.uint64) for t in (a, b)]
+        flat, ends = np.concatenate(both), np.cumsum([0, *map(len, both)])
+        for t in (0.55, 0.62, 0.75, 0.9):
+            if s < t:
+                continue
+            prints, text, _ = cross_split.winnow(flat, ends, cross_split.short_text(t))
+            common = len(np.intersect1d(prints[text == 0], prints[text == 1]))
+            n, repeats = cross_split.measure(flat, ends)
+            least = 1 if repeats.any() else max(1.0, ((t - 5 * (1 - t) / 3) * n.max() - 5) / 4)
+            assert common >= least - 1e-9, (a, b, t)
+
+
+def test_batches_equal_texts_one_by_one():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40, n).astype(np.uint64) for n in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 16, 17, 18, 60, 3, 200)]
+    flat, ends = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    prints, owner, place = cross_split.winnow(flat, ends, 17)
+    n, repeats = cross_split.measure(flat, ends)
+    for k, words_ in enumerate(texts):
+        grams = [tuple(words_[i : i + 3]) for i in range(len(words_) - 2)]
+        pairs = [tuple(words_[i : i + 2]) for i in range(len(words_) - 1)]
+        assert n[k] == len(set(grams)) and repeats[k] == (len(set(pairs)) < len(pairs))
+        five = cross_split.gram_hashes(words_, 5)
+        kept = set()
+        for i in range(max(0, len(five) - 3) if len(five) > 4 else min(1, len(five))):
+            window = five[i : i + 4]
+            kept.add(i + max(j for j in range(len(window)) if window[j] == window.min()))
+        expected = {int(five[i]) for i in kept}
+        if len(words_) <= 17:
+            expected |= {int(h) for h in cross_split.mix(cross_split.gram_hashes(words_, 3) ^ cross_split.SHORT_SALT)}
+        assert {int(p) for p in prints[owner == k]} == expected
+        assert len(prints[owner == k]) == len(expected) and (place[owner == k] >= 0).all()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.9])
+def test_other_thresholds_equal_brute_force(spark, threshold):
+    texts = corpus(7, 80)
+    train = [i % 2 == 0 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, "train" if train[i] else "test", t) for i, t in enumerate(texts)], "record long, split string, text string")
+    got = {tuple(sorted((r.train_record, r.other_record))) for r in cross_split.cross_split_pairs(rows, threshold).collect()}
+    assert got == brute(texts, threshold, lambda i, j: train[i] != train[j])
+
+
+def test_a_sentence_that_many_texts_share(spark):
+    """A fingerprint of a third of all rows: its texts meet, and only those alike are pairs."""
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(12))
+    texts = [shared + " " + " ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(150)]
+    texts += [texts[3] + " end", texts[8] + " more words", texts[5]]
+    train = [i < 140 for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, "train" if train[i] else "test", t) for i, t in enumerate(texts)], "record long, split string, text string")
+    expected = brute(texts, 0.75, lambda i, j: train[i] != train[j])
+    assert {tuple(sorted((r.train_record, r.other_record))) for r in cross_split.cross_split_pairs(rows).collect()} == expected
+    classes = {r.record: r.links for r in cross_split.cross_split_classes(rows).collect()}
+    assert {r for r, n in classes.items() if n} == {r for pair in expected for r in pair} and len(classes) == len(texts)
 
 
 def test_alignment():
@@ -134,6 +184,51 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((signature[0] == signature[1]).mean() - expected) < 0.03
 
 
+def exact_probability_jaccard(a, b):
+    """From the definition, over dictionaries of weights."""
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+
+
+def test_probability_jaccard_equals_its_definition():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ({rng.randrange(30): rng.randint(1, 5) for _ in range(rng.randint(0, 20))} for _ in range(2))
+        args = [x for d in (a, b) for x in (np.array(sorted(d), dtype=np.int64), np.array([d[k] for k in sorted(d)], dtype=float))]
+        assert near_duplicates.probability_jaccard(*args) == pytest.approx(exact_probability_jaccard(a, b) if a and b else 0.0)
+
+
+def test_weighted_groups_equal_brute_force(spark):
+    rng = random.Random(9)
+    said = [" ".join(rng.choice(WORDS) for _ in range(8)) for _ in range(12)]
+    texts = [" ".join(rng.choices(said[k : k + 4], k=rng.randint(3, 9))) for k in range(0, 8) for _ in range(12)]
+
+    def weighted(text):
+        w = words(text)
+        out: dict = {}
+        for i in range(len(w) - 2):
+            out[tuple(w[i : i + 3])] = out.get(tuple(w[i : i + 3]), 0) + 1
+        return out
+
+    held = [weighted(t) for t in texts]
+    expected = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if held[i] != held[j] and exact_probability_jaccard(held[i], held[j]) >= 0.6}
+    rows = spark.createDataFrame(list(enumerate(texts)), "record long, text string")
+    links = {(r.class_a, r.class_b) for r in near_duplicates.near_duplicate_links(rows, 0.6, 3, weights="count").collect()}
+    first = {i: min(j for j in range(len(texts)) if held[j] == held[i]) for i in range(len(texts))}
+    wanted = {tuple(sorted((first[i], first[j]))) for i, j in expected}
+    assert links <= wanted and len(wanted - links) <= len(wanted) // 200
+    assert links != {(r.class_a, r.class_b) for r in near_duplicates.near_duplicate_links(rows, 0.6, 3).collect()}
+
+
+def test_a_band_that_many_texts_share(spark):
+    """Two hundred texts of one template, all alike: every pair is a link and none is lost."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [shared + f" own{i}" for i in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "record long, text string")
+    assert near_duplicates.near_duplicate_links(rows, 0.6, 3).count() == 200 * 199 // 2
+    groups = near_duplicates.near_duplicate_groups(rows, 0.6, 3).collect()
+    assert {(g.group_id, g.links) for g in groups} == {(0, 199)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "record long, split string, source string, text string")
     assert cross_split.cross_split_pairs(none).count() == 0 and cross_split.overlap_report(none).count() == 0
