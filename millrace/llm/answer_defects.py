@@ -1,11 +1,18 @@
 """Broken prompt and response pairs: noisy labelling functions per defect, joined by an expectation-maximisation label model.
 
-Each response gets votes (yes, no, abstain) from several labelling functions for every defect. Votes are packed into one number
-per response; only response ids, times and votes are shuffled or kept, never texts. A label model per defect is fitted by
-expectation-maximisation on the counts of vote patterns (the number of patterns is bounded by the labelling functions, not by
-the rows): the class share and, for either class, how often each function says yes. Functions start from stated
-reliabilities, which also stay as a weak prior. A pair keeps every defect whose posterior exceeds the defect's cutoff; the
-cutoffs are validated on hand-labelled answers in tests/llm.
+Each response gets votes (yes, no, abstain) from several labelling functions for every defect. A function looks at one signal and
+abstains where it has nothing to look at; none depends on the vote of another or on another defect. Signals are general: what is
+visible, denial beside verbs of answering, overlap of words and numbers with the question, balance of brackets, tags and blocks,
+how the last line ends, token limits and end tokens, function words, sentence languages and scripts.
+
+Votes are packed into one number per response; only response ids, times and votes are shuffled or kept, never texts. A label model
+per defect is fitted by expectation-maximisation on the counts of its vote patterns (at most 3^6 = 729 a defect, whatever the rows):
+the class share and, for either class, how often each function says yes. Functions start from stated reliabilities, which also
+stay as a weak prior. A pair keeps every defect whose posterior exceeds the defect's cutoff.
+
+Cutoffs are chosen, not typed in: `validated_cutoffs` takes the fitted models and a labelled split of answers (answer_samples, of a
+bounded and documented size) and sets each defect's cutoff where F1 on the split is best, in the middle of the widest such gap. A
+second split, of other phrasing, other subjects and other languages, is only ever used to check them, in tests/llm.
 
 Defined cases: a null response is empty; null token lists, backends and questions make the functions that need them abstain; a
 response delivered again counts once, by its last delivery; a table without rows gives none; very long texts are read whole;
@@ -16,97 +23,99 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.words import words
-from millrace.llm.languages import language_words, main_language
+from millrace.llm.languages import language_words, main_language, main_script, own_share
 from millrace.runtime import cut_lineage, spread
 
 DEFECTS = ("empty", "refusal", "copied_question", "truncated", "other_language")
 END_TOKEN, TOKEN_LIMITS, KEEPS_END = 7, (256, 512), 0.5
 
-#: (function, defect, starting rate of yes among defective, among proper answers).
+#: (function, defect, starting rate of yes among defective, among proper answers). At most six a defect.
 FUNCTIONS = (
     ("nothing_visible", "empty", 0.80, 0.001),
     ("stands_for_nothing", "empty", 0.20, 0.001),
     ("few_tokens", "empty", 0.90, 0.03),
-    ("declining_words", "refusal", 0.90, 0.002),
-    ("no_working", "refusal", 0.95, 0.06),
-    ("talks_of_itself", "refusal", 0.80, 0.05),
-    ("made_of_question", "copied_question", 0.95, 0.005),
-    ("covers_question", "copied_question", 0.98, 0.05),
-    ("little_else", "copied_question", 0.95, 0.05),
-    ("open_end", "truncated", 0.85, 0.005),
-    ("open_tag", "truncated", 0.60, 0.003),
-    ("open_fence", "truncated", 0.30, 0.003),
+    ("denies_answering", "refusal", 0.95, 0.01),
+    ("no_number", "refusal", 0.90, 0.05),
+    ("polite_address", "refusal", 0.60, 0.08),
+    ("short", "refusal", 0.95, 0.20),
+    ("says_nothing_else", "refusal", 0.85, 0.02),
+    ("made_of_question", "copied_question", 0.95, 0.01),
+    ("covers_question", "copied_question", 0.95, 0.05),
+    ("no_own_sentence", "copied_question", 0.95, 0.03),
+    ("no_new_number", "copied_question", 0.97, 0.05),
+    ("open_end", "truncated", 0.80, 0.01),
+    ("open_tag", "truncated", 0.60, 0.001),
+    ("open_block", "truncated", 0.40, 0.003),
     ("cut_mark", "truncated", 0.15, 0.001),
-    ("no_end_token", "truncated", 0.40, 0.02),
-    ("no_conclusion", "truncated", 0.90, 0.08),
-    ("most_words_differ", "other_language", 0.98, 0.003),
-    ("most_sentences_differ", "other_language", 0.95, 0.005),
-    ("most_letters_differ", "other_language", 0.50, 0.02),
+    ("no_end_token", "truncated", 0.50, 0.02),
+    ("ends_on_link_word", "truncated", 0.40, 0.001),
+    ("most_words_differ", "other_language", 0.97, 0.004),
+    ("most_sentences_differ", "other_language", 0.95, 0.006),
+    ("other_script", "other_language", 0.40, 0.002),
+    ("few_own_words", "other_language", 0.90, 0.02),
 )
-CUTOFFS = {"empty": 0.5, "refusal": 0.5, "copied_question": 0.5, "truncated": 0.5, "other_language": 0.5}
 START_SHARE, PRIOR_SHARE, ROUNDS = 0.03, 0.05, 40
-MOST_BROADCAST = 100_000
+#: Bytes of questions up to which they go to all workers; more join by a salted id.
+MOST_QUESTION_BYTES, SALTS = 64 << 20, 32
 #: Questions a worker remembers; 8,000 take about 60 MB.
 REMEMBERED = 8_000
 NO, YES = 1, 2
+PLACES = {d: [k for k, f in enumerate(FUNCTIONS) if f[1] == d] for d in DEFECTS}
 
 TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9_]*)\s*>")
-OPEN_TAG = re.compile(r"<([A-Za-z][A-Za-z0-9_]*)\s*>")
 CODE = re.compile(r"```[A-Za-z0-9]*\n?(.*?)(?:```|\Z)", re.S)
+STATEMENT = re.compile(r"(?m)^\s*(?:def|class|for|while|if|return|import|from|print|assert|pass)\b|^\s*[\w.\[\]]+\s*[-+*/]?=[^=]|^\s*#")
 COMMENT = re.compile(r"#\s*(.+)")
 COMMAND = re.compile(r"\\[A-Za-z]+")
-SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]*")
+LABEL = re.compile(r"```[A-Za-z0-9]*")
+UNSEEN = re.compile(r"[^\w/ ]+")
+SENTENCES = re.compile(r"(?<=[.!?;。！？])\s+|\n+")
+LIST_MARK = re.compile(r"^\s*(?:\(?\d{1,3}[.):]|[-*•])\s+", re.M)
+HALF_TAG = re.compile(r"</?[A-Za-z_]?[A-Za-z0-9_]*\Z")
+HALF_FENCE = re.compile(r"(?:\A|[^`])`{1,2}\Z")
+CUT_MARK = re.compile(r"(?:\.\.\.|…|[\[(<](?:cut|truncated|snip|continued|\.\.\.|…|max[ _]?(?:tokens|length)|length)[\])>])\s*\Z", re.I)
+#: How a finished last line ends: a full stop, a closed block, tag, box or formula, an end-of-proof sign.
+CLOSED = re.compile(r"(?:[.!?。！？؟∎■□✓]|q\.?\s?e\.?\s?d\.?|```|</[A-Za-z][A-Za-z0-9_]*>|\\boxed\s*\{.+\}|\$\$?|\\[\])])[\"'”’»)\]*_$\s]*\Z", re.I)
+#: A last line that is a value, or ends in one after an equals sign, an arrow or a colon.
+VALUE = re.compile(r"(?:\A|[=≈⇒→:]|=>)\s*[$€£*_(\[]*[-+−]?\d[\d.,/ ]*\s*(?:%|°|\\?[^\W\d_]{1,12}(?:[²³]|\^\d)?)?[)\]*_$.\s]*\Z")
+LIST_START = re.compile(r"\A\s*(?:\d{1,3}[.)]|[-*•])\s*\Z")
+ABBREVIATION = re.compile(r"(?:\A|\s)(?:mr|mrs|dr|st|no|e\.g|i\.e|vs|z\.b|bzw|p\.ex)\.\Z", re.I)
 #: Words that stand for nothing.
 PLACEHOLDERS = frozenset(
     "null none nan na n/a nil empty void undefined blank nothing tbd todo pass placeholder unknown no_answer noanswer noresponse leer nichts keine vide rien vacio vacío nada ninguno vazio пусто нет ничего 空 无 無".split()
 )
-DECLINES = re.compile(
-    r"""\bi(?:'m|\s+am)\s+(?:sorry|afraid\s+(?:that\s+)?(?:is|this|i)|unable\s+to\s+(?:help|assist|answer|provide|produce|solve|respond|offer|give|do\s+(?:this|that)|complete|comply)
-        |not\s+(?:able|willing|going|allowed|permitted|comfortable|prepared|in\s+a\s+position)\s+(?:to\s+|in\s+|with\s+)?(?:help|assist|answer|provid|produc|solv|respond|offer|giv|do\s+(?:this|that)|complet|comply|shar|work)|going\s+to\s+(?:refrain|decline|pass|skip)|declining)
-    |\bi\s*(?:can|could|will|wo|would|do|must|shall)?\s*(?:n['o]t|not)?\s*(?:be\s+)?(?:have\s+to\s+|rather\s+not|choose\s+not|prefer\s+not|declin|refus|refrain|abstain|pass\s+on\s+th)
-    |\bi\s*(?:can\s*not|can't|won't|will\s+not|couldn't)\s+(?:be\s+)?(?:help|assist|answer|provid|produc|solv|respond|offer|giv|complet|comply|shar|do\s+(?:this|that|your)|fulfil|discuss|work\s+(?:on|through)\s+th)
-    |\bi\s+(?:lack|do(?:n't|\s+not)\s+have)\s+(?:the\s+)?(?:permission|authority|authori[sz]ation|ability|clearance)|\b(?:no|nothing)\s+(?:solution|answer|help|response)?\s*(?:will|can|may|i\s+(?:may|can|will))\s+(?:be\s+(?:given|offered|provided|said)|say|offer|give|tell)
-    |\bnothing\s+i\s+(?:may|can|will)\b|\bdo(?:n't|\s+not)\s+(?:think|feel|believe)\s+(?:it\s+would\s+be\s+right|comfortable|right|able)|\banswer\s+can(?:not|'t)\s+be\s+(?:offered|given|provided)
-    |\b(?:request|question|task)\b[^.]{0,40}\b(?:refused|declined|denied|rejected|turned\s+down)|\b(?:refused|declined)\b\s*\.|\boff[\s-]+limits\b|\boutside\s+(?:of\s+)?what\s+i\b|\bbeyond\s+what\s+i\b
-    |\bmy\s+(?:guidelines|policy|policies|rules|instructions|principles)\b|\bagainst\s+(?:my|the|our)\s+(?:policy|policies|rules|guidelines|principles)|\bnot\s+something\s+i\s+(?:can|will|may|am)|\bdoes\s+not\s+take\s+on\b|\bleave\s+(?:it|this)\s+unanswered|\b(?:as\s+an?\s+)?(?:language|ai)\s+(?:model|assistant)\b[^.]{0,30}\b(?:unable|cannot|can't|not\s+able|not\s+allowed)
-    |\bhave\s+to\s+(?:pass|decline|refuse)\b|\bi\s+must\s+(?:decline|refuse)|\bno\s+from\s+my\s+side
-    |\bje\s+(?:suis\s+(?:vraiment\s+)?désolé|regrette|préfère\s+ne\s+pas|refuse|ne\s+(?:peux|suis|souhaite|veux|vais|puis)\b[^.]{0,20}\s*pas)|\bdésolée?\b|\bil\s+m'est\s+impossible\s+de\s+(?:fournir|donner|répondre|traiter|résoudre|vous)|\brequête\s+est\s+refusée|\b(?:je\s+dois|me\s+vois)\s+(?:refuser|décliner)|\bdemande\b[^.]{0,30}\b(?:refusée|rejetée)
-    |\blo\s+siento\b|\blamento\b|\bno\s+(?:puedo|quiero|debo|voy\s+a)\s+(?:\w+\s+)?(?:resolver|responder|contestar|ayudar|dar|ofrecer|proporcionar)|\bprefiero\s+no\b|\bdebo\s+(?:rechazar|declinar|negarme)|\bno\s+me\s+es\s+posible\b|\bsolicitud\b[^.]{0,20}\brechazad|\bme\s+niego\b
-    |\btut\s+mir\s+leid\b|\bich\s+(?:bedauere|bedaure|lehne|weigere|verzichte)|\b(?:kann|darf|möchte|will|werde)\b[^.]{0,40}\b(?:nicht|keine?n?)\b[^.]{0,40}\b(?:helfen|beantworten|lösen|geben|bearbeiten|antworten|liefern|bereitstellen)|\bmuss\s+ich\s+ablehnen|\bablehnen\b|\bich\s+löse\s+das\s+nicht|\bwende\s+dich\s+an\b|\b(?:möchte|werde|kann|darf)\s+ich\s+(?:dazu\s+)?(?:keine|nicht)
-    |\bdesculpe\b|\bsinto\s+muito\b|\bnão\s+(?:posso|vou|quero|devo)\b|\bизвините\b|\bк\s+сожалению,?\s+я\b|\bя\s+не\s+(?:могу|буду|хочу)\b|\bне\s+могу\s+(?:помочь|решить|ответить)|\bвынужден[аы]?\s+отказать|抱歉|对不起|无法(?:回答|提供|帮助|解答)|不能(?:回答|提供|帮助|解答)|拒绝""",
-    re.I | re.X,
+#: Denial, verbs of answering and refusing, and polite words, by language, as stems.
+DENIAL = (
+    r"can\s*not|can['’]t|could\s*n['’]t|won['’]t|will\s+not|would\s+(?:rather\s+)?not|do(?:n['’]t|\s+not)|must\s+not|may\s+not|unable|not\s+(?:able|allowed|permitted|willing|going|comfortable|prepared|something|in\s+a\s+position)"
+    r"|lack|without|beyond|outside|nothing|cannot|prefer\s+not|rather\s+not|choose\s+not|refrain"
+    r"|ne\s+\w+\s+(?:\w+\s+)?pas|ne\s+pas|impossible|no\s+(?:puedo|\w+ré|\w+remos|quiero|debo|voy|deseo|es\s+posible|me\s+es)|prefiero\s+no|nicht|kein\w*|não|non\s+(?:posso|voglio)|niet|nie\s+(?:mogę|moge|będę|chcę)|не"
 )
-ITSELF = re.compile(
-    r"\b(?:i|i'm|i'd|i'll|me|my|mine|myself|assistant|sorry|apologies|apologi[sz]e|kindly|please|thank|thanks|regrettably|afraid|request|teacher|homework|je|moi|désolé|vous|yo|me|mi|siento|ich|mir|dir|dich|bitte|leider|eu|desculpe|я|извините|我|抱歉)\b", re.I
+ANSWERING = (
+    r"help|assist|answer|respon|repl[yi]|provid|giv|offer|shar|solv|complet|attempt|tak\w*\s+(?:this\s+)?on|comput|do\s+(?:this|that|so)|work\s+(?:on|through|this)|discuss|compl[yi]|fulfil|produc|say|tell|hand\s+out|solution|permission|willing"
+    r"|aid|répond|fourn|donn|résou|trait|ayud|respond|contest|dar\b|c[aá]lcul|resolv|resuelv|ofrec|proporcion|hilf|helf|antwort|beantwort|lös|liefer|bearbeit|geben|ajud|resolv|oferec|fornec|rispond|aiut|risolv|beantwoord|help|pomóc|odpowied|rozwiąz|помо|ответ|отвеч|реш"
 )
-CONCLUDES = re.compile(
-    r"\\boxed\s*\{[^}]+\}|\banswer\b\W{0,4}(?:is|=|:)|\bfinal\s+answer\b|\bresult\b\W{0,3}(?:is|equals|:)|\btotal\s+is\b|=>\s*\S|\brequested\s+number\s+is\b|\bwe\s+obtain\b|\bends\s+with\b|\bq\.\s?e\.\s?d\b|∎|\bequals\b"
-    r"|\bréponse\s+est|\brésultat\s+final|\bon\s+obtient\s+ainsi|\brespuesta\s+es|\bresultado\s+(?:es|final)|\basí\s+se\s+obtiene|\bantwort\s+lautet|\bdas\s+ergebnis|\bdamit\s+erhält|\bresposta\s+é|\bo\s+resultado\s+é|\bответ\b|\bитак\b|答案|所以结果|<main>\s*[-\d]",
-    re.I,
+REFUSING = (
+    r"\b(?:is|be|'s)\s+a\s+no\b|\b(?:declin\w*|refus\w*|reject\w*|abstain\w*|refrain\w*|turn(?:ed|ing)?\s+(?:this\s+|it\s+)?down|pass\s+on\s+(?:this|the|that|your|it)|off[\s-]+limits|unanswered|not\s+take\s+on|opt\s+out)\b"
+    r"|\b(?:against|violat\w+|beyond|outside)\s+(?:of\s+)?(?:my|our|the|what\s+i)\b[^.\n]{0,30}(?:polic\w+|rules?|guidelines?|principles?|am|can|may|do)\b|\bmy\s+(?:polic\w+|guidelines|rules|principles|instructions)\b"
+    r"|\bablehn\w*|\blehne\b|\bweigere\b|\bverweiger\w*|\bverzichte\b|\brefus\w+|\bdéclin\w+|\brechaz\w+|\bdeclin\w+|\bniego\b|\bnegarme\b|\brecus\w+|\brifiut\w+|\bweiger\w*|\bodmawiam\b|\bотказ\w+|\bвынужден\w*"
+    r"|抱歉|对不起|無法|无法|不能回答|不能提供|拒绝|できません|お答えでき|お断り|申し訳|죄송|할\s*수\s*없|لا\s+(?:أستطيع|يمكنني|أقدر)|أعتذر|आसमर्थ|नहीं\s+दे\s+सक"
 )
-FINISHED = re.compile(
-    r"(?:[.!?。！？∎]|q\.?e\.?d\.?|```|</[A-Za-z][A-Za-z0-9_]*>)[\"'”’)\]*_\s]*\Z"  # a full stop, a closed tag or block
-    r"|(?:\A|\n|[:=]|\s=>|\s)\s*(?:\$|\\\(|\\\[)?\s*\\boxed\s*\{(?:[^{}]|\{[^{}]*\})+\}[\s$\\)\]]*\Z"
-    r"|(?:=>|\banswer\s*[:=]|\bresult\s*[:=])[^.\n]{1,60}\Z|\A[\s$*]*[-+]?[\d.,/ ]+[\s$*%]*\Z",
-    re.I,
+POLITE = (
+    r"\b(?:sorry|apolog\w+|regret\w*|unfortunately|afraid|kindly|please|thank\w*|désolée?s?|regrette|malheureusement|merci|siento|lamento|disculp\w+|gracias|leid|leider|bedau\w+|bitte|danke|desculp\w+|lamento|obrigad\w+|spiace|purtroppo|grazie|helaas"
+    r"|przepraszam|niestety|извин\w+|сожалению|прост\w+)\b|抱歉|对不起|申し訳|すみません|죄송|عذر|آسف|أعتذر"
 )
-DANGLING = re.compile(r"(?:\.\.\.|…)\s*\Z|(?:^|\n)\s*(?:\d+[.)]|[-*•])\s*\Z|\b(?:mr|mrs|dr|st|no|e\.g|i\.e|vs)\.\Z", re.I)
-CUT_MARK = re.compile(r"(?:\S\s*(?:\.\.\.|…)|[\[(<](?:cut|truncated|snip|continued|\.\.\.|…|max[ _]?(?:tokens|length)|length)[\])>])\s*\Z", re.I)
-STEPS = re.compile(r"\d")
-HALF_TAG = re.compile(r"</?[A-Za-z_]?[A-Za-z0-9_]*\Z")
-HALF_FENCE = re.compile(r"(?:^|[^`])`{1,2}\Z")
-#: Characters at the end that tell how a text ends; conclusions stand there, and patterns bound to the end need no more.
-TAIL = 160
-LABEL = re.compile(r"```[A-Za-z0-9]*")
-UNSEEN = re.compile(r"[^\w/ ]+")
+REFUSES = re.compile(REFUSING, re.I)
+#: A first person who refuses, whatever numbers the sentence has.
+I_REFUSE = re.compile(r"\bI(?:['’]\w+|\s+\w+){0,4}?\s+(?:declin|refus|refrain|abstain|pass\s+on)\w*|\b(?:ich|je|yo|eu|io|ik|я)\s+(?:\w+\s+){0,3}?(?:lehne|weigere|refuse|rechazo|niego|recuso|rifiuto|weiger|отказ)\w*", re.I)
+DENIES = re.compile(rf"\b(?:{DENIAL})\b(?:\W+\w+){{0,9}}?\W+(?:{ANSWERING})|\b(?:{ANSWERING})\w*(?:\W+\w+){{0,4}}?\W+(?:cannot|can['’]t|not|nicht|pas|impossible)\b", re.I)
+POLITENESS = re.compile(POLITE, re.I)
 
 
 def visible(text: str) -> str:
@@ -117,9 +126,13 @@ def visible(text: str) -> str:
 
 
 def prose_of(text: str) -> tuple[str, str]:
-    """Text without code and tags, and the code. Where nothing else is there, comments are the prose."""
-    code = "\n".join(m.group(1) for m in CODE.finditer(text)) if "```" in text else ""
-    prose = TAG.sub(" ", CODE.sub(" ", text) if code or "```" in text else text)
+    """Text without code and tags, and the code. A block without a language that holds no statement is prose; where nothing else is
+    there, comments are."""
+    if "```" not in text:
+        return TAG.sub(" ", text) if "<" in text else text, ""
+    code = "\n".join(m.group(1) for m in CODE.finditer(text) if m.group()[3:4].isalnum() or STATEMENT.search(m.group(1)))
+    keep = lambda m: " " if m.group()[3:4].isalnum() or STATEMENT.search(m.group(1)) else m.group(1)
+    prose = TAG.sub(" ", CODE.sub(keep, text))
     if code and not any(ch.isalnum() for ch in prose):
         prose = "\n".join(COMMENT.findall(code))
     return prose, code
@@ -131,95 +144,142 @@ class Question:
     def __init__(self, text: str | None):
         w = words(text)
         self.grams = set(zip(w, w[1:], w[2:]))
+        self.numbers = {x for x in w if x[0].isdigit()}
         self.language = main_language(text or "")
+        self.script = main_script(text or "")
 
 
-def votes(text: str | None, question: Question, tokens: int | None, last: int | None, limit_reached: bool) -> list[int]:
-    """One vote per labelling function but the token function, which needs the backends' habits."""
-    if text is None:
-        return [YES, 0, 0, NO, 0, NO, NO, NO, 0, NO, 0, 0, 0, 0, 0, 0, 0, 0]
-    seen = visible(text)
+def _empty_votes(seen: str, tokens: int | None) -> list[int]:
     nothing = re.search(r"[^\W_]", seen) is None
-    stands = not nothing and (seen.replace(" ", "").lower() in PLACEHOLDERS or seen.strip().lower() in PLACEHOLDERS)
-    void = nothing or stands
-    out = [YES if nothing else NO, YES if stands else 0 if nothing else NO, 0 if tokens is None else YES if tokens <= 12 else NO if tokens > 40 else 0]
-    if void:
-        return [*out, NO, 0, NO, NO, NO, 0, NO, 0, 0, 0, 0, 0, 0, 0, 0]
-    prose, code = prose_of(text)
-    said = words(prose)
-    worked = bool(code and "return" in code) or len(STEPS.findall(prose)) > 0
-    stripped = text.rstrip()
-    tail = stripped[-TAIL:]
-    half_tag = HALF_TAG.search(tail) is not None
-    finished = bool(FINISHED.search(tail)) and not DANGLING.search(tail) and not half_tag
-    concludes = finished and bool(CONCLUDES.search(tail))
-    bare = len(said) <= 3 and any(w[0].isdigit() for w in said)
-    solves = bare or bool(code and "return" in code) or concludes and STEPS.search(text[-60:]) is not None
-    declines = not solves and bool(DECLINES.search(prose))
+    stands = seen.replace(" ", "").lower() in PLACEHOLDERS or seen.strip().lower() in PLACEHOLDERS
+    return [YES if nothing else NO, 0 if nothing else YES if stands else NO, 0 if tokens is None else YES if tokens <= 12 else NO if tokens > 40 else 0]
+
+
+def _denies(sentence: str) -> bool:
+    """The sentence is a first person's refusal; or it refuses, or denies an act of answering, and states no number."""
+    if any(ch.isdigit() for ch in sentence):
+        return I_REFUSE.search(sentence) is not None
+    return REFUSES.search(sentence) is not None or DENIES.search(sentence) is not None
+
+
+def _refusal_votes(prose: str, code: str, said: list[str]) -> list[int]:
+    if not said:
+        return [0] * 5
+    sentences = [s for s in SENTENCES.split(LIST_MARK.sub("", prose)) if any(ch.isalpha() for ch in s)]
+    denying = [_denies(s) for s in sentences]
+    number = any(w[0].isdigit() for w in words(LIST_MARK.sub(" ", prose))) or "return" in code
+    other = any(not denies and any(ch.isdigit() for ch in s) for s, denies in zip(sentences, denying, strict=True)) or "return" in code
+    return [
+        YES if any(denying) else NO,
+        NO if number else YES,
+        YES if POLITENESS.search(prose) else NO,
+        NO if len(said) > 60 else YES if len(said) <= 30 else 0,
+        YES if any(denying) and not other else NO,
+    ]
+
+
+def _own_sentence(sentence: str, question: Question) -> bool:
+    """At least three words, of whose word triples under a fifth are the question's."""
+    said = words(sentence)
+    grams = list(zip(said, said[1:], said[2:]))
+    return bool(grams) and sum(g in question.grams for g in grams) < 0.2 * len(grams)
+
+
+def _copied_votes(said: list[str], prose: str, code: str, question: Question) -> list[int]:
     grams = set(zip(said, said[1:], said[2:]))
-    similar: list[int]
-    if question.grams and grams:
-        both = len(grams & question.grams)
-        own, whole = both / len(grams), both / len(question.grams)
-        similar = [YES if own >= (0.95 if concludes else 0.75) else NO, YES if whole >= 0.75 else NO, YES if len(grams) - both <= 14 and not code and whole > 0.3 else NO]
-    else:
-        own = whole = 0.0
-        similar = [NO, NO, NO] if question.grams else [0, 0, 0]
-    copied = own >= 0.6
-    out += [
-        YES if declines else NO,
-        NO if solves or copied or not finished else YES if not worked else 0,
-        YES if finished and not solves and not copied and not worked and ITSELF.search(prose) else NO,
-        *similar,
+    if not question.grams or not grams:
+        return [NO] * 4 if question.grams and said else [0] * 4
+    both = len(grams & question.grams)
+    plain = LIST_MARK.sub(" ", prose)
+    new = {w for w in words(plain) if w[0].isdigit()} - question.numbers
+    own = bool(code) or any(_own_sentence(s, question) for s in SENTENCES.split(plain))
+    return [
+        YES if both >= 0.75 * len(grams) else NO,
+        YES if both >= 0.75 * len(question.grams) else NO,
+        NO if own else YES,
+        (NO if new or code else YES) if question.numbers else 0,
     ]
+
+
+def _truncated_votes(text: str, prose: str, said: list[str], tokens: int | None, last: int | None) -> list[int]:
+    stripped = text.rstrip()
+    if not any(ch.isalnum() for ch in text):
+        return [0] * 6
+    line = stripped.rsplit("\n", 1)[-1]
+    half_tag = HALF_TAG.search(line) is not None
+    closed = bool(CLOSED.search(line)) and not CUT_MARK.search(line) and not LIST_START.search(line) and not ABBREVIATION.search(line)
     opened: list[str] = []
-    for m in TAG.finditer(text):
+    for m in TAG.finditer(text) if "<" in text else ():
         if m.group()[1] == "/":
             if opened and opened[-1] == m.group(1):
                 opened.pop()
         else:
             opened.append(m.group(1))
-    bare_code = not said and bool(code)
-    out += [
-        NO if finished or bare or bare_code and stripped.endswith("```") else YES,
+    fences = text.count("```")
+    bare = CODE.sub(" ", text) if fences else text
+    unbalanced = bare.count("{") > bare.count("}") or bare.count("(") > bare.count(")") + len(re.findall(r"(?m)^\s*\w{1,3}\)", bare)) or bare.count("“") > bare.count("”") and "„" not in bare
+    end = WORDS_AT_END.search(line)
+    value = VALUE.search(LIST_MARK.sub("", line)) and not LIST_START.search(line)
+    return [
+        NO if (closed or value) and not half_tag else 0 if not half_tag and len(said) < 3 and "<" not in text else YES,
         YES if opened or half_tag else NO if "<" in text else 0,
-        YES if text.count("```") % 2 or HALF_FENCE.search(tail) else NO if "```" in text else 0,
-        YES if CUT_MARK.search(tail) else 0,
-        (YES if limit_reached or last != END_TOKEN else NO) if tokens else 0,
-        NO if concludes or bare or copied or declines or bare_code and finished else YES,
+        YES if fences % 2 or HALF_FENCE.search(line) or unbalanced else NO,
+        YES if CUT_MARK.search(line) else 0,
+        (YES if tokens in TOKEN_LIMITS or last != END_TOKEN else NO) if tokens else 0,
+        YES if end and not closed and len(said) > 2 and end.group(1).lower() in LINK_WORDS else 0,
     ]
+
+
+WORDS_AT_END = re.compile(r"([^\W\d_]+)\Z")
+#: Articles, prepositions and conjunctions, on which no sentence ends.
+LINK_WORDS = frozenset(
+    "the a an of to and or in is that for as with by at from which so then than into per if because der die das und zu mit von dem den ein eine oder für bei le la les de des du un une et ou à dans pour avec par el los las del en y o con para por que o os as do da dos das em com и в на с по для".split()
+)
+
+
+def _language_votes(prose: str, said: list[str], question: Question) -> list[int]:
+    if question.language is None:
+        return [0] * 4
     counts, sentences = language_words(prose, question.language)
     known = sum(counts.values())
-    if known and question.language:
+    if known > 3:
         other = known - counts.get(question.language, 0)
         theirs = sum(n for lang, n in sentences.items() if lang != question.language)
-        total = sum(sentences.values())
-        out += [YES if 2 * other > known else NO, YES if 2 * theirs > total else NO]
+        out = [YES if 2 * other > known else NO, YES if 2 * theirs > sum(sentences.values()) else NO]
     else:
-        out += [0, 0]
-    script = _script(prose)
-    asked = {"ru": "cyrillic", "zh": "cjk"}.get(question.language, "latin")
-    out.append(YES if question.language and script not in (None, asked) else 0)
-    return out
-
-
-def _script(text: str) -> str | None:
-    """Script of most letters; null without letters."""
-    if text.isascii():
-        return "latin"
-    counts = {"latin": 0, "cyrillic": 0, "cjk": 0}
-    for ch in text:
-        if ch.isalpha():
-            code = ord(ch)
-            counts["cyrillic" if 0x400 <= code < 0x530 else "cjk" if code >= 0x2E80 else "latin"] += 1
-    best = max(counts, key=counts.get)
-    return best if counts[best] else None
+        out = [0, 0]
+    script = main_script(prose)
+    own = own_share(said, question.language)
+    return [
+        *out,
+        0 if script is None else YES if script != question.script else NO if script != "LATIN" else 0,
+        0 if own is None else YES if own < 0.08 else NO if own >= 0.16 else 0,
+    ]
+
+
+def votes(text: str | None, question: Question, tokens: int | None, last: int | None) -> list[int]:
+    """One vote per labelling function, in the order of FUNCTIONS."""
+    if text is None:
+        return [YES, *[0] * (len(FUNCTIONS) - 1)]
+    prose, code = prose_of(text)
+    said = words(prose)
+    return [
+        *_empty_votes(visible(text), tokens),
+        *_refusal_votes(prose, code, said),
+        *_copied_votes(said, prose, code, question),
+        *_truncated_votes(text, prose, said, tokens, last),
+        *_language_votes(prose, said, question),
+    ]
+
+
+def packed(held: list[int]) -> int:
+    return sum(vote << (2 * k) for k, vote in enumerate(held))
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known: dict[str | None, Question] = {}
     for batch in batches:
-        packed = []
+        made = []
         for text, asked, tokens, last in zip(batch["raw_text"], batch["question"], batch["tokens"], batch["last_token"], strict=True):
             question = known.get(asked)
             if question is None:
@@ -227,32 +287,37 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     known.clear()
                 question = known[asked] = Question(asked)
             n = None if tokens != tokens or tokens is None or tokens < 0 else int(tokens)
-            bits = 0
-            for k, vote in enumerate(votes(text, question, n, None if last != last else last, n in TOKEN_LIMITS)):
-                bits |= vote << (2 * k)
-            packed.append(bits)
-        yield pd.DataFrame({"rollout_id": batch["rollout_id"], "ingested_at": batch["ingested_at"], "backend": batch["backend"], "votes": packed})
+            made.append(packed(votes(text, question, n, None if last != last else last)))
+        yield pd.DataFrame({"rollout_id": batch["rollout_id"], "ingested_at": batch["ingested_at"], "backend": batch["backend"], "votes": made})
+
+
+def needed_questions(rollouts: DataFrame, problems: DataFrame, items: DataFrame) -> DataFrame:
+    """(problem_id, question): the texts that rows without a prompt need. Ids only are read of the rollouts. Cut in the checkpoint folder."""
+    texts = problems.select(F.col("id").alias("problem_id"), "text").unionByName(items.select(F.col("item_id").alias("problem_id"), "text"))
+    needed = rollouts.where("prompt_text is null and problem_id is not null").select("problem_id").distinct()
+    found = texts.where("text is not null").join(needed, "problem_id", "left_semi").groupBy("problem_id").agg(F.min("text").alias("question"))
+    return cut_lineage(found)
 
 
 def with_questions(rollouts: DataFrame, problems: DataFrame, items: DataFrame) -> DataFrame:
     """Rollouts with their question: the prompt, or where it is null the text found through problem_id.
 
-    Only rows without a prompt join, against the questions they need; AQE splits a hot problem there.
+    Responses are scanned once and stay where they are while the needed questions are small enough to go to all workers; a larger
+    set joins only the rows without a prompt, by id and salt, so one hot problem is spread over SALTS tasks.
     """
-    kept = ["rollout_id", "ingested_at", "backend", "raw_text", "tokens", "last_token"]
-    base = spread(rollouts.select(
-        "rollout_id", "ingested_at", "backend", "raw_text", "prompt_text", "problem_id",
+    questions = needed_questions(rollouts, problems, items)
+    size = questions.agg(F.sum(F.octet_length("question") + F.octet_length("problem_id"))).first()[0] or 0
+    base = rollouts.select(
+        "rollout_id", "ingested_at", "backend", "raw_text", "prompt_text", F.when(F.col("prompt_text").isNull(), F.col("problem_id")).alias("problem_id"),
         F.size("completion_token_ids").alias("tokens"), F.try_element_at("completion_token_ids", F.lit(-1)).alias("last_token"),
-    ))
-    open_rows = base.where("prompt_text is null")
-    texts = problems.select(F.col("id").alias("problem_id"), "text").unionByName(items.select(F.col("item_id").alias("problem_id"), "text"))
-    needed = rollouts.where("prompt_text is null and problem_id is not null").select("problem_id").distinct()
-    questions = texts.where("text is not null").join(needed, "problem_id", "left_semi").groupBy("problem_id").agg(F.min("text").alias("question"))
-    return (
-        base.where("prompt_text is not null")
-        .select(*kept, F.col("prompt_text").alias("question"))
-        .unionByName(open_rows.join(questions, "problem_id", "left").select(*kept, "question"))
-    )
+    )
+    kept = ["rollout_id", "ingested_at", "backend", "raw_text", "tokens", "last_token"]
+    if size <= MOST_QUESTION_BYTES:
+        return spread(base).join(F.broadcast(questions), "problem_id", "left").select(*kept, F.coalesce("prompt_text", "question").alias("question"))
+    salted = questions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    without = base.where("prompt_text is null").withColumn("salt", F.pmod(F.xxhash64("rollout_id"), F.lit(SALTS)).cast("int"))
+    joined = without.join(salted, ["problem_id", "salt"], "left").select(*kept, "question")
+    return base.where("prompt_text is not null").select(*kept, F.col("prompt_text").alias("question")).unionByName(joined)
 
 
 def pair_votes(pairs: DataFrame) -> DataFrame:
@@ -271,65 +336,103 @@ def _without_token_vote(votes, keeps):
     return F.when(F.coalesce(keeps, F.lit(False)), votes).otherwise(votes.bitwiseAND(F.lit(mask)))
 
 
-def fit(patterns: list[tuple[int, int]], defect: str) -> dict[int, float]:
-    """Posterior of the defect for every vote pattern (votes, rows).
+class LabelModel:
+    """The model of one defect, fitted on {pattern: rows}; a pattern is the tuple of votes of the defect's functions.
 
     An abstention says nothing: only votes count, in the likelihood and in the rates. The starting rates stay as a prior worth
     PRIOR_SHARE of the rows, so the model behaves alike at every size, and no function may speak for the other side.
     """
-    mine = [(k, f[2], f[3]) for k, f in enumerate(FUNCTIONS) if f[1] == defect]
-    counts: dict[tuple[int, ...], float] = {}
-    for bits, n in patterns:
-        key = tuple(bits >> (2 * k) & 3 for k, _, _ in mine)
-        counts[key] = counts.get(key, 0) + n
-    rows = sum(counts.values())
-    weight = PRIOR_SHARE * rows
-    yes_rates = [[yes, false] for _, yes, false in mine]
-    share, post = START_SHARE, {}
-    for _ in range(ROUNDS):
-        for key in counts:
-            odds = math.log(share) - math.log(1 - share)
-            for (bad, good), vote in zip(yes_rates, key, strict=True):
-                if vote == YES:
-                    odds += math.log(bad) - math.log(good)
-                elif vote == NO:
-                    odds += math.log(1 - bad) - math.log(1 - good)
-            post[key] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-        share = (sum(n * post[key] for key, n in counts.items()) + START_SHARE * weight) / (rows + weight)
-        for j, (_, yes, false) in enumerate(mine):
-            both = []
-            for start, bad in ((yes, True), (false, False)):
-                part = weight * (START_SHARE if bad else 1 - START_SHARE)
-                said, told = start * part, part
-                for key, n in counts.items():
-                    if key[j]:
-                        mass = n * (post[key] if bad else 1 - post[key])
-                        told += mass
-                        said += mass * (key[j] == YES)
-                both.append(min(1 - 1e-6, max(1e-6, said / told)))
-            yes_rates[j] = [max(both), min(both)]
-    return {bits: post[tuple(bits >> (2 * k) & 3 for k, _, _ in mine)] for bits, _ in patterns}
-
-
-def answer_defects(pairs: DataFrame, cutoffs: dict[str, float] = CUTOFFS) -> DataFrame:
-    """(rollout_id, defect, posterior, main): every defect whose posterior exceeds its cutoff; main marks the likeliest of a response.
 
-    Ties and near-certain posteriors (over 0.99) go by the order of DEFECTS. Eager in the vote counts.
-    """
-    spark = pairs.sparkSession
+    def __init__(self, defect: str, counts: dict[tuple[int, ...], float]):
+        mine = [FUNCTIONS[k] for k in PLACES[defect]]
+        self.rates, self.share = [[yes, false] for *_, yes, false in mine], START_SHARE
+        rows = sum(counts.values())
+        weight = PRIOR_SHARE * rows
+        for _ in range(ROUNDS if rows else 0):
+            post = {key: self.posterior(key) for key in counts}
+            self.share = (sum(n * post[key] for key, n in counts.items()) + START_SHARE * weight) / (rows + weight)
+            for j, (*_, yes, false) in enumerate(mine):
+                both = []
+                for start, bad in ((yes, True), (false, False)):
+                    part = weight * (START_SHARE if bad else 1 - START_SHARE)
+                    said, told = start * part, part
+                    for key, n in counts.items():
+                        if key[j]:
+                            mass = n * (post[key] if bad else 1 - post[key])
+                            told += mass
+                            said += mass * (key[j] == YES)
+                    both.append(min(1 - 1e-6, max(1e-6, said / told)))
+                self.rates[j] = [max(both), min(both)]
+
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        odds = math.log(self.share) - math.log(1 - self.share)
+        for (bad, good), vote in zip(self.rates, pattern, strict=True):
+            if vote == YES:
+                odds += math.log(bad) - math.log(good)
+            elif vote == NO:
+                odds += math.log(1 - bad) - math.log(1 - good)
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+
+
+def pattern_of(bits: int, defect: str) -> tuple[int, ...]:
+    """The defect's votes out of packed votes."""
+    return tuple(bits >> (2 * k) & 3 for k in PLACES[defect])
+
+
+def best_cutoff(scored: list[tuple[float, bool]]) -> float:
+    """The middle of the widest range of cutoffs with the best F1 over (posterior, has the defect)."""
+    edges = [0.0, *sorted({p for p, _ in scored}), 1.0]
+    wanted = sum(has for _, has in scored)
+    best = (-1.0, 0.0, 0.5)
+    for low, high in zip(edges, edges[1:]):
+        hit = sum(has for p, has in scored if p > low)
+        found = sum(p > low for p, _ in scored)
+        f1 = 2 * hit / (found + wanted) if found + wanted else 1.0
+        best = max(best, (f1, high - low, (low + high) / 2))
+    return best[2]
+
+
+def validated_cutoffs(models: dict[str, LabelModel], labelled: list) -> dict[str, float]:
+    """Cutoffs by F1 on labelled answers (text, question, tokens, last token, defects)."""
+    made = [(packed(votes(s.text, Question(s.question), s.tokens, s.last_token)), s.defects) for s in labelled]
+    return {d: best_cutoff([(model.posterior(pattern_of(bits, d)), d in has) for bits, has in made]) for d, model in models.items()}
+
+
+def settled_votes(pairs: DataFrame) -> DataFrame:
+    """(rollout_id, votes) with the token votes of backends that keep the end token only."""
     voted = pair_votes(pairs)
     token_vote = F.shiftright("votes", 2 * TOKEN_AT).bitwiseAND(F.lit(3).cast("bigint"))
     habits = voted.where(token_vote > 0).groupBy("backend").agg((F.avg((token_vote == NO).cast("double")) >= KEEPS_END).alias("keeps"))
     habits = habits.where("backend is not null")
-    settled = voted.join(habits, "backend", "left").select("rollout_id", _without_token_vote(F.col("votes"), F.col("keeps")).alias("votes"))
-    patterns = [(r[0], r[1]) for r in settled.groupBy("votes").count().collect()]
-    rows = []
-    posteriors = {defect: fit(patterns, defect) for defect in DEFECTS} if patterns else {}
-    for bits, _ in patterns:
-        found = [(defect, posteriors[defect][bits]) for defect in DEFECTS if posteriors[defect][bits] > cutoffs[defect]]
-        if found:
-            best = max(found, key=lambda f: (min(f[1], 0.99), -DEFECTS.index(f[0])))[0]
-            rows += [(bits, defect, p, defect == best) for defect, p in found]
-    labels = spark.createDataFrame(rows, "votes bigint, defect string, posterior double, main boolean")
-    labels = F.broadcast(labels) if len(rows) <= MOST_BROADCAST else labels
-    return settled.join(labels, "votes").select("rollout_id", "defect", "posterior", "main")
+    return voted.join(habits, "backend", "left").select("rollout_id", _without_token_vote(F.col("votes"), F.col("keeps")).alias("votes"))
+
+
+def by_defect(settled: DataFrame) -> DataFrame:
+    """(rollout_id, defect, bits): the votes of each defect's functions, five rows a response."""
+    masks = {d: sum(3 << (2 * k) for k in places) for d, places in PLACES.items()}
+    each = F.array(*(F.struct(F.lit(d).alias("defect"), F.col("votes").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")) for d, m in masks.items()))
+    return settled.select("rollout_id", F.inline(each))
+
+
+def answer_defects(pairs: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
+    """(rollout_id, defect, posterior, main): every defect whose posterior exceeds its cutoff; main marks the likeliest of a response.
+
+    Without cutoffs those validated on the labelled split are used. Ties and near-certain posteriors (over 0.99) go by the order of
+    DEFECTS. Eager in the vote counts.
+    """
+    from millrace.llm.answer_samples import CHOOSING
+
+    spark = pairs.sparkSession
+    rows = by_defect(settled_votes(pairs))
+    patterns = rows.groupBy("defect", "bits").count().collect()
+    counts: dict[str, dict] = {d: {} for d in DEFECTS}
+    for defect, bits, n in patterns:
+        counts[defect][pattern_of(bits, defect)] = n
+    models = {d: LabelModel(d, held) for d, held in counts.items()}
+    limits = cutoffs or validated_cutoffs(models, CHOOSING)
+    scored = [(defect, bits, models[defect].posterior(pattern_of(bits, defect))) for defect, bits, _ in patterns]
+    over = [(d, bits, p, DEFECTS.index(d)) for d, bits, p in scored if p > limits[d]]
+    labels = F.broadcast(spark.createDataFrame(over, "defect string, bits bigint, posterior double, place int"))  # at most 5 x 729 rows
+    found = rows.join(labels, ["defect", "bits"])
+    likeliest = Window.partitionBy("rollout_id").orderBy(F.desc(F.least("posterior", F.lit(0.99))), "place")
+    return found.select("rollout_id", "defect", "posterior", (F.row_number().over(likeliest) == 1).alias("main"))

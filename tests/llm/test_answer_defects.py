@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from millrace.llm import answer_defects as ad
+from millrace.llm.answer_samples import CHECKING, CHOOSING
 from millrace.llm.languages import main_language
 
 Q = "A cooper in Kael labels 6639 cloaks using 55 damp barges. Then 6353 tinkers split 3 magnets into brittle bays. How many cloaks remain after 22 days?"
@@ -69,22 +70,71 @@ def test_partitioning_and_size_do_not_matter(spark):
     assert sorted(one) == sorted(many)
 
 
-def test_multiple_labels_are_kept():
-    bits = 0
-    for k, f in enumerate(ad.FUNCTIONS):
-        bits |= (ad.YES if f[1] in ("truncated", "other_language") else ad.NO) << 2 * k
-    clean = sum(ad.NO << 2 * k for k in range(len(ad.FUNCTIONS)))
-    post = {d: ad.fit([(bits, 5), (clean, 500)], d) for d in ad.DEFECTS}
-    assert post["truncated"][bits] > 0.9 and post["other_language"][bits] > 0.9 and post["empty"][bits] < 0.1
-    assert all(post[d][clean] < 0.05 for d in ad.DEFECTS)
+def fitted(counts):
+    """Models of all defects from {packed votes: rows}."""
+    out = {}
+    for d in ad.DEFECTS:
+        held = {}
+        for bits, n in counts.items():
+            held[ad.pattern_of(bits, d)] = held.get(ad.pattern_of(bits, d), 0) + n
+        out[d] = ad.LabelModel(d, held)
+    return out
+
+
+def post(models, d, bits):
+    return models[d].posterior(ad.pattern_of(bits, d))
+
+
+CLEAN = ad.packed([ad.NO] * len(ad.FUNCTIONS))
+
+
+def test_multiple_labels_are_kept(spark):
+    bits = ad.packed([ad.YES if f[1] in ("truncated", "other_language") else ad.NO for f in ad.FUNCTIONS])
+    models = fitted({bits: 5, CLEAN: 500})
+    assert post(models, "truncated", bits) > 0.9 and post(models, "other_language", bits) > 0.9 and post(models, "empty", bits) < 0.1
+    assert all(post(models, d, CLEAN) < 0.05 for d in ad.DEFECTS)
+    both = "Wir teilen 72 durch 17 und prüfen den Rest. Für Kael bleiben somit noch vier Fässer und der"
+    rows = ad.answer_defects(tables(spark, labelled(spark) + [row(800, both)])).where("rollout_id = 800").collect()
+    assert {r.defect for r in rows} == {"truncated", "other_language"} and sum(r.main for r in rows) == 1
 
 
 def test_abstaining_says_nothing():
-    none = 0
-    clean = sum(ad.NO << 2 * k for k in range(len(ad.FUNCTIONS)))
-    for d in ad.DEFECTS:
-        post = ad.fit([(none, 5000), (clean, 5000)], d)
-        assert post[none] < ad.CUTOFFS[d]
+    models = fitted({0: 5000, CLEAN: 5000})
+    cutoffs = ad.validated_cutoffs(models, CHOOSING)
+    assert all(post(models, d, 0) < cutoffs[d] for d in ad.DEFECTS)
+
+
+def test_patterns_are_bounded_by_the_functions():
+    assert all(len(places) <= 6 for places in ad.PLACES.values()) and sum(map(len, ad.PLACES.values())) == len(ad.FUNCTIONS)
+    assert len(ad.votes(None, ad.Question(None), None, None)) == len(ad.votes("x", ad.Question("y"), 1, 1)) == len(ad.FUNCTIONS)
+
+
+def test_cutoff_is_the_middle_of_the_widest_best_range():
+    assert ad.best_cutoff([(0.1, False), (0.2, False), (0.8, True), (0.9, True)]) == pytest.approx(0.5)
+    assert ad.best_cutoff([(0.1, True), (0.2, False)]) == pytest.approx(0.05)
+    assert ad.best_cutoff([]) == 0.5
+
+
+def test_cutoffs_hold_on_unseen_phrasing():
+    """Models fitted on one set of answers, cutoffs chosen on CHOOSING, checked on CHECKING: other phrasing, subjects and languages."""
+    held: dict = {}
+    for text in [t for t in GOOD for _ in range(20)] + [t for t, _ in BAD]:
+        n = None if text is None else 2 * len(text.split()) + 1
+        bits = ad.packed(ad.votes(text, ad.Question(Q), n, 7))
+        held[bits] = held.get(bits, 0) + 1
+    models = fitted(held)
+    cutoffs = ad.validated_cutoffs(models, CHOOSING)
+    score = {}
+    for name, split in (("choosing", CHOOSING), ("checking", CHECKING)):
+        right = wrong = missed = 0
+        for s in split:
+            bits = ad.packed(ad.votes(s.text, ad.Question(s.question), s.tokens, s.last_token))
+            found = {d for d in ad.DEFECTS if post(models, d, bits) > cutoffs[d]}
+            right, wrong, missed = right + len(found & s.defects), wrong + len(found - s.defects), missed + len(s.defects - found)
+        score[name] = 2 * right / (2 * right + wrong + missed)
+    assert score["choosing"] >= 0.95 and score["checking"] >= 0.95, score
+    texts = [{s.text for s in split if s.text} for split in (CHOOSING, CHECKING)]
+    assert not {t for t in texts[0] & texts[1] if len(t) > 3}
 
 
 def test_nulls_empty_and_long(spark):
