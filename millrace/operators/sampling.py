@@ -95,7 +95,12 @@ def stratified_split(rows: DataFrame, strata: list[str], key: str, fraction: flo
 
 
 def balanced_select(rows: DataFrame, group: str, key: str, count: int, seed: int) -> DataFrame:
-    """Round robin over groups: first of every group, then the second of each, until `count` rows; groups in text order."""
+    """Round robin over groups: first of every group, then the second of each, until `count` rows; groups in text order.
+
+    Fewer rows than `count` are an error, from one eager count of at most `count` rows.
+    """
+    if (held := rows.limit(count).count()) < count:
+        raise ValueError(f"{count} rows wanted, {held} there")
     turns = ranked(rows, [group], key, seed, name="turn", at_most=F.lit(count))
     return turns.orderBy("turn", F.col(group).cast("string"), key).limit(count)
 

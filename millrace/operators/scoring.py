@@ -54,8 +54,20 @@ def applicable_mean(nodes: Column, scores: Column, kind: str) -> Column:
     return F.coalesce(F.try_divide(total, F.size(held)), F.lit(0.0))
 
 
-def efficiency_penalty(runtime: Column, tool_calls: Column, tokens: Column, runtime_budget: float = 5.0, tool_budget: float = 8.0, token_budget: float = 2048.0) -> Column:
-    """Mean of three shares of a budget, each at most 1; a budget of 0 gives 0."""
+def spoken_words(texts: Column) -> Column:
+    """Words between blanks of an array of texts."""
+    return F.aggregate(texts, F.lit(0), lambda n, t: n + F.size(F.filter(F.split(F.coalesce(t, F.lit("")), r"\s+"), lambda w: w != "")))
+
+
+def efficiency_penalty(
+    runtime: Column, tool_calls: Column, tokens: Column, texts: Column | None = None, runtime_budget: float = 5.0, tool_budget: float = 8.0, token_budget: float = 2048.0
+) -> Column:
+    """Mean of three shares of a budget, each at most 1; a budget of 0 gives 0.
+
+    Where no tokens are counted (null or 0) the words of the texts (the spans of the response) stand in for them.
+    """
+    if texts is not None:
+        tokens = F.when(tokens > 0, tokens).otherwise(F.coalesce(spoken_words(texts), F.lit(0)))
     share = lambda used, budget: F.least(F.lit(1.0), F.coalesce(used.cast("double"), F.lit(0.0)) / F.lit(budget)) if budget else F.lit(0.0)
     return (share(runtime, runtime_budget) + share(tool_calls, tool_budget) + share(tokens, token_budget)) / 3.0
 

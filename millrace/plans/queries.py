@@ -217,7 +217,7 @@ def stratified_split(spark, folder):
 
 
 def balanced_select(spark, folder):
-    return sampling.balanced_select(_pool(spark, folder), "source", "id", 200, SEED).select("id", "source", "turn")
+    return sampling.balanced_select(_pool(spark, folder), "source", "id", 40, SEED).select("id", "source", "turn")
 
 
 def assign_splits(spark, folder):
@@ -503,7 +503,9 @@ def token_advantages(spark, folder):
 def efficiency(spark, folder):
     rows = rollouts(spark, folder, "backend", "raw_text", "generation_seconds", "completion_token_count")
     calls = F.size(F.regexp_extract_all("raw_text", F.lit(r"(```python)"), F.lit(1)))
-    scored = rows.select("backend", scoring.efficiency_penalty(F.col("generation_seconds"), F.greatest(calls, F.lit(0)), F.greatest(F.col("completion_token_count"), F.lit(0))).alias("penalty"))
+    scored = rows.select("backend", scoring.efficiency_penalty(
+        F.col("generation_seconds"), F.greatest(calls, F.lit(0)), F.greatest(F.col("completion_token_count"), F.lit(0)), F.array("raw_text")
+    ).alias("penalty"))
     return scored.groupBy("backend").agg(F.count("*").alias("n"), F.round(F.avg("penalty"), 6).alias("mean_penalty"))
 
 

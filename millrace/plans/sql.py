@@ -203,7 +203,7 @@ select * from k where keys <> ''""",
     "stratified_split": f"with {PROB}, {POOL}, {L5} select r.id, case when r.rank <= q.quota then 'validation' else 'train' end as part from ranked r join quota q on r.source = q.source and r.difficulty = q.difficulty",
     "balanced_select": f"""
 with {PROB}, {POOL}, r as (select id, source, row_number() over (partition by source order by {uniform("id")}, id) as turn from pool)
-select id, source, turn from r order by turn, source, id limit 200""",
+select id, source, turn from r order by turn, source, id limit 40""",
     "assign_splits": f"""
 with {PROB}, {POOL}, r as (select id, source, row_number() over (partition by source order by {uniform("id")}, id) as k, count(*) over (partition by source) as n from pool)
 select id, source, case when k <= floor(n * 0.1 + 0.5) then 'test' when k <= floor(n * 0.1 + 0.5) + floor(n * 0.1 + 0.5) then 'validation' else 'train' end as part from r""",
@@ -323,7 +323,8 @@ with {RESULTS}, l as ({" union all ".join(f"select id, result_no, '{m}' as node_
 select id as problem_id, result_no as rollout_id, node_id, round(case when d < 1e-8 then 0 else (reward - m) / d end, 6) as advantage from s where top > 0""",
     "token_advantages": f"with {ROLL} select rollout_id, round(floor(n / 3) * 1.0::double - 0.5 * (n - floor(n / 3)), 6) as advantage_sum from (select rollout_id, len(completion_token_ids) as n from roll where completion_token_ids is not null)",
     "efficiency": f"""
-with {ROLL}, p as (select backend, (least(1.0, coalesce(generation_seconds, 0) / 5.0) + least(1.0, coalesce(len(regexp_extract_all(raw_text, '```python')), 0) / 8.0) + least(1.0, greatest(coalesce(completion_token_count, 0), 0) / 2048.0)) / 3.0 as x from roll)
+with {ROLL}, p as (select backend, (least(1.0, coalesce(generation_seconds, 0) / 5.0) + least(1.0, coalesce(len(regexp_extract_all(raw_text, '```python')), 0) / 8.0) + least(1.0, case when completion_token_count > 0 then completion_token_count
+    else coalesce(len(list_filter(regexp_split_to_array(raw_text, '\\s+'), lambda w: w <> '')), 0) end / 2048.0)) / 3.0 as x from roll)
 select backend, count(*) as n, round(avg(x), 6) as mean_penalty from p group by backend""",
     "seeded_uniform": f"select item_id, round({uniform('item_id')}, 9) as u from eval_items",
 }

@@ -25,22 +25,32 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only a session without one (tests) gets a temporary folder.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only a session of a local master without one (tests) gets a
+    temporary folder; anywhere else that would be another disk on every node, so a cluster without the setting is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a scan up to which it is worth a shuffle to use all cores; more has splits of its own.
+SMALL_SCAN = 4 << 30
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """The rows of a plain scan in at least as many partitions as there are cores.
 
     For operators that spend long on a row: a table of one small file would otherwise be one task. Tables with enough splits
-    are left as they are, so large data is never shuffled for this, and so are plans that shuffle anyway.
+    or over SMALL_SCAN bytes are left as they are, so large data is never shuffled for this, and so are plans that shuffle anyway.
     """
     if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():
         return scan
+    if int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL_SCAN:
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 

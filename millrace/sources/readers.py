@@ -16,8 +16,9 @@ class SourceError(ValueError):
 def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType | str, check: bool = True) -> DataFrame:
     """JSON lines of one or several files, all rows of all files. Blank lines are skipped.
 
-    Lines that are no JSON object raise with examples (`check`, one eager pass); unchecked, they are left out. Catalyst parses
-    only the fields that a query uses.
+    Lines that are no JSON object, or that hold a field of another type than the schema's, raise with examples (`check`, one eager
+    pass); unchecked, lines that are no object are left out and such fields are null. Numbers and booleans are no fault where the
+    schema says string: they are read as they are spelled. Catalyst parses only the fields that a query uses.
     """
     typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     lines = spark.read.text(paths if isinstance(paths, list) else [paths]).where(F.trim("value") != "")
@@ -26,11 +27,47 @@ def json_lines(spark: SparkSession, paths: str | list[str], schema: T.StructType
     if check:
         if found := [r[0][:80] for r in lines.where(~good).limit(5).collect()]:
             raise SourceError(f"lines that are no JSON object: {found}")
+        wrong = _mistyped(typed, parsed, F.from_json("value", typed), "$")
+        if found := [(r[0][:80], r[1]) for r in lines.select("value", F.array_compact(F.array(*wrong)).alias("w")).where(F.size("w") > 0).limit(5).collect()]:
+            raise SourceError(f"fields of another type: {found}")
     else:
         lines = lines.where(good)
     return lines.select(F.from_json("value", typed).alias("r")).select("r.*")
 
 
+def _mistyped(typed: T.StructType, parsed: Column, read: Column, path: str) -> list[Column]:
+    """Paths of fields that are there and not null but were not read as their type; structs are looked into."""
+    out = []
+    for field in typed.fields:
+        at = f"{path}['{field.name}']"
+        there = F.try_variant_get(parsed, at, "variant")
+        out.append(F.when(there.isNotNull() & ~F.coalesce(F.is_variant_null(there), F.lit(True)) & read[field.name].isNull(), F.lit(at)))
+        if isinstance(field.dataType, T.StructType):
+            out += _mistyped(field.dataType, parsed, read[field.name], at)
+    return out
+
+
+def landed(spark: SparkSession, path: str, revision: str | None = None, split: str | None = None) -> DataFrame:
+    """A dataset of a hub, landed as parquet or JSON lines; a pinned revision must be part of the path.
+
+    With `split` only the files of that split, by their name (train-00000-of-00001.parquet or a folder train/).
+    """
+    if revision is not None and revision not in path.split("/"):
+        raise SourceError(f"{path} is not of revision {revision}")
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if split is not None:
+        reader = reader.option("pathGlobFilter", f"{split}*")
+    return reader.json(path) if path.rstrip("/").endswith((".jsonl", ".json")) else reader.parquet(path)
+
+
+def rank_files(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
+    """The results of all ranks of a run, files <name>.rank<k>.jsonl of a folder, with a column rank; missing ranks are no fault."""
+    typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    lines = spark.read.option("pathGlobFilter", "*.rank*").text(folder).select("value", F.input_file_name().alias("_file"))
+    rank = F.regexp_extract("_file", r"\.rank(\d+)", 1).cast("int").alias("rank")
+    return lines.where(F.trim("value") != "").select(F.from_json("value", typed).alias("r"), rank).select("r.*", "rank")
+
+
 def json_document(spark: SparkSession, path: str, item: T.StructType | str) -> DataFrame:
     """Records of a JSON document: a list, or an object with the list under data, else under problems."""
     element = T.StructType.fromDDL(item) if isinstance(item, str) else item

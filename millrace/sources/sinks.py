@@ -8,6 +8,7 @@ import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -41,9 +42,11 @@ def keep_manifest(summary: DataFrame, path: str) -> dict:
     return known
 
 
-def markdown_report(rows: DataFrame, path: str, title: str, most: int = 1000) -> str:
-    """A report table: rates as percentages with one decimal, p values with four."""
-    found = rows.limit(most).collect()
+def markdown_report(rows: DataFrame, path: str, title: str) -> int:
+    """A report table of all rows: rates as percentages with one decimal, p values with four; the number of rows.
+
+    Rows are fetched partition by partition and written as they come, to a file beside the target that is then renamed.
+    """
 
     def cell(name: str, value: object) -> str:
         if value is None:
@@ -52,11 +55,14 @@ def markdown_report(rows: DataFrame, path: str, title: str, most: int = 1000) ->
             return f"{value:.4f}" if name.startswith("p_") else f"{100 * value:.1f} %" if name.endswith(("rate", "low", "high", "difference")) else f"{value:g}"
         return str(value)
 
-    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    lines += ["| " + " | ".join(cell(c, r[c]) for c in rows.columns) + " |" for r in found]
-    text = "\n".join(lines) + "\n"
-    Path(path).write_text(text, encoding="utf-8")
-    return text
+    written, beside = 0, Path(path + ".tmp")
+    with beside.open("w", encoding="utf-8") as out:
+        out.write(f"# {title}\n\n| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n")
+        for r in rows.toLocalIterator():
+            out.write("| " + " | ".join(cell(c, r[c]) for c in rows.columns) + " |\n")
+            written += 1
+    os.replace(beside, path)
+    return written
 
 
 def file_digest(path: str) -> str:
@@ -73,15 +79,83 @@ def tree_digest(folder: str) -> str:
     return total.hexdigest()
 
 
+def replace_table(rows: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
+    """Overwrites a parquet table so that a crash at any point loses nothing: new rows are written beside it, the old table is
+    renamed aside, the new one is renamed in, and only then the old one is deleted. `recovered` undoes a half-done swap."""
+    fs, here, beside, aside = _paths(rows.sparkSession, path)
+    recovered(rows.sparkSession, path)
+    rows.write.mode("overwrite").partitionBy(*partitions).parquet(path + ".next")
+    if fs.exists(here):
+        fs.rename(here, aside)
+    fs.rename(beside, here)
+    fs.delete(aside, True)
+
+
+def _paths(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    here = at(path)
+    return here.getFileSystem(spark._jsc.hadoopConfiguration()), here, at(path + ".next"), at(path + ".previous")
+
+
+def recovered(spark, path: str) -> bool:
+    """Whether there is a table, after putting back one that a crash left renamed aside."""
+    fs, here, _, aside = _paths(spark, path)
+    if not fs.exists(here) and fs.exists(aside):
+        fs.rename(aside, here)
+    return fs.exists(here)
+
+
 def upsert_batch(batch: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """Checkpointed incremental output: old and new rows by key, newest by `order`, written beside the target and swapped in."""
+    """Checkpointed incremental output: old and new rows by key, newest by `order`, swapped in by replace_table."""
     from millrace.operators.dedup import last_wins
 
     spark = batch.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    merged = last_wins(spark.read.parquet(path).unionByName(batch), key, order) if fs.exists(where) else last_wins(batch, key, order)
-    beside = spark._jvm.org.apache.hadoop.fs.Path(path + ".next")
-    merged.write.mode("overwrite").parquet(path + ".next")
-    fs.delete(where, True)
-    fs.rename(beside, where)
+    old = spark.read.parquet(path) if recovered(spark, path) else None
+    replace_table(last_wins(batch if old is None else old.unionByName(batch), key, order), path)
+
+
+#: The stores of a memory and the arrays of its snapshot.
+STORES = {"theorem": "theorem_items", "algorithm_template": "algorithm_templates", "prior_decomposition": "prior_decompositions", "failure_case": "failure_cases"}
+
+
+def write_memory(items: DataFrame, path: str) -> None:
+    """A memory of items (memory_type, id, ...) as a table with a folder per store, replaced as a whole."""
+    replace_table(items, path, ("memory_type",))
+
+
+def memory_snapshot(items: DataFrame, order: str = "ordinal") -> DataFrame:
+    """One row with an array of items per store, in their order: the snapshot as one object. For memories that fit in a row; larger
+    ones are kept by write_memory."""
+    fields = [c for c in items.columns if c not in ("memory_type", order)]
+    one = F.struct(order, *fields)
+    arrays = [F.sort_array(F.collect_list(F.when(F.col("memory_type") == store, one))).alias(name) for store, name in STORES.items()]
+    made = items.agg(*arrays)
+    return made.select(*(F.transform(name, lambda i: i.dropFields(order)).alias(name) for name in STORES.values()))
+
+
+def load_memory(seeds: list[DataFrame], snapshot: DataFrame | None, key: str = "id") -> DataFrame:
+    """Seed items, then the persisted ones over them: within a store an item of the snapshot replaces the seed with its id."""
+    from millrace.operators.dedup import upsert
+
+    out = seeds[0]
+    for more in seeds[1:]:
+        out = out.unionByName(more)
+    if snapshot is None:
+        return out
+    both = (df.withColumn("_k", _store_key(key)) for df in (out, snapshot.select(*out.columns)))
+    return upsert(*both, "_k").drop("_k")
+
+
+def _store_key(key: str):
+    return F.concat_ws("|", "memory_type", key)
+
+
+def mistakes(trajectories: DataFrame) -> DataFrame:
+    """(problem, function_graph, rollout, execution, verification, repair): the records whose repair failed, one row each."""
+    held = trajectories.select("problem", "function_graph", F.explode("rollout_records").alias("r")).where("r.repair.status = 'failed'")
+    return held.select("problem", "function_graph", "r.rollout", "r.execution", "r.verification", "r.repair")
+
+
+def append_mistakes(trajectories: DataFrame, path: str) -> None:
+    """The notebook of mistakes: failed repairs are appended as JSON lines."""
+    write_json_lines(mistakes(trajectories), path, "append")

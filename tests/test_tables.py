@@ -117,12 +117,73 @@ def test_sinks(spark, tmp_path):
     sinks.keep_manifest(rows, str(tmp_path / "m.json"))
     with pytest.raises(ValueError, match="differs"):
         sinks.keep_manifest(rows.withColumn("rate", F.lit(0.5)), str(tmp_path / "m.json"))
-    report = sinks.markdown_report(rows, str(tmp_path / "r.md"), "Report")
+    assert sinks.markdown_report(rows, str(tmp_path / "r.md"), "Report") == 1
+    report = (tmp_path / "r.md").read_text()
     assert "25.0 %" in report and "0.0046" in report
     assert len(sinks.file_digest(str(tmp_path / "r.md"))) == 64 and len(sinks.tree_digest(str(tmp_path))) == 64
     sinks.upsert_batch(rows, str(tmp_path / "t"), "id", ["rate"])
     sinks.upsert_batch(rows.withColumn("rate", F.lit(0.9)), str(tmp_path / "t"), "id", ["rate"])
     assert [r.rate for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [0.9]
+    many = spark.range(1001).selectExpr("cast(id as string) id", "0.5D rate", "0.1D p_value")
+    assert sinks.markdown_report(many, str(tmp_path / "many.md"), "All") == 1001
+    assert (tmp_path / "many.md").read_text().count("50.0 %") == 1001
+
+
+def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = spark.createDataFrame([("a", 1)], "id string, n int")
+    sinks.upsert_batch(rows, str(path), "id", ["n"])
+    path.rename(tmp_path / "t.previous")  # as after the first rename
+    sinks.upsert_batch(spark.createDataFrame([("b", 2)], "id string, n int"), str(path), "id", ["n"])
+    assert {r.id: r.n for r in spark.read.parquet(str(path)).collect()} == {"a": 1, "b": 2}
+    assert not (tmp_path / "t.previous").exists()
+
+
+def test_memory_is_kept_by_store(spark, tmp_path):
+    items = spark.createDataFrame([("theorem", "t1", "x", 0), ("failure_case", "f1", "y", 1), ("theorem", "t2", "z", 2)], "memory_type string, id string, text string, ordinal int")
+    sinks.write_memory(items, str(tmp_path / "m"))
+    sinks.write_memory(items, str(tmp_path / "m"))
+    back = spark.read.parquet(str(tmp_path / "m"))
+    assert back.count() == 3 and (tmp_path / "m" / "memory_type=theorem").exists()
+    row = sinks.memory_snapshot(items).first()
+    assert [i.id for i in row.theorem_items] == ["t1", "t2"] and row.algorithm_templates == [] and row.failure_cases[0].text == "y"
+    seeds = spark.createDataFrame([("theorem", "t1", "old", 0), ("theorem", "t9", "seed", 1), ("failure_case", "t1", "other store", 2)], items.schema)
+    loaded = {(r.memory_type, r.id): r.text for r in sinks.load_memory([seeds], items).collect()}
+    assert loaded == {("theorem", "t1"): "x", ("theorem", "t9"): "seed", ("failure_case", "t1"): "other store", ("failure_case", "f1"): "y", ("theorem", "t2"): "z"}
+    assert sinks.load_memory([seeds, items], None).count() == 6
+
+
+def test_mistakes_are_failed_repairs(spark, tmp_path):
+    s = "problem struct<id:string>, function_graph string, rollout_records array<struct<rollout:string,execution:string,verification:string,repair:struct<status:string>>>"
+    rows = spark.createDataFrame([(("p",), "g", [("r1", "e", "v", ("failed",)), ("r2", "e", "v", ("succeeded",)), ("r3", "e", "v", None)]), (("q",), "g", [])], s)
+    sinks.append_mistakes(rows, str(tmp_path / "n"))
+    sinks.append_mistakes(rows, str(tmp_path / "n"))
+    assert [r.rollout for r in spark.read.json(str(tmp_path / "n")).collect()] == ["r1", "r1"]
+
+
+def test_strict_types(spark, tmp_path):
+    path = tmp_path / "t.jsonl"
+    path.write_text('{"n": 1, "s": {"b": true}}\n{"n": null, "s": null}\n{}\n')
+    assert readers.json_lines(spark, str(path), "n int, s struct<b:boolean>").count() == 3
+    for line in ('{"n": "one"}', '{"n": [1]}', '{"s": 5}', '{"s": {"b": "maybe"}}'):
+        path.write_text('{"n": 1}\n' + line + "\n")
+        with pytest.raises(readers.SourceError, match="another type"):
+            readers.json_lines(spark, str(path), "n int, s struct<b:boolean>")
+        assert readers.json_lines(spark, str(path), "n int, s struct<b:boolean>", check=False).count() == 2
+
+
+def test_landed_and_rank_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "id string, n int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "abc123" / "train"))
+    assert readers.landed(spark, str(tmp_path / "abc123" / "train"), "abc123").count() == 1
+    with pytest.raises(readers.SourceError):
+        readers.landed(spark, str(tmp_path / "abc123" / "train"), "main")
+    folder = tmp_path / "ranks"
+    folder.mkdir()
+    (folder / "out.rank0.jsonl").write_text('{"id": "a"}\n\n')
+    (folder / "out.rank2.jsonl").write_text('{"id": "b"}\n')
+    (folder / "other.jsonl").write_text('{"id": "c"}\n')
+    assert {(r.id, r.rank) for r in readers.rank_files(spark, str(folder), "id string").collect()} == {("a", 0), ("b", 2)}
 
 
 def test_digest(spark):
