@@ -46,22 +46,21 @@ def is_acyclic(ids: Column, edges: Column, max_nodes: int = MAX_NODES) -> Column
     return F.size(F.aggregate(rounds, ids, peel)) == 0
 
 
-def graph_problem(graphs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(graph_id, problem): the first rule a graph breaks, null if it is valid.
+def problem_column(nodes: Column, edges: Column, max_nodes: int = MAX_NODES) -> Column:
+    """The first rule the graph of a row breaks, null if it is valid; edges must be an array, not null.
 
     Rules in order: 1..max nodes, different ids, a node main, id syntax, required fields, known endpoints, no loop, main is a
     sink, no cycle, every node contributes to main.
     """
-    ids = F.transform("nodes", lambda n: n["id"])
-    edges = F.coalesce("edges", F.array().cast(graphs.schema["edges"].dataType))
+    ids = F.transform(nodes, lambda n: n["id"])
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
     rules = [
-        (F.coalesce(F.size("nodes"), F.lit(0)) <= 0, "no nodes"),
-        (F.size("nodes") > max_nodes, "too many nodes"),
+        (F.coalesce(F.size(nodes), F.lit(0)) <= 0, "no nodes"),
+        (F.size(nodes) > max_nodes, "too many nodes"),
         (F.size(F.array_distinct(ids)) < F.size(ids), "duplicate ids"),
         (~F.array_contains(ids, "main"), "no main"),
-        (F.exists("nodes", lambda n: ~F.coalesce(n["id"].rlike(r"\A[A-Za-z][A-Za-z0-9_]*\z"), F.lit(False))), "invalid id"),
-        (F.exists("nodes", lambda n: blank(n["question"]) | blank(n["signature"]) | blank(n["expected_output_type"])), "missing field"),
+        (F.exists(nodes, lambda n: ~F.coalesce(n["id"].rlike(r"\A[A-Za-z][A-Za-z0-9_]*\z"), F.lit(False))), "invalid id"),
+        (F.exists(nodes, lambda n: blank(n["question"]) | blank(n["signature"]) | blank(n["expected_output_type"])), "missing field"),
         (F.exists(edges, lambda e: ~F.coalesce(F.array_contains(ids, e["source"]) & F.array_contains(ids, e["target"]), F.lit(False))), "unknown endpoint"),
         (F.exists(edges, lambda e: e["source"] == e["target"]), "self edge"),
         (F.exists(edges, lambda e: e["source"] == "main"), "main is no sink"),
@@ -72,7 +71,13 @@ def graph_problem(graphs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     deep = F.when(~is_acyclic(ids, edges, max_nodes), "cycle").when(
         F.size(F.array_except(ids, _reach(ids, edges, F.array(F.lit("main")), max_nodes))) > 0, "disconnected"
     )
-    return graphs.select("graph_id", F.coalesce(cheap, deep).alias("problem"))
+    return F.coalesce(cheap, deep)
+
+
+def graph_problem(graphs: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(graph_id, problem): the first rule of problem_column a graph breaks, null if it is valid; null edges are none."""
+    edges = F.coalesce("edges", F.array().cast(graphs.schema["edges"].dataType))
+    return graphs.select("graph_id", problem_column(F.col("nodes"), edges, max_nodes).alias("problem"))
 
 
 def reachable(edges: DataFrame, start: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -79,38 +79,6 @@ def without_private(rows: DataFrame, metadata: str, fields: tuple[str, ...]) ->
     return rows.withColumn(metadata, F.col(metadata).dropFields(*drop)) if drop else rows
 
 
-def compile_bundle(problems: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(problem_id, public_nodes, hidden_nodes): each node of problems (problem_id, nodes) split by its annotation.
-
-    annotations: problem_id, node_id, check_types, tests, target_call. Both graphs keep the node order. A node without annotation
-    has no checks and no tests.
-    """
-    nodes = problems.select("problem_id", F.posexplode("nodes").alias("pos", "n"))
-    joined = nodes.join(annotations.withColumnRenamed("node_id", "_node"), (nodes["problem_id"] == annotations["problem_id"]) & (F.col("n.id") == F.col("_node")), "left").drop(annotations["problem_id"])
-    public = F.struct("pos", F.col("n.id").alias("id"), F.col("n.signature").alias("signature"), F.coalesce("check_types", F.array().cast("array<string>")).alias("check_types"))
-    hidden = F.struct("pos", F.col("n.id").alias("id"), F.col("n.signature").alias("signature"), "tests", "target_call")
-    grouped = joined.groupBy("problem_id").agg(F.array_sort(F.collect_list(public)).alias("_p"), F.sort_array(F.collect_list(hidden)).alias("_h"))
-    return grouped.select("problem_id", F.transform("_p", lambda n: n.dropFields("pos")).alias("public_nodes"), F.transform("_h", lambda n: n.dropFields("pos")).alias("hidden_nodes"))
-
-
-def requirements(spec: dict[str, Column], most: int = 12) -> Column:
-    """First entries of the named lists, in the given order, flattened."""
-    return F.slice(F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<string>")) for c in spec.values()))), 1, most)
-
-
-def theorem_records(traces: DataFrame) -> DataFrame:
-    """(memory_id, lean_name, namespace, premise_ids) from traced theorems (full_name, file_path, premises array<array<string>>).
-
-    The namespace is what stands before the last dot; premises are flattened, different, sorted, without the theorem itself.
-    """
-    own = F.array(F.col("full_name"))
-    return traces.select(
-        F.concat(F.lit("mathlib."), "full_name").alias("memory_id"), F.col("full_name").alias("lean_name"),
-        F.when(F.instr("full_name", ".") > 0, F.regexp_replace("full_name", r"\.[^.]*$", "")).otherwise("").alias("namespace"), F.col("file_path").alias("source_file"),
-        F.array_sort(F.array_except(F.array_distinct(F.flatten("premises")), own)).alias("premise_ids"),
-    )
-
-
 def bounded_text(text: Column, longest: int = 2400) -> Column:
     return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("..."))).otherwise(text)
 

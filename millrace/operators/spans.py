@@ -24,42 +24,88 @@ CODE = T.StructType(
     [T.StructField("block", T.IntegerType()), T.StructField("node_id", T.StringType()), T.StructField("code", T.StringType()), T.StructField("node_blocks", T.ArrayType(T.StringType()))]
 )
 PYTHON = re.compile(r"```python\n(.*?)```", re.S)
-BLOCK = re.compile(r"```(?:python)?\s*(.*?)```", re.S | re.I)
-TABLE_VALUE, NAMED_VALUE = re.compile(r"(dp\[\d+\])\s*=\s*(-?\d+)"), re.compile(r"\b([a-zA-Z]\w*)\s*=\s*(-?\d+)\b", re.A)
-FORMULA, STATED = re.compile(r"recurrence\s*:\s*(.+)", re.I), re.compile(r"final answer is\s+(-?\d+)", re.I)
+TAGS = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9_]*)>")
+#: A name or a place of a table at the end of a text, and a whole number at its start.
+TARGET, WHOLE = re.compile(r"(dp\[\d+\]|(?<!\w)[A-Za-z]\w*)\s*\Z", re.A), re.compile(r"\s*(-?\d+)(?!\w)", re.A)
+
+
+def _after(text: str, phrase: str) -> list[str]:
+    """What follows each place of a phrase, in any case."""
+    lower, at, out = text.lower(), -1, []
+    while (at := lower.find(phrase, at + 1)) >= 0:
+        out.append(text[at + len(phrase) :])
+    return out
 
 
 def _answer(text: str) -> str | None:
-    """The last boxed value, else the integer after "final answer is"."""
-    if boxes := [v for v in boxed_values(text.replace("\\fbox", "\\nobox"))]:
+    """The last boxed value, else the whole number after "final answer is"."""
+    if boxes := boxed_values(text.replace("\\fbox", "\\nobox")):
         return boxes[-1].strip()
-    m = STATED.search(text)
-    return m.group(1) if m else None
+    for rest in _after(text, "final answer is"):
+        stated = rest.lstrip()
+        digits = stated.removeprefix("-")
+        n = len(digits) - len(digits.lstrip("0123456789"))
+        if rest[:1].isspace() and n:
+            return stated[: len(stated) - len(digits) + n]
+    return None
+
+
+def _formula(text: str) -> str | None:
+    """The rest of the line after "recurrence:"."""
+    for rest in _after(text, "recurrence"):
+        head, colon, said = rest.partition(":")
+        line = said.lstrip().split("\n", 1)[0].strip()
+        if colon and not head.strip() and line:
+            return line
+    return None
+
+
+def assignments(text: str) -> dict[str, str]:
+    """Whole numbers given to names and to places of a table; the last value of a place and the first of a name count."""
+    places, names = {}, {}
+    pieces = text.split("=")
+    for left, right in zip(pieces, pieces[1:]):
+        target, value = TARGET.search(left), WHOLE.match(right)
+        if target and value:
+            name = target.group(1)
+            if "[" in name:
+                places[name] = value.group(1)
+            else:
+                names.setdefault(name, value.group(1))
+    return places | names
+
+
+def _blocks(text: str) -> list[str]:
+    """Contents of closed code blocks, without a leading language name."""
+    found = text.split("```")[1:-1:2] if text.count("```") > 1 else []
+    return [(b[6:] if b[:6].lower() == "python" else b).strip() for b in found]
+
+
+def tag_places(raw: str) -> dict[str, tuple[int, int]]:
+    """Start and end of the inside of the first tag of every name, from one scan; names that never close are left out."""
+    opened: dict[str, int] = {}
+    found: dict[str, tuple[int, int]] = {}
+    for m in TAGS.finditer(raw):
+        slash, name = m.groups()
+        if not slash:
+            opened.setdefault(name, m.end())
+        elif name in opened and name not in found:
+            found[name] = (opened[name], m.start())
+    return found
 
 
 def parse_spans(raw: str | None, nodes: list[str]) -> list[dict]:
-    """One span a node, in node order. A node's tag is a_<id>, a_<position>, and for main also a_main and main; the first tag that
+    """One span a node, in node order. A node's tag is a_<id>, a_<position>, and for main also a_main and main; the first of these that
     closes wins. Nodes without a span have an empty text and offsets -1. Offsets count code points."""
-    spans = []
+    places, spans = tag_places(raw or ""), []
     for place, node in enumerate(nodes, 1):
-        names = [f"a_{node}", f"a_{place}", *(("a_main", "main") if node == "main" else ())]
-        text, start, end = "", -1, -1
-        for name in names:
-            opened = (raw or "").find(f"<{name}>")
-            closed = (raw or "").find(f"</{name}>", opened) if opened >= 0 else -1
-            if closed >= 0:
-                start, end = opened + len(name) + 2, closed
-                text = raw[start:end]
-                break
-        values = dict(TABLE_VALUE.findall(text))
-        for name, value in NAMED_VALUE.findall(text):
-            if name != "dp":
-                values.setdefault(name, value)
-        formula = FORMULA.search(text)
+        names = (f"a_{node}", f"a_{place}", *(("a_main", "main") if node == "main" else ()))
+        start, end = next((places[n] for n in names if n in places), (-1, -1))
+        text = raw[start:end] if start >= 0 else ""
         spans.append(
             {
-                "node_id": node, "raw_text": text.strip(), "code_blocks": [b.strip() for b in BLOCK.findall(text)], "extracted_answer": _answer(text),
-                "extracted_formula": formula.group(1).strip() if formula else None, "extracted_values": values, "start_char": start, "end_char": end,
+                "node_id": node, "raw_text": text.strip(), "code_blocks": _blocks(text), "extracted_answer": _answer(text),
+                "extracted_formula": _formula(text), "extracted_values": assignments(text), "start_char": start, "end_char": end,
             }
         )
     return spans
@@ -135,32 +181,58 @@ def python_signature_ok(signature: pd.Series, blocks: pd.Series) -> pd.Series:
 
 
 #: Modules generated code may import, and names it must not use.
-IMPORTS = frozenset("collections fractions functools heapq itertools math operator statistics".split())
-FORBIDDEN = frozenset(
-    "__import__ breakpoint compile delattr dir eval exec exit getattr globals help input locals memoryview open quit requests setattr socket subprocess type urllib vars".split()
-)
+IMPORTS = frozenset(["collections", "fractions", "functools", "heapq", "itertools", "math", "operator", "statistics"])
+FORBIDDEN = frozenset([
+    "__import__", "breakpoint", "compile", "delattr", "dir", "eval", "exec", "exit", "getattr", "globals", "help", "input", "locals",
+    "memoryview", "open", "quit", "requests", "setattr", "socket", "subprocess", "type", "urllib", "vars",
+])
 LONGEST_CODE, LONGEST_EXPRESSION = 20_000, 4_000
 
 
+class _Refused(Exception):
+    """Why a piece of code is refused."""
+
+
+class _Guard(ast.NodeVisitor):
+    """Visits every node of a tree and refuses imports, names and attributes that are not allowed."""
+
+    def visit_Import(self, node: ast.Import) -> None:
+        self._modules(a.name for a in node.names)
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        self._modules([node.module or ""])
+
+    def _modules(self, names) -> None:
+        if any(name.partition(".")[0] not in IMPORTS for name in names):
+            raise _Refused("import")
+
+    def visit_Name(self, node: ast.Name) -> None:
+        if node.id in FORBIDDEN:
+            raise _Refused("name")
+
+    def visit_Attribute(self, node: ast.Attribute) -> None:
+        if node.attr.startswith("__"):
+            raise _Refused("dunder")
+        self.visit(node.value)
+
+    def visit_Constant(self, node: ast.Constant) -> None:
+        if isinstance(node.value, str) and "__" in node.value:
+            raise _Refused("dunder")
+
+
 def code_problem(code: str | None, expression: bool = False) -> str | None:
-    """Why code, or a test expression, is refused; null if it is not."""
-    code = (code or "").strip()
-    if not code:
+    """Why code, or a test expression, is refused; null if it is not. Of several reasons the first in the text counts."""
+    text = (code or "").strip()
+    if not text:
         return "empty"
-    if len(code) > (LONGEST_EXPRESSION if expression else LONGEST_CODE):
+    if len(text) > (LONGEST_EXPRESSION if expression else LONGEST_CODE):
         return "too long"
     try:
-        tree = ast.parse(code, mode="eval" if expression else "exec")
+        _Guard().visit(ast.parse(text, mode="eval" if expression else "exec"))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return "syntax"
-    for node in ast.walk(tree):
-        modules = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
-        if any(m.split(".")[0] not in IMPORTS for m in modules):
-            return "import"
-        if isinstance(node, ast.Name) and node.id in FORBIDDEN:
-            return "name"
-        if isinstance(node, ast.Attribute) and node.attr.startswith("__") or isinstance(node, ast.Constant) and isinstance(node.value, str) and "__" in node.value:
-            return "dunder"
+    except _Refused as refused:
+        return str(refused)
     return None
 
 
@@ -169,19 +241,55 @@ def unsafe_code(code: pd.Series) -> pd.Series:
     return code.map(code_problem)
 
 
-def defined_and_called(code: str) -> tuple[set[str], set[str]]:
-    """Names of functions a piece of code defines at top level and names it calls anywhere."""
-    tree = ast.parse(code)
-    return {f.name for f in tree.body if isinstance(f, ast.FunctionDef)}, {c.func.id for c in ast.walk(tree) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)}
+#: Calls that a test may make beside what the code defines or imports.
+TEST_CALLS = frozenset(
+    ["abs", "all", "any", "bool", "dict", "enumerate", "filter", "float", "int", "len", "list", "map", "max", "min", "pow", "range", "reversed", "round", "set", "sorted", "str", "sum", "tuple", "zip"]
+)
+
+
+class _Names(ast.NodeVisitor):
+    """Names that code defines or imports, at any depth, and names it calls."""
+
+    def __init__(self) -> None:
+        self.defined: set[str] = set()
+        self.imported: set[str] = set()
+        self.called: set[str] = set()
+
+    def generic_visit(self, node: ast.AST) -> None:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            self.defined.add(node.name)
+        elif isinstance(node, ast.alias):
+            self.imported.add(node.asname or node.name.partition(".")[0])
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
+            self.called.add(node.func.id)
+        super().generic_visit(node)
+
+
+def names_of(code: str) -> _Names:
+    names = _Names()
+    names.visit(ast.parse(code.strip()))
+    return names
 
 
-def contract_ok(code: str | None, function: str, calls: list[str]) -> bool:
-    """The code defines the function, and every test expression calls it."""
+def contract_problem(code: str | None, signature: str | None, calls: list[str]) -> str | None:
+    """The code must define the function of the signature, and tests may call only what it defines or imports and TEST_CALLS."""
     try:
-        defined, _ = defined_and_called(code or "")
-        return function in defined and all(function in defined_and_called(c)[1] for c in calls)
-    except (SyntaxError, ValueError):
-        return False
+        own = names_of(code or "")
+        head, bracket, _ = (signature or "").strip().partition("(")
+        if bracket and head.strip().isidentifier() and head.strip() not in own.defined:
+            return f"{head.strip()} is not defined"
+        for call in calls:
+            if missing := sorted(names_of(call).called - own.defined - own.imported - TEST_CALLS):
+                return f"{missing[0]} is not defined"
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return "syntax"
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def contract_fault(code: pd.Series, signature: pd.Series, calls: pd.Series) -> pd.Series:
+    """contract_problem as a column; null if the contract holds."""
+    return pd.Series([contract_problem(c, s, [] if k is None else list(k)) for c, s, k in zip(code, signature, calls, strict=True)], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -222,6 +330,12 @@ def token_range(tokens: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([find(a, b) for a, b in zip(tokens, wanted, strict=True)])
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def printed_outputs(stdout: pd.Series, marker: pd.Series) -> pd.Series:
+    """outputs_of as a column."""
+    return pd.Series([outputs_of(o, m) for o, m in zip(stdout, marker, strict=True)])
+
+
 def outputs_of(stdout: str | None, marker: str) -> dict[str, str]:
     """Lines marker::index::repr as a map; the last line of an index wins, a repr that is no literal stays text."""
     out: dict[str, str] = {}

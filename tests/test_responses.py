@@ -31,6 +31,14 @@ def test_tag_columns(spark):
     assert len(nested) == 5
 
 
+def test_one_scan_of_tags():
+    text = "<a_f1>x = 3, dp[0]=1, dp[0] = 2, x = 9, y == 4\nRecurrence: f(n) = 2\n```Python\ncode\n``` ```open</a_f1><main>The final answer is x; the final answer is -12th</main><a_f2>never closed"
+    f1, main, f2 = spans.parse_spans(text, ["f1", "main", "f2"])
+    assert (f1["extracted_values"], f1["extracted_formula"], f1["code_blocks"], f1["extracted_answer"]) == ({"dp[0]": "2", "x": "3"}, "f(n) = 2", ["code"], None)
+    assert (main["extracted_answer"], f2["start_char"], f2["raw_text"]) == ("-12", -1, "")
+    assert text[f1["start_char"] : f1["end_char"]].startswith("x = 3")
+
+
 def test_signatures_and_safety():
     assert spans.signature_matches("f(a, *, b)", ["def f(a: int, *, b=2):\n    pass"])
     assert not spans.signature_matches("f(a, b)", ["def f(a, *, b):\n    pass"])
@@ -40,7 +48,10 @@ def test_signatures_and_safety():
     bad = {"import os": "import", "eval('1')": "name", "().__class__": "dunder", "x = '__y'": "dunder", "def": "syntax", "": "empty", "#" * 20_001: "too long"}
     assert {k: spans.code_problem(k) for k in bad} == bad
     assert spans.code_problem("f(2)", expression=True) is None and spans.code_problem("x = 1", expression=True) == "syntax"
-    assert spans.contract_ok("def f(x): return x", "f", ["f(1) == 1"]) and not spans.contract_ok("def g(x): return x", "f", [])
+    contract = spans.contract_problem
+    assert contract("def f(x): return x", "f(x)", ["f(1) == 1", "len([f(2)])"]) is None
+    assert contract("def g(x): return x", "f(x)", []) == "f is not defined" and contract("def f(x): return x", "f(x)", ["h(1)"]) == "h is not defined"
+    assert contract("import math\nfrom fractions import Fraction as Q\ndef f(x): return x", "f(x)", ["Q(1, 2)"]) is None and contract("def", "f(x)", []) == "syntax"
     assert spans.outputs_of("M::0::[1, 2]\nM::0::3\nnoise\nM::1::oops(", "M") == {"0": "3", "1": "oops("}
 
 
@@ -241,13 +252,6 @@ def test_records(spark):
     assert [(r.input_ids, r.labels) for r in got] == [([1, 7], [-100, 7]), ([2, 3, 4, 5, 6], [-100, -100, -100, 5, 6])]
     wide = records.padded(out, "b", 0).collect()
     assert {len(r.labels) for r in wide} == {5} and {len(r.attention_mask) for r in wide} == {5}
-    t = spark.createDataFrame([("A.b.c", "f", [["x", "A.b.c"], ["a", "x"]])], "full_name string, file_path string, premises array<array<string>>")
-    r = records.theorem_records(t).first()
-    assert (r.namespace, r.premise_ids) == ("A.b", ["a", "x"])
-    p = spark.createDataFrame([("p", [("f1", "f1(x)"), ("main", "main()")])], "problem_id string, nodes array<struct<id:string,signature:string>>")
-    a = spark.createDataFrame([("p", "main", ["exact"], [("unit",)], "main()")], "problem_id string, node_id string, check_types array<string>, tests array<struct<kind:string>>, target_call string")
-    b = records.compile_bundle(p, a).first()
-    assert [n.id for n in b.public_nodes] == ["f1", "main"] and [n.target_call for n in b.hidden_nodes] == [None, "main()"]
     chat = records.chat_records(spark.createDataFrame([("x", "q")], "id string, t string"), "id", {"graph": [records.message("user", F.col("t"))], "solve": [records.message("user", F.col("t")), records.message("assistant", F.lit(" "))]})
     assert [(r.id, r.ok) for r in chat.select("id", records.ends_with_answer(F.col("messages")).alias("ok")).collect()] == [("x:graph", False), ("x:solve", False)]
     assert spark.range(1).select(records.last_line(F.lit("a\n b \n\n"))).first()[0] == "b"
