@@ -71,10 +71,6 @@ def pair_transitions(spark, folder):
     return compare.transitions(compare.paired(results(spark, folder, *compare.METRICS), "adapter", "id", BASELINE, "main_grpo"), ["metric"])
 
 
-def label_pairs(spark, folder):
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(compare.label_pairs(LABELS, BASELINE))], "position int, left_label string, right_label string")
-
-
 def strata_rates(spark, folder):
     rows = results(spark, folder, "final_answer_correct").join(origins(spark, folder), "id", "left").withColumn("family", canonical.family(F.col("id")))
     return compare.strata(rows, ["family", "source", "difficulty"], F.col("final_answer_correct"), ["adapter"]).withColumns(_r("rate", "low", "high"))
@@ -177,11 +173,6 @@ def split_overlap(spark, folder):
     return constraints.overlap_report(rows.where("s = 'train'"), rows.where("s <> 'train'"), "id").withColumn("examples", F.array_join("examples", ","))
 
 
-def unknown_results(spark, folder):
-    known = table(spark, folder, "problems").select("id").union(table(spark, folder, "eval_items").select("item_id"))
-    return constraints.missing_keys(table(spark, folder, "eval_results").where("id is not null"), known, "id")
-
-
 def invalid_results(spark, folder):
     rows = table(spark, folder, "eval_results")
     broken = F.array_compact(F.array(
@@ -379,11 +370,6 @@ def _tagged(spark, folder):
     return rows.withColumn("nodes", F.array_distinct(F.concat(F.regexp_extract_all("raw_text", F.lit(r"<a_(f[0-9]+)>"), F.lit(1)), F.array(F.lit("main")))))
 
 
-def tagged_spans(spark, folder):
-    found = _tagged(spark, folder).where("raw_text like '%<a_f%'").select("rollout_id", F.explode(spans.tagged_spans("raw_text", "nodes")).alias("s"))
-    return found.select("rollout_id", "s.node_id", "s.start_char", "s.end_char", F.size("s.code_blocks").alias("blocks"), "s.extracted_answer")
-
-
 def first_tags(spark, folder):
     return _tagged(spark, folder).select("rollout_id", F.length(spans.first_tag(F.col("raw_text"), F.lit("a_f1"))).alias("first_length"), F.length(spans.first_tag(F.col("raw_text"), F.lit("main"))).alias("main_length"))
 
@@ -416,37 +402,6 @@ def answer_matches(spark, folder):
     return checked.groupBy("e.method", "e.equivalent").agg(F.count("*").alias("n"))
 
 
-def _graphs(spark, folder):
-    """A graph per response: its functions in order, each feeding the next and the last feeding main."""
-    rows = _tagged(spark, folder)
-    node = lambda n: F.struct(n.alias("id"), F.concat(n, F.lit("?")).alias("question"), F.concat(n, F.lit("(x)")).alias("signature"), F.when(n == "main", "final_answer").otherwise("python_function").alias("expected_output_type"))
-    edge = lambda i: F.struct(F.get("nodes", i).alias("source"), F.get("nodes", i + 1).alias("target"), F.lit("uses_value").alias("relation_type"))
-    places = F.when(F.size("nodes") > 1, F.sequence(F.lit(0), F.size("nodes") - 2)).otherwise(F.array().cast("array<int>"))
-    linked = rows.select(F.col("rollout_id").alias("graph_id"), F.col("nodes").alias("ids"), F.transform(places, edge).alias("edges"))
-    return linked.select("graph_id", F.transform("ids", node).alias("nodes"), "edges")
-
-
-def dag_check(spark, folder):
-    checked = graph.graph_problem(_graphs(spark, folder))
-    return checked.groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("graphs"))
-
-
-def ancestors(spark, folder):
-    return graph.ancestors_of_main(_graphs(spark, folder)).groupBy("graph_id").agg(F.count("*").alias("nodes"))
-
-
-def edge_scores(spark, folder):
-    found = _tagged(spark, folder).where("raw_text like '%<a_f%'").select("rollout_id", spans.tagged_spans("raw_text", "nodes").alias("s"))
-    ends = found.select("rollout_id", F.posexplode("s").alias("pos", "n")).select("rollout_id", "pos", "n.node_id", "n.raw_text", "n.extracted_values", "n.extracted_answer")
-    parent = ends.select("rollout_id", (F.col("pos") + 1).alias("pos"), F.col("node_id").alias("source"), F.col("extracted_values").alias("parent_values"), F.col("raw_text").alias("parent_text"))
-    edges = parent.join(ends, ["rollout_id", "pos"]).select(
-        "rollout_id", "source", F.col("node_id").alias("target"), F.lit("uses_value").alias("relation_type"), "parent_values", "parent_text", F.col("raw_text").alias("child_evidence"),
-        F.array().cast("array<struct<kind:string,passed:boolean>>").alias("child_tests"), F.lit(True).alias("child_executable"), F.lit(False).alias("answer_matches"),
-        F.create_map().cast("map<string,string>").alias("parent_outputs"), F.create_map().cast("map<string,string>").alias("child_outputs"),
-    )
-    return graph.edge_scores(edges).groupBy("source", "target").agg(F.count("*").alias("edges"), F.round(F.avg("score"), 6).alias("mean_score"))
-
-
 def consensus(spark, folder):
     said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("problem_id", "rollout_id", F.lit("main").alias("node_id"), F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{([^{}]*)\}", 1)), F.lit("")).alias("value"))
     return scoring.consensus(said).groupBy("problem_id").agg(F.count("*").alias("rollouts"), F.round(F.avg("consensus"), 6).alias("mean_consensus"))
@@ -527,11 +482,6 @@ def node_scores(spark, folder):
     return scored.groupBy("adapter").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("execution", "unit", "property", "combined")))
 
 
-def positional_tests(spark, folder):
-    rows = _tests(results(spark, folder, "test_counts")).select("adapter", F.transform("tests", lambda t: F.struct(t["kind"].alias("kind"))).alias("expected"), F.transform("tests", lambda t: F.struct(t["passed"].alias("passed"))).alias("actual"))
-    return metrics.test_totals(rows, ["adapter"])
-
-
 def failure_classes(spark, folder):
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     kinds = {"python_executable": "execution_failure", "backward_target_correct": "dependency_failure", "final_answer_correct": "final_answer_failure"}
@@ -576,24 +526,16 @@ def answer_kinds(spark, folder):
     return rows.groupBy(canonical.numeric_answer(F.col("gold_answer")).alias("numeric"), canonical.family(F.col("id")).alias("family")).agg(F.count("*").alias("n"))
 
 
-def theorem_names(spark, folder):
-    """Sources as dotted names, courses as premises."""
-    rows = table(spark, folder, "documents").where("source is not null and course_id is not null").groupBy("source").agg(F.collect_set("course_id").alias("c"))
-    traces = rows.select(F.concat(F.lit("Notes."), F.replace("source", F.lit("_"), F.lit("."))).alias("full_name"), F.col("source").alias("file_path"), F.array(F.col("c"), F.array(F.lit("Notes.scan.ocr"))).alias("premises"))
-    out = records.theorem_records(traces)
-    return out.select("lean_name", "namespace", F.size("premise_ids").alias("premises"), F.array_min("premise_ids").alias("first_premise"))
-
-
 def seeded_uniform(spark, folder):
     return table(spark, folder, "eval_items").select("item_id", F.round(uniform(F.col("item_id"), SEED), 9).alias("u"))
 
 
 ALL = (
-    paired_report, eval_summary, metric_deltas, pair_transitions, label_pairs, strata_rates, wilson_rates, mcnemar_by_source, holm_by_source, pass_at_k, test_count_totals,
+    paired_report, eval_summary, metric_deltas, pair_transitions, strata_rates, wilson_rates, mcnemar_by_source, holm_by_source, pass_at_k, test_count_totals,
     frequency_counts, merged_summaries, group_ranges, dedup_first, dedup_first_unicode, dedup_conflicts, unique_pool, last_delivery, leak_exclude, resume_missing, repeated_keys,
-    split_overlap, unknown_results, invalid_results, forbidden_keys, stratified_sample, stratified_select, stratified_split, balanced_select, assign_splits, hash_split, seeded_page,
+    split_overlap, invalid_results, forbidden_keys, stratified_sample, stratified_select, stratified_split, balanced_select, assign_splits, hash_split, seeded_page,
     replay_mix, shards, hard_set, reject_reasons, canonical_omni, normalised_problems, problem_labels, rate_buckets, safe_labels, chat_records, encoded_features, padded_batches,
-    ids_digest, selection_manifest, jaccard_top_k, idf_top_k, cosine_top_k, memory_top_k, memory_sizes, memory_update, tagged_spans, first_tags, exact_tags, code_checks, boxed_answers,
-    answer_matches, dag_check, ancestors, edge_scores, consensus, rewards, span_rewards, group_advantages, span_advantages, token_advantages, efficiency, seeded_uniform,
-    node_scores, positional_tests, failure_classes, trajectory_metrics, metadata_fields, token_counts, known_ids, answer_kinds, theorem_names,
+    ids_digest, selection_manifest, jaccard_top_k, idf_top_k, cosine_top_k, memory_top_k, memory_sizes, memory_update, first_tags, exact_tags, code_checks, boxed_answers,
+    answer_matches, consensus, rewards, span_rewards, group_advantages, span_advantages, token_advantages, efficiency, seeded_uniform,
+    node_scores, failure_classes, trajectory_metrics, metadata_fields, token_counts, known_ids, answer_kinds,
 )

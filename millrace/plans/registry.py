@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import built, sql
 from millrace.plans import queries as core
-from millrace.plans import sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in core.ALL}
+    return {f.__name__: f for f in (*core.ALL, *built.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.SQL)
+    return sql.SQL | built.SQL

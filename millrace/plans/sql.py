@@ -144,7 +144,6 @@ with {RESULTS}, s as ({SUMMARY}), long as ({" union all ".join(f"select adapter,
 select a.adapter, a.metric, round(b.v, 6) as baseline, round(a.v, 6) as candidate, round(round_even(a.v - b.v, 6), 6) as delta
 from long a join long b on a.metric = b.metric and b.adapter = 'stage2' where a.adapter <> 'stage2'""",
     "pair_transitions": f"with {RESULTS} select metric, {COUNTS} from ({long_pairs('stage2', 'main_grpo')}) group by metric",
-    "label_pairs": " union all ".join(f"select {i}::int as position, '{a}' as left_label, '{b}' as right_label" for i, (a, b) in enumerate(LABEL_PAIRS)),
     "strata_rates": f"""
 with {RESULTS}, {PROB}, {ORIGIN},
   rows_ as (select r.adapter, coalesce(r.final_answer_correct, false) as ok, case when r.id like 'medium\\_%' escape '\\' then 'medium' else 'omni' end as family,
@@ -187,7 +186,6 @@ select record_no, id from p where s in ('validation', 'test') and text is not nu
     "split_overlap": f"""
 with p as (select id, {SPLIT} as s from problems), b as (select distinct id from p where s = 'train' and id is not null intersect select id from p where s <> 'train')
 select (select count(*) from b) as overlap, (select coalesce(string_agg(id, ',' order by id), '') from (select id from b order by id limit 10)) as examples""",
-    "unknown_results": "select distinct id from eval_results where id is not null and id not in (select id from problems where id is not null union select item_id from eval_items)",
     "invalid_results": """
 with bad as (
   select result_no, 'prompt_token_count' as rule from eval_results where coalesce(prompt_token_count, -1) < 0
@@ -299,8 +297,6 @@ with {ROLL}, {TAGS}, x as (
 select rollout_id, tags = wanted and regexp_replace(regexp_replace(t, '(?s)<a_[A-Za-z0-9_]+>.*?</a_[A-Za-z0-9_]+>', '', 'g'), '[\s\p{{Z}}]+', '', 'g') = '' as exact, list_sort(tags) = list_sort(wanted) as once from y""",
     "boxed_answers": rf"""
 with {ROLL} select rollout_id, trim(regexp_extract_all(raw_text, '\\boxed\{{([^{{}}]*)\}}', 1)[-1]) as boxed from roll where raw_text like '%boxed{{%'""",
-    "dag_check": f"with {ROLL} select 'valid' as problem, count(*) as graphs from roll where raw_text is not null",
-    "ancestors": f"with {ROLL}, {TAGS} select rollout_id as graph_id, len(nodes) as nodes from tagged",
     "consensus": rf"""
 with {ROLL}, v as (
   select problem_id, rollout_id, nullif(lower(regexp_replace(regexp_replace(trim(regexp_extract(raw_text, 'boxed\{{([^{{}}]*)\}}', 1)), '\\,| ', '', 'g'), '^\$|\$$', '', 'g')), '') as value from roll where raw_text is not null),
@@ -338,7 +334,6 @@ SQL |= {
 with {RESULTS}, {TESTED}, s as (select adapter, x, coalesce(up::double / nullif(ut, 0), 0) as u, coalesce(pp::double / nullif(pt, 0), 0) as p,
   0.25 + case when ut > 0 then 0.5 else 0 end + case when pt > 0 then 0.25 else 0 end as w from tested)
 select adapter, round(avg(x), 6) as execution, round(avg(u), 6) as unit, round(avg(p), 6) as property, round(avg((0.25 * x + 0.5 * u + 0.25 * p) / w), 6) as combined from s group by adapter""",
-    "positional_tests": f"with {RESULTS}, {TESTED} select adapter, sum(up) as unit_passed, sum(ut) as unit_total, sum(pp) as property_passed, sum(pt) as property_total from tested group by adapter",
     "failure_classes": f"""
 with {RESULTS} select adapter, case when not coalesce(python_executable, false) then 'execution' when not coalesce(backward_target_correct, false) then 'dependency'
   when not coalesce(final_answer_correct, false) then 'verification' else 'none' end as failure, count(*) as n from results group by 1, 2""",
@@ -358,10 +353,6 @@ select name, count(*) as n from c where name is not null and trim(name) <> '' gr
     "answer_kinds": f"""
 with {PROB} select regexp_matches(gold_answer, '[0-9]') and not regexp_matches(lower(gold_answer), 'none|cannot|insufficient|all of the above') as numeric,
   case when id like 'medium\\_%' escape '\\' then 'medium' else 'omni' end as family, count(*) as n from prob where gold_answer is not null group by 1, 2""",
-    "theorem_names": r"""
-with n as (select 'Notes.' || replace(source, '_', '.') as lean_name, list(distinct course_id) || ['Notes.scan.ocr'] as c from documents where source is not null and course_id is not null group by source),
-  p as (select lean_name, list_sort(list_filter(list_distinct(c), lambda x: x <> lean_name)) as ps from n)
-select lean_name, regexp_replace(lean_name, '\.[^.]*$', '') as namespace, len(ps)::int as premises, ps[1] as first_premise from p""",
 }
 _SOURCE = f"""
 with {RESULTS}, {PROB}, {ORIGIN}, p as ({long_pairs("stage2", "teacher_judge", ("final_answer_correct", "python_executable"))}),
