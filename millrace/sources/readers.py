@@ -61,9 +61,9 @@ def landed(spark: SparkSession, path: str, revision: str | None = None, split: s
 
 
 def rank_files(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
-    """The results of all ranks of a run, files <name>.rank<k>.jsonl of a folder, with a column rank; missing ranks are no fault."""
+    """The results of all ranks of a run, files or folders <name>.rank<k>.jsonl, with a column rank; missing ranks are no fault."""
     typed = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    lines = spark.read.option("pathGlobFilter", "*.rank*").text(folder).select("value", F.input_file_name().alias("_file"))
+    lines = spark.read.text(f"{folder}/*.rank*").select("value", F.input_file_name().alias("_file"))
     rank = F.regexp_extract("_file", r"\.rank(\d+)", 1).cast("int").alias("rank")
     return lines.where(F.trim("value") != "").select(F.from_json("value", typed).alias("r"), rank).select("r.*", "rank")
 
