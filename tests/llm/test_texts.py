@@ -123,7 +123,7 @@ def test_leaks_equal_brute_force(spark):
             v = words(question)
             if mine & {tuple(v[i : i + window]) for i in range(len(v) - window + 1)}:
                 expected.add((n, item))
-    for block in (1, 1 << 20):
+    for block in (1, 200, 1 << 20):
         assert {(r.doc_id, r.item_id) for r in leaks(spark, docs, items, window=window, block_bytes=block)} == expected
 
 
