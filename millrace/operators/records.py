@@ -20,7 +20,7 @@ PRIVATE_KEYS = {
         "verification_graph", "verifier_annotation", "verifier_execution_audit",
     ),
 }
-IGNORED_LABEL = -100
+IGNORED_LABEL, MOST_IDS = -100, 5_000_000
 
 
 def message(role: str, content: Column) -> Column:
@@ -93,10 +93,12 @@ def last_line(text: Column, longest: int = 500) -> Column:
 def ids_digest(rows: DataFrame, key: str, newline_at_end: bool, order: str | None = None) -> DataFrame:
     """One row: SHA-256 of the ids joined by line breaks, in id order or that of another column.
 
-    For locked sets and manifests, whose size a plan bounds; the joined ids are one string.
+    For locked sets and manifests, whose size a plan bounds; the joined ids are one string, so more than MOST_IDS of them are an error.
     """
     joined = F.expr(f"listagg({key}, '\\n') within group (order by {order or key})")
-    return rows.agg(F.sha2(F.concat(F.coalesce(joined, F.lit("")), F.lit("\n" if newline_at_end else "")), 256).alias("ids_sha256"), F.count("*").alias("rows"))
+    digest = F.sha2(F.concat(F.coalesce(joined, F.lit("")), F.lit("\n" if newline_at_end else "")), 256)
+    counted = rows.agg(digest.alias("ids_sha256"), F.count("*").alias("rows"))
+    return counted.withColumn("ids_sha256", F.when(F.col("rows") <= MOST_IDS, F.col("ids_sha256")).otherwise(F.raise_error(F.lit(f"more than {MOST_IDS} ids in one digest"))))
 
 
 def run_accepted(results: DataFrame, by: list[str]) -> DataFrame:

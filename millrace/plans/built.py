@@ -312,6 +312,29 @@ RUN_SQL = f"""with {base.RESULTS}, r as (
   p as (select id, count(*) as n, max(result_no) as last, avg(s) as s, bool_or(k = 1) as shared, max(case when place = 1 then final_answer_correct end) as probe from r group by id)"""
 
 
+def trajectory_metrics(spark, folder):
+    """All results of an id as one trajectory; runtimes, calls, repairs and edges vary by row."""
+    rows = results(spark, folder, *SCORED, "all_hidden_tests_pass", "generation_seconds", "completion_token_count", "status")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    final = flag("final_answer_correct").cast("double")
+    share = F.coalesce(F.try_divide(F.col("test_counts.unit_passed"), F.col("test_counts.unit_total")), F.lit(0.0))
+    total = F.greatest(F.coalesce("test_counts.unit_total", F.lit(0)), F.lit(0))
+    tests = F.transform(F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(F.array().cast("array<int>")), lambda i: F.struct((i <= F.coalesce("test_counts.unit_passed", F.lit(0))).alias("passed")))
+    no_spans = F.array().cast("array<struct<code_blocks:array<string>>>")
+    record = F.struct(
+        F.struct(F.greatest(F.coalesce("completion_token_count", F.lit(0)), F.lit(0)).alias("completion_token_count"), F.pmod("result_no", F.lit(3)).cast("int").alias("tool_call_count"), no_spans.alias("parsed_spans")).alias("rollout"),
+        F.struct(
+            (F.coalesce("generation_seconds", F.lit(0.0)) / 2).alias("runtime_seconds"), flag("python_executable").alias("executable"), (F.col("status") == "timeout").alias("timeout"),
+            F.create_map(F.lit("main"), F.struct(flag("python_executable").alias("executable"), tests.alias("test_results"))).alias("node_results"),
+        ).alias("execution"),
+        F.struct(F.create_map(F.lit("f1"), share, F.lit("main"), flag("all_hidden_tests_pass").cast("double")).alias("node_scores"), F.create_map(F.lit("f1->main"), flag("backward_target_correct").cast("double")).alias("edge_scores"), final.alias("final_answer_score")).alias("verification"),
+        F.struct(final.alias("final_reward")).alias("reward"), F.struct(_case(F.pmod("result_no", F.lit(4)), {0: F.lit("not_needed"), 1: F.lit("succeeded"), 2: F.lit("failed")}, none()).alias("status")).alias("repair"),
+    )
+    held = rows.groupBy("id").agg(F.collect_list(record).alias("rollout_records"), F.sum("generation_seconds").alias("wall_time_seconds"))
+    out = metrics.trajectory_metrics(held.select("wall_time_seconds", "rollout_records"))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
 def teacher_run(spark, folder):
     return metrics.teacher_run(_runs(spark, folder))
 
@@ -442,6 +465,13 @@ select f.id, teacher_payload from f where id in (select item_id from eval_items)
 select case when told and (title = '' or informal = '') then 'no title or statement' when told and trim(coalesce(source, '')) = '' then 'no domain' when told and trim(coalesce(course_id, '')) = '' then 'no keywords' else 'fit' end as fault, told,
   count(*) as records, sum(case when told then length(concat_ws(E'\\n', nullif(title, ''), nullif(informal, ''), 'Formal Lean statement: a statement')) else length('a statement') end)::bigint as text_length,
   sum(case when not told then 0 when course_id is null then null when trim(course_id) = '' then 0 else 1 end)::bigint as keywords from m group by 1, 2""",
+    "trajectory_metrics": f"""with {base.RESULTS}, {base.TESTED}, r as (select id, f, x, coalesce(all_hidden_tests_pass, false)::int::double as h, coalesce(backward_target_correct, false)::int::double as b, coalesce(test_counts.unit_passed::double / nullif(test_counts.unit_total, 0), 0) as u,
+    up, ut, greatest(coalesce(completion_token_count, 0), 0) as tokens, result_no % 3 as calls, result_no % 4 as k, coalesce(generation_seconds, 0) / 2 as run, coalesce(status = 'timeout', false)::int as late, generation_seconds as s from tested),
+  p as (select id, max(f) as best, coalesce(sum(s), 0) as wall from r group by id)
+select round(avg(f), 6) as rollout_accuracy, (select round(avg(best), 6) from p) as pass_at_k, (select round(avg(wall), 6) from p) as average_solving_time_seconds, round(avg(run), 6) as average_sandbox_time_seconds, round(avg(calls), 6) as average_tool_calls,
+  round(avg(tokens), 6) as average_generated_tokens, round(avg(f) / (select avg(wall) from p), 6) as cost_normalized_accuracy, round(sum(u + h) / (2 * count(*)), 6) as node_verification_pass_rate, round(avg(b), 6) as edge_consistency_rate,
+  round(count(*) filter (k = 1)::double / count(*) filter (k <> 0), 6) as repair_success_rate, round(avg(((u >= 1 and h >= 1 and b >= 1) <> (f >= 1))::int), 6) as verifier_disagreement_rate, round(avg((x = 1 and f < 1)::int), 6) as executable_but_wrong_rate,
+  round(sum(f) / (sum(calls) + 1), 6) as tool_productivity, round(sum(up)::double / sum(ut), 6) as useful_tool_ratio, round(sum(1 - x) / sum(calls), 6) as invalid_tool_rate, round(avg(late), 6) as timeout_rate from r""",
     "teacher_run": f"""{RUN_SQL} select count(*) as problems, sum(n)::bigint as teacher_api_calls, round(sum(n)::double / count(*), 6) as teacher_calls_per_problem, count(*) filter (shared) as problems_with_shared_feedback,
   count(*) filter (last % 2 = 0) as problems_with_group_judgment, count(*) filter (not shared) as problems_without_feedback, round(avg(probe), 6) as probe_accuracy, (select round(avg(final_answer_correct), 6) from r) as rollout_accuracy,
   (select round(avg(backward_target_correct), 6) from r) as backward_accuracy, (select round(avg(s / 10), 6) from r) as mean_judge_score, round(avg(s / 100), 8) as mean_kl, round(max(s / 100), 8) as max_kl from p""",
@@ -482,6 +512,6 @@ select method, case method when 'missing' then false when 'canonical_text' then
 
 ALL = (
     dag_check, ancestors, api_match, edge_scores, bundle_checks, bundle_sides, training_problems, evaluation_candidates, evaluation_input, executable_records, source_ids, locked_faults, recovered_payloads,
-    code_records, requests, theorem_records, theorem_faults, enriched_theorems, teacher_run, repair_statuses, with_teacher_summary, sampled_summary, sampled_changes, positional_tests, unknown_results, label_pairs,
+    code_records, requests, theorem_records, theorem_faults, enriched_theorems, trajectory_metrics, teacher_run, repair_statuses, with_teacher_summary, sampled_summary, sampled_changes, positional_tests, unknown_results, label_pairs,
     tagged_spans, signature_checks, answer_numbers,
 )

@@ -153,7 +153,7 @@ def last_delivery(spark, folder):
 
 def leak_exclude(spark, folder):
     rows = table(spark, folder, "problems").withColumn("s", F.coalesce(F.lower(F.trim("split")), F.lit("train")))
-    held = rows.where("s in ('validation', 'test') and text is not null").select("record_no", "id", "text")
+    held = rows.where("s <> 'train' and text is not null").select("record_no", "id", "text")
     known = rows.where("s = 'train'").select("id", "text")
     return dedup.exclude_known(held, known, "id", "text", text.ascii_hash).select("record_no", "id")
 
@@ -292,15 +292,23 @@ def chat_records(spark, folder):
     return out.select("id", "task", F.size("messages").alias("turns"), F.sha2(records.rendered(F.col("messages")), 256).alias("rendered_sha256"), records.ends_with_answer(F.col("messages")).alias("complete"))
 
 
+def _with_prompt(spark, folder):
+    """Responses as completions of a prompt of the recorded length, whose ids are the places 1 to n; a missing length is no prompt."""
+    rows = rollouts(spark, folder, "completion_token_ids", "prompt_token_count").where("completion_token_ids is not null")
+    prompt = F.when(F.col("prompt_token_count") > 0, F.sequence(F.lit(1), F.col("prompt_token_count"))).otherwise(F.array().cast("array<int>"))
+    return rows.select("rollout_id", prompt.alias("prompt"), F.col("completion_token_ids").alias("completion"))
+
+
 def encoded_features(spark, folder):
-    rows = rollouts(spark, folder, "completion_token_ids").where("completion_token_ids is not null").select("rollout_id", F.slice("completion_token_ids", 1, 20).alias("prompt"), F.col("completion_token_ids").alias("completion"))
-    out = records.encoded(rows, "prompt", "completion", 256)
-    return out.select("rollout_id", F.size("input_ids").alias("length"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"))
+    out = records.encoded(_with_prompt(spark, folder), "prompt", "completion", 256)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select(
+        "rollout_id", F.size("input_ids").alias("length"), F.size(F.filter("labels", lambda x: x == -100)).alias("masked"), total("labels").alias("label_sum"), total("input_ids").alias("id_sum")
+    )
 
 
 def padded_batches(spark, folder):
-    rows = rollouts(spark, folder, "completion_token_ids").where("completion_token_ids is not null").select("rollout_id", F.col("completion_token_ids").alias("completion"), F.slice("completion_token_ids", 1, 8).alias("prompt"))
-    wide = records.padded(records.encoded(rows, "prompt", "completion", 4096).withColumn("batch", F.floor(F.col("rollout_id") / 16)), "batch", 0)
+    wide = records.padded(records.encoded(_with_prompt(spark, folder), "prompt", "completion", 4096).withColumn("batch", F.floor(F.col("rollout_id") / 16)), "batch", 0)
     return wide.groupBy("batch").agg(F.max(F.size("input_ids")).alias("width"), F.min(F.size("labels")).alias("least"), F.sum(F.size(F.filter("attention_mask", lambda x: x == 0))).alias("padding"))
 
 
@@ -357,7 +365,7 @@ def memory_sizes(spark, folder):
 
 
 def memory_update(spark, folder):
-    rows = table(spark, folder, "problems").where("id is not null").select("id", "record_no", "batch_no", "source")
+    rows = table(spark, folder, "problems").where("id is not null").select("id", "record_no", F.coalesce("batch_no", F.lit(12)).alias("batch_no"), "source")
     first = dedup.first_wins(rows.where("batch_no <= 6"), F.col("id"), ["record_no"])
     newer = dedup.last_wins(rows.where("batch_no > 6"), "id", ["record_no"])
     return retrieval.update_memory(first, newer).select("id", "record_no", "batch_no")
@@ -403,7 +411,7 @@ def answer_matches(spark, folder):
 
 
 def consensus(spark, folder):
-    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("problem_id", "rollout_id", F.lit("main").alias("node_id"), F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{([^{}]*)\}", 1)), F.lit("")).alias("value"))
+    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("problem_id", "rollout_id", F.lit("main").alias("node_id"), F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{((?:[^{}]|\{[^{}]*\})*)\}", 1)), F.lit("")).alias("value"))
     return scoring.consensus(said).groupBy("problem_id").agg(F.count("*").alias("rollouts"), F.round(F.avg("consensus"), 6).alias("mean_consensus"))
 
 
@@ -489,22 +497,6 @@ def failure_classes(spark, folder):
     return results(spark, folder, "python_executable", "backward_target_correct", "final_answer_correct").groupBy("adapter", scoring.failure_class(failures).alias("failure")).agg(F.count("*").alias("n"))
 
 
-def trajectory_metrics(spark, folder):
-    """Every recorded result as a trajectory of one rollout."""
-    rows = _tests(results(spark, folder, *SUMMARY))
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    final = flag("final_answer_correct").cast("double")
-    none = F.array().cast("array<struct<code_blocks:array<string>>>")
-    record = F.struct(
-        F.struct(F.greatest(F.coalesce("completion_token_count", F.lit(0)), F.lit(0)).alias("completion_token_count"), F.lit(1).alias("tool_call_count"), none.alias("parsed_spans")).alias("rollout"),
-        F.struct(F.lit(0.5).alias("runtime_seconds"), flag("python_executable").alias("executable"), (F.col("status") == "timeout").alias("timeout"), F.create_map(F.lit("main"), F.struct(flag("python_executable").alias("executable"), F.transform("tests", lambda t: F.struct(t["passed"].alias("passed"))).alias("test_results"))).alias("node_results")).alias("execution"),
-        F.struct(F.create_map(F.lit("main"), flag("all_hidden_tests_pass").cast("double")).alias("node_scores"), F.create_map().cast("map<string,double>").alias("edge_scores"), final.alias("final_answer_score")).alias("verification"),
-        F.struct(final.alias("final_reward")).alias("reward"), F.struct(F.when(F.col("status") == "ok", "not_needed").alias("status"), F.struct(F.lit(0.0).alias("final_answer_score")).alias("verification_before_repair")).alias("repair"),
-    )
-    out = metrics.trajectory_metrics(rows.select(F.coalesce("generation_seconds", F.lit(0.0)).alias("wall_time_seconds"), F.array(record).alias("rollout_records")))
-    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
-
-
 def metadata_fields(spark, folder):
     rows = table(spark, folder, "problems").select(text.json_object(F.col("metadata")).alias("v"))
     found = rows.select(F.try_variant_get("v", "$.subject", "string").alias("subject"), F.try_variant_get("v", "$.rev", "int").alias("rev"))
@@ -537,5 +529,5 @@ ALL = (
     replay_mix, shards, hard_set, reject_reasons, canonical_omni, normalised_problems, problem_labels, rate_buckets, safe_labels, chat_records, encoded_features, padded_batches,
     ids_digest, selection_manifest, jaccard_top_k, idf_top_k, cosine_top_k, memory_top_k, memory_sizes, memory_update, first_tags, exact_tags, code_checks, boxed_answers,
     answer_matches, consensus, rewards, span_rewards, group_advantages, span_advantages, token_advantages, efficiency, seeded_uniform,
-    node_scores, failure_classes, trajectory_metrics, metadata_fields, token_counts, known_ids, answer_kinds,
+    node_scores, failure_classes, metadata_fields, token_counts, known_ids, answer_kinds,
 )

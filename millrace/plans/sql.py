@@ -178,7 +178,7 @@ select record_no, id from v where n = 1""",
 qualify row_number() over (partition by id order by record_no desc) = 1""",
     "leak_exclude": f"""
 with p as (select *, {SPLIT} as s from problems), known as (select id, text from p where s = 'train')
-select record_no, id from p where s in ('validation', 'test') and text is not null
+select record_no, id from p where s <> 'train' and text is not null
   and id not in (select id from known where id is not null union select split_part(id, ':', 1) from known where id is not null)
   and {ascii_hash("text")} not in (select {ascii_hash("text")} from known where text is not null)""",
     "resume_missing": "select item_id as id, source from eval_items where item_id not in (select id from eval_results where status = 'ok' and adapter = 'main_grpo' and id is not null)",
@@ -246,11 +246,12 @@ with {PROB}, p as (select * from prob where text is not null and gold_answer is
 select id || ':graph' as id, 'graph' as task, 3::int as turns, sha256('<|im_start|>system' || chr(10) || 'Decompose.<|im_end|>' || chr(10) || t) as rendered_sha256, complete from b
 union all select id || ':solve', 'solve', 2::int, sha256(t), complete from b""",
     "encoded_features": f"""
-with {ROLL}, e as (select rollout_id, completion_token_ids as c, len(completion_token_ids) as n, least(20, len(completion_token_ids), 256 - len(completion_token_ids)) as k from roll where completion_token_ids is not null)
-select rollout_id, (n + k)::int as length, k::int as masked, (list_sum(c) - 100 * k)::bigint as label_sum from e where n > 0 and n < 256""",
+with {ROLL}, e as (select rollout_id, completion_token_ids as c, len(completion_token_ids) as n, case when prompt_token_count > 0 then prompt_token_count else 0 end as p from roll where completion_token_ids is not null),
+  k as (select *, least(p, 256 - n) as k from e where n > 0 and n < 256)
+select rollout_id, (n + k)::int as length, k::int as masked, (list_sum(c) - 100 * k)::bigint as label_sum, (list_sum(c) + k * p - k * (k - 1) // 2)::bigint as id_sum from k""",
     "padded_batches": f"""
-with {ROLL}, e as (select floor(rollout_id / 16)::bigint as batch, len(completion_token_ids) + least(8, len(completion_token_ids)) as n from roll where completion_token_ids is not null and len(completion_token_ids) between 1 and 4087),
-  w as (select batch, n, max(n) over (partition by batch) as m from e)
+with {ROLL}, q as (select rollout_id, len(completion_token_ids) as c, case when prompt_token_count > 0 then prompt_token_count else 0 end as p from roll where completion_token_ids is not null),
+  e as (select floor(rollout_id / 16)::bigint as batch, c + least(p, 4096 - c) as n from q where c between 1 and 4095), w as (select batch, n, max(n) over (partition by batch) as m from e)
 select batch, max(m)::int as width, min(m)::int as least, sum(m - n)::bigint as padding from w group by batch""",
     "ids_digest": """
 with s as (select string_agg(item_id, chr(10) order by item_id) as t, count(*) as rows from eval_items)
@@ -280,8 +281,8 @@ qualify row_number() over (partition by query_id order by round(s.score, 9) desc
 with m as (select case kind when 'solution' then 'theorem' when 'theorem_note' then 'theorem' when 'worksheet' then 'template' when 'diagnosis' then 'failure' else 'prior' end as memory_type from documents where text is not null)
 select t.memory_type, count(m.memory_type) as items from (select unnest(['theorem', 'template', 'prior', 'failure', 'spare']) as memory_type) t left join m on m.memory_type = t.memory_type group by 1""",
     "memory_update": """
-with a as (select id, record_no, batch_no, 0 as o from problems where batch_no <= 6 and id is not null qualify row_number() over (partition by id order by record_no) = 1),
-  b as (select id, record_no, batch_no, 1 as o from problems where batch_no > 6 and id is not null qualify row_number() over (partition by id order by record_no desc) = 1)
+with p as (select id, record_no, coalesce(batch_no, 12) as batch_no from problems), a as (select id, record_no, batch_no, 0 as o from p where batch_no <= 6 and id is not null qualify row_number() over (partition by id order by record_no) = 1),
+  b as (select id, record_no, batch_no, 1 as o from p where batch_no > 6 and id is not null qualify row_number() over (partition by id order by record_no desc) = 1)
 select id, record_no, batch_no from (from a union all from b) qualify row_number() over (partition by id order by o desc) = 1""",
     "first_tags": f"""
 with {ROLL} select rollout_id, """
@@ -299,7 +300,7 @@ select rollout_id, tags = wanted and regexp_replace(regexp_replace(t, '(?s)<a_[A
 with {ROLL} select rollout_id, trim(regexp_extract_all(raw_text, '\\boxed\{{([^{{}}]*)\}}', 1)[-1]) as boxed from roll where raw_text like '%boxed{{%'""",
     "consensus": rf"""
 with {ROLL}, v as (
-  select problem_id, rollout_id, nullif(lower(regexp_replace(regexp_replace(trim(regexp_extract(raw_text, 'boxed\{{([^{{}}]*)\}}', 1)), '\\,| ', '', 'g'), '^\$|\$$', '', 'g')), '') as value from roll where raw_text is not null),
+  select problem_id, rollout_id, nullif(lower(regexp_replace(regexp_replace(trim(regexp_extract(raw_text, 'boxed\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}', 1)), '\\,| ', '', 'g'), '^\$|\$$', '', 'g')), '') as value from roll where raw_text is not null),
   s as (select *, case when value is null then 0 else count(*) over (partition by problem_id, value) / (count(value) over (partition by problem_id))::double end as c from v)
 select problem_id, count(*) as rollouts, round(avg(c), 6) as mean_consensus from s group by problem_id""",
     "rewards": f"""
@@ -337,13 +338,6 @@ select adapter, round(avg(x), 6) as execution, round(avg(u), 6) as unit, round(a
     "failure_classes": f"""
 with {RESULTS} select adapter, case when not coalesce(python_executable, false) then 'execution' when not coalesce(backward_target_correct, false) then 'dependency'
   when not coalesce(final_answer_correct, false) then 'verification' else 'none' end as failure, count(*) as n from results group by 1, 2""",
-    "trajectory_metrics": f"""
-with {RESULTS}, {TESTED}, t as (select *, coalesce(generation_seconds, 0) as wall, greatest(coalesce(completion_token_count, 0), 0) as tokens, {flag("all_hidden_tests_pass")} as h from tested)
-select round(avg(f), 6) as rollout_accuracy, round(avg(f), 6) as pass_at_k, round(avg(wall), 6) as average_solving_time_seconds, 0.5::double as average_sandbox_time_seconds, 1.0::double as average_tool_calls,
-  round(avg(tokens), 6) as average_generated_tokens, round(avg(f) / avg(wall), 6) as cost_normalized_accuracy, round(avg(h), 6) as node_verification_pass_rate, 0.0::double as edge_consistency_rate,
-  0.0::double as repair_success_rate, round(avg(((h >= 1) <> (f >= 1))::int), 6) as verifier_disagreement_rate, round(avg((x = 1 and f < 1)::int), 6) as executable_but_wrong_rate,
-  round(sum(f) / (count(*) + 1), 6) as tool_productivity, round(sum(up + pp)::double / sum(ut + pt), 6) as useful_tool_ratio, round(avg(1 - x), 6) as invalid_tool_rate,
-  round(avg(coalesce(status = 'timeout', false)::int), 6) as timeout_rate from t""",
     "metadata_fields": "select json_extract_string(metadata, '$.subject') as subject, json_extract(metadata, '$.rev')::int as rev, count(*) as n from problems group by 1, 2",
     "token_counts": rf"""
 select record_no, len({IDENTIFIERS.format("text")})::int as identifiers, len({LEXICAL.format("text")})::int as lexical from problems where text is not null""",
