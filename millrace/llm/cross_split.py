@@ -173,10 +173,18 @@ def _align(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
+            known: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray]] = {}
+
+            def text(train: bool, record: int, sequence, known=known) -> tuple[np.ndarray, np.ndarray]:
+                """A text's words and different 3-grams, made once a batch."""
+                if (train, record) not in known:
+                    words = np.asarray(sequence, dtype=np.int64)
+                    known[train, record] = words, np.unique(gram_hashes(words.view(np.uint64), SHINGLE))
+                return known[train, record]
+
             for ra, rb, xs, ys, sa, sb in zip(batch["a"], batch["b"], batch["xs"], batch["ys"], batch["sa"], batch["sb"], strict=True):
-                a, b = np.asarray(sa, dtype=np.int64), np.asarray(sb, dtype=np.int64)
-                ga, gb = np.unique(gram_hashes(a.view(np.uint64), SHINGLE)), np.unique(gram_hashes(b.view(np.uint64), SHINGLE))
-                common = len(np.intersect1d(ga, gb, assume_unique=True))
+                (a, ga), (b, gb) = text(True, ra, sa), text(False, rb, sb)
+                common = int((ga[np.minimum(np.searchsorted(ga, gb), len(ga) - 1)] == gb).sum())
                 similarity = common / (len(ga) + len(gb) - common)
                 if similarity < threshold:
                     continue
