@@ -13,7 +13,8 @@ ranking really gave: `filled` is the number of ranks up to the request that exis
 
 Defined cases: null keys and null plan ids are left out; a key that occurs several times counts once, with the difficulty of the
 delivery that has a number (a record keeps its value, not its spelling), else unrated; empty tables give an empty sample and a
-report of shortfalls; a null target or floor is 0, a null or zero share comes after all others; ties in a priority go to the
+report of shortfalls; a null target, floor or seed is 0, a null or zero share comes after all others; a band without a name or given twice counts not
+at all or once; ties in a priority go to the
 category, then the rank; other columns are not read.
 """
 
@@ -58,7 +59,7 @@ def bands_of(records: DataFrame, targets: DataFrame) -> DataFrame:
     The bands of a family join as one array, so a record meets one row; records that no band holds are left out.
     """
     rated = F.col("difficulty_from").isNotNull() & ~F.isnan("difficulty_from")
-    limits = targets.select("family", F.struct(F.when(rated, F.col("difficulty_from")).alias("low"), F.when(rated, F.col("difficulty_below")).alias("high"), "band").alias("b"))
+    limits = targets.where("family is not null and band is not null").select("family", F.struct(F.when(rated, F.col("difficulty_from")).alias("low"), F.when(rated, F.col("difficulty_below")).alias("high"), "band").alias("b"))
     known = limits.groupBy("family").agg(F.sort_array(F.collect_list("b")).alias("bands"))
     holds = F.filter("bands", lambda b: F.when(F.col("number").isNull(), b["low"].isNull()).otherwise((F.col("number") >= b["low"]) & (F.col("number") < b["high"])))
     return records.join(known, "family").withColumn("band", F.try_element_at(holds, F.lit(1))["band"]).where("band is not null").select("family", "key", "band")
@@ -68,10 +69,11 @@ def requests(manifest: DataFrame, targets: DataFrame) -> DataFrame:
     """(manifest_id, seed, family, band, target, target_share, floor, requested) of every plan and band of its families."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     plan = manifest.where("manifest_id is not null").select(
-        "manifest_id", F.col("selection_seed").alias("seed"),
+        "manifest_id", F.coalesce("selection_seed", F.lit(0)).alias("seed"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("family"), zero(f"{f}_target").alias("target")) for f in ("medium", "omni")))).alias("t"),
     ).select("manifest_id", "seed", "t.*")
-    asked = plan.join(targets.select("family", "band", "target_share", zero("min_rows").alias("floor")), "family")
+    named = targets.where("family is not null and band is not null").groupBy("family", "band").agg(F.min(F.struct("target_share", zero("min_rows").alias("floor"))).alias("b"))
+    asked = plan.join(named.select("family", "band", "b.*"), "family")
     wanted = F.greatest(F.col("floor").cast("bigint"), F.floor(F.coalesce("target_share", F.lit(0.0)) * F.col("target") + 0.5))
     return asked.withColumn("requested", wanted)
 

@@ -11,7 +11,7 @@ a batch already drawn, redeliveries under an earlier batch, and deleted rows cha
 choice; they can only raise one. Without `earlier` the rates are those of a first run over all the rows.
 
 Defined cases: null keys are never chosen; a key delivered several times counts once, from its first batch; a null batch counts
-as the last one planned; a key in neither family is in the family omni; null plan ids are left out; an empty table gives no rows
+as the last one planned; a key in neither family is in the family omni; null plan ids are left out, a null seed is 0; an empty table gives no rows
 and keeps the earlier thresholds; other columns are not read.
 """
 
@@ -39,7 +39,7 @@ def stratum_keys(records: DataFrame, planned_batches: int = PLANNED_BATCHES) ->
 def plan_targets(manifest: DataFrame) -> DataFrame:
     """(plan, seed, stratum, target) of every plan and family."""
     families = F.array(*(F.struct(F.lit(f).alias("stratum"), F.coalesce(F.col(f"{f}_target"), F.lit(0)).cast("double").alias("target")) for f in ("medium", "omni")))
-    return manifest.where("manifest_id is not null").select(F.col("manifest_id").alias("plan"), F.col("selection_seed").alias("seed"), F.explode(families).alias("t")).select("plan", "seed", "t.*")
+    return manifest.where("manifest_id is not null").select(F.col("manifest_id").alias("plan"), F.coalesce("selection_seed", F.lit(0)).alias("seed"), F.explode(families).alias("t")).select("plan", "seed", "t.*")
 
 
 def thresholds(keys: DataFrame, targets: DataFrame, planned_batches: int = PLANNED_BATCHES, earlier: DataFrame | None = None) -> DataFrame:

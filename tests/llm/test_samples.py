@@ -74,6 +74,13 @@ def test_empty(spark):
     assert proportional.proportional_sample(p, o, zero, t)[0].count() == 0
 
 
+def test_nulls_in_plans_and_bands(spark):
+    plans = [(1, None, 10, None, None), (None, 7, 10, 2, "p"), (2, 7, None, 3, "p")]
+    bands = [*BANDS, ("medium", None, 5.0, 6.0, None, None), (None, "x", 1.0, 2.0, 0.5, 1), ("medium", "d1", 1.0, 2.0, 0.5, 2)]
+    sample, report = proportional.proportional_sample(*tables(spark, [problem(i, str(1 + i % 2)) for i in range(40)], (), plans, bands))
+    assert {r.manifest_id for r in sample.collect()} == {1} and {(r.manifest_id, r.band) for r in report.collect()} == {(m, b[1]) for m in (1, 2) for b in BANDS}
+
+
 def draw(spark, rows, plans=((1, 7, 60, 20, "p"), (2, 8, 60, 20, "p"))):
     return {(r.manifest_id, r.id) for r in stable_sample.stable_sample(spark.createDataFrame(rows, PROBLEMS), spark.createDataFrame(list(plans), MANIFEST))[0].collect()}
 
