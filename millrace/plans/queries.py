@@ -404,8 +404,9 @@ def boxed_answers(spark, folder):
 
 def answer_matches(spark, folder):
     gold = problems(spark, folder, "gold_answer").select("id", "gold_answer").union(table(spark, folder, "eval_items").select("item_id", "gold_answer"))
-    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("rollout_id", F.col("problem_id").alias("id"), F.coalesce(canonical.last_boxed("raw_text"), F.nullif(F.regexp_extract("raw_text", r"(?i)final answer is (-?[\d,./]+\d)", 1), F.lit(""))).alias("said"))
-    both = said.where("said is not null").join(gold.groupBy("id").agg(F.min("gold_answer").alias("gold")), "id", "left")
+    boxed = canonical.last_boxed(F.when(F.contains("raw_text", F.lit("boxed{")), F.col("raw_text")))  # texts without a box never reach Python
+    said = rollouts(spark, folder, "problem_id", "raw_text").select("rollout_id", F.col("problem_id").alias("id"), F.coalesce(boxed, F.nullif(F.regexp_extract("raw_text", r"(?i)final answer is (-?[\d,./]+\d)", 1), F.lit(""))).alias("said"))
+    both = said.join(gold.groupBy("id").agg(F.min("gold_answer").alias("gold")), "id", "left")
     checked = both.withColumn("e", answers.answer_equivalence(F.col("said"), F.col("gold")))
     return checked.groupBy("e.method", "e.equivalent").agg(F.count("*").alias("n"))
 

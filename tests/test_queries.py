@@ -41,6 +41,32 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_optional_queries_that_cannot_be_imported_cost_no_other(monkeypatch):
+    import __spark_entry__
+
+    whole = set(__spark_entry__.queries())
+    real = __spark_entry__.importlib.import_module
+
+    def fails(name, *args):
+        if name.startswith("millrace.llm"):
+            raise ImportError("a library is missing")
+        return real(name, *args)
+
+    monkeypatch.setattr(__spark_entry__.importlib, "import_module", fails)
+    assert set(registry.queries()) == set(__spark_entry__.queries()) <= whole
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from millrace import runtime
+
+    empty = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isEmpty=lambda: True))
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: empty), getConf=lambda: SimpleNamespace(get=lambda _: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        runtime.shared_folder(SimpleNamespace(sparkContext=context))
+
+
 def test_core_does_not_import_the_text_operators():
     code = "import pkgutil, importlib, sys, millrace\nfor m in pkgutil.walk_packages(millrace.__path__, 'millrace.'):\n    if not m.name.startswith('millrace.llm'): importlib.import_module(m.name)\nassert not [m for m in sys.modules if m.startswith('millrace.llm.')]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
