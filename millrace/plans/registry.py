@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import built, sql, stored
+from millrace.plans import built, checked, sql, stored
 from millrace.plans import queries as core
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*core.ALL, *built.ALL, *stored.ALL)}
+    return {f.__name__: f for f in (*core.ALL, *built.ALL, *stored.ALL, *checked.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.SQL | built.SQL | stored.SQL
+    return sql.SQL | built.SQL | stored.SQL | checked.SQL

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bundles, metrics, prompts
+from millrace.operators import bundles, metrics, prompts, verification
 
 NODES = [("f1", "n", "q", "f1(x)", "python_function", {"must_state": [" a ", ""], "requirements": ["r"]}), ("main", "m", "q", "main()", "final_answer", {})]
 LINKS = [("f1", "main", "uses_value")]
@@ -213,3 +213,30 @@ def test_small_predicates(spark):
     rows = spark.createDataFrame([([("f1", "x"), ("main", "7")], ("python_function", None), 1.0), ([], ("formula", [1]), None), (None, ("formula", []), 0.5)], "s array<struct<node_id:string,extracted_answer:string>>, n struct<expected_output_type:string,tests:array<int>>, v double")
     got = [tuple(r) for r in rows.select(metrics.main_answer(F.col("s")), metrics.expects_execution(F.col("n")), metrics.verification_pass(F.col("v"))).collect()]
     assert got == [("7", True, True), (None, True, False), (None, False, False)]
+
+
+def test_scores_and_failures_of_a_response(spark):
+    rows = spark.createDataFrame([(1, "7", "7.0", "f(1)", {"f(1)": "14/2"}), (2, "7", "8", "f(1)", {"f(2)": "7"}), (3, None, "7", "f(1)", {"f(1)": "7"}), (4, "7", None, " ", None), (5, "\\sqrt{8}", "2\\sqrt{2}", "", {})], "i int, predicted string, gold string, target_call string, outputs map<string,string>")
+    got = {r.i: (r.final_score, r.backward_score) for r in verification.scored_answers(rows).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (0.0, 0.0), 5: (1.0, None)}
+    n, e = "array<struct<id:string,executable:boolean,passed:boolean>>", "array<struct<source:string,target:string,relation_type:string,severity:string,score:double>>"
+    rows = spark.createDataFrame([
+        ([("f1", True, False), ("f2", None, None), ("main", True, True)], [("f1", "main", "uses_value", "critical", 0.5), ("f2", "main", "uses_value", "hard", 0.0), ("f1", "f2", "x", "critical", None), ("a", "b", "x", "critical", 1.0)], 0.0, 0.0),
+        (None, None, 1.0, None), ([], [], None, 1.0),
+    ], f"n {n}, e {e}, f double, b double")
+    got = [[(f.type, f.node or f.edge) for f in r[0]] for r in rows.select(verification.failure_records(*map(F.col, "nefb"), F.lit("m"))).collect()]
+    assert got == [[("execution_failure", "f2"), ("test_failure", "f1"), ("dependency_failure", "f1->main"), ("dependency_failure", "f1->f2"), ("final_answer_failure", None), ("backward_constraint_failure", None)], [], [("final_answer_failure", None)]]
+
+
+def test_locked_sets(spark):
+    rows, other = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("b",), ("b",), (None,)], "id string")
+    digest = "4e07b0a54fb4ad6a2f1a2cf6b3b1e3b8"
+    from millrace.operators import records
+
+    right = records.ids_digest(rows, "id", True).first().ids_sha256
+    check = lambda *given: verification.locked_fault(rows, "id", *given)
+    assert check(True, 2, right, {"x": other.where("false")}) is None and check(False, 2, right, {}) == "not locked" and check(True, 3, right, {}) == "2 rows instead of 3"
+    assert check(True, 2, digest, {}) == "other ids" and check(True, 2, right, {"training": other}) == "1 ids of training"
+    summary = verification.row_summary(rows, kind=F.when(F.col("id") == "a", "x"), id=F.col("id")).first()
+    assert (summary.rows, summary.kind_counts, summary.id_counts) == (2, {"x": 1, "null": 1}, {"a": 1, "b": 1})
+    assert verification.row_summary(rows.where("false"), id=F.col("id")).first().rows == 0
