@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import audits, canonical, graph, records, retrieval, sampling, spans, verification
+from millrace.operators import audits, canonical, graph, records, retrieval, sampling, spans, verification, views
 from millrace.plans import sql as base
 from millrace.plans.built import _case, none
 from millrace.plans.queries import SEED, _pool, problems, results, rollouts
@@ -115,6 +115,28 @@ def locked_sets(spark, folder):
     return spark.createDataFrame(rows, "name string, fault string")
 
 
+def public_views(spark, folder):
+    """What may be seen of the execution of every result: tests by kind, the last line of errors with hidden tests masked, the ends of
+    outputs, and bounded memory."""
+    rows = results(spark, folder, "python_executable", "test_counts", "generation_seconds")
+    tests = lambda p, t, kind: F.transform(F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).cast("string").alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")))
+    n = F.col("result_no").cast("string")
+    error = _case(F.pmod("result_no", F.lit(4)), {0: F.concat(F.lit("a\n  File <hidden-test "), n, F.lit(">\n \n")), 1: F.lit(None).cast("string"), 2: F.concat(F.lit("first\n"), F.repeat(F.lit("e"), 600), n)}, F.concat(F.lit(" last "), n))
+    node = F.struct(
+        F.col("python_executable").alias("executable"), F.lit(None).cast("boolean").alias("timeout"), F.col("generation_seconds").alias("runtime_seconds"), F.lit("o").alias("stdout"), error.alias("stderr"),
+        F.concat(tests("test_counts.unit_passed", "test_counts.unit_total", None), tests("test_counts.property_passed", "test_counts.property_total", "property")).alias("test_results"),
+    )
+    execution = F.struct(F.col("python_executable").alias("executable"), F.lit(None).cast("boolean").alias("timeout"), F.lit(None).cast("double").alias("runtime_seconds"), F.repeat(F.lit("s"), 5000).alias("stdout"), error.alias("stderr"), F.create_map(F.lit("main"), node).alias("node_results"))
+    item = F.struct(n.alias("id"), F.lit("s").alias("source"), F.repeat(F.lit("t"), 3000).alias("text"), F.array_repeat(F.lit("k"), 30).alias("keywords"), F.lit("secret").alias("hidden"))
+    shown = rows.select("result_no", views.public_execution(execution).alias("p"), views.private_execution(execution).alias("q"), views.bounded_memory(F.array_repeat(item, 5)).alias("m"))
+    main = F.try_element_at("p.node_results", F.lit("main"))
+    count = lambda kind, part: F.coalesce(F.try_element_at(main["test_summary"], F.lit(kind))[part], F.lit(0)).alias(f"{kind}_{part}")
+    return shown.select(
+        "result_no", "p.executable", "p.timeout", main["runtime_seconds"].alias("runtime"), F.length(main["error_summary"]).alias("error_length"), F.left(main["error_summary"], F.lit(11)).alias("error_start"),
+        *(count(k, p) for k in ("unit", "property") for p in ("passed", "total")), F.length("q.stdout").alias("stdout_length"), F.size("m").alias("items"), F.length(F.element_at("m", 1)["text"]).alias("text_length"), F.size(F.element_at("m", 3)["keywords"]).alias("keywords"),
+    )
+
+
 def reachable_nodes(spark, folder):
     """Batches as a chain of nodes a source, walked backwards from the last one: graphs of any size, frontier by frontier."""
     rows = table(spark, folder, "problems").where("source is not null and batch_no is not null").select("source", "batch_no").distinct()
@@ -144,6 +166,9 @@ select query_id, item_id, (row_number() over (partition by query_id order by if(
 select (select count(*) from f) as rows, (select string_agg(f || '=' || n, ',' order by f) from (select f, count(*) as n from f group by f)) as families, (select string_agg(source || '=' || n, ',' order by source) from (select source, count(*) as n from f group by source)) as sources""",
     "locked_sets": """with n as (select count(*) as n from eval_items) select 'locked' as name, 'fit' as fault union all select 'open', 'not locked' union all select 'fewer', n || ' rows instead of ' || (n - 1) from n union all select 'digest', 'other ids'
 union all select 'leak', n || ' ids of training' from n""",
+    "public_views": f"""with {base.RESULTS}, {base.TESTED}, e as (select *, case result_no % 4 when 0 then 'hidden test execution failed' when 1 then '' when 2 then right(repeat('e', 600) || result_no, 500) else 'last ' || result_no end as msg from tested)
+select result_no, coalesce(python_executable, false) as executable, false as timeout, coalesce(generation_seconds, 0) as runtime, length(msg)::int as error_length, left(msg, 11) as error_start, up as unit_passed, ut as unit_total, pp as property_passed, pt as property_total,
+  4000::int as stdout_length, 3::int as items, 2400::int as text_length, 24::int as keywords from e""",
     "reachable_nodes": """with recursive e as (select distinct source as g, batch_no as b from problems where source is not null and batch_no is not null),
   w as (select distinct g, 12 as b from e union select w.g, e.b from w join e on e.g = w.g and e.b + 1 = w.b where e.b % 5 <> 0) select g as graph_id, count(*) as nodes from w group by g""",
 }
@@ -152,5 +177,5 @@ SQL["eval_select"] = f"""with {base.PROB}, {base.POOL}, sized as (select source,
   r as (select *, row_number() over (partition by source order by {base.uniform("(id || ':' || difficulty)")}, id || ':' || difficulty) as rank from pool)
 select r.id, r.source from r join quota q on r.source = q.source where r.rank <= q.quota"""
 ALL = (
-    scored_answers, failure_records, memory_outcomes, reranked, eval_select, token_ranges, printed_outputs, annotation_checks, public_rows, row_summary, locked_sets, reachable_nodes,
+    scored_answers, failure_records, memory_outcomes, reranked, eval_select, token_ranges, printed_outputs, annotation_checks, public_rows, row_summary, locked_sets, public_views, reachable_nodes,
 )

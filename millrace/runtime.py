@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local["):
+        if not folder and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return context._jsc.sc().getCheckpointDir().get()

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import bundles, metrics, prompts, verification
+from millrace.operators import bundles, metrics, prompts, verification, views
 
 NODES = [("f1", "n", "q", "f1(x)", "python_function", {"must_state": [" a ", ""], "requirements": ["r"]}), ("main", "m", "q", "main()", "final_answer", {})]
 LINKS = [("f1", "main", "uses_value")]
@@ -240,3 +240,20 @@ def test_locked_sets(spark):
     summary = verification.row_summary(rows, kind=F.when(F.col("id") == "a", "x"), id=F.col("id")).first()
     assert (summary.rows, summary.kind_counts, summary.id_counts) == (2, {"x": 1, "null": 1}, {"a": 1, "b": 1})
     assert verification.row_summary(rows.where("false"), id=F.col("id")).first().rows == 0
+
+
+def test_views_hide_what_is_private(spark):
+    s = "x struct<executable:boolean,timeout:boolean,runtime_seconds:double,stdout:string,stderr:string,node_results:map<string,struct<executable:boolean,timeout:boolean,runtime_seconds:double,stdout:string,stderr:string,test_results:array<struct<kind:string,passed:boolean,expected:string>>>>>"
+    node = (True, None, 0.5, "o" * 3000, "trace\n <hidden-test 3> \n\n", [(None, True, "1"), ("unit", False, "2"), ("property", None, "3")])
+    rows = spark.createDataFrame([((True, False, 1.0, "s" * 5000, None, {"f1": node, "main": (None, None, None, None, None, None)}),), ((None, None, None, None, None, None),)], s)
+    shown = [r[0] for r in rows.select(views.public_execution(F.col("x"))).collect()]
+    f1 = shown[0].node_results["f1"]
+    assert (f1.error_summary, {k: tuple(v) for k, v in f1.test_summary.items()}) == ("hidden test execution failed", {"unit": (1, 2), "property": (0, 1)}) and "expected" not in str(shown)
+    assert (shown[0].node_results["main"].error_summary, shown[0].node_results["main"].test_summary, shown[1].node_results) == ("", {}, None)
+    private = rows.select(views.private_execution(F.col("x"))).first()[0]
+    assert (len(private.stdout), len(private.node_results["f1"].stdout), private.stderr) == (4000, 2000, "")
+    v = spark.createDataFrame([((1.0, [("final_answer_failure", "42")]),)], "v struct<final_answer_score:double,failures:array<struct<type:string,gold:string>>>")
+    assert v.select(views.public_verification(F.col("v"), ["type", "gold"])).first()[0].failures[0].asDict() == {"type": "final_answer_failure"}
+    m = spark.createDataFrame([([("i", "s", "t" * 3000, ["k"] * 30, "secret")] * 5,), (None,)], "m array<struct<id:string,source:string,text:string,keywords:array<string>,embedding:string>>")
+    first, none = (r[0] for r in m.select(views.bounded_memory(F.col("m"))).collect())
+    assert (len(first), len(first[0].text), len(first[0].keywords), none) == (3, 2400, 24, []) and "secret" not in str(first)
