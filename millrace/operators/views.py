@@ -22,10 +22,10 @@ def error_summary(stderr: Column) -> Column:
 
 def test_summary(tests: Column) -> Column:
     """Map of a test's kind (unit, if it has none) to how many passed and how many there are."""
-    kind = lambda t: F.coalesce(t["kind"], F.lit("unit"))
-    held = F.coalesce(tests, F.array().cast("array<struct<kind:string,passed:boolean>>"))
-    kinds = F.array_sort(F.array_distinct(F.transform(held, kind)))
-    of = lambda k: F.filter(held, lambda t: kind(t) == k)
+    short = F.transform(tests, lambda t: F.struct(F.coalesce(t["kind"], F.lit("unit")).alias("kind"), t["passed"].alias("passed")))
+    held = F.coalesce(short, F.array().cast("array<struct<kind:string,passed:boolean>>"))
+    kinds = F.array_sort(F.array_distinct(F.transform(held, lambda t: t["kind"])))
+    of = lambda k: F.filter(held, lambda t: t["kind"] == k)
     passed = lambda k: F.size(F.filter(of(k), lambda t: F.coalesce(t["passed"], F.lit(False))))
     return F.map_from_entries(F.transform(kinds, lambda k: F.struct(k, F.struct(passed(k).alias("passed"), F.size(of(k)).alias("total")))))
 
@@ -62,5 +62,4 @@ def bounded_memory(items: Column, metadata: tuple[str, ...] = ()) -> Column:
     """The first items of a memory context with bounded texts and keywords and the named metadata fields; null contexts are empty."""
     fields = lambda i: [i[c].alias(c) for c in metadata]
     shown = lambda i: F.struct(i["id"].alias("id"), i["source"].alias("source"), F.substring(i["text"], 1, LONGEST_TEXT).alias("text"), F.slice(i["keywords"], 1, MOST_KEYWORDS).alias("keywords"), *fields(i))
-    made = F.transform(F.slice(items, 1, MOST_ITEMS), shown)
-    return F.coalesce(made, F.slice(F.transform(F.array(F.lit(None)), lambda _: F.struct(F.lit("").alias("id"), F.lit("").alias("source"), F.lit("").alias("text"), F.array().cast("array<string>").alias("keywords"), *(F.lit("").alias(c) for c in metadata))), 1, 0))
+    return F.transform(F.slice(F.coalesce(items, F.array()), 1, MOST_ITEMS), shown)
