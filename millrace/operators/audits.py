@@ -26,14 +26,24 @@ def reward_coverage(graphs: DataFrame) -> DataFrame:
         "property_tests": lambda n: F.coalesce(F.array_contains(kinds(n), "property"), F.lit(False)),
         "backward_call": lambda n: F.coalesce(n["target_call"], F.lit("")) != "",
     }
-    verifiable = lambda n: rules["executable_nodes"](n) | F.coalesce(n["static"] & n["expected_output_type"].isin("formula", "values"), F.lit(False))
+    verifiable = lambda n: rules["executable_nodes"](n) | F.coalesce(
+        n["static"] & n["expected_output_type"].isin("formula", "values"),
+        F.lit(False),
+    )
     per = graphs.select(
         F.greatest(F.coalesce(F.size("nodes"), F.lit(0)), F.lit(0)).alias("_n"), F.greatest(F.coalesce(F.size("edges"), F.lit(0)), F.lit(0)).alias("_e"),
         F.greatest(F.coalesce(F.size(F.filter("nodes", verifiable)), F.lit(0)), F.lit(0)).alias("_v"),
         *(F.coalesce(F.exists("nodes", rule), F.lit(False)).alias(name) for name, rule in rules.items()),
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    out = [F.count("*").alias("problems"), total("_n").alias("total_nodes"), total("_e").alias("total_edges"), total("_v").alias("machine_verifiable_nodes"), (total("_n") - total("_v")).alias("unverified_nodes"), F.round(ratio(F.sum("_v"), F.sum("_n")), 6).alias("machine_verifiable_node_rate")]
+    out = [
+        F.count("*").alias("problems"),
+        total("_n").alias("total_nodes"),
+        total("_e").alias("total_edges"),
+        total("_v").alias("machine_verifiable_nodes"),
+        (total("_n") - total("_v")).alias("unverified_nodes"),
+        F.round(ratio(F.sum("_v"), F.sum("_n")), 6).alias("machine_verifiable_node_rate"),
+    ]
     for name in rules:
         out += [F.count_if(name).alias(f"graphs_with_{name}"), F.round(ratio(F.count_if(name), F.count("*")), 6).alias(f"graphs_with_{name}_rate")]
     return per.agg(*out)
@@ -60,9 +70,17 @@ def judge_run(trajectories: DataFrame, most_tokens: int) -> DataFrame:
     scores = F.transform(records, score)
     judged = F.col("teacher_group_judgment.rollout_judgments").isNotNull()
     per = trajectories.select(
-        judged.alias("_judged"), (F.coalesce("teacher_calls_used", F.lit(0)) > 1).alias("_over"), F.size(records).alias("_n"), F.array_min(scores).alias("_min"), F.array_max(scores).alias("_max"), part(score).alias("_sum"),
-        count(lambda r: F.contains(r["rollout"]["prompt_text"], F.lit(FEEDBACK_MARK))).alias("_leaked"), count(lambda r: r["rollout"]["completion_token_count"] >= most_tokens).alias("_capped"),
-        part(lambda r: F.coalesce(r["verification"]["final_answer_score"], F.lit(0.0))).alias("_final"), part(lambda r: F.coalesce(r["verification"]["backward_score"], F.lit(0.0))).alias("_back"), F.col("grpo_update.approx_kl").alias("_kl"),
+        judged.alias("_judged"), (
+            F.coalesce("teacher_calls_used", F.lit(0)) > 1
+        ).alias("_over"), F.size(records).alias("_n"), F.array_min(scores).alias("_min"), F.array_max(scores).alias("_max"), part(score).alias("_sum"),
+        count(
+            lambda r: F.contains(r["rollout"]["prompt_text"], F.lit(FEEDBACK_MARK))
+        ).alias("_leaked"), count(lambda r: r["rollout"]["completion_token_count"] >= most_tokens).alias("_capped"),
+        part(
+            lambda r: F.coalesce(r["verification"]["final_answer_score"], F.lit(0.0))
+        ).alias("_final"), part(
+            lambda r: F.coalesce(r["verification"]["backward_score"], F.lit(0.0))
+        ).alias("_back"), F.col("grpo_update.approx_kl").alias("_kl"),
     )
     n = F.sum("_n")
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -79,7 +97,10 @@ def require_clean_run(audit: DataFrame, problems: int | None = None, all_judged:
     row = audit.first()
     faults = [
         (row.prompts_with_feedback, "feedback leaked into a prompt"), (row.calls_over_budget, "a problem used more than one call"),
-        (problems is not None and row.problems != problems, f"{row.problems} problems instead of {problems}"), (all_judged and row.error_problems, "a judgment failed"),
+        (
+            problems is not None and row.problems != problems,
+            f"{row.problems} problems instead of {problems}",
+        ), (all_judged and row.error_problems, "a judgment failed"),
     ]
     if found := [text for bad, text in faults if bad]:
         raise ConstraintError("; ".join(found))
@@ -113,7 +134,10 @@ def problem_text(columns: list[Column], user_messages: Column) -> Column:
     """First non-blank of the columns, else problem or text of the first user message that is a JSON object with one; else empty."""
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     told = F.filter(
-        F.transform(user_messages, lambda m: F.coalesce(filled(F.get_json_object(m, "$.problem")), filled(F.get_json_object(m, "$.text")))), lambda t: t.isNotNull()
+        F.transform(
+            user_messages,
+            lambda m: F.coalesce(filled(F.get_json_object(m, "$.problem")), filled(F.get_json_object(m, "$.text"))),
+        ), lambda t: t.isNotNull()
     )
     return F.coalesce(*(filled(c) for c in columns), F.try_element_at(told, F.lit(1)), F.lit(""))
 
@@ -126,4 +150,6 @@ def shown_failures(failures: Column, fields: list[str]) -> Column:
 
 def failures_of(parts: dict[str, Column], node: Column) -> Column:
     """Array of (type, node) for every condition that holds, in the order given."""
-    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("type"), node.alias("node"))) for name, bad in parts.items())))
+    return F.array_compact(
+        F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("type"), node.alias("node"))) for name, bad in parts.items()))
+    )

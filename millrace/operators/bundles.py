@@ -18,7 +18,18 @@ from millrace.operators import graph, records, spans
 OUTPUT_TYPES = ("formula", "values", "python_function", "proof_claim", "final_answer")
 KINDS, LEAST_TESTS, LEAST_UNIT, LEAST_PROPERTY, LONGEST_RUN = ("unit", "property"), 4, 3, 1, 2.0
 #: Keys of a node's specification whose texts are semantic requirements, in this order; the first twelve count.
-REQUIREMENT_KEYS = ("requirements", "must_establish", "must_include", "must_show", "must_state", "required_claims", "required_conclusion", "reason", "method", "check_method")
+REQUIREMENT_KEYS = (
+    "requirements",
+    "must_establish",
+    "must_include",
+    "must_show",
+    "must_state",
+    "required_claims",
+    "required_conclusion",
+    "reason",
+    "method",
+    "check_method",
+)
 MOST_REQUIREMENTS = 12
 #: Fixed value: what a prompt says that stands on its own.
 SELF_CONTAINED = "executed alone in a fresh Python 3 interpreter"
@@ -131,17 +142,43 @@ def compile_bundles(rows: DataFrame) -> DataFrame:
     told = lambda n: F.try_element_at(F.filter("annotations", lambda a: F.trim(a["node_id"]) == n["id"]), F.lit(1))
     both = F.transform("nodes", lambda n: F.struct(n.alias("n"), told(n).alias("a")))
     kind = lambda x: F.trim(x["a"]["canonical_output_type"])
-    own = lambda x: (x["n"]["id"].alias("id"), x["n"]["name"].alias("name"), x["n"]["question"].alias("question"), x["n"]["signature"].alias("signature"), kind(x).alias("expected_output_type"))
+    own = lambda x: (
+        x["n"]["id"].alias("id"),
+        x["n"]["name"].alias("name"),
+        x["n"]["question"].alias("question"),
+        x["n"]["signature"].alias("signature"),
+        kind(x).alias("expected_output_type"),
+    )
     only = lambda x, k, c: F.when(kind(x) == k, c)
     texts = lambda ts: F.filter(F.transform(F.coalesce(ts, F.array().cast("array<string>")), stripped), lambda t: t != "")
-    clean = lambda ts: F.transform(ts, lambda t: F.struct(F.trim(t["kind"]).alias("kind"), F.trim(t["expression"]).alias("expression"), t["expected"].alias("expected"), F.nullif(F.trim(t["source"]), F.lit("")).alias("source")))
-    public = F.transform("_both", lambda x: F.struct(*own(x), texts(x["a"]["check_types"]).alias("check_types"), semantic_requirements(x["n"]["spec"]).alias("semantic_requirements")))
+    clean = lambda ts: F.transform(
+        ts,
+        lambda t: F.struct(
+            F.trim(t["kind"]).alias("kind"),
+            F.trim(t["expression"]).alias("expression"),
+            t["expected"].alias("expected"),
+            F.nullif(F.trim(t["source"]), F.lit("")).alias("source"),
+        ),
+    )
+    public = F.transform(
+        "_both",
+        lambda x: F.struct(*own(x), texts(x["a"]["check_types"]).alias("check_types"), semantic_requirements(x["n"]["spec"]).alias("semantic_requirements")),
+    )
     hidden = F.transform("_both", lambda x: F.struct(
         *own(x), only(x, "python_function", clean(x["a"]["tests"])).alias("tests"), only(x, "formula", F.trim(x["a"]["formula"])).alias("formula"),
         only(x, "values", x["a"]["values"]).alias("values"), only(x, "final_answer", F.nullif(F.trim(x["a"]["target_call"]), F.lit(""))).alias("target_call"),
     ))
     python = F.filter("_both", lambda x: kind(x) == "python_function")
-    made = F.transform(python, lambda x: F.struct(x["n"]["id"].alias("node_id"), stripped(x["a"]["reference_code"]).alias("reference_code"), stripped(x["a"]["mutant_code"]).alias("mutant_code"), F.trim(x["a"]["oracle_strategy"]).alias("oracle_strategy"), x["a"]["estimated_runtime_seconds"].alias("estimated_runtime_seconds")))
+    made = F.transform(
+        python,
+        lambda x: F.struct(
+            x["n"]["id"].alias("node_id"),
+            stripped(x["a"]["reference_code"]).alias("reference_code"),
+            stripped(x["a"]["mutant_code"]).alias("mutant_code"),
+            F.trim(x["a"]["oracle_strategy"]).alias("oracle_strategy"),
+            x["a"]["estimated_runtime_seconds"].alias("estimated_runtime_seconds"),
+        ),
+    )
     held = rows.where("problem is null").withColumn("_both", both)
     return held.select(
         "problem_id", public.alias("public_nodes"), hidden.alias("hidden_nodes"), "edges", made.alias("implementations"), F.transform(python, lambda x: x["n"]["id"]).alias("executable_ids")

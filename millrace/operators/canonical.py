@@ -87,15 +87,32 @@ def competition(rows: DataFrame, config: str, source: str = "EleutherAI/hendryck
     level = F.regexp_extract("level", r"(\d+)", 1).try_cast("int")
     held = rows.withColumn("_level", level).where(F.col("_level").between(1, 3)).withColumn("_answer", last_boxed("solution"))
     kept = held.where(F.col("_answer").isNotNull() & (F.col("_answer") != "") & (F.length("_answer") <= longest_answer))
-    return _record(kept, F.trim("problem"), F.trim("solution"), F.col("_answer"), F.array(F.lit(config), F.coalesce("type", F.lit(config))), F.col("_level"), source)
+    return _record(
+        kept,
+        F.trim("problem"),
+        F.trim("solution"),
+        F.col("_answer"),
+        F.array(F.lit(config), F.coalesce("type", F.lit(config))),
+        F.col("_level"),
+        source,
+    )
 
 
 def option_map(options: Column) -> Column:
     """Options such as "a ) 24 , b ) 120" as a map from lower-case letter to value; a value runs to the next marker."""
     marked = F.regexp_replace(options, r"(?:^|,\s*)([a-eA-E])\s*\)\s*", "\u0001$1\u0002")
     parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
-    entry = F.transform(parts, lambda p: F.struct(F.lower(F.substring(p, 1, 1)), F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r'^[ ",]+|[ ",]+$', "")))
-    return F.map_from_entries(F.aggregate(entry, F.slice(entry, 1, 0), lambda kept, e: F.when(F.exists(kept, lambda k: k["col1"] == e["col1"]), kept).otherwise(F.concat(kept, F.array(e)))))
+    entry = F.transform(
+        parts,
+        lambda p: F.struct(F.lower(F.substring(p, 1, 1)), F.regexp_replace(F.split_part(p, F.lit("\u0002"), F.lit(2)), r'^[ ",]+|[ ",]+$', "")),
+    )
+    return F.map_from_entries(
+        F.aggregate(
+            entry,
+            F.slice(entry, 1, 0),
+            lambda kept, e: F.when(F.exists(kept, lambda k: k["col1"] == e["col1"]), kept).otherwise(F.concat(kept, F.array(e))),
+        )
+    )
 
 
 def numeric_answer(answer: Column) -> Column:
@@ -125,7 +142,10 @@ def omni(rows: DataFrame) -> DataFrame:
     kept = held.where((F.col("problem") != "") & (F.col("solution") != "") & (F.col("answer") != ""))
     return kept.select(
         content_id("omni_math", F.col("problem")).alias("id"), "problem", F.col("solution").alias("reference_solution"), F.col("answer").alias("gold_answer"),
-        F.coalesce("domain", F.array().cast("array<string>")).alias("domain"), "difficulty", F.coalesce("source", F.lit("unknown")).alias("source"), F.sha2("problem", 256).alias("problem_sha256"),
+        F.coalesce(
+            "domain",
+            F.array().cast("array<string>"),
+        ).alias("domain"), "difficulty", F.coalesce("source", F.lit("unknown")).alias("source"), F.sha2("problem", 256).alias("problem_sha256"),
     )
 
 

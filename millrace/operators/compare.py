@@ -26,8 +26,16 @@ def summarise(rows: DataFrame, by: list[str]) -> DataFrame:
     aggregates += [F.bround(true_rate(F.col(c)), 6).alias(name) for name, c in RATES.items()]
     for kind in ("unit", "property"):
         passed, all_tests = total(f"{kind}_passed"), total(f"{kind}_total")
-        aggregates += [passed.alias(f"{kind}_tests_passed"), all_tests.alias(f"{kind}_tests_total"), F.bround(ratio(passed, all_tests), 6).alias(f"{kind}_test_pass_rate")]
-    for name, column in (("mean_generation_seconds", "generation_seconds"), ("mean_prompt_tokens", "prompt_token_count"), ("mean_completion_tokens", "completion_token_count")):
+        aggregates += [
+            passed.alias(f"{kind}_tests_passed"),
+            all_tests.alias(f"{kind}_tests_total"),
+            F.bround(ratio(passed, all_tests), 6).alias(f"{kind}_test_pass_rate"),
+        ]
+    for name, column in (
+        ("mean_generation_seconds", "generation_seconds"),
+        ("mean_prompt_tokens", "prompt_token_count"),
+        ("mean_completion_tokens", "completion_token_count"),
+    ):
         aggregates.append(F.bround(mean_or_zero(F.col(column)), 6).alias(name))
     return rows.groupBy(*by).agg(*aggregates)
 
@@ -94,7 +102,13 @@ def all_paired(rows: DataFrame, label: str, key: str, pairs: list[tuple[str, str
     flag = lambda name, c: F.bool_or(F.when(F.col(label) == name, F.coalesce(F.col(c), F.lit(False))))
     wide = rows.where(F.col(label).isin(labels)).groupBy(key).agg(*(flag(name, m).alias(f"{i}_{m}") for i, name in enumerate(labels) for m in metrics))
     cells = [
-        F.struct(F.lit(a).alias("left_label"), F.lit(b).alias("right_label"), F.lit(m).alias("metric"), F.col(f"{labels.index(a)}_{m}").alias("was"), F.col(f"{labels.index(b)}_{m}").alias("now"))
+        F.struct(
+            F.lit(a).alias("left_label"),
+            F.lit(b).alias("right_label"),
+            F.lit(m).alias("metric"),
+            F.col(f"{labels.index(a)}_{m}").alias("was"),
+            F.col(f"{labels.index(b)}_{m}").alias("now"),
+        )
         for a, b in pairs
         for m in metrics
     ]
@@ -127,7 +141,16 @@ def strata(rows: DataFrame, columns: list[str], flag: Column, by: list[str]) ->
     for c in columns:
         name, value = F.when(F.col(f"_g_{c}") == 0, F.lit(c)).otherwise(name), F.when(F.col(f"_g_{c}") == 0, F.col(c)).otherwise(value)
     low, high = wilson(F.col("successes"), F.col("n"))
-    return grouped.select(name.alias("stratum"), value.alias("value"), *by, "n", "successes", ratio(F.col("successes"), F.col("n")).alias("rate"), low.alias("low"), high.alias("high"))
+    return grouped.select(
+        name.alias("stratum"),
+        value.alias("value"),
+        *by,
+        "n",
+        "successes",
+        ratio(F.col("successes"), F.col("n")).alias("rate"),
+        low.alias("low"),
+        high.alias("high"),
+    )
 
 
 def pass_at_k(rows: DataFrame, problem: str, flags: dict[str, Column], by: list[str]) -> DataFrame:
@@ -162,7 +185,12 @@ def frequencies(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def group_stats(rows: DataFrame, group: str, value: str, name: str = "value") -> DataFrame:
     """Minimum, maximum, mean and whether a group's values differ by more than 1e-9."""
-    stats = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}"), F.avg(value).alias(f"mean_{name}"))
+    stats = rows.groupBy(group).agg(
+        F.count("*").alias("n"),
+        F.min(value).alias(f"min_{name}"),
+        F.max(value).alias(f"max_{name}"),
+        F.avg(value).alias(f"mean_{name}"),
+    )
     return stats.withColumn("differs", F.col(f"max_{name}") - F.col(f"min_{name}") > 1e-9)
 
 

@@ -29,19 +29,28 @@ def trajectory_metrics(trajectories: DataFrame) -> DataFrame:
     node_results = F.map_values(r["execution"]["node_results"])
     tests = F.flatten(F.filter(F.transform(node_results, lambda n: n["test_results"]), lambda t: t.isNotNull()))
     values = lambda m: F.coalesce(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
-    calls = F.coalesce(r["rollout"]["tool_call_count"], F.aggregate(r["rollout"]["parsed_spans"], F.lit(0), lambda a, s: a + F.greatest(F.size(s["code_blocks"]), F.lit(0))), F.lit(0))
+    calls = F.coalesce(
+        r["rollout"]["tool_call_count"],
+        F.aggregate(r["rollout"]["parsed_spans"], F.lit(0), lambda a, s: a + F.greatest(F.size(s["code_blocks"]), F.lit(0))),
+        F.lit(0),
+    )
     count = lambda a: F.greatest(F.coalesce(F.size(a), F.lit(0)), F.lit(0))
     correct = final(r)
     attempted = F.coalesce(r["repair"]["status"] != "not_needed", F.lit(True))
     structured = _passes(r["verification"]["node_scores"]) & _passes(r["verification"]["edge_scores"])
     flat = per_problem.select(
         "_wall", "_solved", (F.coalesce(F.col("x.i"), F.lit(0)) == 0).alias("_first"), F.col("x").isNotNull().alias("_is"), correct.alias("_correct"),
-        F.coalesce(r["execution"]["runtime_seconds"], F.lit(0.0)).alias("_sandbox"), F.coalesce(r["rollout"]["completion_token_count"], F.lit(0)).alias("_tokens"), calls.alias("_calls"),
+        F.coalesce(r["execution"]["runtime_seconds"], F.lit(0.0)).alias("_sandbox"), F.coalesce(
+            r["rollout"]["completion_token_count"],
+            F.lit(0),
+        ).alias("_tokens"), calls.alias("_calls"),
         values(r["verification"]["node_scores"]).alias("_nodes"), count(F.map_values(r["verification"]["node_scores"])).alias("_n_nodes"),
         values(r["verification"]["edge_scores"]).alias("_edges"), count(F.map_values(r["verification"]["edge_scores"])).alias("_n_edges"),
         attempted.alias("_attempted"), (F.coalesce(r["repair"]["status"], F.lit("")) == "succeeded").alias("_repaired"),
         (structured != (correct >= 1)).alias("_disagree"), (F.coalesce(r["execution"]["executable"], F.lit(False)) & (correct < 1)).alias("_wrong"),
-        F.coalesce(r["execution"]["timeout"], F.lit(False)).alias("_timeout"), count(tests).alias("_tests"), count(F.filter(tests, lambda t: F.coalesce(t["passed"], F.lit(False)))).alias("_passed"),
+        F.coalesce(r["execution"]["timeout"], F.lit(False)).alias("_timeout"), count(tests).alias("_tests"), count(
+            F.filter(tests, lambda t: F.coalesce(t["passed"], F.lit(False)))
+        ).alias("_passed"),
         count(F.filter(node_results, lambda n: ~F.coalesce(n["executable"], F.lit(False)))).alias("_invalid"),
     )
     rec = lambda c: F.when(F.col("_is"), F.col(c))
@@ -54,9 +63,18 @@ def trajectory_metrics(trajectories: DataFrame) -> DataFrame:
         ratio(accuracy, time).alias("cost_normalized_accuracy"), ratio(F.sum(rec("_nodes")), F.sum(rec("_n_nodes"))).alias("node_verification_pass_rate"),
         ratio(F.sum(rec("_edges")), F.sum(rec("_n_edges"))).alias("edge_consistency_rate"),
         ratio(F.count_if(F.col("_is") & F.col("_attempted") & F.col("_repaired")), F.count_if(F.col("_is") & F.col("_attempted"))).alias("repair_success_rate"),
-        ratio(F.count_if(F.col("_is") & F.col("_disagree")), records).alias("verifier_disagreement_rate"), ratio(F.count_if(F.col("_is") & F.col("_wrong")), records).alias("executable_but_wrong_rate"),
-        ratio(F.sum(rec("_correct")), F.sum(rec("_calls")) + 1).alias("tool_productivity"), ratio(F.sum(rec("_passed")), F.sum(rec("_tests"))).alias("useful_tool_ratio"),
-        ratio(F.sum(rec("_invalid")), F.sum(rec("_calls"))).alias("invalid_tool_rate"), ratio(F.count_if(F.col("_is") & F.col("_timeout")), records).alias("timeout_rate"),
+        ratio(
+            F.count_if(F.col("_is") & F.col("_disagree")),
+            records,
+        ).alias("verifier_disagreement_rate"), ratio(F.count_if(F.col("_is") & F.col("_wrong")), records).alias("executable_but_wrong_rate"),
+        ratio(
+            F.sum(rec("_correct")),
+            F.sum(rec("_calls")) + 1,
+        ).alias("tool_productivity"), ratio(F.sum(rec("_passed")), F.sum(rec("_tests"))).alias("useful_tool_ratio"),
+        ratio(F.sum(rec("_invalid")), F.sum(rec("_calls"))).alias("invalid_tool_rate"), ratio(
+            F.count_if(F.col("_is") & F.col("_timeout")),
+            records,
+        ).alias("timeout_rate"),
     )
 
 
@@ -68,7 +86,12 @@ def finite(value: Column) -> Column:
 
 def hardness(rollouts: DataFrame, problem: str, final: Column, parts: list[Column], reward: Column) -> DataFrame:
     """Per problem: rollouts, mean final score, learnability (best mean of the parts), population deviation of the reward; 6 digits."""
-    held = rollouts.select(problem, finite(final).alias("_final"), (sum((finite(p) for p in parts), F.lit(0.0)) / len(parts)).alias("_learn"), finite(reward).alias("_reward"))
+    held = rollouts.select(
+        problem,
+        finite(final).alias("_final"),
+        (sum((finite(p) for p in parts), F.lit(0.0)) / len(parts)).alias("_learn"),
+        finite(reward).alias("_reward"),
+    )
     return held.groupBy(problem).agg(
         F.count("*").alias("rollouts"), F.round(F.avg("_final"), 6).alias("final_rate"), F.round(F.max("_learn"), 6).alias("learnability"),
         F.round(F.coalesce(F.stddev_pop("_reward"), F.lit(0.0)), 6).alias("reward_std"),
@@ -96,15 +119,29 @@ def test_totals(results: DataFrame, by: list[str]) -> DataFrame:
 
     results: expected array<struct<kind>>, actual array<struct<passed>>.
     """
-    both = F.zip_with("expected", F.slice(F.coalesce("actual", F.array().cast(results.schema["actual"].dataType)), F.lit(1), F.size("expected")), lambda e, a: F.struct(F.when(e["kind"] == "property", "property").otherwise("unit").alias("kind"), F.coalesce(a["passed"], F.lit(False)).alias("passed")))
+    both = F.zip_with(
+        "expected",
+        F.slice(F.coalesce("actual", F.array().cast(results.schema["actual"].dataType)), F.lit(1), F.size("expected")),
+        lambda e, a: F.struct(
+            F.when(e["kind"] == "property", "property").otherwise("unit").alias("kind"),
+            F.coalesce(a["passed"], F.lit(False)).alias("passed"),
+        ),
+    )
     one = results.withColumn("_b", both)
-    n = lambda kind, passed: F.coalesce(F.sum(F.size(F.filter("_b", lambda t: (t["kind"] == kind) & (t["passed"] | F.lit(not passed))))), F.lit(0))
+    n = lambda kind, passed: F.coalesce(
+        F.sum(F.size(F.filter("_b", lambda t: (t["kind"] == kind) & (t["passed"] | F.lit(not passed))))),
+        F.lit(0),
+    )
     return one.groupBy(*by).agg(*(n(k, p).alias(f"{k}_{'passed' if p else 'total'}") for k in ("unit", "property") for p in (True, False)))
 
 
 def call_histogram(rows: DataFrame, calls: str, status: str) -> DataFrame:
     """(status, problems, mean_calls, max_calls) of teacher calls per problem."""
-    return rows.groupBy(F.coalesce(F.col(status), F.lit("none")).alias("status")).agg(F.count("*").alias("problems"), mean_or_zero(F.col(calls)).alias("mean_calls"), F.coalesce(F.max(calls), F.lit(0)).alias("max_calls"))
+    return rows.groupBy(F.coalesce(F.col(status), F.lit("none")).alias("status")).agg(
+        F.count("*").alias("problems"),
+        mean_or_zero(F.col(calls)).alias("mean_calls"),
+        F.coalesce(F.max(calls), F.lit(0)).alias("max_calls"),
+    )
 
 
 def before_and_after(trajectories: DataFrame) -> DataFrame:
@@ -127,17 +164,36 @@ def teacher_run(trajectories: DataFrame) -> DataFrame:
     sums = lambda get: F.aggregate(F.transform(rows, get), F.lit(0.0), lambda a, x: a + score(x))
     judged = F.filter(rows, lambda r: r["reward"]["teacher_reward"].isNotNull())
     per = trajectories.select(
-        F.coalesce("teacher_calls_used", F.lit(0)).alias("calls"), F.exists(rows, lambda r: F.coalesce(r["repair"]["status"] == "shared_feedback", F.lit(False))).alias("shared"),
-        F.col("teacher_group_judgment.rollout_judgments").isNotNull().alias("judged"), F.col("teacher_probe.verification.final_answer_score").alias("probe"), F.col("teacher_probe").isNotNull().alias("probed"),
-        F.size(rows).alias("n"), sums(lambda r: r["verification"]["final_answer_score"]).alias("final"), sums(lambda r: r["verification"]["backward_score"]).alias("backward"),
+        F.coalesce("teacher_calls_used", F.lit(0)).alias("calls"), F.exists(
+            rows,
+            lambda r: F.coalesce(r["repair"]["status"] == "shared_feedback", F.lit(False)),
+        ).alias("shared"),
+        F.col("teacher_group_judgment.rollout_judgments").isNotNull().alias("judged"), F.col(
+            "teacher_probe.verification.final_answer_score"
+        ).alias("probe"), F.col("teacher_probe").isNotNull().alias("probed"),
+        F.size(rows).alias("n"), sums(
+            lambda r: r["verification"]["final_answer_score"]
+        ).alias("final"), sums(lambda r: r["verification"]["backward_score"]).alias("backward"),
         F.size(judged).alias("scored"), sums(lambda r: r["reward"]["teacher_reward"]).alias("score"), F.col("grpo_update.approx_kl").alias("kl"),
     )
     mean = lambda top, n, name: F.round(ratio(top, n), 6).alias(name)
     return per.agg(
-        F.count("*").alias("problems"), F.coalesce(F.sum("calls"), F.lit(0)).alias("teacher_api_calls"), mean(F.sum("calls"), F.count("*"), "teacher_calls_per_problem"),
+        F.count("*").alias("problems"), F.coalesce(F.sum("calls"), F.lit(0)).alias("teacher_api_calls"), mean(
+            F.sum("calls"),
+            F.count("*"),
+            "teacher_calls_per_problem",
+        ),
         F.count_if("shared").alias("problems_with_shared_feedback"), F.count_if("judged").alias("problems_with_group_judgment"), F.count_if(~F.col("shared")).alias("problems_without_feedback"),
-        mean(F.sum(F.when(F.col("probed"), score(F.col("probe")))), F.count_if("probed"), "probe_accuracy"), mean(F.sum("final"), F.sum("n"), "rollout_accuracy"), mean(F.sum("backward"), F.sum("n"), "backward_accuracy"),
-        mean(F.sum("score"), F.sum("scored"), "mean_judge_score"), F.round(F.coalesce(F.avg("kl"), F.lit(0.0)), 8).alias("mean_kl"), F.round(F.coalesce(F.max("kl"), F.lit(0.0)), 8).alias("max_kl"),
+        mean(
+            F.sum(F.when(F.col("probed"), score(F.col("probe")))),
+            F.count_if("probed"),
+            "probe_accuracy",
+        ), mean(F.sum("final"), F.sum("n"), "rollout_accuracy"), mean(F.sum("backward"), F.sum("n"), "backward_accuracy"),
+        mean(
+            F.sum("score"),
+            F.sum("scored"),
+            "mean_judge_score",
+        ), F.round(F.coalesce(F.avg("kl"), F.lit(0.0)), 8).alias("mean_kl"), F.round(F.coalesce(F.max("kl"), F.lit(0.0)), 8).alias("max_kl"),
     )
 
 
@@ -170,7 +226,16 @@ def memory_preview(items: Column, most: int = 3, longest: int = 500) -> Column:
     """The first items of a memory context with their rank and the start of their text, blanks collapsed."""
     text = lambda i: F.substring(F.trim(F.regexp_replace(F.coalesce(i["text"], F.lit("")), r"\s+", " ")), 1, longest)
     first = F.slice(F.coalesce(items, F.array()), 1, most)
-    return F.transform(first, lambda i, k: F.struct((k + 1).cast("int").alias("rank"), i["id"].alias("id"), i["source"].alias("source"), i["keywords"].alias("keywords"), text(i).alias("text_preview")))
+    return F.transform(
+        first,
+        lambda i, k: F.struct(
+            (k + 1).cast("int").alias("rank"),
+            i["id"].alias("id"),
+            i["source"].alias("source"),
+            i["keywords"].alias("keywords"),
+            text(i).alias("text_preview"),
+        ),
+    )
 
 
 def with_teacher(trajectories: DataFrame) -> DataFrame:
@@ -178,14 +243,24 @@ def with_teacher(trajectories: DataFrame) -> DataFrame:
 
     Before is the verification before repair, or where there is none the final one.
     """
-    first = trajectories.select(F.coalesce("problem.id", F.lit(None).cast("string")).alias("id"), "memory_context", F.try_element_at("rollout_records", F.lit(1)).alias("r")).where("r is not null")
+    first = trajectories.select(
+        F.coalesce("problem.id", F.lit(None).cast("string")).alias("id"),
+        "memory_context",
+        F.try_element_at("rollout_records", F.lit(1)).alias("r"),
+    ).where("r is not null")
     after = F.col("r.verification")
     before = F.coalesce(F.col("r.repair.verification_before_repair"), after)
     return first.select(
-        "id", F.coalesce("r.repair.status", F.lit("not_needed")).alias("status"), F.greatest(F.coalesce(F.size("r.repair.attempts"), F.lit(0)), F.lit(0)).alias("attempts"),
+        "id", F.coalesce("r.repair.status", F.lit("not_needed")).alias("status"), F.greatest(
+            F.coalesce(F.size("r.repair.attempts"), F.lit(0)),
+            F.lit(0),
+        ).alias("attempts"),
         F.greatest(F.coalesce(F.size(F.slice("memory_context.theorem_items", 1, 3)), F.lit(0)), F.lit(0)).alias("theories"),
         *(f(v).alias(f"{name}_{side}") for side, v in (("before", before), ("after", after)) for name, f in (
-            ("final", lambda v: verification_pass(v["final_answer_score"])), ("backward", lambda v: verification_pass(v["backward_score"])), ("clean", failure_free),
+            (
+                "final",
+                lambda v: verification_pass(v["final_answer_score"]),
+            ), ("backward", lambda v: verification_pass(v["backward_score"])), ("clean", failure_free),
         )),
     )
 
@@ -196,8 +271,12 @@ def with_teacher_summary(trajectories: DataFrame) -> DataFrame:
     sides = [rate(f"{n}_{s}") for s in ("before", "after") for n in ("final", "backward", "clean")]
     return with_teacher(trajectories).agg(
         F.count("*").alias("problems"), F.count_if(F.col("theories") == 3).alias("with_three_theories"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("teacher_api_calls"),
-        F.count_if(F.col("status").isin("succeeded", "failed")).alias("repaired"), *sides, F.count_if(F.col("clean_after") & ~F.col("clean_before")).alias("improved"),
-        F.count_if(F.col("clean_before") & ~F.col("clean_after")).alias("regressed"), F.count_if(F.col("clean_before") == F.col("clean_after")).alias("unchanged"),
+        F.count_if(F.col("status").isin("succeeded", "failed")).alias("repaired"), *sides, F.count_if(
+            F.col("clean_after") & ~F.col("clean_before")
+        ).alias("improved"),
+        F.count_if(
+            F.col("clean_before") & ~F.col("clean_after")
+        ).alias("regressed"), F.count_if(F.col("clean_before") == F.col("clean_after")).alias("unchanged"),
     )
 
 
@@ -219,10 +298,17 @@ def rollout_views(trajectories: DataFrame) -> DataFrame:
 def sampled_summary(views: DataFrame) -> DataFrame:
     """One row over rollout views: rollouts, accuracy, pass@k in four ways, mean scores and tokens."""
     flags = {"final": "final", "strict": "strict", "executable": "execution", "backward": "backward"}
-    per = views.groupBy("id").agg(F.count("*").alias("n"), *(F.bool_or(c).alias(f"any_{n}") for n, c in flags.items()), *(F.sum(c).alias(f"sum_{c}") for c in ("unit_score", "property_score", "tokens")), F.count_if("final").alias("finals"))
+    per = views.groupBy("id").agg(
+        F.count("*").alias("n"),
+        *(F.bool_or(c).alias(f"any_{n}") for n, c in flags.items()),
+        *(F.sum(c).alias(f"sum_{c}") for c in ("unit_score", "property_score", "tokens")),
+        F.count_if("final").alias("finals"),
+    )
     mean = lambda c: F.coalesce(F.try_divide(F.sum(c), F.sum("n")), F.lit(0.0))
     return per.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rollouts"), mean("finals").alias("sampled_rollout_accuracy"), *(ratio(F.count_if(f"any_{n}"), F.count("*")).alias(f"{n}_pass_at_k") for n in flags),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rollouts"), mean("finals").alias("sampled_rollout_accuracy"), *(
+            ratio(F.count_if(f"any_{n}"), F.count("*")).alias(f"{n}_pass_at_k") for n in flags
+        ),
         mean("sum_unit_score").alias("mean_unit_score"), mean("sum_property_score").alias("mean_property_score"), mean("sum_tokens").alias("mean_completion_tokens"),
     )
 

@@ -35,7 +35,16 @@ def request(system: Column | str, **fields: Column) -> Column:
 
 def policy_request(system: str, problem: Column, problem_id: Column, nodes: Column, edges: Column, memory: Column, feedback: Column | None = None) -> Column:
     """What a policy is asked: the problem, its graph, retrieved memory and the spans wanted; with feedback the repair of a failure."""
-    wanted = F.transform(nodes, lambda n: F.struct(F.concat(F.lit("a_"), n["id"]).alias("tag"), n["name"].alias("name"), n["question"].alias("subquestion"), n["signature"].alias("signature"), n["expected_output_type"].alias("expected_output_type")))
+    wanted = F.transform(
+        nodes,
+        lambda n: F.struct(
+            F.concat(F.lit("a_"), n["id"]).alias("tag"),
+            n["name"].alias("name"),
+            n["question"].alias("subquestion"),
+            n["signature"].alias("signature"),
+            n["expected_output_type"].alias("expected_output_type"),
+        ),
+    )
     graph = F.struct(problem_id.alias("problem_id"), nodes.alias("nodes"), edges.alias("edges"))
     asked = {"problem": problem, "function_graph": graph, "retrieved_memory": memory, "required_output_spans": wanted}
     plain = request(system, **asked)
@@ -95,7 +104,9 @@ def code_records(rows: DataFrame, system: str = POLICY) -> DataFrame:
     private = F.array(*map(F.lit, records.PRIVATE_KEYS["code_sft"]))
     made = made.withColumn("_leaked", _private_keys(F.element_at("_asked", 2)["content"], private))
     executable = F.filter("_ids", lambda i: F.map_contains_key("implementations", i))
-    kept = lambda s: (F.size(s["code_blocks"]) == 1) & (F.try_element_at(s["code_blocks"], F.lit(1)) == stripped(F.try_element_at("implementations", s["node_id"])))
+    kept = lambda s: (F.size(s["code_blocks"]) == 1) & (
+        F.try_element_at(s["code_blocks"], F.lit(1)) == stripped(F.try_element_at("implementations", s["node_id"]))
+    )
     main = F.try_element_at(F.filter("_spans", lambda s: s["node_id"] == "main"), F.lit(1))
     fault = (
         F.when(F.coalesce(F.size("implementations"), F.lit(0)) <= 0, "no implementations")
@@ -103,7 +114,10 @@ def code_records(rows: DataFrame, system: str = POLICY) -> DataFrame:
         .when(_blank(F.col("text")), "blank text")
         .when(F.exists("nodes", lambda n: F.when(code(n).isNotNull(), _blank(code(n))).otherwise(told(n) == "")), "blank span")
         .when(~F.coalesce(spans.exact_tags(F.col("_target"), F.col("_ids")), F.lit(False)), "tags")
-        .when(F.exists(F.filter("_spans", lambda s: F.map_contains_key("implementations", s["node_id"])), lambda s: ~F.coalesce(kept(s), F.lit(False))), "code block")
+        .when(
+            F.exists(F.filter("_spans", lambda s: F.map_contains_key("implementations", s["node_id"])), lambda s: ~F.coalesce(kept(s), F.lit(False))),
+            "code block",
+        )
         .when(F.size("_leaked") > 0, "private keys")
         .when(F.lower("_target").rlike("mutant_code|target_call"), "private names")
         .when(main["extracted_answer"].isNull(), "no boxed answer")
@@ -145,13 +159,21 @@ def merge_enrichment(theorems: DataFrame, enrichments: DataFrame) -> DataFrame:
     """
     items = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
     told = enrichments.select(
-        F.col("memory_id").alias("_id"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.trim(F.coalesce("informal_statement", F.lit(""))).alias("informal_statement"),
-        items("domain_path").alias("domain_path"), items("keywords").alias("_keywords"), F.coalesce("preconditions", F.array().cast("array<string>")).alias("preconditions"),
+        F.col("memory_id").alias("_id"), F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.trim(
+            F.coalesce("informal_statement", F.lit(""))
+        ).alias("informal_statement"),
+        items("domain_path").alias("domain_path"), items("keywords").alias("_keywords"), F.coalesce(
+            "preconditions",
+            F.array().cast("array<string>"),
+        ).alias("preconditions"),
     )
     joined = theorems.join(told, theorems["memory_id"] == told["_id"], "left")
     has = F.col("_id").isNotNull()
     lacks = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    fault = F.when(has & ((F.col("title") == "") | (F.col("informal_statement") == "")), "no title or statement").when(has & lacks("domain_path"), "no domain").when(has & lacks("_keywords"), "no keywords")
+    fault = F.when(
+        has & ((F.col("title") == "") | (F.col("informal_statement") == "")),
+        "no title or statement",
+    ).when(has & lacks("domain_path"), "no domain").when(has & lacks("_keywords"), "no keywords")
     text = F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("informal_statement", F.lit("")), F.concat(F.lit(FORMAL), "formal_statement"))
     return joined.withColumns({
         "fault": F.coalesce("fault", fault), "text": F.when(has, text).otherwise(F.col("text")), "keywords": F.when(has, F.col("_keywords")).otherwise(F.col("keywords")),

@@ -29,7 +29,15 @@ def message(role: str, content: Column) -> Column:
 
 def chat_records(rows: DataFrame, key: str, tasks: dict[str, list[Column]]) -> DataFrame:
     """(id, task, messages): every row fans out to one record a task, id with the task's name as ending."""
-    made = F.array(*(F.struct(F.concat(F.col(key), F.lit(f":{task}")).alias("id"), F.lit(task).alias("task"), F.array(*messages).alias("messages")) for task, messages in tasks.items()))
+    made = F.array(
+        *(
+            F.struct(
+                F.concat(F.col(key), F.lit(f":{task}")).alias("id"),
+                F.lit(task).alias("task"),
+                F.array(*messages).alias("messages"),
+            ) for task, messages in tasks.items()
+        )
+    )
     return rows.select(F.inline(made))
 
 
@@ -60,7 +68,9 @@ def padded(rows: DataFrame, batch: str, pad: int) -> DataFrame:
     longest = rows.groupBy(F.col(batch).alias("_b")).agg(F.max(F.size("input_ids")).alias("_n"))
     wide = rows.join(longest, F.col(batch) == F.col("_b"))
     fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), (F.col("_n") - F.size(c)).cast("int")))
-    return wide.withColumns({"input_ids": fill("input_ids", pad), "attention_mask": fill("attention_mask", 0), "labels": fill("labels", IGNORED_LABEL)}).drop("_b", "_n")
+    return wide.withColumns(
+        {"input_ids": fill("input_ids", pad), "attention_mask": fill("attention_mask", 0), "labels": fill("labels", IGNORED_LABEL)}
+    ).drop("_b", "_n")
 
 
 def rendered(messages: Column) -> Column:
@@ -98,10 +108,17 @@ def ids_digest(rows: DataFrame, key: str, newline_at_end: bool, order: str | Non
     joined = F.expr(f"listagg({key}, '\\n') within group (order by {order or key})")
     digest = F.sha2(F.concat(F.coalesce(joined, F.lit("")), F.lit("\n" if newline_at_end else "")), 256)
     counted = rows.agg(digest.alias("ids_sha256"), F.count("*").alias("rows"))
-    return counted.withColumn("ids_sha256", F.when(F.col("rows") <= MOST_IDS, F.col("ids_sha256")).otherwise(F.raise_error(F.lit(f"more than {MOST_IDS} ids in one digest"))))
+    return counted.withColumn(
+        "ids_sha256",
+        F.when(F.col("rows") <= MOST_IDS, F.col("ids_sha256")).otherwise(F.raise_error(F.lit(f"more than {MOST_IDS} ids in one digest"))),
+    )
 
 
 def run_accepted(results: DataFrame, by: list[str]) -> DataFrame:
     """Accepted and rejected verifiers and their rate: the reference passes, the backward answer agrees, a mutant is caught."""
     good = F.coalesce(F.col("reference_passes") & F.col("backward_agrees") & F.col("mutant_caught"), F.lit(False))
-    return results.groupBy(*by).agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"), F.round(F.avg(good.cast("double")), 6).alias("acceptance_rate"))
+    return results.groupBy(*by).agg(
+        F.count_if(good).alias("accepted"),
+        F.count_if(~good).alias("rejected"),
+        F.round(F.avg(good.cast("double")), 6).alias("acceptance_rate"),
+    )

@@ -96,7 +96,13 @@ def _scan(items: DataFrame, block: list, score, keep_zeros: bool, k: int, kinds:
                 chosen = np.take_along_axis(scores, best, 0).ravel()
                 counts = np.take_along_axis(common, best, 0).ravel()
                 out = pd.DataFrame(
-                    {"query_id": np.tile(names, len(best)), "item_id": part["item_id"].to_numpy()[best.ravel()], "ordinal": part["ordinal"].to_numpy()[best.ravel()], "common": counts, "score": chosen}
+                    {
+                        "query_id": np.tile(names, len(best)),
+                        "item_id": part["item_id"].to_numpy()[best.ravel()],
+                        "ordinal": part["ordinal"].to_numpy()[best.ravel()],
+                        "common": counts,
+                        "score": chosen,
+                    }
                 )
                 out = out if keep_zeros else out[out["common"] > 0]
                 if len(out):
@@ -106,7 +112,11 @@ def _scan(items: DataFrame, block: list, score, keep_zeros: bool, k: int, kinds:
 
 
 def _kinds(queries: DataFrame, items: DataFrame) -> dict[str, str]:
-    return {"query_id": dict(queries.dtypes)["query_id"], "item_id": dict(items.dtypes)["item_id"], "ordinal": dict(items.dtypes).get("ordinal", dict(items.dtypes)["item_id"])}
+    return {
+        "query_id": dict(queries.dtypes)["query_id"],
+        "item_id": dict(items.dtypes)["item_id"],
+        "ordinal": dict(items.dtypes).get("ordinal", dict(items.dtypes)["item_id"]),
+    }
 
 
 def _jaccard(common, _sums, sizes, size):
@@ -133,7 +143,15 @@ def jaccard_top_k(queries: DataFrame, items: DataFrame, k: int, weight: float =
     return top_k(scored, "query_id", [F.desc("score"), F.asc("ordinal")], k).drop("ordinal")
 
 
-def memory_top_k(queries: DataFrame, items: DataFrame, k: int, keyword_weight: float = 0.5, embedding_weight: float = 0.5, order: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def memory_top_k(
+    queries: DataFrame,
+    items: DataFrame,
+    k: int,
+    keyword_weight: float = 0.5,
+    embedding_weight: float = 0.5,
+    order: DataFrame | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
     """(query_id, memory_type, item_id, common, score, rank): the k first items of each store for every query.
 
     Queries are (query_id, tokens, vector), items (item_id, ordinal, memory_type, tokens, vector). The score is keyword_weight * Jaccard
@@ -230,7 +248,13 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, block: int = BLOC
                     part = batch.iloc[start : start + step].sort_values("item_id", kind="stable")
                     scores = vectors @ _unit(np.array(part["vector"].tolist(), dtype=np.float64)).T
                     best = np.argsort(-np.round(scores, 9), axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(own, best.shape[1]), "item_id": part["item_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+                    yield pd.DataFrame(
+                        {
+                            "query_id": np.repeat(own, best.shape[1]),
+                            "item_id": part["item_id"].to_numpy()[best].ravel(),
+                            "score": np.take_along_axis(scores, best, 1).ravel(),
+                        }
+                    )
 
         return items.where("vector is not null").select("item_id", "vector").mapInPandas(run, "query_id bigint, item_id bigint, score double")
 

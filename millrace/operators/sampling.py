@@ -175,5 +175,8 @@ def quota_backfill(rows: DataFrame, first: Column, first_count: int, count: int,
     ours = rows.withColumn("_first", F.coalesce(first, F.lit(False)))
     best = ours.where("_first").orderBy(*order).limit(count).unionByName(ours.where("not _first").orderBy(*order).limit(count))
     rank = F.row_number().over(Window.partitionBy("_first").orderBy(*order))
-    placed = best.withColumn("_rank", rank).withColumn("_class", F.when(F.col("_first") & (F.col("_rank") <= first_count), 0).when(~F.col("_first"), 1).otherwise(2))
+    placed = best.withColumn("_rank", rank).withColumn(
+        "_class",
+        F.when(F.col("_first") & (F.col("_rank") <= first_count), 0).when(~F.col("_first"), 1).otherwise(2),
+    )
     return placed.orderBy("_class", *order).limit(count).drop("_first", "_rank", "_class")

@@ -34,12 +34,21 @@ def node_score(text: Column, expects: Column, executable: Column, tests: Column,
     execution = F.when(expects, F.coalesce(executable, F.lit(False)).cast("double")).otherwise(F.lit(0.0))
     unit_score = pass_rate(unit)
     property_score = F.when(F.size(props) > 0, pass_rate(props)).otherwise(F.coalesce(static, F.lit(0.0)))
-    parts = [(expects, execution, weights[0]), (F.size(unit) > 0, unit_score, weights[1]), ((F.size(props) > 0) | static.isNotNull(), property_score, weights[2])]
+    parts = [
+        (expects, execution, weights[0]),
+        (F.size(unit) > 0, unit_score, weights[1]),
+        ((F.size(props) > 0) | static.isNotNull(), property_score, weights[2]),
+    ]
     top = sum((F.when(on, F.lit(w) * score).otherwise(F.lit(0.0)) for on, score, w in parts), F.lit(0.0))
     bottom = sum((F.when(on, F.lit(w)).otherwise(F.lit(0.0)) for on, _, w in parts), F.lit(0.0))
     silent = F.coalesce(text, F.lit("")) == ""
     zero = lambda c: F.when(silent, F.lit(0.0)).otherwise(c)
-    return F.struct(zero(execution).alias("execution"), zero(unit_score).alias("unit"), zero(property_score).alias("property"), zero(F.try_divide(top, bottom)).alias("combined"))
+    return F.struct(
+        zero(execution).alias("execution"),
+        zero(unit_score).alias("unit"),
+        zero(property_score).alias("property"),
+        zero(F.try_divide(top, bottom)).alias("combined"),
+    )
 
 
 def applicable_mean(nodes: Column, scores: Column, kind: str) -> Column:
@@ -101,21 +110,29 @@ def span_rewards(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, weight
     z = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0))
     floor = float(weights.get("gate_floor", 1.0))
     gates = outcomes.select(
-        "rollout_id", z("format").alias("_format"), (F.lit(floor) + F.lit(1 - floor) * z("final")).alias("_gate"), F.coalesce("teacher", F.lit(0.0)).alias("_teacher"),
+        "rollout_id", z("format").alias("_format"), (
+            F.lit(floor) + F.lit(1 - floor) * z("final")
+        ).alias("_gate"), F.coalesce("teacher", F.lit(0.0)).alias("_teacher"),
         (w("span_credit") * (w("final") * z("final") + w("backward") * z("backward"))).alias("_shared"),
         (w("final") * z("final") + w("backward") * z("backward") + w("consensus") * z("consensus")).alias("_outcome"),
     )
     own = nodes.join(gates, "rollout_id").select(
         "rollout_id", "node_id",
         (w("signature") * z("signature")
-         + F.col("_gate") * (w("node") * z("node") + w("execution") * z("execution") + w("unit_test") * z("unit_test") + w("property_test") * z("property_test"))
+         + F.col("_gate") * (
+             w("node") * z("node") + w("execution") * z("execution") + w("unit_test") * z("unit_test") + w("property_test") * z("property_test")
+         )
          + F.when(F.col("node_id") != "main", F.col("_shared")).otherwise(F.lit(0.0)) + w("teacher") * clamp(F.coalesce("teacher", "_teacher"))).alias("part"),
     )
     credit = F.lit(0.5) * F.col("_gate") * w("edge") * z("score")
     ends = edges.join(gates, "rollout_id").select("rollout_id", F.explode(F.array("source", "target")).alias("node_id"), credit.alias("part"))
     main = gates.select("rollout_id", F.lit("main").alias("node_id"), F.col("_outcome").alias("part"))
     total = own.unionByName(ends).unionByName(main).groupBy("rollout_id", "node_id").agg(F.sum("part").alias("_sum"))
-    return total.join(gates.select("rollout_id", "_format"), "rollout_id").select("rollout_id", "node_id", F.bround(F.when(F.col("_format") == 0, 0.0).otherwise(F.col("_sum")), 6).alias("reward"))
+    return total.join(gates.select("rollout_id", "_format"), "rollout_id").select(
+        "rollout_id",
+        "node_id",
+        F.bround(F.when(F.col("_format") == 0, 0.0).otherwise(F.col("_sum")), 6).alias("reward"),
+    )
 
 
 def group_advantages(rows: DataFrame, group: list[str], value: str, into: str = "advantage") -> DataFrame:
@@ -151,7 +168,11 @@ def token_advantages(length: Column, ranges: Column, advantages: Column) -> Colu
     tokens = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
 
     def of(t: Column) -> Column:
-        return F.aggregate(ranges, F.lit(0.0), lambda a, r: F.when((t >= r["start"]) & (t < r["end"]), F.coalesce(F.try_element_at(advantages, r["node"]), F.lit(0.0))).otherwise(a))
+        return F.aggregate(
+            ranges,
+            F.lit(0.0),
+            lambda a, r: F.when((t >= r["start"]) & (t < r["end"]), F.coalesce(F.try_element_at(advantages, r["node"]), F.lit(0.0))).otherwise(a),
+        )
 
     return F.transform(tokens, of)
 
@@ -183,4 +204,6 @@ def failure_class(failures: Column) -> Column:
 
 def backward_score(target_call: Column, answer: Column, matched: Column) -> Column:
     """1 if the target call's output equals the main answer, 0 if not, null where there is no target call."""
-    return F.when(F.coalesce(target_call, F.lit("")) == "", F.lit(None).cast("double")).otherwise(F.coalesce(matched & answer.isNotNull(), F.lit(False)).cast("double"))
+    return F.when(F.coalesce(target_call, F.lit("")) == "", F.lit(None).cast("double")).otherwise(
+        F.coalesce(matched & answer.isNotNull(), F.lit(False)).cast("double")
+    )

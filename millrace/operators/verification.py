@@ -15,7 +15,13 @@ FAILURE = "struct<type:string,node:string,edge:string,relation_type:string,equiv
 
 def _failure(kind: str, node: Column | None = None, edge: Column | None = None, relation: Column | None = None, method: Column | None = None) -> Column:
     text = lambda c: F.lit(None).cast("string") if c is None else c
-    return F.struct(F.lit(kind).alias("type"), text(node).alias("node"), text(edge).alias("edge"), text(relation).alias("relation_type"), text(method).alias("equivalence_method"))
+    return F.struct(
+        F.lit(kind).alias("type"),
+        text(node).alias("node"),
+        text(edge).alias("edge"),
+        text(relation).alias("relation_type"),
+        text(method).alias("equivalence_method"),
+    )
 
 
 def scored_answers(rows: DataFrame) -> DataFrame:
@@ -29,7 +35,9 @@ def scored_answers(rows: DataFrame) -> DataFrame:
     judged = judged.withColumn("_back", answer_equivalence(F.col("_called"), F.col("predicted")))
     score = lambda c: F.coalesce(F.col(f"{c}.equivalent").cast("double"), F.lit(0.0))
     back = F.when(F.coalesce("target_call", F.lit("")) != "", score("_back"))
-    return judged.withColumns({"final_score": score("_final"), "backward_score": back, "equivalence_method": F.col("_final.method")}).drop("_final", "_called", "_back")
+    return judged.withColumns(
+        {"final_score": score("_final"), "backward_score": back, "equivalence_method": F.col("_final.method")}
+    ).drop("_final", "_called", "_back")
 
 
 def failure_records(nodes: Column, edges: Column, final_score: Column, backward_score: Column, method: Column) -> Column:
@@ -41,7 +49,10 @@ def failure_records(nodes: Column, edges: Column, final_score: Column, backward_
     """
     none = F.array().cast(f"array<{FAILURE}>")
     broken = F.transform(F.filter(nodes, lambda n: ~F.coalesce(n["executable"], F.lit(False))), lambda n: _failure("execution_failure", node=n["id"]))
-    wrong = F.transform(F.filter(nodes, lambda n: F.coalesce(n["executable"], F.lit(False)) & ~F.coalesce(n["passed"], F.lit(False))), lambda n: _failure("test_failure", node=n["id"]))
+    wrong = F.transform(
+        F.filter(nodes, lambda n: F.coalesce(n["executable"], F.lit(False)) & ~F.coalesce(n["passed"], F.lit(False))),
+        lambda n: _failure("test_failure", node=n["id"]),
+    )
     name = lambda e: F.concat(e["source"], F.lit("->"), e["target"])
     loose = F.filter(edges, lambda e: (F.coalesce(e["severity"], F.lit("")) == CRITICAL) & (F.coalesce(e["score"], F.lit(0.0)) < 1))
     apart = F.transform(loose, lambda e: _failure("dependency_failure", edge=name(e), relation=e["relation_type"]))

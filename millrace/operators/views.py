@@ -38,7 +38,12 @@ def public_execution(execution: Column) -> Column:
         error_summary(n["stderr"]).alias("error_summary"), test_summary(n["test_results"]).alias("test_summary"),
     )
     nodes = F.transform_values(execution["node_results"], lambda _, n: node(n))
-    return F.struct(flag(execution["executable"]).alias("executable"), flag(execution["timeout"]).alias("timeout"), number(execution["runtime_seconds"]).alias("runtime_seconds"), nodes.alias("node_results"))
+    return F.struct(
+        flag(execution["executable"]).alias("executable"),
+        flag(execution["timeout"]).alias("timeout"),
+        number(execution["runtime_seconds"]).alias("runtime_seconds"),
+        nodes.alias("node_results"),
+    )
 
 
 def _end(text: Column, longest: int) -> Column:
@@ -61,5 +66,11 @@ def public_verification(verification: Column, failure_fields: list[str]) -> Colu
 def bounded_memory(items: Column, metadata: tuple[str, ...] = ()) -> Column:
     """The first items of a memory context with bounded texts and keywords and the named metadata fields; null contexts are empty."""
     fields = lambda i: [i[c].alias(c) for c in metadata]
-    shown = lambda i: F.struct(i["id"].alias("id"), i["source"].alias("source"), F.substring(i["text"], 1, LONGEST_TEXT).alias("text"), F.slice(i["keywords"], 1, MOST_KEYWORDS).alias("keywords"), *fields(i))
+    shown = lambda i: F.struct(
+        i["id"].alias("id"),
+        i["source"].alias("source"),
+        F.substring(i["text"], 1, LONGEST_TEXT).alias("text"),
+        F.slice(i["keywords"], 1, MOST_KEYWORDS).alias("keywords"),
+        *fields(i),
+    )
     return F.transform(F.slice(F.coalesce(items, F.array()), 1, MOST_ITEMS), shown)

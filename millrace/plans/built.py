@@ -33,7 +33,13 @@ def _sql_case(k: str, cases: dict[int, str], other: str = "null") -> str:
 # ---- graphs of responses
 
 def _node(i: Column, kind: Column, question: Column | None = None) -> Column:
-    return F.struct(i.alias("id"), F.lit("n").alias("name"), (F.concat(i, F.lit("?")) if question is None else question).alias("question"), F.concat(i, F.lit("(x)")).alias("signature"), kind.alias("expected_output_type"))
+    return F.struct(
+        i.alias("id"),
+        F.lit("n").alias("name"),
+        (F.concat(i, F.lit("?")) if question is None else question).alias("question"),
+        F.concat(i, F.lit("(x)")).alias("signature"),
+        kind.alias("expected_output_type"),
+    )
 
 
 def _edge(a: Column, b: Column) -> Column:
@@ -49,7 +55,10 @@ def _response_graphs(spark, folder) -> DataFrame:
     first, n = F.element_at("ids", 1), F.size("ids")
     kind = lambda i: F.when(i == "main", "final_answer").otherwise("python_function")
     nodes = F.transform("ids", lambda i: _node(i, kind(i), F.when((F.col("k") == 5) & (i == "main"), F.lit("")).otherwise(F.concat(i, F.lit("?")))))
-    chain = F.transform(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: _edge(F.element_at("ids", i), F.element_at("ids", i + 1)))
+    chain = F.transform(
+        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: _edge(F.element_at("ids", i), F.element_at("ids", i + 1)),
+    )
     main = lambda i: F.array(_node(F.lit(i), F.lit("final_answer")))
     nodes = _case(F.col("k"), {2: F.concat(nodes, main("main")), 7: F.concat(nodes, main("1bad")), 8: F.filter(nodes, lambda x: x["id"] != "main")}, nodes)
     more = lambda a, b: F.concat(chain, F.array(_edge(a, b)))
@@ -89,12 +98,23 @@ def edge_scores(spark, folder):
     k = F.pmod("result_no", F.lit(5))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     outputs = lambda c: F.create_map(F.lit("unit"), F.coalesce(F.col(f"test_counts.{c}").cast("string"), F.lit("-")))
-    tests = lambda p, t, kind: F.transform(F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")))
+    tests = lambda p, t, kind: F.transform(
+        F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(kind).alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")),
+    )
     edges = rows.select(
         "adapter", _case(k, {i: F.lit(n) for i, n in enumerate(names)}, F.lit("other")).alias("relation_type"),
-        F.create_map(F.lit("a"), text("prompt_token_count"), F.lit("b"), text("completion_token_count")).alias("parent_values"), F.when(F.col("status") == "ok", "said").alias("parent_text"),
+        F.create_map(
+            F.lit("a"),
+            text("prompt_token_count"),
+            F.lit("b"),
+            text("completion_token_count"),
+        ).alias("parent_values"), F.when(F.col("status") == "ok", "said").alias("parent_text"),
         F.concat(F.lit("<"), text("completion_token_count"), F.lit(">")).alias("child_evidence"),
-        F.concat(tests("test_counts.unit_passed", "test_counts.unit_total", "unit"), tests("test_counts.property_passed", "test_counts.property_total", "property")).alias("child_tests"),
+        F.concat(
+            tests("test_counts.unit_passed", "test_counts.unit_total", "unit"),
+            tests("test_counts.property_passed", "test_counts.property_total", "property"),
+        ).alias("child_tests"),
         F.col("python_executable").alias("child_executable"), F.col("final_answer_correct").alias("answer_matches"), outputs("unit_passed").alias("parent_outputs"), outputs("unit_total").alias("child_outputs"),
     )
     return graph.edge_scores(edges).groupBy("adapter", "relation_type").agg(F.count("*").alias("edges"), F.round(F.avg("score"), 6).alias("mean_score"))
@@ -115,7 +135,14 @@ def _spec(key: str) -> Column:
 
 
 def _graph_nodes(key: str = "requirements") -> Column:
-    node = lambda i, kind, spec: F.struct(F.lit(i).alias("id"), F.lit("n").alias("name"), F.lit("q").alias("question"), F.lit(f"{i}(x)").alias("signature"), F.lit(kind).alias("expected_output_type"), spec.alias("spec"))
+    node = lambda i, kind, spec: F.struct(
+        F.lit(i).alias("id"),
+        F.lit("n").alias("name"),
+        F.lit("q").alias("question"),
+        F.lit(f"{i}(x)").alias("signature"),
+        F.lit(kind).alias("expected_output_type"),
+        spec.alias("spec"),
+    )
     return F.array(node("f1", "python_function", _spec(key)), node("main", "final_answer", F.create_map().cast(bundles.SPEC)))
 
 
@@ -140,10 +167,21 @@ def _bundles(spark, folder) -> DataFrame:
     k = F.col("k")
     text = lambda cases, other: _case(k, {n: F.lit(v) for n, v in cases.items()}, F.lit(other))
     own = _annotation(
-        text({4: "ghost"}, "f1"), text({5: "poem", 13: "formula", 14: "values"}, "python_function"), _case(k, {7: _tests(n=3), 15: _tests("helper(1)")}, _tests()),
+        text({4: "ghost"}, "f1"), text(
+            {5: "poem", 13: "formula", 14: "values"},
+            "python_function",
+        ), _case(k, {7: _tests(n=3), 15: _tests("helper(1)")}, _tests()),
         text({9: "import os\n" + F1}, F1), text({10: "def g(x):\n    return x"}, F1.replace("* 2", "* 3")), none(), F.when(k == 8, 3.0).otherwise(0.5),
     )
-    main = _annotation(F.lit("main"), text({6: "values"}, "final_answer"), F.array().cast(bundles.TESTS), none(), none(), text({11: "f1(7)"}, " f1(3) "), F.lit(None).cast("double"))
+    main = _annotation(
+        F.lit("main"),
+        text({6: "values"}, "final_answer"),
+        F.array().cast(bundles.TESTS),
+        none(),
+        none(),
+        text({11: "f1(7)"}, " f1(3) "),
+        F.lit(None).cast("double"),
+    )
     told = F.when(k == 3, F.array(own, own, main)).otherwise(F.array(own, main))
     return rows.select(
         F.col("id").alias("problem_id"), "record_no", _graph_nodes().alias("nodes"), F.when(k == 2, F.array().cast(bundles.EDGES)).otherwise(_links()).alias("edges"), told.cast(bundles.ANNOTATIONS).alias("annotations"),
@@ -185,28 +223,50 @@ def evaluation_candidates(spark, folder):
 
 def evaluation_input(spark, folder):
     rows = problems(spark, folder, "text", "gold_answer").withColumn("k", F.pmod("record_no", F.lit(4)))
-    sides = rows.select("id", F.when(F.col("k") != 3, F.col("text")).alias("text"), F.lit(" spare ").alias("problem"), "gold_answer", _graph_nodes().alias("public_nodes"), _case(F.col("k"), {0: F.reverse(_graph_nodes()), 1: F.lit(None)}, _graph_nodes()).alias("hidden_nodes"))
+    sides = rows.select(
+        "id",
+        F.when(F.col("k") != 3, F.col("text")).alias("text"),
+        F.lit(" spare ").alias("problem"),
+        "gold_answer",
+        _graph_nodes().alias("public_nodes"),
+        _case(F.col("k"), {0: F.reverse(_graph_nodes()), 1: F.lit(None)}, _graph_nodes()).alias("hidden_nodes"),
+    )
     made = bundles.evaluation_input(sides)
-    return made.groupBy("split", F.coalesce("fault", F.lit("fit")).alias("fault")).agg(F.count("*").alias("rows"), F.count_if(F.col("text") == "spare").alias("spare"))
+    return made.groupBy("split", F.coalesce("fault", F.lit("fit")).alias("fault")).agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("text") == "spare").alias("spare"),
+    )
 
 
 def executable_records(spark, folder):
     rows = problems(spark, folder).withColumn("k", F.pmod("record_no", F.lit(5)))
     k = F.col("k")
-    fault = bundles.record_problem(F.when(k != 4, F.col("id")), F.when(k == 0, "other").otherwise(F.coalesce(F.col("id"), F.lit("x"))), F.when(k != 1, _graph_nodes()), _case(k, {2: F.reverse(_graph_nodes())}, _graph_nodes()), _links())
+    fault = bundles.record_problem(
+        F.when(k != 4, F.col("id")),
+        F.when(k == 0, "other").otherwise(F.coalesce(F.col("id"), F.lit("x"))),
+        F.when(k != 1, _graph_nodes()),
+        _case(k, {2: F.reverse(_graph_nodes())}, _graph_nodes()),
+        _links(),
+    )
     return rows.groupBy(F.coalesce(fault, F.lit("fit")).alias("fault")).agg(F.count("*").alias("rows"))
 
 
 def source_ids(spark, folder):
     """All deliveries: repeated ids are faults; a third is known by its ending, a third by its metadata."""
     rows = table(spark, folder, "problems").withColumn("k", F.pmod("record_no", F.lit(3)))
-    held = rows.select(_case(F.col("k"), {1: F.concat("id", F.lit(":graph")), 2: F.lit("x")}, F.coalesce("id", F.lit(" "))).alias("id"), F.when(F.col("k") == 2, F.col("id")).alias("source_problem_id"))
+    held = rows.select(
+        _case(F.col("k"), {1: F.concat("id", F.lit(":graph")), 2: F.lit("x")}, F.coalesce("id", F.lit(" "))).alias("id"),
+        F.when(F.col("k") == 2, F.col("id")).alias("source_problem_id"),
+    )
     return prompts.source_ids(held).groupBy(F.coalesce("fault", F.lit("fit")).alias("fault")).agg(F.count("*").alias("ids"), F.sum("rows").alias("rows"))
 
 
 def locked_faults(spark, folder):
     """Accepted: the held-out items; selected: all but a fifth of them, some with another family."""
-    items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), F.pmod(F.conv(F.substring(F.sha2("item_id", 256), 1, 8), 16, 10).cast("bigint"), F.lit(5)).alias("k"))
+    items = table(spark, folder, "eval_items").select(
+        F.col("item_id").alias("id"),
+        F.pmod(F.conv(F.substring(F.sha2("item_id", 256), 1, 8), 16, 10).cast("bigint"), F.lit(5)).alias("k"),
+    )
     marked = items.where("k <> 0").withColumn("moved", F.col("k") == 1)
     own = canonical.family
     found = bundles.accepted_faults(items.withColumn("moved", F.lit(False)), marked, lambda df: F.when(df["moved"], F.lit("moved")).otherwise(own(df["id"])))
@@ -228,19 +288,37 @@ def code_records(spark, folder):
     ids = F.array(F.lit("f1"), F.lit("main"))
     prose = F.create_map(F.lit("main"), F.when(F.col("gold_answer").isNotNull(), F.lit("So it is \\boxed{7}.")).otherwise(F.lit("It stays open.")))
     held = rows.select(
-        "id", "text", _case(k, {3: _graph_nodes("expected")}, _graph_nodes()).alias("nodes"), _links().alias("edges"), F.when(k == 1, F.reverse(ids)).otherwise(ids).alias("hidden_ids"),
+        "id", "text", _case(
+            k,
+            {3: _graph_nodes("expected")},
+            _graph_nodes(),
+        ).alias("nodes"), _links().alias("edges"), F.when(k == 1, F.reverse(ids)).otherwise(ids).alias("hidden_ids"),
         _case(k, {0: nothing}, F.create_map(F.lit("f1"), F.lit(F1 + "\n"))).alias("implementations"), F.when(k == 2, nothing).otherwise(prose).alias("prose"),
     )
     made = prompts.code_records(held)
-    return made.groupBy(F.coalesce("fault", F.lit("fit")).alias("fault")).agg(F.count("*").alias("records"), F.sum(F.size("messages")).alias("messages"), F.count_if(bundles.self_contained(F.col("messages"))).alias("self_contained"))
+    return made.groupBy(F.coalesce("fault", F.lit("fit")).alias("fault")).agg(
+        F.count("*").alias("records"),
+        F.sum(F.size("messages")).alias("messages"),
+        F.count_if(bundles.self_contained(F.col("messages"))).alias("self_contained"),
+    )
 
 
 def requests(spark, folder):
     """The request of every problem as JSON: which keys it has, and what it says of the problem."""
     rows = problems(spark, folder, "text", "difficulty")
-    asked = prompts.teacher_request("S", {"problem_id": F.col("id"), "problem": F.col("text"), "difficulty": F.col("difficulty")}, F.array().cast("array<string>"), 5)
+    asked = prompts.teacher_request(
+        "S",
+        {"problem_id": F.col("id"), "problem": F.col("text"), "difficulty": F.col("difficulty")},
+        F.array().cast("array<string>"),
+        5,
+    )
     body = F.element_at(asked, 2)["content"]
-    return rows.select("id", F.array_join(F.array_sort(F.json_object_keys(body)), ",").alias("keys"), F.get_json_object(body, "$.difficulty").alias("difficulty"), F.get_json_object(body, "$.max_nodes").alias("max_nodes"))
+    return rows.select(
+        "id",
+        F.array_join(F.array_sort(F.json_object_keys(body)), ",").alias("keys"),
+        F.get_json_object(body, "$.difficulty").alias("difficulty"),
+        F.get_json_object(body, "$.max_nodes").alias("max_nodes"),
+    )
 
 
 # ---- theorems
@@ -249,8 +327,14 @@ def _theorems(spark, folder) -> DataFrame:
     rows = table(spark, folder, "documents")
     name = F.concat(F.lit("Notes."), F.replace(F.coalesce("source", F.lit("none")), F.lit("_"), F.lit(".")), F.lit(".t"), F.col("doc_id").cast("string"))
     traces = rows.select(
-        F.when(F.col("doc_id") % 11 == 0, F.lit(" ")).otherwise(name).alias("full_name"), F.concat(F.lit("N/"), F.when(F.col("doc_id") % 7 == 0, F.lit("a.txt")).otherwise(F.lit("a.lean"))).alias("file_path"),
-        F.when(F.col("doc_id") % 5 > 0, F.lit("a statement")).alias("theorem_statement"), none().alias("docstring"), F.lit(" rev ").alias("commit"), none().alias("url"), F.array(F.col("course_id"), F.lit(" Notes.b ")).alias("premise_ids"),
+        F.when(F.col("doc_id") % 11 == 0, F.lit(" ")).otherwise(name).alias("full_name"), F.concat(
+            F.lit("N/"),
+            F.when(F.col("doc_id") % 7 == 0, F.lit("a.txt")).otherwise(F.lit("a.lean")),
+        ).alias("file_path"),
+        F.when(
+            F.col("doc_id") % 5 > 0,
+            F.lit("a statement"),
+        ).alias("theorem_statement"), none().alias("docstring"), F.lit(" rev ").alias("commit"), none().alias("url"), F.array(F.col("course_id"), F.lit(" Notes.b ")).alias("premise_ids"),
         F.array(F.array(name, F.lit("Notes.b")), F.lit(None).cast("array<string>"), F.array(F.col("kind"), F.lit(""))).alias("premises"),
     )
     return prompts.theorem_records(traces.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("premise_ids",)}))
@@ -268,11 +352,27 @@ def theorem_faults(spark, folder):
 def enriched_theorems(spark, folder):
     """Every second document says something about its theorem; nulls make faults."""
     rows = table(spark, folder, "documents").where("doc_id % 2 = 0")
-    name = F.concat(F.lit("mathlib4:Notes."), F.replace(F.coalesce("source", F.lit("none")), F.lit("_"), F.lit(".")), F.lit(".t"), F.col("doc_id").cast("string"))
+    name = F.concat(
+        F.lit("mathlib4:Notes."),
+        F.replace(F.coalesce("source", F.lit("none")), F.lit("_"), F.lit(".")),
+        F.lit(".t"),
+        F.col("doc_id").cast("string"),
+    )
     lists = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c)))
-    told = rows.select(name.alias("memory_id"), F.col("kind").alias("title"), F.col("lang").alias("informal_statement"), lists("source").alias("domain_path"), lists("course_id").alias("keywords"), F.lit(None).cast("array<string>").alias("preconditions"))
+    told = rows.select(
+        name.alias("memory_id"),
+        F.col("kind").alias("title"),
+        F.col("lang").alias("informal_statement"),
+        lists("source").alias("domain_path"),
+        lists("course_id").alias("keywords"),
+        F.lit(None).cast("array<string>").alias("preconditions"),
+    )
     made = prompts.merge_enrichment(_theorems(spark, folder).where("fault is null"), told)
-    return made.groupBy(F.coalesce("fault", F.lit("fit")).alias("fault"), F.col("title").isNotNull().alias("told")).agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("text_length"), F.sum(F.size("keywords")).alias("keywords"))
+    return made.groupBy(F.coalesce("fault", F.lit("fit")).alias("fault"), F.col("title").isNotNull().alias("told")).agg(
+        F.count("*").alias("records"),
+        F.sum(F.length("text")).alias("text_length"),
+        F.sum(F.size("keywords")).alias("keywords"),
+    )
 
 
 # ---- runs
@@ -284,23 +384,43 @@ def _runs(spark, folder) -> DataFrame:
     share = lambda p, t: F.coalesce(F.try_divide(F.col(f"test_counts.{p}"), F.col(f"test_counts.{t}")), F.lit(0.0))
     k = F.pmod("result_no", F.lit(4))
     failures = F.when(F.coalesce("python_executable", F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("execution")))
-    verified = F.struct(one("final_answer_correct").alias("final_answer_score"), one("backward_target_correct").alias("backward_score"), failures.alias("failures"))
+    verified = F.struct(
+        one("final_answer_correct").alias("final_answer_score"),
+        one("backward_target_correct").alias("backward_score"),
+        failures.alias("failures"),
+    )
     worse = F.struct(F.lit(0.0).alias("final_answer_score"), F.lit(0.0).alias("backward_score"), F.array(F.lit("x")).alias("failures"))
     record = F.struct(
-        F.struct(F.when(F.col("completion_token_count") >= 0, F.array_repeat(F.lit(1), F.col("completion_token_count"))).alias("completion_token_ids")).alias("rollout"), verified.alias("verification"),
+        F.struct(
+            F.when(F.col("completion_token_count") >= 0, F.array_repeat(F.lit(1), F.col("completion_token_count"))).alias("completion_token_ids")
+        ).alias("rollout"), verified.alias("verification"),
         F.struct(
             (F.col("generation_seconds") / 10).alias("teacher_reward"), one("tags_exact").alias("format_gate"), one("signature_exact").alias("signature_reward"), one("python_executable").alias("execution_reward"),
             share("unit_passed", "unit_total").alias("unit_test_reward"), share("property_passed", "property_total").alias("property_test_reward"), one("backward_target_correct").alias("backward_reward"), one("final_answer_correct").alias("final_reward"),
         ).alias("reward"),
         F.struct(
-            _case(k, {0: F.lit("succeeded"), 1: F.lit("shared_feedback"), 3: F.lit("failed")}, none()).alias("status"), F.when(k == 0, F.array(F.lit("a"))).alias("attempts"), F.when(k == 0, worse).alias("verification_before_repair"),
+            _case(
+                k,
+                {0: F.lit("succeeded"), 1: F.lit("shared_feedback"), 3: F.lit("failed")},
+                none(),
+            ).alias("status"), F.when(k == 0, F.array(F.lit("a"))).alias("attempts"), F.when(k == 0, worse).alias("verification_before_repair"),
         ).alias("repair"),
     )
-    held = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("adapter", record.alias("r")))).alias("a"), F.max("result_no").alias("last"), F.avg("generation_seconds").alias("s"))
+    held = rows.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("adapter", record.alias("r")))).alias("a"),
+        F.max("result_no").alias("last"),
+        F.avg("generation_seconds").alias("s"),
+    )
     return held.select(
-        F.struct("id").alias("problem"), F.size("a").alias("teacher_calls_used"), F.struct(F.element_at("a", 1)["r"]["verification"].alias("verification")).alias("teacher_probe"),
-        F.struct(F.when(F.col("last") % 2 == 0, F.array(F.lit(1))).alias("rollout_judgments")).alias("teacher_group_judgment"), F.struct((F.col("s") / 100).alias("approx_kl")).alias("grpo_update"),
-        F.struct(F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.struct(i.cast("string").alias("id"))).alias("theorem_items")).alias("memory_context"), F.transform("a", lambda x: x["r"]).alias("rollout_records"),
+        F.struct("id").alias("problem"), F.size("a").alias("teacher_calls_used"), F.struct(
+            F.element_at("a", 1)["r"]["verification"].alias("verification")
+        ).alias("teacher_probe"),
+        F.struct(
+            F.when(F.col("last") % 2 == 0, F.array(F.lit(1))).alias("rollout_judgments")
+        ).alias("teacher_group_judgment"), F.struct((F.col("s") / 100).alias("approx_kl")).alias("grpo_update"),
+        F.struct(
+            F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.struct(i.cast("string").alias("id"))).alias("theorem_items")
+        ).alias("memory_context"), F.transform("a", lambda x: x["r"]).alias("rollout_records"),
     )
 
 
@@ -319,16 +439,31 @@ def trajectory_metrics(spark, folder):
     final = flag("final_answer_correct").cast("double")
     share = F.coalesce(F.try_divide(F.col("test_counts.unit_passed"), F.col("test_counts.unit_total")), F.lit(0.0))
     total = F.greatest(F.coalesce("test_counts.unit_total", F.lit(0)), F.lit(0))
-    tests = F.transform(F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(F.array().cast("array<int>")), lambda i: F.struct((i <= F.coalesce("test_counts.unit_passed", F.lit(0))).alias("passed")))
+    tests = F.transform(
+        F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct((i <= F.coalesce("test_counts.unit_passed", F.lit(0))).alias("passed")),
+    )
     no_spans = F.array().cast("array<struct<code_blocks:array<string>>>")
     record = F.struct(
-        F.struct(F.greatest(F.coalesce("completion_token_count", F.lit(0)), F.lit(0)).alias("completion_token_count"), F.pmod("result_no", F.lit(3)).cast("int").alias("tool_call_count"), no_spans.alias("parsed_spans")).alias("rollout"),
         F.struct(
-            (F.coalesce("generation_seconds", F.lit(0.0)) / 2).alias("runtime_seconds"), flag("python_executable").alias("executable"), (F.col("status") == "timeout").alias("timeout"),
+            F.greatest(F.coalesce("completion_token_count", F.lit(0)), F.lit(0)).alias("completion_token_count"),
+            F.pmod("result_no", F.lit(3)).cast("int").alias("tool_call_count"),
+            no_spans.alias("parsed_spans"),
+        ).alias("rollout"),
+        F.struct(
+            (
+                F.coalesce("generation_seconds", F.lit(0.0)) / 2
+            ).alias("runtime_seconds"), flag("python_executable").alias("executable"), (F.col("status") == "timeout").alias("timeout"),
             F.create_map(F.lit("main"), F.struct(flag("python_executable").alias("executable"), tests.alias("test_results"))).alias("node_results"),
         ).alias("execution"),
-        F.struct(F.create_map(F.lit("f1"), share, F.lit("main"), flag("all_hidden_tests_pass").cast("double")).alias("node_scores"), F.create_map(F.lit("f1->main"), flag("backward_target_correct").cast("double")).alias("edge_scores"), final.alias("final_answer_score")).alias("verification"),
-        F.struct(final.alias("final_reward")).alias("reward"), F.struct(_case(F.pmod("result_no", F.lit(4)), {0: F.lit("not_needed"), 1: F.lit("succeeded"), 2: F.lit("failed")}, none()).alias("status")).alias("repair"),
+        F.struct(
+            F.create_map(F.lit("f1"), share, F.lit("main"), flag("all_hidden_tests_pass").cast("double")).alias("node_scores"),
+            F.create_map(F.lit("f1->main"), flag("backward_target_correct").cast("double")).alias("edge_scores"),
+            final.alias("final_answer_score"),
+        ).alias("verification"),
+        F.struct(final.alias("final_reward")).alias("reward"), F.struct(
+            _case(F.pmod("result_no", F.lit(4)), {0: F.lit("not_needed"), 1: F.lit("succeeded"), 2: F.lit("failed")}, none()).alias("status")
+        ).alias("repair"),
     )
     held = rows.groupBy("id").agg(F.collect_list(record).alias("rollout_records"), F.sum("generation_seconds").alias("wall_time_seconds"))
     out = metrics.trajectory_metrics(held.select("wall_time_seconds", "rollout_records"))
@@ -364,12 +499,25 @@ def sampled_changes(spark, folder):
 def positional_tests(spark, folder):
     """Results shorter and longer than their specification and with a missing entry, by number."""
     rows = results(spark, folder, "test_counts")
-    tests = lambda p, t, kind: F.transform(F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")))
-    whole = F.concat(tests("test_counts.unit_passed", "test_counts.unit_total", "unit"), tests("test_counts.property_passed", "test_counts.property_total", "property"))
+    tests = lambda p, t, kind: F.transform(
+        F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(kind).alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")),
+    )
+    whole = F.concat(
+        tests("test_counts.unit_passed", "test_counts.unit_total", "unit"),
+        tests("test_counts.property_passed", "test_counts.property_total", "property"),
+    )
     passed = F.transform(whole, lambda t, i: F.struct(F.when(~((F.col("result_no") % 5 == 0) & (i == 0)), t["passed"]).alias("passed")))
     cut = F.when(F.col("result_no") % 3 == 0, F.slice(passed, 1, F.greatest(F.size(passed) - 1, F.lit(0)))).otherwise(passed)
-    more = F.when(F.col("result_no") % 7 == 0, F.concat(cut, F.array(F.struct(F.lit(True).alias("passed")), F.struct(F.lit(True).alias("passed"))))).otherwise(cut)
-    held = rows.select("adapter", F.transform(whole, lambda t: F.struct(t["kind"].alias("kind"))).alias("expected"), F.when(F.col("result_no") % 11 != 0, more).alias("actual"))
+    more = F.when(
+        F.col("result_no") % 7 == 0,
+        F.concat(cut, F.array(F.struct(F.lit(True).alias("passed")), F.struct(F.lit(True).alias("passed")))),
+    ).otherwise(cut)
+    held = rows.select(
+        "adapter",
+        F.transform(whole, lambda t: F.struct(t["kind"].alias("kind"))).alias("expected"),
+        F.when(F.col("result_no") % 11 != 0, more).alias("actual"),
+    )
     return metrics.test_totals(held, ["adapter"])
 
 
@@ -402,7 +550,10 @@ def tagged_spans(spark, folder):
 
 def signature_checks(spark, folder):
     """Of every function with a span: exactly one block that defines it with the one parameter n."""
-    found = _tagged(spark, folder).select("rollout_id", F.explode(spans.tagged_spans("raw_text", "nodes")).alias("s")).where("s.start_char >= 0 and s.node_id <> 'main'")
+    found = _tagged(spark, folder).select(
+        "rollout_id",
+        F.explode(spans.tagged_spans("raw_text", "nodes")).alias("s"),
+    ).where("s.start_char >= 0 and s.node_id <> 'main'")
     ok = spans.python_signature_ok(F.concat("s.node_id", F.lit("(n)")), F.col("s.code_blocks"))
     return found.select("rollout_id", "s.node_id", ok.alias("signature_ok"))
 
@@ -419,7 +570,10 @@ def answer_numbers(spark, folder):
     both = said.join(gold.groupBy("id").agg(F.min("gold_answer").alias("gold")), "id", "left")
     plain = lambda c: F.col(c).rlike(r"^-?[0-9]{1,12}(\.[0-9]+)?$")
     checked = both.withColumn("e", answers.answer_equivalence(F.col("said"), F.col("gold")))
-    method = F.when(F.col("said").isNull() | F.col("gold").isNull(), F.col("e.method")).when(plain("said") & plain("gold"), F.col("e.method")).otherwise("other")
+    method = F.when(
+        F.col("said").isNull() | F.col("gold").isNull(),
+        F.col("e.method"),
+    ).when(plain("said") & plain("gold"), F.col("e.method")).otherwise("other")
     return checked.groupBy(method.alias("method"), F.when(method != "other", F.col("e.equivalent")).alias("equivalent")).agg(F.count("*").alias("n"))
 
 

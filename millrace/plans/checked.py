@@ -16,8 +16,15 @@ def scored_answers(spark, folder):
     rows = problems(spark, folder).withColumn("k", F.pmod("record_no", F.lit(4)))
     n = F.col("record_no").cast("string")
     given = rows.select(
-        "id", _case(F.col("k"), {1: F.concat(n, F.lit(".0")), 2: F.concat(n, F.lit(" hours")), 3: none()}, F.concat(n, F.lit("1"))).alias("predicted"), n.alias("gold"),
-        F.when(F.pmod("record_no", F.lit(3)) > 0, F.lit("f1(2)")).alias("target_call"), F.create_map(F.when(F.pmod("record_no", F.lit(5)) > 0, "f1(2)").otherwise("f1(3)"), n).alias("outputs"),
+        "id", _case(
+            F.col("k"),
+            {1: F.concat(n, F.lit(".0")), 2: F.concat(n, F.lit(" hours")), 3: none()},
+            F.concat(n, F.lit("1")),
+        ).alias("predicted"), n.alias("gold"),
+        F.when(F.pmod("record_no", F.lit(3)) > 0, F.lit("f1(2)")).alias("target_call"), F.create_map(
+            F.when(F.pmod("record_no", F.lit(5)) > 0, "f1(2)").otherwise("f1(3)"),
+            n,
+        ).alias("outputs"),
     )
     return verification.scored_answers(given).select("id", "final_score", "backward_score", "equivalence_method")
 
@@ -26,9 +33,19 @@ def failure_records(spark, folder):
     """Failures of every recorded result: two nodes, an edge whose severity varies, final and backward answers."""
     rows = results(spark, folder, "python_executable", "all_hidden_tests_pass", "final_answer_correct", "backward_target_correct", "test_counts")
     one = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
-    node = lambda i: F.struct(F.lit(i).alias("id"), F.col("python_executable").alias("executable"), F.col("all_hidden_tests_pass").alias("passed"))
+    node = lambda i: F.struct(
+        F.lit(i).alias("id"),
+        F.col("python_executable").alias("executable"),
+        F.col("all_hidden_tests_pass").alias("passed"),
+    )
     severity = _case(F.pmod("result_no", F.lit(3)), {0: F.lit("critical"), 1: F.lit("hard")}, none())
-    edge = F.struct(F.lit("f1").alias("source"), F.lit("main").alias("target"), F.lit("uses_value").alias("relation_type"), severity.alias("severity"), F.when(F.col("test_counts").isNotNull(), one("python_executable")).alias("score"))
+    edge = F.struct(
+        F.lit("f1").alias("source"),
+        F.lit("main").alias("target"),
+        F.lit("uses_value").alias("relation_type"),
+        severity.alias("severity"),
+        F.when(F.col("test_counts").isNotNull(), one("python_executable")).alias("score"),
+    )
     back = F.when(F.col("result_no") % 2 == 0, one("backward_target_correct"))
     found = verification.failure_records(F.array(node("f1"), node("main")), F.array(edge), one("final_answer_correct"), back, F.lit("numeric"))
     held = rows.select("adapter", F.explode(found).alias("f"))
@@ -39,10 +56,19 @@ def memory_outcomes(spark, folder):
     """What a memory learns of every result: success, failure or nothing."""
     rows = results(spark, folder, "python_executable", "final_answer_correct", "backward_target_correct", "test_counts")
     one = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
-    edges = F.when(F.col("result_no") % 4 == 0, F.create_map().cast("map<string,double>")).otherwise(F.create_map(F.lit("f1->main"), one("backward_target_correct")))
+    edges = F.when(
+        F.col("result_no") % 4 == 0,
+        F.create_map().cast("map<string,double>"),
+    ).otherwise(F.create_map(F.lit("f1->main"), one("backward_target_correct")))
     failures = F.when(F.coalesce("python_executable", F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("execution")))
     repair = _case(F.pmod("result_no", F.lit(5)), {0: F.lit("failed"), 1: F.lit("succeeded")}, F.lit("not_needed"))
-    out = retrieval.memory_outcome(one("final_answer_correct"), F.create_map(F.lit("f1"), one("python_executable"), F.lit("main"), F.lit(0.7)), edges, failures, repair)
+    out = retrieval.memory_outcome(
+        one("final_answer_correct"),
+        F.create_map(F.lit("f1"), one("python_executable"), F.lit("main"), F.lit(0.7)),
+        edges,
+        failures,
+        repair,
+    )
     return rows.groupBy("adapter", out.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -91,10 +117,20 @@ def annotation_checks(spark, folder):
 def public_rows(spark, folder):
     """Problems without private fields, in the columns a public export may have."""
     rows = problems(spark, folder, "text", "gold_answer", "source")
-    private = F.struct(F.col("source").alias("source"), F.lit("code").alias("reference_code"), F.col("gold_answer").alias("reference_solution"), F.lit(1).alias("difficulty"))
+    private = F.struct(
+        F.col("source").alias("source"),
+        F.lit("code").alias("reference_code"),
+        F.col("gold_answer").alias("reference_solution"),
+        F.lit(1).alias("difficulty"),
+    )
     clean = records.without_private(rows.withColumn("metadata", private), "metadata", records.PRIVATE_KEYS["selection"])
     shown = records.public_rows(clean, ["id", "text", "metadata", "absent"])
-    return shown.select("id", F.length("text").alias("characters"), F.concat_ws(",", *(F.lit(f.name) for f in shown.schema["metadata"].dataType.fields)).alias("fields"), F.concat_ws(",", *map(F.lit, shown.columns)).alias("columns"))
+    return shown.select(
+        "id",
+        F.length("text").alias("characters"),
+        F.concat_ws(",", *(F.lit(f.name) for f in shown.schema["metadata"].dataType.fields)).alias("fields"),
+        F.concat_ws(",", *map(F.lit, shown.columns)).alias("columns"),
+    )
 
 
 def row_summary(spark, folder):
@@ -109,7 +145,12 @@ def locked_sets(spark, folder):
     digest, n = records.ids_digest(items, "id", True).first()
     train = table(spark, folder, "problems").select("id")
     checks = {
-        "locked": (True, n, digest, {"training": train}), "open": (False, n, digest, {}), "fewer": (True, n - 1, digest, {}), "digest": (True, n, "0", {}), "leak": (True, n, digest, {"training": train.union(items)}),
+        "locked": (True, n, digest, {"training": train}), "open": (False, n, digest, {}), "fewer": (True, n - 1, digest, {}), "digest": (True, n, "0", {}), "leak": (
+            True,
+            n,
+            digest,
+            {"training": train.union(items)},
+        ),
     }
     rows = [(name, verification.locked_fault(items, "id", *given) or "fit") for name, given in checks.items()]
     return spark.createDataFrame(rows, "name string, fault string")
@@ -119,28 +160,66 @@ def public_views(spark, folder):
     """What may be seen of the execution of every result: tests by kind, the last line of errors with hidden tests masked, the ends of
     outputs, and bounded memory."""
     rows = results(spark, folder, "python_executable", "test_counts", "generation_seconds")
-    tests = lambda p, t, kind: F.transform(F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).cast("string").alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")))
+    tests = lambda p, t, kind: F.transform(
+        F.when(F.col(t) > 0, F.sequence(F.lit(1), F.col(t))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(kind).cast("string").alias("kind"), (i <= F.coalesce(F.col(p), F.lit(0))).alias("passed")),
+    )
     n = F.col("result_no").cast("string")
-    error = _case(F.pmod("result_no", F.lit(4)), {0: F.concat(F.lit("a\n  File <hidden-test "), n, F.lit(">\n \n")), 1: F.lit(None).cast("string"), 2: F.concat(F.lit("first\n"), F.repeat(F.lit("e"), 600), n)}, F.concat(F.lit(" last "), n))
+    error = _case(
+        F.pmod("result_no", F.lit(4)),
+        {
+            0: F.concat(F.lit("a\n  File <hidden-test "), n, F.lit(">\n \n")),
+            1: F.lit(None).cast("string"),
+            2: F.concat(F.lit("first\n"), F.repeat(F.lit("e"), 600), n),
+        },
+        F.concat(F.lit(" last "), n),
+    )
     node = F.struct(
         F.col("python_executable").alias("executable"), F.lit(None).cast("boolean").alias("timeout"), F.col("generation_seconds").alias("runtime_seconds"), F.lit("o").alias("stdout"), error.alias("stderr"),
-        F.concat(tests("test_counts.unit_passed", "test_counts.unit_total", None), tests("test_counts.property_passed", "test_counts.property_total", "property")).alias("test_results"),
+        F.concat(
+            tests("test_counts.unit_passed", "test_counts.unit_total", None),
+            tests("test_counts.property_passed", "test_counts.property_total", "property"),
+        ).alias("test_results"),
     )
-    execution = F.struct(F.col("python_executable").alias("executable"), F.lit(None).cast("boolean").alias("timeout"), F.lit(None).cast("double").alias("runtime_seconds"), F.repeat(F.lit("s"), 5000).alias("stdout"), error.alias("stderr"), F.create_map(F.lit("main"), node).alias("node_results"))
-    item = F.struct(n.alias("id"), F.lit("s").alias("source"), F.repeat(F.lit("t"), 3000).alias("text"), F.array_repeat(F.lit("k"), 30).alias("keywords"), F.lit("secret").alias("hidden"))
-    shown = rows.select("result_no", views.public_execution(execution).alias("p"), views.private_execution(execution).alias("q"), views.bounded_memory(F.array_repeat(item, 5)).alias("m"))
+    execution = F.struct(
+        F.col("python_executable").alias("executable"),
+        F.lit(None).cast("boolean").alias("timeout"),
+        F.lit(None).cast("double").alias("runtime_seconds"),
+        F.repeat(F.lit("s"), 5000).alias("stdout"),
+        error.alias("stderr"),
+        F.create_map(F.lit("main"), node).alias("node_results"),
+    )
+    item = F.struct(
+        n.alias("id"),
+        F.lit("s").alias("source"),
+        F.repeat(F.lit("t"), 3000).alias("text"),
+        F.array_repeat(F.lit("k"), 30).alias("keywords"),
+        F.lit("secret").alias("hidden"),
+    )
+    shown = rows.select(
+        "result_no",
+        views.public_execution(execution).alias("p"),
+        views.private_execution(execution).alias("q"),
+        views.bounded_memory(F.array_repeat(item, 5)).alias("m"),
+    )
     main = F.try_element_at("p.node_results", F.lit("main"))
     count = lambda kind, part: F.coalesce(F.try_element_at(main["test_summary"], F.lit(kind))[part], F.lit(0)).alias(f"{kind}_{part}")
     return shown.select(
         "result_no", "p.executable", "p.timeout", main["runtime_seconds"].alias("runtime"), F.length(main["error_summary"]).alias("error_length"), F.left(main["error_summary"], F.lit(11)).alias("error_start"),
-        *(count(k, p) for k in ("unit", "property") for p in ("passed", "total")), F.length("q.stdout").alias("stdout_length"), F.size("m").alias("items"), F.length(F.element_at("m", 1)["text"]).alias("text_length"), F.size(F.element_at("m", 3)["keywords"]).alias("keywords"),
+        *(
+            count(k, p) for k in ("unit", "property") for p in ("passed", "total")
+        ), F.length("q.stdout").alias("stdout_length"), F.size("m").alias("items"), F.length(F.element_at("m", 1)["text"]).alias("text_length"), F.size(F.element_at("m", 3)["keywords"]).alias("keywords"),
     )
 
 
 def reachable_nodes(spark, folder):
     """Batches as a chain of nodes a source, walked backwards from the last one: graphs of any size, frontier by frontier."""
     rows = table(spark, folder, "problems").where("source is not null and batch_no is not null").select("source", "batch_no").distinct()
-    edges = rows.where("batch_no % 5 <> 0").select(F.col("source").alias("graph_id"), F.col("batch_no").cast("string").alias("source"), (F.col("batch_no") + 1).cast("string").alias("target"))
+    edges = rows.where("batch_no % 5 <> 0").select(
+        F.col("source").alias("graph_id"),
+        F.col("batch_no").cast("string").alias("source"),
+        (F.col("batch_no") + 1).cast("string").alias("target"),
+    )
     start = rows.select(F.col("source").alias("graph_id"), F.lit("12").alias("node")).distinct()
     return graph.reachable(edges, start).groupBy("graph_id").agg(F.count("*").alias("nodes"))
 

@@ -44,7 +44,12 @@ def origins(spark: SparkSession, folder: str) -> DataFrame:
     """(id, source, difficulty) of problems and held-out items."""
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "source", "difficulty")
     return dedup.first_wins(
-        problems(spark, folder, "source", "difficulty").select("id", "source", "difficulty", F.lit(0).alias("_o")).unionByName(items.withColumn("_o", F.lit(1))), F.col("id"), ["_o"]
+        problems(spark, folder, "source", "difficulty").select(
+            "id",
+            "source",
+            "difficulty",
+            F.lit(0).alias("_o"),
+        ).unionByName(items.withColumn("_o", F.lit(1))), F.col("id"), ["_o"]
     ).drop("_o")
 
 
@@ -64,7 +69,11 @@ def eval_summary(spark, folder):
 
 
 def metric_deltas(spark, folder):
-    return compare.deltas(compare.summarise(results(spark, folder, *SUMMARY), ["adapter"]), "adapter", BASELINE).withColumns(_r("baseline", "candidate", "delta"))
+    return compare.deltas(
+        compare.summarise(results(spark, folder, *SUMMARY), ["adapter"]),
+        "adapter",
+        BASELINE,
+    ).withColumns(_r("baseline", "candidate", "delta"))
 
 
 def pair_transitions(spark, folder):
@@ -83,7 +92,14 @@ def wilson_rates(spark, folder):
 
 
 def mcnemar_by_source(spark, folder):
-    pairs = compare.paired(results(spark, folder, "final_answer_correct", "python_executable"), "adapter", "id", BASELINE, "teacher_judge", ("final_answer_correct", "python_executable"))
+    pairs = compare.paired(
+        results(spark, folder, "final_answer_correct", "python_executable"),
+        "adapter",
+        "id",
+        BASELINE,
+        "teacher_judge",
+        ("final_answer_correct", "python_executable"),
+    )
     sources = origins(spark, folder).select("id", F.coalesce("source", F.lit("unknown")).alias("source"))
     counts = compare.transitions(pairs.join(sources, "id"), ["source", "metric"])
     return compare.with_tests(counts).select("source", "metric", "improved", "regressed", F.round("p_value", 6).alias("p_value"))
@@ -95,7 +111,12 @@ def holm_by_source(spark, folder):
 
 
 def pass_at_k(spark, folder):
-    flags = {"final": F.col("final_answer_correct"), "success": F.col("full_success"), "executable": F.col("python_executable"), "tests": F.col("all_hidden_tests_pass")}
+    flags = {
+        "final": F.col("final_answer_correct"),
+        "success": F.col("full_success"),
+        "executable": F.col("python_executable"),
+        "tests": F.col("all_hidden_tests_pass"),
+    }
     out = compare.pass_at_k(table(spark, folder, "eval_results").where("id is not null"), "id", flags, ["adapter"])
     return out.withColumns(_r(*(f"{n}_{k}" for n in flags for k in ("rate", "pass_at_k"))))
 
@@ -114,14 +135,21 @@ def merged_summaries(spark, folder):
     parts = (
         results(spark, folder, "finished_at", "generation_seconds", "full_success", "python_executable")
         .groupBy("adapter", F.date_trunc("month", "finished_at").alias("month"))
-        .agg(F.count("*").alias("num_problems"), F.sum("generation_seconds").alias("wall_time_seconds"), stats.true_rate(F.col("full_success")).alias("success"), stats.true_rate(F.col("python_executable")).alias("executable"))
+        .agg(
+            F.count("*").alias("num_problems"),
+            F.sum("generation_seconds").alias("wall_time_seconds"),
+            stats.true_rate(F.col("full_success")).alias("success"),
+            stats.true_rate(F.col("python_executable")).alias("executable"),
+        )
     )
     return compare.merged_summaries(parts, ["success", "executable"], ["adapter"]).withColumns(_r("wall_time_seconds", "success", "executable"))
 
 
 def group_ranges(spark, folder):
     rows = rollouts(spark, folder, "problem_id", "generation_seconds").where("generation_seconds is not null")
-    return compare.group_stats(rows, "problem_id", "generation_seconds", "seconds").withColumns(_r("min_seconds", "max_seconds") | {"mean_seconds": F.round("mean_seconds", 9)})
+    return compare.group_stats(rows, "problem_id", "generation_seconds", "seconds").withColumns(
+        _r("min_seconds", "max_seconds") | {"mean_seconds": F.round("mean_seconds", 9)}
+    )
 
 
 # ---- deduplication, leakage, constraints
@@ -137,12 +165,16 @@ def dedup_first_unicode(spark, folder):
 
 
 def dedup_conflicts(spark, folder):
-    rows = table(spark, folder, "problems").withColumns({"_t": text.ascii_hash(F.coalesce("text", F.lit(""))), "_a": F.trim(F.coalesce("gold_answer", F.lit("")))})
+    rows = table(spark, folder, "problems").withColumns(
+        {"_t": text.ascii_hash(F.coalesce("text", F.lit(""))), "_a": F.trim(F.coalesce("gold_answer", F.lit("")))}
+    )
     return dedup.conflicting_keys(rows, "id", ["_t", "_a"])
 
 
 def unique_pool(spark, folder):
-    rows = table(spark, folder, "problems").withColumns({"_t": text.ascii_hash(F.coalesce("text", F.lit(""))), "_a": F.trim(F.coalesce("gold_answer", F.lit("")))})
+    rows = table(spark, folder, "problems").withColumns(
+        {"_t": text.ascii_hash(F.coalesce("text", F.lit(""))), "_a": F.trim(F.coalesce("gold_answer", F.lit("")))}
+    )
     return dedup.unique_pool(rows, "id", ["_t", "_a"], ["record_no"]).select("record_no", "id")
 
 
@@ -176,10 +208,16 @@ def split_overlap(spark, folder):
 def invalid_results(spark, folder):
     rows = table(spark, folder, "eval_results")
     broken = F.array_compact(F.array(
-        F.when(~F.coalesce(F.col("prompt_token_count") >= 0, F.lit(False)), "prompt_token_count"), F.when(~F.coalesce(F.col("completion_token_count") >= 0, F.lit(False)), "completion_token_count"),
+        F.when(~F.coalesce(F.col("prompt_token_count") >= 0, F.lit(False)), "prompt_token_count"), F.when(
+            ~F.coalesce(F.col("completion_token_count") >= 0, F.lit(False)),
+            "completion_token_count",
+        ),
         F.when(F.col("status").isNull(), "status"), F.when(F.col("test_counts.unit_passed") > F.col("test_counts.unit_total"), "unit_tests"),
     ))
-    return rows.select("result_no", F.explode(broken).alias("rule")).groupBy("rule").agg(F.count("*").alias("rows"), F.count_distinct("result_no").alias("results"))
+    return rows.select("result_no", F.explode(broken).alias("rule")).groupBy("rule").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("result_no").alias("results"),
+    )
 
 
 def forbidden_keys(spark, folder):
@@ -192,7 +230,13 @@ def forbidden_keys(spark, folder):
 
 def _pool(spark, folder):
     rows = problems(spark, folder, F.col("text").isNotNull().alias("has_text"), "source", "difficulty", "domain").where("has_text")
-    return rows.select("id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"), canonical.topic(F.col("domain")).alias("topic"), canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"))
+    return rows.select(
+        "id",
+        F.coalesce("source", F.lit("unknown")).alias("source"),
+        F.coalesce("difficulty", F.lit("unknown")).alias("difficulty"),
+        canonical.topic(F.col("domain")).alias("topic"),
+        canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"),
+    )
 
 
 def stratified_sample(spark, folder):
@@ -238,7 +282,13 @@ def hard_set(spark, folder):
     unit = stats.ratio(F.col("test_counts.unit_passed"), F.col("test_counts.unit_total"))
     prop = stats.ratio(F.col("test_counts.property_passed"), F.col("test_counts.property_total"))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
-    measured = metrics.hardness(rows, "id", flag("final_answer_correct"), [flag("python_executable"), unit, prop, flag("backward_target_correct")], flag("full_success") + unit)
+    measured = metrics.hardness(
+        rows,
+        "id",
+        flag("final_answer_correct"),
+        [flag("python_executable"), unit, prop, flag("backward_target_correct")],
+        flag("full_success") + unit,
+    )
     held = problems(spark, folder).select("id").join(measured, "id", "left")
     held = held.withColumn("reason", metrics.reject_reason(F.col("rollouts"), F.col("final_rate"), F.col("learnability"), 0.75, 0.1))
     kept = held.where("reason is null").withColumn("score", metrics.hard_score(F.col("final_rate"), F.col("learnability"), F.col("reward_std")))
@@ -259,7 +309,12 @@ def reject_reasons(spark, folder):
 
 def canonical_omni(spark, folder):
     rows = canonical.omni(table(spark, folder, "omni_records"))
-    return dedup.first_wins(rows.withColumn("_n", F.coalesce("difficulty", F.lit(""))), F.col("id"), ["_n", "source"]).select("id", "gold_answer", "problem_sha256", F.length("reference_solution").alias("solution_length"))
+    return dedup.first_wins(rows.withColumn("_n", F.coalesce("difficulty", F.lit(""))), F.col("id"), ["_n", "source"]).select(
+        "id",
+        "gold_answer",
+        "problem_sha256",
+        F.length("reference_solution").alias("solution_length"),
+    )
 
 
 def normalised_problems(spark, folder):
@@ -270,7 +325,14 @@ def normalised_problems(spark, folder):
 
 def problem_labels(spark, folder):
     rows = problems(spark, folder, "domain", "difficulty")
-    return rows.select("id", canonical.family(F.col("id")).alias("family"), canonical.family_by_omni(F.col("id")).alias("other_family"), canonical.domain_key(F.col("domain")).alias("domain_key"), canonical.topic(F.col("domain")).alias("topic"), canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"))
+    return rows.select(
+        "id",
+        canonical.family(F.col("id")).alias("family"),
+        canonical.family_by_omni(F.col("id")).alias("other_family"),
+        canonical.domain_key(F.col("domain")).alias("domain_key"),
+        canonical.topic(F.col("domain")).alias("topic"),
+        canonical.difficulty_bucket(F.col("difficulty")).alias("bucket"),
+    )
 
 
 def rate_buckets(spark, folder):
@@ -289,7 +351,13 @@ def chat_records(spark, folder):
         "solve": [records.message("user", F.col("text")), records.message("assistant", F.col("gold_answer"))],
     }
     out = records.chat_records(rows, "id", tasks)
-    return out.select("id", "task", F.size("messages").alias("turns"), F.sha2(records.rendered(F.col("messages")), 256).alias("rendered_sha256"), records.ends_with_answer(F.col("messages")).alias("complete"))
+    return out.select(
+        "id",
+        "task",
+        F.size("messages").alias("turns"),
+        F.sha2(records.rendered(F.col("messages")), 256).alias("rendered_sha256"),
+        records.ends_with_answer(F.col("messages")).alias("complete"),
+    )
 
 
 def _with_prompt(spark, folder):
@@ -308,8 +376,16 @@ def encoded_features(spark, folder):
 
 
 def padded_batches(spark, folder):
-    wide = records.padded(records.encoded(_with_prompt(spark, folder), "prompt", "completion", 4096).withColumn("batch", F.floor(F.col("rollout_id") / 16)), "batch", 0)
-    return wide.groupBy("batch").agg(F.max(F.size("input_ids")).alias("width"), F.min(F.size("labels")).alias("least"), F.sum(F.size(F.filter("attention_mask", lambda x: x == 0))).alias("padding"))
+    wide = records.padded(
+        records.encoded(_with_prompt(spark, folder), "prompt", "completion", 4096).withColumn("batch", F.floor(F.col("rollout_id") / 16)),
+        "batch",
+        0,
+    )
+    return wide.groupBy("batch").agg(
+        F.max(F.size("input_ids")).alias("width"),
+        F.min(F.size("labels")).alias("least"),
+        F.sum(F.size(F.filter("attention_mask", lambda x: x == 0))).alias("padding"),
+    )
 
 
 def ids_digest(spark, folder):
@@ -320,13 +396,24 @@ def ids_digest(spark, folder):
 
 def selection_manifest(spark, folder):
     rows = _pool(spark, folder).withColumn("family", canonical.family(F.col("id")))
-    return rows.groupBy("family").agg(F.count("*").alias("rows"), F.count_distinct("source").alias("sources"), F.count_distinct("difficulty").alias("difficulties"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return rows.groupBy("family").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("source").alias("sources"),
+        F.count_distinct("difficulty").alias("difficulties"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    )
 
 
 # ---- retrieval
 
 def _items(spark, folder):
-    return table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("item_id"), "text", F.col("doc_id").alias("ordinal"), F.coalesce(F.col("kind"), F.lit("prior")).alias("kind"))
+    return table(spark, folder, "documents").where("text is not null").select(
+        F.col("doc_id").alias("item_id"),
+        "text",
+        F.col("doc_id").alias("ordinal"),
+        F.coalesce(F.col("kind"), F.lit("prior")).alias("kind"),
+    )
 
 
 def jaccard_top_k(spark, folder):
@@ -379,12 +466,20 @@ def _tagged(spark, folder):
 
 
 def first_tags(spark, folder):
-    return _tagged(spark, folder).select("rollout_id", F.length(spans.first_tag(F.col("raw_text"), F.lit("a_f1"))).alias("first_length"), F.length(spans.first_tag(F.col("raw_text"), F.lit("main"))).alias("main_length"))
+    return _tagged(spark, folder).select(
+        "rollout_id",
+        F.length(spans.first_tag(F.col("raw_text"), F.lit("a_f1"))).alias("first_length"),
+        F.length(spans.first_tag(F.col("raw_text"), F.lit("main"))).alias("main_length"),
+    )
 
 
 def exact_tags(spark, folder):
     rows = _tagged(spark, folder).withColumn("raw_text", F.regexp_replace("raw_text", r"(</?)main>", "$1a_main>"))
-    return rows.select("rollout_id", spans.exact_tags(F.col("raw_text"), F.col("nodes")).alias("exact"), spans.tag_set_once(F.col("raw_text"), F.col("nodes")).alias("once"))
+    return rows.select(
+        "rollout_id",
+        spans.exact_tags(F.col("raw_text"), F.col("nodes")).alias("exact"),
+        spans.tag_set_once(F.col("raw_text"), F.col("nodes")).alias("once"),
+    )
 
 
 def code_checks(spark, folder):
@@ -394,7 +489,13 @@ def code_checks(spark, folder):
     code = rows.select("rollout_id", F.explode(spans.code_blocks("raw_text", "nodes")).alias("c")).select("rollout_id", "c.*")
     wanted = F.concat("node_id", F.regexp_extract("code", r"def \w+(\([^)]*\))", 1))
     signature = F.when(F.col("node_id").isNotNull(), spans.python_signature_ok(wanted, F.col("node_blocks")))
-    return code.select("rollout_id", "block", "node_id", F.coalesce(spans.unsafe_code(F.col("code")), F.lit("ok")).alias("safety"), signature.alias("signature_ok"))
+    return code.select(
+        "rollout_id",
+        "block",
+        "node_id",
+        F.coalesce(spans.unsafe_code(F.col("code")), F.lit("ok")).alias("safety"),
+        signature.alias("signature_ok"),
+    )
 
 
 def boxed_answers(spark, folder):
@@ -405,14 +506,23 @@ def boxed_answers(spark, folder):
 def answer_matches(spark, folder):
     gold = problems(spark, folder, "gold_answer").select("id", "gold_answer").union(table(spark, folder, "eval_items").select("item_id", "gold_answer"))
     boxed = canonical.last_boxed(F.when(F.contains("raw_text", F.lit("boxed{")), F.col("raw_text")))  # texts without a box never reach Python
-    said = rollouts(spark, folder, "problem_id", "raw_text").select("rollout_id", F.col("problem_id").alias("id"), F.coalesce(boxed, F.nullif(F.regexp_extract("raw_text", r"(?i)final answer is (-?[\d,./]+\d)", 1), F.lit(""))).alias("said"))
+    said = rollouts(spark, folder, "problem_id", "raw_text").select(
+        "rollout_id",
+        F.col("problem_id").alias("id"),
+        F.coalesce(boxed, F.nullif(F.regexp_extract("raw_text", r"(?i)final answer is (-?[\d,./]+\d)", 1), F.lit(""))).alias("said"),
+    )
     both = said.join(gold.groupBy("id").agg(F.min("gold_answer").alias("gold")), "id", "left")
     checked = both.withColumn("e", answers.answer_equivalence(F.col("said"), F.col("gold")))
     return checked.groupBy("e.method", "e.equivalent").agg(F.count("*").alias("n"))
 
 
 def consensus(spark, folder):
-    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select("problem_id", "rollout_id", F.lit("main").alias("node_id"), F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{((?:[^{}]|\{[^{}]*\})*)\}", 1)), F.lit("")).alias("value"))
+    said = rollouts(spark, folder, "problem_id", "raw_text").where("raw_text is not null").select(
+        "problem_id",
+        "rollout_id",
+        F.lit("main").alias("node_id"),
+        F.nullif(text.math_text(F.regexp_extract("raw_text", r"boxed\{((?:[^{}]|\{[^{}]*\})*)\}", 1)), F.lit("")).alias("value"),
+    )
     return scoring.consensus(said).groupBy("problem_id").agg(F.count("*").alias("rollouts"), F.round(F.avg("consensus"), 6).alias("mean_consensus"))
 
 
@@ -422,22 +532,43 @@ def _components(rows: DataFrame) -> dict:
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("double")
     return {
         "format": flag("tags_exact"), "signature": flag("signature_exact"), "execution": flag("python_executable"), "final": flag("final_answer_correct"), "backward": flag("backward_target_correct"),
-        "unit_test": stats.ratio(F.col("test_counts.unit_passed"), F.col("test_counts.unit_total")), "property_test": stats.ratio(F.col("test_counts.property_passed"), F.col("test_counts.property_total")),
+        "unit_test": stats.ratio(F.col("test_counts.unit_passed"), F.col("test_counts.unit_total")), "property_test": stats.ratio(
+            F.col("test_counts.property_passed"),
+            F.col("test_counts.property_total"),
+        ),
     }
 
 
 def rewards(spark, folder):
     rows = results(spark, folder, *SCORED)
     out = rows.select("adapter", "id", *(c.alias(n) for n, c in scoring.reward_parts(_components(rows)).items()))
-    return out.groupBy("adapter").agg(F.count("*").alias("n"), F.round(F.avg("total_reward"), 6).alias("mean_reward"), F.round(F.max("total_reward"), 6).alias("max_reward"), F.round(F.avg("answer_gate"), 6).alias("mean_gate"))
+    return out.groupBy("adapter").agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("total_reward"), 6).alias("mean_reward"),
+        F.round(F.max("total_reward"), 6).alias("max_reward"),
+        F.round(F.avg("answer_gate"), 6).alias("mean_gate"),
+    )
 
 
 def span_rewards(spark, folder):
     rows = results(spark, folder, *SCORED)
     c = _components(rows)
-    outcomes = rows.select(F.col("result_no").alias("rollout_id"), c["format"].alias("format"), c["final"].alias("final"), c["backward"].alias("backward"), F.lit(0.0).alias("consensus"), F.lit(0.0).alias("teacher"))
+    outcomes = rows.select(
+        F.col("result_no").alias("rollout_id"),
+        c["format"].alias("format"),
+        c["final"].alias("final"),
+        c["backward"].alias("backward"),
+        F.lit(0.0).alias("consensus"),
+        F.lit(0.0).alias("teacher"),
+    )
     scores = {n: c[n].alias(n) for n in ("signature", "execution", "unit_test", "property_test")}
-    nodes = rows.select(F.col("result_no").alias("rollout_id"), F.explode(F.array(F.lit("f1"), F.lit("main"))).alias("node_id"), F.lit(0.0).alias("node"), *scores.values(), F.lit(0.0).alias("teacher"))
+    nodes = rows.select(
+        F.col("result_no").alias("rollout_id"),
+        F.explode(F.array(F.lit("f1"), F.lit("main"))).alias("node_id"),
+        F.lit(0.0).alias("node"),
+        *scores.values(),
+        F.lit(0.0).alias("teacher"),
+    )
     edges = rows.select(F.col("result_no").alias("rollout_id"), F.lit("f1").alias("source"), F.lit("main").alias("target"), c["execution"].alias("score"))
     return scoring.span_rewards(nodes, edges, outcomes).groupBy("node_id").agg(F.count("*").alias("n"), F.round(F.sum("reward"), 4).alias("total"))
 
@@ -451,7 +582,10 @@ def group_advantages(spark, folder):
 def span_advantages(spark, folder):
     rows = results(spark, folder, "tags_exact", "signature_exact", "python_executable")
     metrics_ = ["tags_exact", "signature_exact", "python_executable"]
-    rewards_ = rows.select(F.col("result_no").alias("rollout_id"), F.inline(F.array(*(F.struct(F.lit(m).alias("node_id"), F.when(F.col(m), 1.0).alias("reward")) for m in metrics_)))).where("reward is not null")
+    rewards_ = rows.select(
+        F.col("result_no").alias("rollout_id"),
+        F.inline(F.array(*(F.struct(F.lit(m).alias("node_id"), F.when(F.col(m), 1.0).alias("reward")) for m in metrics_))),
+    ).where("reward is not null")
     out = scoring.span_advantages(rows.select(F.col("id").alias("problem_id"), F.col("result_no").alias("rollout_id")), rewards_)
     return out.select("problem_id", "rollout_id", "node_id", F.round("advantage", 6).alias("advantage"))
 
@@ -459,7 +593,10 @@ def span_advantages(spark, folder):
 def token_advantages(spark, folder):
     rows = rollouts(spark, folder, "completion_token_ids").where("completion_token_ids is not null")
     n = F.size("completion_token_ids")
-    ranges = F.array(F.struct(F.lit("f1").alias("node"), F.lit(0).alias("start"), F.floor(n / 2).cast("int").alias("end")), F.struct(F.lit("main").alias("node"), F.floor(n / 3).cast("int").alias("start"), n.alias("end")))
+    ranges = F.array(
+        F.struct(F.lit("f1").alias("node"), F.lit(0).alias("start"), F.floor(n / 2).cast("int").alias("end")),
+        F.struct(F.lit("main").alias("node"), F.floor(n / 3).cast("int").alias("start"), n.alias("end")),
+    )
     given = F.create_map(F.lit("f1"), F.lit(1.0), F.lit("main"), F.lit(-0.5))
     return rows.select("rollout_id", F.round(F.aggregate(scoring.token_advantages(n, ranges, given), F.lit(0.0), lambda a, x: a + x), 6).alias("advantage_sum"))
 
@@ -495,7 +632,13 @@ def failure_classes(spark, folder):
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     kinds = {"python_executable": "execution_failure", "backward_target_correct": "dependency_failure", "final_answer_correct": "final_answer_failure"}
     failures = F.array_compact(F.array(*(F.when(~flag(c), F.struct(F.lit(k).alias("type"))) for c, k in kinds.items())))
-    return results(spark, folder, "python_executable", "backward_target_correct", "final_answer_correct").groupBy("adapter", scoring.failure_class(failures).alias("failure")).agg(F.count("*").alias("n"))
+    return results(
+        spark,
+        folder,
+        "python_executable",
+        "backward_target_correct",
+        "final_answer_correct",
+    ).groupBy("adapter", scoring.failure_class(failures).alias("failure")).agg(F.count("*").alias("n"))
 
 
 def metadata_fields(spark, folder):
@@ -506,7 +649,11 @@ def metadata_fields(spark, folder):
 
 def token_counts(spark, folder):
     rows = table(spark, folder, "problems").where("text is not null")
-    return rows.select("record_no", F.size(text.identifier_tokens(F.col("text"))).alias("identifiers"), F.size(text.lexical_tokens(F.col("text"))).alias("lexical"))
+    return rows.select(
+        "record_no",
+        F.size(text.identifier_tokens(F.col("text"))).alias("identifiers"),
+        F.size(text.lexical_tokens(F.col("text"))).alias("lexical"),
+    )
 
 
 def known_ids(spark, folder):
@@ -516,7 +663,10 @@ def known_ids(spark, folder):
 
 def answer_kinds(spark, folder):
     rows = problems(spark, folder, "gold_answer").where("gold_answer is not null")
-    return rows.groupBy(canonical.numeric_answer(F.col("gold_answer")).alias("numeric"), canonical.family(F.col("id")).alias("family")).agg(F.count("*").alias("n"))
+    return rows.groupBy(
+        canonical.numeric_answer(F.col("gold_answer")).alias("numeric"),
+        canonical.family(F.col("id")).alias("family"),
+    ).agg(F.count("*").alias("n"))
 
 
 def seeded_uniform(spark, folder):

@@ -86,7 +86,15 @@ SUMMARY = "select adapter, count(*) as problems, count(*) filter (status = 'erro
     ]
     + [f"round_even(coalesce(avg({c}), 0), 6) as {n}" for n, c in MEANS.items()]
 ) + " from results group by adapter"
-SUMMARY_NUMBERS = ["problems", "errors", *RATES, *(f"{k}_tests_passed" for k in ("unit", "property")), *(f"{k}_tests_total" for k in ("unit", "property")), *(f"{k}_test_pass_rate" for k in ("unit", "property")), *MEANS]
+SUMMARY_NUMBERS = [
+    "problems",
+    "errors",
+    *RATES,
+    *(f"{k}_tests_passed" for k in ("unit", "property")),
+    *(f"{k}_tests_total" for k in ("unit", "property")),
+    *(f"{k}_test_pass_rate" for k in ("unit", "property")),
+    *MEANS,
+]
 UNIT, PROPERTY = ("coalesce(test_counts.{0}_passed::double / nullif(test_counts.{0}_total, 0), 0)".format(k) for k in ("unit", "property"))
 
 
@@ -118,9 +126,27 @@ def label(*columns: str) -> str:
     return "'(' || " + " || ', ' || ".join(f"'''' || {c} || ''''" for c in columns) + " || ')'"
 
 
-L2 = QUOTA.format(strata="topic, bucket", exact="n * 0.2", total="floor(total_n * 0.2 + 0.5)", ties=f"sha256('{SEED}:' || {label('topic', 'bucket')}) desc, {label('topic', 'bucket')} desc", u=uniform("id"))
-L3 = QUOTA.format(strata="source, difficulty", exact="n * least(250, total_n) / total_n::double", total="least(250, total_n)", ties=label("source", "difficulty"), u=uniform("id"))
-L5 = QUOTA.format(strata="source, difficulty", exact="n * floor(total_n * 0.1 + 0.5) / total_n", total="floor(total_n * 0.1 + 0.5)", ties=label("source", "difficulty"), u=uniform("id"))
+L2 = QUOTA.format(
+    strata="topic, bucket",
+    exact="n * 0.2",
+    total="floor(total_n * 0.2 + 0.5)",
+    ties=f"sha256('{SEED}:' || {label('topic', 'bucket')}) desc, {label('topic', 'bucket')} desc",
+    u=uniform("id"),
+)
+L3 = QUOTA.format(
+    strata="source, difficulty",
+    exact="n * least(250, total_n) / total_n::double",
+    total="least(250, total_n)",
+    ties=label("source", "difficulty"),
+    u=uniform("id"),
+)
+L5 = QUOTA.format(
+    strata="source, difficulty",
+    exact="n * floor(total_n * 0.1 + 0.5) / total_n",
+    total="floor(total_n * 0.1 + 0.5)",
+    ties=label("source", "difficulty"),
+    u=uniform("id"),
+)
 ITEMS = "item as (select doc_id as item_id, text from documents where text is not null)"
 IDENTIFIERS = r"list_distinct(regexp_extract_all(lower({0}), '[a-z_][a-z0-9_]*|[0-9]+|[\x{{4e00}}-\x{{9fff}}]'))"
 LEXICAL = "list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9_]*|[0-9]+'))"
@@ -156,13 +182,31 @@ with {RESULTS}, g as (select adapter, count(*) as n, count(*) filter (full_succe
 select *, round({wilson("successes", "n", "-")}, 6) as low, round({wilson("successes", "n", "+")}, 6) as high from g""",
     "pass_at_k": """
 with per as (select adapter, id, count(*) as n, """
-    + ", ".join(f"count(*) filter ({c}) as {n}" for n, c in (("f", "final_answer_correct"), ("s", "full_success"), ("x", "python_executable"), ("t", "all_hidden_tests_pass")))
+    + ", ".join(
+        f"count(*) filter ({c}) as {n}" for n, c in (
+            ("f", "final_answer_correct"),
+            ("s", "full_success"),
+            ("x", "python_executable"),
+            ("t", "all_hidden_tests_pass"),
+        )
+    )
     + """ from eval_results where id is not null group by adapter, id)
 select adapter, count(*) as problems, sum(n) as rollouts, """
-    + ", ".join(f"round(sum({c})::double / sum(n), 6) as {n}_rate, round(avg(({c} > 0)::int), 6) as {n}_pass_at_k" for n, c in (("final", "f"), ("success", "s"), ("executable", "x"), ("tests", "t")))
+    + ", ".join(
+        f"round(sum({c})::double / sum(n), 6) as {n}_rate, round(avg(({c} > 0)::int), 6) as {n}_pass_at_k" for n, c in (
+            ("final", "f"),
+            ("success", "s"),
+            ("executable", "x"),
+            ("tests", "t"),
+        )
+    )
     + " from per group by adapter",
-    "test_count_totals": f"with {RESULTS} select adapter, " + ", ".join(f"{test_sum(c)} as {c}" for c in ("unit_passed", "unit_total", "property_passed", "property_total")) + " from results group by adapter",
-    "frequency_counts": " union all ".join(f"select '{c}' as field, coalesce({c}, 'unknown') as value, count(*) as n from documents group by 2" for c in ("lang", "source", "kind")),
+    "test_count_totals": f"with {RESULTS} select adapter, " + ", ".join(
+        f"{test_sum(c)} as {c}" for c in ("unit_passed", "unit_total", "property_passed", "property_total")
+    ) + " from results group by adapter",
+    "frequency_counts": " union all ".join(
+        f"select '{c}' as field, coalesce({c}, 'unknown') as value, count(*) as n from documents group by 2" for c in ("lang", "source", "kind")
+    ),
     "merged_summaries": f"""
 with {RESULTS}, parts as (select adapter, date_trunc('month', finished_at) as m, count(*) as k, sum(generation_seconds) as w, {RATE.format("full_success")} as s, {RATE.format("python_executable")} as x from results group by 1, 2)
 select adapter, sum(k) as num_problems, round(max(w), 6) as wall_time_seconds, round(sum(s * k) / sum(k), 6) as success, round(sum(x * k) / sum(k), 6) as executable from parts group by adapter""",

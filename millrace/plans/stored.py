@@ -29,7 +29,12 @@ def _problem_lines(spark, folder) -> str:
 def json_lines(spark, folder):
     """All problems as JSON lines and strictly read back: rows, lengths and nulls a batch."""
     rows = readers.json_lines(spark, _problem_lines(spark, folder), PROBLEM)
-    return rows.groupBy("batch_no").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"), F.count_if(F.col("split").isNull()).alias("without_split"), F.count_distinct("difficulty").alias("difficulties"))
+    return rows.groupBy("batch_no").agg(
+        F.count("*").alias("rows"),
+        F.sum(F.length("text")).alias("characters"),
+        F.count_if(F.col("split").isNull()).alias("without_split"),
+        F.count_distinct("difficulty").alias("difficulties"),
+    )
 
 
 def several_files(spark, folder):
@@ -88,19 +93,31 @@ def landed_split(spark, folder):
 def theorem_scan(spark, folder):
     """The first ten traced theorems of a prefix, by name."""
     path = shared_path(spark, "traces")
-    table(spark, folder, "documents").select(F.concat(F.lit("Notes.t"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("full_name"), F.length("text").alias("n")).write.parquet(path)
+    table(spark, folder, "documents").select(
+        F.concat(F.lit("Notes.t"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("full_name"),
+        F.length("text").alias("n"),
+    ).write.parquet(path)
     return readers.theorem_traces(spark, path, "Notes.t0", 10)
 
 
 def knowledge_items(spark, folder):
     """Documents as knowledge items: every third has an id of its own, the others one made of type, file and place."""
-    rows = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("own"), F.col("doc_id").cast("string"))).alias("id"), F.lit(None).cast("string").alias("text"), F.col("kind").alias("content"), "doc_id")
+    rows = table(spark, folder, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("own"), F.col("doc_id").cast("string"))).alias("id"),
+        F.lit(None).cast("string").alias("text"),
+        F.col("kind").alias("content"),
+        "doc_id",
+    )
     return readers.knowledge(rows, "theorem", "notes", F.col("doc_id")).select("id", "memory_type", "text", F.size("keywords").alias("keywords"))
 
 
 def memory_table(spark, folder):
     """Seeds of two stores with a persisted snapshot over them, written by store and read again."""
-    rows = table(spark, folder, "documents").select(F.when(F.col("doc_id") % 2 == 0, "theorem").otherwise("failure_case").alias("memory_type"), F.pmod("doc_id", F.lit(100)).cast("string").alias("id"), "doc_id")
+    rows = table(spark, folder, "documents").select(
+        F.when(F.col("doc_id") % 2 == 0, "theorem").otherwise("failure_case").alias("memory_type"),
+        F.pmod("doc_id", F.lit(100)).cast("string").alias("id"),
+        "doc_id",
+    )
     first = rows.groupBy("memory_type", "id").agg(F.min("doc_id").alias("doc_id"))
     last = rows.groupBy("memory_type", "id").agg(F.max("doc_id").alias("doc_id")).where("id % 3 = 0")
     path = shared_path(spark, "memory")
@@ -111,7 +128,11 @@ def memory_table(spark, folder):
 
 def memory_objects(spark, folder):
     """The snapshot as one object: an array a store, in order."""
-    rows = table(spark, folder, "eval_items").select(F.when(F.col("source").isNull(), "prior_decomposition").otherwise("theorem").alias("memory_type"), F.col("item_id").alias("id"), F.col("item_id").alias("ordinal"))
+    rows = table(spark, folder, "eval_items").select(
+        F.when(F.col("source").isNull(), "prior_decomposition").otherwise("theorem").alias("memory_type"),
+        F.col("item_id").alias("id"),
+        F.col("item_id").alias("ordinal"),
+    )
     one = sinks.memory_snapshot(rows)
     return one.select(*(F.size(c).alias(c) for c in one.columns), F.try_element_at("theorem_items", F.lit(1))["id"].alias("first_theorem"))
 
@@ -128,11 +149,25 @@ def upserted_table(spark, folder):
 def mistakes(spark, folder):
     """The notebook of failed repairs, written twice, a row each time."""
     runs = built._runs(spark, folder).withColumn("function_graph", F.lit("g"))
-    widened = runs.withColumn("rollout_records", F.transform("rollout_records", lambda r: F.struct(r["rollout"].alias("rollout"), F.lit("e").alias("execution"), r["verification"].alias("verification"), r["repair"].alias("repair"))))
+    widened = runs.withColumn(
+        "rollout_records",
+        F.transform(
+            "rollout_records",
+            lambda r: F.struct(
+                r["rollout"].alias("rollout"),
+                F.lit("e").alias("execution"),
+                r["verification"].alias("verification"),
+                r["repair"].alias("repair"),
+            ),
+        ),
+    )
     path = shared_path(spark, "mistakes")
     for _ in range(2):
         sinks.append_mistakes(widened, path)
-    return spark.read.schema("problem struct<id:string>, repair struct<status:string>").json(path).groupBy(F.col("problem.id").alias("id"), F.col("repair.status").alias("status")).agg(F.count("*").alias("rows"))
+    return spark.read.schema("problem struct<id:string>, repair struct<status:string>").json(path).groupBy(
+        F.col("problem.id").alias("id"),
+        F.col("repair.status").alias("status"),
+    ).agg(F.count("*").alias("rows"))
 
 
 # ---- formats of sources
@@ -140,15 +175,32 @@ def mistakes(spark, folder):
 def grade_school(spark, folder):
     """Problems as worked answers: marks by number, the final number with separators, text as the question."""
     marks = F.array_join(F.transform(F.sequence(F.lit(0), F.pmod("record_no", F.lit(10)).cast("int")), lambda i: F.lit("<<1+1=2>>")), " ")
-    rows = table(spark, folder, "problems").select(F.col("text").alias("question"), F.concat(marks, F.lit(" #### "), F.when(F.pmod("record_no", F.lit(4)) == 0, F.lit("none")).otherwise(F.concat(F.lit("1,"), F.col("record_no").cast("string")))).alias("answer"))
-    return canonical.grade_school(rows).groupBy("difficulty").agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.min("gold_answer").alias("least"), F.max("gold_answer").alias("most"))
+    rows = table(spark, folder, "problems").select(
+        F.col("text").alias("question"),
+        F.concat(
+            marks,
+            F.lit(" #### "),
+            F.when(F.pmod("record_no", F.lit(4)) == 0, F.lit("none")).otherwise(F.concat(F.lit("1,"), F.col("record_no").cast("string"))),
+        ).alias("answer"),
+    )
+    return canonical.grade_school(rows).groupBy("difficulty").agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("id").alias("ids"),
+        F.min("gold_answer").alias("least"),
+        F.max("gold_answer").alias("most"),
+    )
 
 
 def competition(spark, folder):
     """Problems by level with a boxed answer that nests braces; every fifth has none."""
     k = F.col("record_no")
     solution = F.when(k % 5 == 0, F.lit("no box")).otherwise(F.concat(F.lit("so \\boxed{1} or \\boxed{\\frac{"), k.cast("string"), F.lit("}{2}} ends")))
-    rows = table(spark, folder, "problems").select(F.col("text").alias("problem"), solution.alias("solution"), F.concat(F.lit("Level "), (k % 6).cast("string")).alias("level"), F.lit(None).cast("string").alias("type"))
+    rows = table(spark, folder, "problems").select(
+        F.col("text").alias("problem"),
+        solution.alias("solution"),
+        F.concat(F.lit("Level "), (k % 6).cast("string")).alias("level"),
+        F.lit(None).cast("string").alias("type"),
+    )
     made = canonical.competition(rows, "algebra")
     return made.groupBy("difficulty").agg(F.count("*").alias("rows"), F.min("gold_answer").alias("least"), F.max(F.array_join("domain", "/")).alias("domain"))
 
@@ -158,9 +210,19 @@ def multiple_choice(spark, folder):
     k = F.col("record_no")
     operations = F.array_join(F.transform(F.sequence(F.lit(0), (k % 7).cast("int")), lambda i: F.lit("add(n0,n1)")), "|")
     options = F.concat(F.lit("a ) 24 , b ) 1,000 , c ) none , d ) "), k.cast("string"), F.lit(" , e ) 5"))
-    rows = table(spark, folder, "problems").select(F.col("text").alias("Problem"), F.when(k % 8 > 0, F.lit("because")).otherwise(F.lit(" ")).alias("Rationale"), options.alias("options"), F.substring(F.lit("aBcDe"), (k % 5 + 1).cast("int"), F.lit(1)).alias("correct"), operations.alias("linear_formula"), F.lit(" ").alias("category"))
+    rows = table(spark, folder, "problems").select(
+        F.col("text").alias("Problem"),
+        F.when(k % 8 > 0, F.lit("because")).otherwise(F.lit(" ")).alias("Rationale"),
+        options.alias("options"),
+        F.substring(F.lit("aBcDe"), (k % 5 + 1).cast("int"), F.lit(1)).alias("correct"),
+        operations.alias("linear_formula"),
+        F.lit(" ").alias("category"),
+    )
     made = canonical.multiple_choice(rows)
-    return made.groupBy("difficulty", F.when(F.length("gold_answer") > 5, "long").otherwise(F.col("gold_answer")).alias("answer")).agg(F.count("*").alias("rows"), F.max(F.array_join("domain", "/")).alias("domain"))
+    return made.groupBy(
+        "difficulty",
+        F.when(F.length("gold_answer") > 5, "long").otherwise(F.col("gold_answer")).alias("answer"),
+    ).agg(F.count("*").alias("rows"), F.max(F.array_join("domain", "/")).alias("domain"))
 
 
 # ---- constraints, texts, audits
@@ -171,9 +233,22 @@ def constraint_outcomes(spark, folder):
     side = F.coalesce(F.lower(F.trim("split")), F.lit("train"))
     checks: dict[str, Callable[[], object]] = {
         "unique ids": lambda: constraints.require_unique(p, "id"), "unique records": lambda: constraints.require_unique(p, "record_no"),
-        "disjoint splits": lambda: constraints.require_disjoint(p.where(side == "train"), p.where(side != "train"), "id"), "disjoint items": lambda: constraints.require_disjoint(p, items.withColumnRenamed("item_id", "id"), "id"),
-        "known results": lambda: constraints.require_subset(r.where("id is not null"), p.select("id").union(items.select("item_id")), "id"), "same keys": lambda: constraints.require_same_keys(p, r, "id"),
-        "counts": lambda: constraints.require_all(r, F.col("prompt_token_count") >= 0, "result_no", "tokens"), "results have numbers": lambda: constraints.require_all(r, F.col("result_no") >= 0, "result_no", "numbers"),
+        "disjoint splits": lambda: constraints.require_disjoint(
+            p.where(side == "train"),
+            p.where(side != "train"),
+            "id",
+        ), "disjoint items": lambda: constraints.require_disjoint(p, items.withColumnRenamed("item_id", "id"), "id"),
+        "known results": lambda: constraints.require_subset(
+            r.where("id is not null"),
+            p.select("id").union(items.select("item_id")),
+            "id",
+        ), "same keys": lambda: constraints.require_same_keys(p, r, "id"),
+        "counts": lambda: constraints.require_all(
+            r,
+            F.col("prompt_token_count") >= 0,
+            "result_no",
+            "tokens",
+        ), "results have numbers": lambda: constraints.require_all(r, F.col("result_no") >= 0, "result_no", "numbers"),
         "enough items": lambda: constraints.require_count(items, 320), "too many items": lambda: constraints.require_count(items, 321),
     }
 
@@ -189,14 +264,19 @@ def constraint_outcomes(spark, folder):
 
 def bounds(spark, folder):
     """Numbers within their bounds, missing and undefined ones without."""
-    rows = table(spark, folder, "rollouts").select(F.when(F.col("rollout_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("generation_seconds") / 4).alias("v"))
+    rows = table(spark, folder, "rollouts").select(
+        F.when(F.col("rollout_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("generation_seconds") / 4).alias("v")
+    )
     return rows.groupBy(constraints.in_unit_range(F.col("v")).alias("unit"), constraints.runtime_ok(F.col("v")).alias("runtime")).agg(F.count("*").alias("n"))
 
 
 def test_bundles(spark, folder):
     """Whether the recorded tests would do as a bundle; an expected value is missing where the number divides by four."""
     rows = results(spark, folder, "test_counts")
-    tests = lambda t, kind: F.transform(F.when(F.col(f"test_counts.{t}") > 0, F.sequence(F.lit(1), F.col(f"test_counts.{t}"))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).cast("string").alias("kind"), F.when((F.col("result_no") % 4 != 0) | (i > 1), i.cast("string")).alias("expected")))
+    tests = lambda t, kind: F.transform(
+        F.when(F.col(f"test_counts.{t}") > 0, F.sequence(F.lit(1), F.col(f"test_counts.{t}"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(kind).cast("string").alias("kind"), F.when((F.col("result_no") % 4 != 0) | (i > 1), i.cast("string")).alias("expected")),
+    )
     whole = F.concat(tests("unit_total", None), tests("property_total", "property"))
     return rows.groupBy(constraints.test_bundle_ok(whole).alias("ok")).agg(F.count("*").alias("n"))
 
@@ -204,9 +284,17 @@ def test_bundles(spark, folder):
 def judgment_sets(spark, folder):
     """Indices of a problem's rollouts as judgments: complete where they are 0 to n-1 and the scored node is known."""
     rows = rollouts(spark, folder, "problem_id", "rollout_index").where("problem_id is not null and rollout_index is not null")
-    small = rows.groupBy("problem_id").agg(F.count("*").alias("n"), F.max("rollout_index").alias("most"), F.count_distinct("rollout_index").alias("d"), F.min("rollout_index").alias("least"))
+    small = rows.groupBy("problem_id").agg(
+        F.count("*").alias("n"),
+        F.max("rollout_index").alias("most"),
+        F.count_distinct("rollout_index").alias("d"),
+        F.min("rollout_index").alias("least"),
+    )
     node = F.when(F.pmod(F.length("problem_id"), F.lit(2)) == 0, "f1").otherwise("f2")
-    judged = small.where("n <= 64").join(rows, "problem_id").groupBy("problem_id").agg(F.collect_list(F.struct(F.col("rollout_index").alias("index"), F.create_map(node, F.lit(1.0)).alias("node_scores"))).alias("j"), F.first("n").cast("int").alias("n"))
+    judged = small.where("n <= 64").join(rows, "problem_id").groupBy("problem_id").agg(
+        F.collect_list(F.struct(F.col("rollout_index").alias("index"), F.create_map(node, F.lit(1.0)).alias("node_scores"))).alias("j"),
+        F.first("n").cast("int").alias("n"),
+    )
     return judged.select("problem_id", constraints.judgments_complete(F.col("j"), F.col("n"), F.array(F.lit("f1"))).alias("complete"))
 
 
@@ -214,32 +302,94 @@ def audit_texts(spark, folder):
     """Signatures, bare answers and bounded views of the texts of problems."""
     rows = problems(spark, folder, "text", "gold_answer", "source")
     return rows.select(
-        "id", audits.signature_text(F.concat(F.lit(" `def "), F.col("id"), F.lit("(x):` "))).alias("signature"), audits.bare_answer(F.concat(F.lit("\\left( "), F.col("gold_answer"), F.lit(" $."))).alias("answer"),
-        F.length(records.bounded_text(F.col("text"), 100)).alias("bounded"), records.last_line(F.concat(F.coalesce("source", F.lit("")), F.lit("\n last \n\n"))).alias("line"),
-        text.message_text(F.array(F.struct(F.lit("text").alias("type"), F.col("id").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("source").alias("text")))).alias("message"),
-        audits.problem_text([F.when(F.pmod("record_no", F.lit(2)) == 0, F.col("source")), F.lit(" ")], F.array(F.lit("no json"), F.to_json(F.struct(F.col("id").alias("text"))))).alias("told"),
+        "id", audits.signature_text(F.concat(F.lit(" `def "), F.col("id"), F.lit("(x):` "))).alias("signature"), audits.bare_answer(
+            F.concat(F.lit("\\left( "), F.col("gold_answer"), F.lit(" $."))
+        ).alias("answer"),
+        F.length(records.bounded_text(F.col("text"), 100)).alias("bounded"), records.last_line(
+            F.concat(F.coalesce("source", F.lit("")), F.lit("\n last \n\n"))
+        ).alias("line"),
+        text.message_text(
+            F.array(
+                F.struct(F.lit("text").alias("type"), F.col("id").alias("text")),
+                F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")),
+                F.struct(F.lit("text").alias("type"), F.col("source").alias("text")),
+            )
+        ).alias("message"),
+        audits.problem_text(
+            [F.when(F.pmod("record_no", F.lit(2)) == 0, F.col("source")), F.lit(" ")],
+            F.array(F.lit("no json"), F.to_json(F.struct(F.col("id").alias("text")))),
+        ).alias("told"),
     )
 
 
 def reward_coverage(spark, folder):
     """Graphs of two nodes a result: a function with the recorded tests, and main with a target call at even numbers."""
     rows = results(spark, folder, "test_counts", "python_executable")
-    tests = lambda t, kind: F.transform(F.when(F.col(f"test_counts.{t}") > 0, F.sequence(F.lit(1), F.col(f"test_counts.{t}"))).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.lit(kind).alias("kind")))
-    node = lambda kind, held, target, static: F.struct(F.lit("i").alias("id"), kind.alias("expected_output_type"), held.alias("tests"), target.alias("target_call"), static.alias("static"))
-    own = node(F.when(F.col("result_no") % 3 == 0, "values").otherwise("proof_claim"), F.concat(tests("unit_total", "unit"), tests("property_total", "property")), built.none(), F.col("python_executable"))
+    tests = lambda t, kind: F.transform(
+        F.when(F.col(f"test_counts.{t}") > 0, F.sequence(F.lit(1), F.col(f"test_counts.{t}"))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.lit(kind).alias("kind")),
+    )
+    node = lambda kind, held, target, static: F.struct(
+        F.lit("i").alias("id"),
+        kind.alias("expected_output_type"),
+        held.alias("tests"),
+        target.alias("target_call"),
+        static.alias("static"),
+    )
+    own = node(
+        F.when(F.col("result_no") % 3 == 0, "values").otherwise("proof_claim"),
+        F.concat(tests("unit_total", "unit"), tests("property_total", "property")),
+        built.none(),
+        F.col("python_executable"),
+    )
     main = node(F.lit("final_answer"), F.array().cast("array<struct<kind:string>>"), F.when(F.col("result_no") % 2 == 0, "f(1)"), F.lit(False))
-    graphs = rows.select(F.col("result_no").alias("graph_id"), F.array(own, main).alias("nodes"), F.array(F.struct(F.lit("uses_value").alias("relation_type"))).alias("edges"))
+    graphs = rows.select(
+        F.col("result_no").alias("graph_id"),
+        F.array(own, main).alias("nodes"),
+        F.array(F.struct(F.lit("uses_value").alias("relation_type"))).alias("edges"),
+    )
     out = audits.reward_coverage(graphs)
-    return out.select("problems", "total_nodes", "total_edges", "machine_verifiable_nodes", "unverified_nodes", "graphs_with_unit_tests", "graphs_with_property_tests", "graphs_with_backward_call", "graphs_with_executable_nodes")
+    return out.select(
+        "problems",
+        "total_nodes",
+        "total_edges",
+        "machine_verifiable_nodes",
+        "unverified_nodes",
+        "graphs_with_unit_tests",
+        "graphs_with_property_tests",
+        "graphs_with_backward_call",
+        "graphs_with_executable_nodes",
+    )
 
 
 def judge_run(spark, folder):
     """Recorded results as a judged run, a problem a trajectory; prompts with feedback and capped generations by number."""
     runs = built._runs(spark, folder)
     prompt = lambda r: F.when(F.size(r["rollout"]["completion_token_ids"]) % 5 == 0, "see repair_feedback").otherwise("plain")
-    widened = runs.withColumn("rollout_records", F.transform("rollout_records", lambda r: F.struct(F.struct(prompt(r).alias("prompt_text"), F.size(r["rollout"]["completion_token_ids"]).alias("completion_token_count")).alias("rollout"), r["verification"].alias("verification"), r["reward"].alias("reward"))))
+    widened = runs.withColumn(
+        "rollout_records",
+        F.transform(
+            "rollout_records",
+            lambda r: F.struct(
+                F.struct(prompt(r).alias("prompt_text"), F.size(r["rollout"]["completion_token_ids"]).alias("completion_token_count")).alias("rollout"),
+                r["verification"].alias("verification"),
+                r["reward"].alias("reward"),
+            ),
+        ),
+    )
     out = audits.judge_run(widened, 256)
-    return out.select("problems", "rollouts", "judged_problems", "error_problems", "calls_over_budget", "prompts_with_feedback", "capped_generations", "mean_score", "final_accuracy", "mean_kl")
+    return out.select(
+        "problems",
+        "rollouts",
+        "judged_problems",
+        "error_problems",
+        "calls_over_budget",
+        "prompts_with_feedback",
+        "capped_generations",
+        "mean_score",
+        "final_accuracy",
+        "mean_kl",
+    )
 
 
 SQL = {

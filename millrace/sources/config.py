@@ -16,10 +16,20 @@ class ConfigError(ValueError):
 #: Fields that hold paths, and the values a field may take.
 PATHS = ("dataset.algorithm_problem_dataset_path", "memory.storage_path", "training.resume_optimizer_path", "policy.adapter_path")
 CHOICES = {
-    "policy.backend": ("transformers", "vllm"), "decomposition.backend": ("policy", "dataset"), "repair.group_mode": ("immediate", "shared_feedback", "group_judge"),
+    "policy.backend": ("transformers", "vllm"), "decomposition.backend": ("policy", "dataset"), "repair.group_mode": (
+        "immediate",
+        "shared_feedback",
+        "group_judge",
+    ),
     "sandbox.backend": ("docker", "unshare", "local_limited", "subprocess"), "teacher.feedback_visibility": ("aggregate", "full"),
 }
-DEFAULTS = {"repair.group_mode": "immediate", "sandbox.backend": "docker", "teacher.feedback_visibility": "aggregate", "reward.answer_gate_floor": 1.0, "repair.repair_budget": 1}
+DEFAULTS = {
+    "repair.group_mode": "immediate",
+    "sandbox.backend": "docker",
+    "teacher.feedback_visibility": "aggregate",
+    "reward.answer_gate_floor": 1.0,
+    "repair.repair_budget": 1,
+}
 UNITS = {"k": 1, "m": 2, "g": 3}
 
 
@@ -60,16 +70,30 @@ RULES: tuple[Rule, ...] = (
     ("training has at least two rollouts a problem", lambda c, m: m != "train" or _number(c, "rollout.num_rollouts") >= 2),
     ("rollout.enable_thinking is a boolean", lambda c, _: isinstance(get(c, "rollout.enable_thinking", False), bool)),
     ("training.initial_update_count is not negative", lambda c, _: _number(c, "training.initial_update_count") >= 0),
-    ("a resumed training has its count and its optimizer", lambda c, m: m != "train" or (_number(c, "training.initial_update_count") != 0) == bool(str(get(c, "training.resume_optimizer_path", "")).strip())),
+    (
+        "a resumed training has its count and its optimizer",
+        lambda c, m: m != "train" or (_number(c, "training.initial_update_count") != 0) == bool(str(get(c, "training.resume_optimizer_path", "")).strip()),
+    ),
     ("reward.answer_gate_floor lies within 0 and 1", lambda c, _: 0 <= float(get(c, "reward.answer_gate_floor")) <= 1),
     ("reward.span_answer_credit is not negative", lambda c, _: _number(c, "reward.span_answer_credit") >= 0),
     ("reward.lambda_teacher is not negative", lambda c, _: _number(c, "reward.lambda_teacher") >= 0),
     ("repair.repair_budget is not negative", lambda c, _: _number(c, "repair.repair_budget") >= 0),
     ("repair.max_teacher_calls_per_problem is not negative", lambda c, _: _number(c, "repair.max_teacher_calls_per_problem") >= 0),
     ("group modes beyond immediate are for training", lambda c, m: m == "train" or get(c, "repair.group_mode") == "immediate"),
-    ("a judged group has one call, a teacher weight and aggregate feedback", lambda c, _: get(c, "repair.group_mode") != "group_judge" or (_number(c, "repair.max_teacher_calls_per_problem") == 1 and _number(c, "reward.lambda_teacher") > 0 and get(c, "teacher.feedback_visibility") == "aggregate")),
+    (
+        "a judged group has one call, a teacher weight and aggregate feedback",
+        lambda c, _: get(c, "repair.group_mode") != "group_judge" or (
+            _number(
+                c,
+                "repair.max_teacher_calls_per_problem",
+            ) == 1 and _number(c, "reward.lambda_teacher") > 0 and get(c, "teacher.feedback_visibility") == "aggregate"
+        ),
+    ),
     ("repair has a teacher", lambda c, _: not get(c, "repair.enabled", False) or bool(get(c, "teacher.enabled", False))),
-    ("local execution is allowed explicitly", lambda c, _: get(c, "sandbox.backend") not in ("local_limited", "subprocess") or bool(get(c, "sandbox.allow_unsafe_subprocess", False))),
+    (
+        "local execution is allowed explicitly",
+        lambda c, _: get(c, "sandbox.backend") not in ("local_limited", "subprocess") or bool(get(c, "sandbox.allow_unsafe_subprocess", False)),
+    ),
 )
 
 

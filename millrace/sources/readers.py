@@ -106,7 +106,11 @@ def labelled(spark: SparkSession, sources: list[str], schema: T.StructType | str
 
 def resumable(results: DataFrame, known: DataFrame, key: str, label: str, drop_errors: bool = False) -> DataFrame:
     """Results of an earlier run that may be kept: no duplicate or unknown key and no other label, else it raises."""
-    row = results.agg(F.count("*").alias("n"), F.count_distinct(key).alias("d"), F.count_if(~F.coalesce(F.col("adapter") == label, F.lit(False))).alias("o")).first()
+    row = results.agg(
+        F.count("*").alias("n"),
+        F.count_distinct(key).alias("d"),
+        F.count_if(~F.coalesce(F.col("adapter") == label, F.lit(False))).alias("o"),
+    ).first()
     unknown = results.join(known, key, "left_anti").limit(1).count()
     if row.n != row.d or row.o or unknown:
         raise SourceError(f"{row.n - row.d} duplicates, {row.o} rows of another label, unknown keys: {bool(unknown)}")
@@ -139,7 +143,12 @@ def knowledge(rows: DataFrame, memory_type: str, stem: str, ordinal: Column) ->
     has = set(rows.columns)
     text = F.coalesce(*(F.col(c) for c in ("text", "content") if c in has))
     given = F.col("id") if "id" in has else F.lit(None).cast("string")
-    return rows.select(F.coalesce(given, F.concat(F.lit(f"{memory_type}.{stem}."), ordinal.cast("string"))).alias("id"), F.lit(memory_type).alias("memory_type"), text.alias("text"), (F.col("keywords") if "keywords" in has else F.array().cast("array<string>")).alias("keywords"))
+    return rows.select(
+        F.coalesce(given, F.concat(F.lit(f"{memory_type}.{stem}."), ordinal.cast("string"))).alias("id"),
+        F.lit(memory_type).alias("memory_type"),
+        text.alias("text"),
+        (F.col("keywords") if "keywords" in has else F.array().cast("array<string>")).alias("keywords"),
+    )
 
 
 def resolved(path: str, config: str) -> str:

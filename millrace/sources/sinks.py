@@ -115,7 +115,12 @@ def upsert_batch(batch: DataFrame, path: str, key: str, order: list[str]) -> Non
 
 
 #: The stores of a memory and the arrays of its snapshot.
-STORES = {"theorem": "theorem_items", "algorithm_template": "algorithm_templates", "prior_decomposition": "prior_decompositions", "failure_case": "failure_cases"}
+STORES = {
+    "theorem": "theorem_items",
+    "algorithm_template": "algorithm_templates",
+    "prior_decomposition": "prior_decompositions",
+    "failure_case": "failure_cases",
+}
 
 
 def write_memory(items: DataFrame, path: str) -> None:
