@@ -113,8 +113,14 @@ POLITE = (
 )
 REFUSES = re.compile(REFUSING, re.I)
 #: A first person who refuses, whatever numbers the sentence has.
-I_REFUSE = re.compile(r"\bI(?:['’]\w+|\s+\w+){0,4}?\s+(?:declin|refus|refrain|abstain|pass\s+on)\w*|\b(?:ich|je|yo|eu|io|ik|я)\s+(?:\w+\s+){0,3}?(?:lehne|weigere|refuse|rechazo|niego|recuso|rifiuto|weiger|отказ)\w*", re.I)
-DENIES = re.compile(rf"\b(?:{DENIAL})\b(?:\W+\w+){{0,9}}?\W+(?:{ANSWERING})|\b(?:{ANSWERING})\w*(?:\W+\w+){{0,4}}?\W+(?:cannot|can['’]t|not|nicht|pas|impossible)\b", re.I)
+I_REFUSE = re.compile(
+    r"\bI(?:['’]\w+|\s+\w+){0,4}?\s+(?:declin|refus|refrain|abstain|pass\s+on)\w*|\b(?:ich|je|yo|eu|io|ik|я)\s+(?:\w+\s+){0,3}?(?:lehne|weigere|refuse|rechazo|niego|recuso|rifiuto|weiger|отказ)\w*",
+    re.I,
+)
+DENIES = re.compile(
+    rf"\b(?:{DENIAL})\b(?:\W+\w+){{0,9}}?\W+(?:{ANSWERING})|\b(?:{ANSWERING})\w*(?:\W+\w+){{0,4}}?\W+(?:cannot|can['’]t|not|nicht|pas|impossible)\b",
+    re.I,
+)
 POLITENESS = re.compile(POLITE, re.I)
 
 

@@ -125,7 +125,13 @@ def _fingerprints(short: int):
             prints, text, place = winnow(flat, ends, short)
             n, repeats = measure(flat, ends)
             yield pd.DataFrame(
-                {"print": prints.view(np.int64), "record": batch["record"].to_numpy()[text], "place": place.astype(np.int32), "n": n[text].astype(np.int32), "repeats": repeats[text]}
+                {
+                    "print": prints.view(np.int64),
+                    "record": batch["record"].to_numpy()[text],
+                    "place": place.astype(np.int32),
+                    "n": n[text].astype(np.int32),
+                    "repeats": repeats[text],
+                }
             )
 
     return run
@@ -217,7 +223,13 @@ def class_overlaps(classes: DataFrame, threshold: float) -> DataFrame:
     for side, name, at in ((True, "a", "x"), (False, "b", "y")):
         own = classes.where(F.col("train") == side).select("record", "sequence")
         made = own.mapInPandas(_fingerprints(short_text(threshold)), PRINTS)
-        prints[name] = made.select("print", F.col("record").alias(name), F.col("place").alias(at), F.col("n").alias(f"n{name}"), F.col("repeats").alias(f"r{name}"))
+        prints[name] = made.select(
+            "print",
+            F.col("record").alias(name),
+            F.col("place").alias(at),
+            F.col("n").alias(f"n{name}"),
+            F.col("repeats").alias(f"r{name}"),
+        )
         texts[name] = own.withColumnRenamed("record", name).withColumnRenamed("sequence", f"s{name}")
     gain = threshold - 5 * (1 - threshold) / 3
     least = F.when(F.max("ra") | F.max("rb"), F.lit(1.0)).otherwise((gain * F.greatest(F.max("na"), F.max("nb")) - 5) / 4)

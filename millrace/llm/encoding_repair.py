@@ -79,7 +79,9 @@ ADDRESS = re.compile(r"://|\Awww\.", re.I)
 UTF7, UTF7_RUN = re.compile(r"\+([A-Za-z0-9+/]{3,})-"), re.compile(r"\+(?:([A-Za-z0-9+/]{3,})(?:-|(?![A-Za-z0-9+/]))|-)")
 SUSPECT_TEXT = r"[^\x00-\x7F]|&#?\w+;|\+[A-Za-z0-9+/]{3,}-|\\(?:u00|x)[89a-fA-F]|[=%][89a-fA-F][0-9a-fA-F][=%][89a-fA-F]"
 SUSPECT = re.compile(SUSPECT_TEXT)
-SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xf1-\xf3][\x80-\xbf]{3}|\xf0[\x90-\xbf][\x80-\xbf]{2}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+SEQUENCE = re.compile(
+    rb"[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xf1-\xf3][\x80-\xbf]{3}|\xf0[\x90-\xbf][\x80-\xbf]{2}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+)
 _SINGLE = {e for e in TAKEN_FOR if e not in ("gb18030", "big5", "shift_jis", "euc-kr")}
 #: Garbled text may have been lower-cased afterwards; lead characters are put back, with or without the ambiguous one.
 _RAISED = (("raise", str.maketrans("ãÿ", "ÃŸ")), ("raise", str.maketrans("ãâÿ", "ÃÂŸ")))

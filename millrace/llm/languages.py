@@ -35,7 +35,29 @@ for _word, _owners in _weights.items():
 #: Scripts that by themselves tell one of the listed languages.
 SCRIPT_LANGUAGES = {"CYRILLIC": "ru", "CJK": "zh"}
 SPLIT = re.compile(r"(?<=[.!?;:。！？；])\s+|\n+|(?<=[。！？；])")
-MARKS = {"ł": "pl", "ż": "pl", "ą": "pl", "ę": "pl", "ś": "pl", "ß": "de", "ä": "de", "ñ": "es", "¿": "es", "¡": "es", "ã": "pt", "õ": "pt", "ê": "fr", "è": "fr", "û": "fr", "œ": "fr", "ù": "fr", "ö": "de", "ü": "de", "ç": "fr", "à": "fr"}
+MARKS = {
+    "ł": "pl",
+    "ż": "pl",
+    "ą": "pl",
+    "ę": "pl",
+    "ś": "pl",
+    "ß": "de",
+    "ä": "de",
+    "ñ": "es",
+    "¿": "es",
+    "¡": "es",
+    "ã": "pt",
+    "õ": "pt",
+    "ê": "fr",
+    "è": "fr",
+    "û": "fr",
+    "œ": "fr",
+    "ù": "fr",
+    "ö": "de",
+    "ü": "de",
+    "ç": "fr",
+    "à": "fr",
+}
 
 
 _scripts: dict[str, str] = {}

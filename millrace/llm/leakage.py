@@ -227,13 +227,25 @@ def _many_blocks(texts: DataFrame, items: DataFrame, window: int, near: int, blo
             for place in _positions(hashes, bits):
                 passed &= (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
             if passed.any():
-                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[owner[passed]], "bytes": batch["text"].str.len().to_numpy()[owner[passed]], "hash": hashes[passed].view(np.int64)})
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].to_numpy()[owner[passed]],
+                        "bytes": batch["text"].str.len().to_numpy()[owner[passed]],
+                        "hash": hashes[passed].view(np.int64),
+                    }
+                )
 
     found = texts.mapInPandas(suspects, "doc_id bigint, bytes bigint, hash bigint").join(windows, "hash").select("doc_id", "block", "bytes").distinct()
     routed = cut_lineage(found)
     load = routed.groupBy("block").agg(F.ceil(F.sum(F.col("bytes")) * 4 / TASK_BYTES).cast("int").alias("salts"))
-    keyed_docs = texts.join(routed.select("doc_id", "block"), "doc_id").join(load, "block").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    keyed_items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")).join(load, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    keyed_docs = texts.join(routed.select("doc_id", "block"), "doc_id").join(load, "block").withColumn(
+        "salt",
+        F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"),
+    )
+    keyed_items = items.withColumn(
+        "block",
+        F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"),
+    ).join(load, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def match(docs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({c.split()[0]: [] for c in SCHEMA.split(", ")})

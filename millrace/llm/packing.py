@@ -168,9 +168,14 @@ def pack_kinds(
     named within its kind. Sizes are ByT5 tokens unless `size` gives others (see vocabulary_tokens); an item of size 0 needs no
     container. A text of at most the capacity is one piece 0. Eager in the sizes and the first round.
     """
-    sized = cut_lineage(documents.select(F.col(key).alias("doc_id"), (byte_tokens(text) if size is None else size.cast("bigint")).alias("doc_size")).where("doc_size > 0"))
+    sized = cut_lineage(
+        documents.select(F.col(key).alias("doc_id"), (byte_tokens(text) if size is None else size.cast("bigint")).alias("doc_size")).where("doc_size > 0")
+    )
     shards = max(1, math.ceil(sized.count() / shard_rows))
-    room = F.coalesce(F.when(F.col("capacity") > 0, F.col("capacity").cast("int")), F.raise_error(F.lit("a kind of container needs a positive capacity")).cast("int"))
+    room = F.coalesce(
+        F.when(F.col("capacity") > 0, F.col("capacity").cast("int")),
+        F.raise_error(F.lit("a kind of container needs a positive capacity")).cast("int"),
+    )
     kinds = limits.agg(F.collect_list(F.struct("container_kind", room.alias("capacity"))).alias("kinds")).scalar()
     wanted = sized.select("doc_id", "doc_size", F.inline(kinds))
     pieces = wanted.select(

@@ -59,9 +59,15 @@ def bands_of(records: DataFrame, targets: DataFrame) -> DataFrame:
     The bands of a family join as one array, so a record meets one row; records that no band holds are left out.
     """
     rated = F.col("difficulty_from").isNotNull() & ~F.isnan("difficulty_from")
-    limits = targets.where("family is not null and band is not null").select("family", F.struct(F.when(rated, F.col("difficulty_from")).alias("low"), F.when(rated, F.col("difficulty_below")).alias("high"), "band").alias("b"))
+    limits = targets.where("family is not null and band is not null").select(
+        "family",
+        F.struct(F.when(rated, F.col("difficulty_from")).alias("low"), F.when(rated, F.col("difficulty_below")).alias("high"), "band").alias("b"),
+    )
     known = limits.groupBy("family").agg(F.sort_array(F.collect_list("b")).alias("bands"))
-    holds = F.filter("bands", lambda b: F.when(F.col("number").isNull(), b["low"].isNull()).otherwise((F.col("number") >= b["low"]) & (F.col("number") < b["high"])))
+    holds = F.filter(
+        "bands",
+        lambda b: F.when(F.col("number").isNull(), b["low"].isNull()).otherwise((F.col("number") >= b["low"]) & (F.col("number") < b["high"])),
+    )
     return records.join(known, "family").withColumn("band", F.try_element_at(holds, F.lit(1))["band"]).where("band is not null").select("family", "key", "band")
 
 
@@ -72,7 +78,9 @@ def requests(manifest: DataFrame, targets: DataFrame) -> DataFrame:
         "manifest_id", F.coalesce("selection_seed", F.lit(0)).alias("seed"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("family"), zero(f"{f}_target").alias("target")) for f in ("medium", "omni")))).alias("t"),
     ).select("manifest_id", "seed", "t.*")
-    named = targets.where("family is not null and band is not null").groupBy("family", "band").agg(F.min(F.struct("target_share", zero("min_rows").alias("floor"))).alias("b"))
+    named = targets.where("family is not null and band is not null").groupBy("family", "band").agg(
+        F.min(F.struct("target_share", zero("min_rows").alias("floor"))).alias("b")
+    )
     asked = plan.join(named.select("family", "band", "b.*"), "family")
     wanted = F.greatest(F.col("floor").cast("bigint"), F.floor(F.coalesce("target_share", F.lit(0.0)) * F.col("target") + 0.5))
     return asked.withColumn("requested", wanted)
@@ -139,12 +147,17 @@ def proportional_sample(problems: DataFrame, omni: DataFrame, manifest: DataFram
 def shortfall_report(ranked: DataFrame, placed: DataFrame) -> DataFrame:
     """Per plan and band what is available, requested, filled by the ranking and selected; shortfall is what is missing to the request."""
     keys = ["manifest_id", "family", "band"]
-    given = ranked.groupBy(*keys).agg(F.count_if(F.col("rank") <= F.col("requested")).alias("filled"), F.count_if(F.col("rank") <= F.col("seats")).alias("selected"))
+    given = ranked.groupBy(*keys).agg(
+        F.count_if(F.col("rank") <= F.col("requested")).alias("filled"),
+        F.count_if(F.col("rank") <= F.col("seats")).alias("selected"),
+    )
     size = Window.partitionBy("manifest_id", "family")
     none = {c: F.coalesce(c, F.lit(0)) for c in ("filled", "selected")}
     return (
         placed.join(given, keys, "left")
         .withColumns(none)
-        .withColumns({"shortfall": F.col("requested") - F.col("filled"), "share": F.coalesce(F.try_divide(F.col("selected"), F.sum("selected").over(size)), F.lit(0.0))})
+        .withColumns(
+            {"shortfall": F.col("requested") - F.col("filled"), "share": F.coalesce(F.try_divide(F.col("selected"), F.sum("selected").over(size)), F.lit(0.0))}
+        )
         .select(*keys, "available", "requested", "filled", "selected", "shortfall", "share", "target_share")
     )

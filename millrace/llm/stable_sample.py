@@ -38,8 +38,14 @@ def stratum_keys(records: DataFrame, planned_batches: int = PLANNED_BATCHES) ->
 
 def plan_targets(manifest: DataFrame) -> DataFrame:
     """(plan, seed, stratum, target) of every plan and family."""
-    families = F.array(*(F.struct(F.lit(f).alias("stratum"), F.coalesce(F.col(f"{f}_target"), F.lit(0)).cast("double").alias("target")) for f in ("medium", "omni")))
-    return manifest.where("manifest_id is not null").select(F.col("manifest_id").alias("plan"), F.coalesce("selection_seed", F.lit(0)).alias("seed"), F.explode(families).alias("t")).select("plan", "seed", "t.*")
+    families = F.array(
+        *(F.struct(F.lit(f).alias("stratum"), F.coalesce(F.col(f"{f}_target"), F.lit(0)).cast("double").alias("target")) for f in ("medium", "omni"))
+    )
+    return manifest.where("manifest_id is not null").select(
+        F.col("manifest_id").alias("plan"),
+        F.coalesce("selection_seed", F.lit(0)).alias("seed"),
+        F.explode(families).alias("t"),
+    ).select("plan", "seed", "t.*")
 
 
 def thresholds(keys: DataFrame, targets: DataFrame, planned_batches: int = PLANNED_BATCHES, earlier: DataFrame | None = None) -> DataFrame:
@@ -53,7 +59,9 @@ def thresholds(keys: DataFrame, targets: DataFrame, planned_batches: int = PLANN
     pace = F.col("target") * F.least(F.col("batch"), F.lit(planned_batches)) / F.lit(float(planned_batches)) / F.col("pool")
     rates = pool.join(targets.select("plan", "stratum", "target"), "stratum").select("plan", "stratum", "batch", F.least(F.lit(1.0), pace).alias("threshold"))
     if earlier is not None:
-        rates = rates.unionByName(earlier.select("plan", "stratum", "batch", "threshold")).groupBy("plan", "stratum", "batch").agg(F.max("threshold").alias("threshold"))
+        rates = rates.unionByName(
+            earlier.select("plan", "stratum", "batch", "threshold")
+        ).groupBy("plan", "stratum", "batch").agg(F.max("threshold").alias("threshold"))
     rising = Window.partitionBy("plan", "stratum").orderBy("batch")
     return rates.select("plan", "stratum", "batch", F.max("threshold").over(rising).alias("threshold"))
 
