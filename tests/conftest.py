@@ -11,6 +11,14 @@ def spark(tmp_path_factory):
     os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
     from millrace.runtime import local_session
 
-    session = local_session("4", 4, **{"spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")), "spark.driver.memory": "3g"})
+    session = local_session(
+        "4",
+        4,
+        **{
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
+            "spark.driver.memory": "3g",
+        },
+    )
     yield session
     session.stop()

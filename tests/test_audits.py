@@ -27,7 +27,14 @@ def test_judge_run(spark):
 
 def test_coverage(spark):
     g = "graph_id int, nodes array<struct<id:string,expected_output_type:string,tests:array<struct<kind:string>>,target_call:string,static:boolean>>, edges array<struct<relation_type:string>>"
-    rows = spark.createDataFrame([(1, [("f1", "python_function", [("unit",), (None,)], None, None), ("main", "final_answer", None, "f1(2)", None)], [("uses_value",)]), (2, [("v", "values", [("property",)], "", True), ("w", "formula", None, None, True)], None), (3, None, None)], g)
+    rows = spark.createDataFrame(
+        [
+            (1, [("f1", "python_function", [("unit",), (None,)], None, None), ("main", "final_answer", None, "f1(2)", None)], [("uses_value",)]),
+            (2, [("v", "values", [("property",)], "", True), ("w", "formula", None, None, True)], None),
+            (3, None, None),
+        ],
+        g,
+    )
     r = audits.reward_coverage(rows).first()
     assert (r.problems, r.total_nodes, r.total_edges, r.machine_verifiable_nodes, r.unverified_nodes) == (3, 4, 1, 3, 1)
     assert (r.graphs_with_unit_tests, r.graphs_with_property_tests, r.graphs_with_backward_call, r.graphs_with_executable_nodes) == (1, 1, 1, 2)
@@ -37,8 +44,17 @@ def test_coverage(spark):
 
 def test_annotations(spark):
     s = "ok boolean, problem string, spans array<struct<node_id:string,raw_text:string,extracted_answer:string>>, gold string"
-    rows = [(True, None, [("f1", "x", None), ("main", "y", "\\left( 1 \\right)$")], "(1)."), (True, "cycle", [], "1"), (False, None, [], "1"), (True, None, [("main", "y", None)], "1"), (True, None, [("main", "y", "2")], "1"), (True, None, [("f1", "", None), ("main", "y", "1")], "1")]
-    got = [r[0] for r in spark.createDataFrame(rows, s).select(audits.annotation_problem(F.col("ok"), F.col("problem"), F.col("spans"), F.col("gold"))).collect()]
+    rows = [
+        (True, None, [("f1", "x", None), ("main", "y", "\\left( 1 \\right)$")], "(1)."),
+        (True, "cycle", [], "1"),
+        (False, None, [], "1"),
+        (True, None, [("main", "y", None)], "1"),
+        (True, None, [("main", "y", "2")], "1"),
+        (True, None, [("f1", "", None), ("main", "y", "1")], "1"),
+    ]
+    got = [
+        r[0] for r in spark.createDataFrame(rows, s).select(audits.annotation_problem(F.col("ok"), F.col("problem"), F.col("spans"), F.col("gold"))).collect()
+    ]
     assert got == [None, "graph: cycle", "tags", "no boxed answer", "answer differs", "empty span"]
 
 
@@ -46,13 +62,21 @@ def test_texts(spark):
     row = spark.createDataFrame([(" `def f(x):` ", None, " ", ["no json", '{"text": " told "}'])], "s string, p string, t string, m array<string>")
     r = row.select(audits.signature_text(F.col("s")).alias("s"), audits.problem_text([F.col("p"), F.col("t")], F.col("m")).alias("p")).first()
     assert (r.s, r.p) == ("f(x)", "told")
-    shown = spark.createDataFrame([([("e", "n", "secret")],)], "f array<struct<type:string,node:string,gold:string>>").select(audits.shown_failures(F.col("f"), ["type", "node", "gold"]).alias("f")).first().f
+    shown = spark.createDataFrame(
+        [([("e", "n", "secret")],)],
+        "f array<struct<type:string,node:string,gold:string>>",
+    ).select(audits.shown_failures(F.col("f"), ["type", "node", "gold"]).alias("f")).first().f
     assert shown[0].asDict() == {"type": "e", "node": "n"}
     made = spark.range(1).select(audits.failures_of({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(True)}, F.lit("main")).alias("f")).first().f
     assert [x.type for x in made] == ["a", "c"]
 
 
-GOOD = {"dataset": {"algorithm_problem_dataset_path": "d/x.jsonl"}, "policy": {"backend": "transformers", "model_name_or_path": "m"}, "rollout": {"num_rollouts": 4}, "decomposition": {"backend": "dataset"}}
+GOOD = {
+    "dataset": {"algorithm_problem_dataset_path": "d/x.jsonl"},
+    "policy": {"backend": "transformers", "model_name_or_path": "m"},
+    "rollout": {"num_rollouts": 4},
+    "decomposition": {"backend": "dataset"},
+}
 
 
 def test_config(tmp_path):
@@ -60,7 +84,12 @@ def test_config(tmp_path):
     loaded = config.load(str(tmp_path / "c.json"))
     assert loaded["dataset"]["algorithm_problem_dataset_path"] == str(tmp_path / "d/x.jsonl")
     config.require_valid(loaded, "train")
-    bad = json.loads(json.dumps(GOOD)) | {"rollout": {"num_rollouts": 1}, "reward": {"answer_gate_floor": 2}, "repair": {"enabled": True, "group_mode": "group_judge"}, "sandbox": {"backend": "subprocess"}}
+    bad = json.loads(json.dumps(GOOD)) | {
+        "rollout": {"num_rollouts": 1},
+        "reward": {"answer_gate_floor": 2},
+        "repair": {"enabled": True, "group_mode": "group_judge"},
+        "sandbox": {"backend": "subprocess"},
+    }
     assert len(config.broken_rules(bad, "train")) == 5
     with pytest.raises(config.ConfigError):
         config.require_valid(bad, "train")

@@ -23,7 +23,14 @@ def test_tag_columns(spark):
     rows = spark.createDataFrame(
         [(1, RAW), (2, "x" + RAW), (3, "<a_main>1</a_main><a_f1>2</a_f1>"), (4, None), (5, "<a_f1>a</a_f1> \n<a_main></a_main>")], "i int, raw string"
     ).withColumn("nodes", F.array(F.lit("f1"), F.lit("main")))
-    got = {r.i: (r.e, r.o, r.t) for r in rows.select("i", spans.exact_tags(F.col("raw"), F.col("nodes")).alias("e"), spans.tag_set_once(F.col("raw"), F.col("nodes")).alias("o"), spans.first_tag(F.col("raw"), F.lit("a_f1")).alias("t")).collect()}
+    got = {
+        r.i: (r.e, r.o, r.t) for r in rows.select(
+            "i",
+            spans.exact_tags(F.col("raw"), F.col("nodes")).alias("e"),
+            spans.tag_set_once(F.col("raw"), F.col("nodes")).alias("o"),
+            spans.first_tag(F.col("raw"), F.lit("a_f1")).alias("t"),
+        ).collect()
+    }
     assert [got[i][0] for i in range(1, 6)] == [True, False, False, False, True]
     assert [got[i][1] for i in range(1, 6)] == [True, True, True, False, True]
     assert got[3][2] == "2" and got[4][2] is None and got[5][2] == "a"
@@ -34,7 +41,12 @@ def test_tag_columns(spark):
 def test_one_scan_of_tags():
     text = "<a_f1>x = 3, dp[0]=1, dp[0] = 2, x = 9, y == 4\nRecurrence: f(n) = 2\n```Python\ncode\n``` ```open</a_f1><main>The final answer is x; the final answer is -12th</main><a_f2>never closed"
     f1, main, f2 = spans.parse_spans(text, ["f1", "main", "f2"])
-    assert (f1["extracted_values"], f1["extracted_formula"], f1["code_blocks"], f1["extracted_answer"]) == ({"dp[0]": "2", "x": "3"}, "f(n) = 2", ["code"], None)
+    assert (
+        f1["extracted_values"],
+        f1["extracted_formula"],
+        f1["code_blocks"],
+        f1["extracted_answer"],
+    ) == ({"dp[0]": "2", "x": "3"}, "f(n) = 2", ["code"], None)
     assert (main["extracted_answer"], f2["start_char"], f2["raw_text"]) == ("-12", -1, "")
     assert text[f1["start_char"] : f1["end_char"]].startswith("x = 3")
 
@@ -51,12 +63,19 @@ def test_signatures_and_safety():
     contract = spans.contract_problem
     assert contract("def f(x): return x", "f(x)", ["f(1) == 1", "len([f(2)])"]) is None
     assert contract("def g(x): return x", "f(x)", []) == "f is not defined" and contract("def f(x): return x", "f(x)", ["h(1)"]) == "h is not defined"
-    assert contract("import math\nfrom fractions import Fraction as Q\ndef f(x): return x", "f(x)", ["Q(1, 2)"]) is None and contract("def", "f(x)", []) == "syntax"
+    assert contract(
+        "import math\nfrom fractions import Fraction as Q\ndef f(x): return x",
+        "f(x)",
+        ["Q(1, 2)"],
+    ) is None and contract("def", "f(x)", []) == "syntax"
     assert spans.outputs_of("M::0::[1, 2]\nM::0::3\nnoise\nM::1::oops(", "M") == {"0": "3", "1": "oops("}
 
 
 def test_json_and_tokens(spark):
-    rows = spark.createDataFrame([('{"a": [{"secret": 1}], "b": "secret"}', [5, 1, 2, 3], [1, 2]), ("no json", None, [1]), (None, [1], [])], "d string, t array<int>, w array<int>")
+    rows = spark.createDataFrame(
+        [('{"a": [{"secret": 1}], "b": "secret"}', [5, 1, 2, 3], [1, 2]), ("no json", None, [1]), (None, [1], [])],
+        "d string, t array<int>, w array<int>",
+    )
     got = rows.select(spans.forbidden_keys("d", F.array(F.lit("secret"), F.lit("b"))).alias("k"), spans.token_range("t", "w").alias("r")).collect()
     assert [list(r.k) for r in got] == [["b", "secret"], [], []]
     assert [r.r for r in got] == [[1, 3], None, None]
@@ -70,11 +89,21 @@ def test_memory_ranks_each_store_by_the_sum_of_both_scores(spark):
         (5, 5, "failure", ["x"], None), (6, 6, "failure", ["y"], [0.0, 0.0]), (7, 7, "prior", ["b"], [0.0, -1.0]),
     ]
     items = spark.createDataFrame(rows, f"item_id int, ordinal int, memory_type string, {t}")
-    best = lambda df, q="q": [(r.memory_type, r.item_id, round(r.score, 6)) for r in df.where(F.col("query_id") == q).orderBy("memory_type", "rank").collect()]
+    best = lambda df, q="q": [
+        (r.memory_type, r.item_id, round(r.score, 6)) for r in df.where(F.col("query_id") == q).orderBy("memory_type", "rank").collect()
+    ]
     for block in (1, 9):
         assert best(retrieval.memory_top_k(queries, items, 1, block=block)) == [("failure", 5, 0.0), ("prior", 7, 0.25), ("theorem", 4, 0.65)]
-    assert best(retrieval.memory_top_k(queries, items, 4))[3:] == [("theorem", 4, 0.65), ("theorem", 1, 0.5), ("theorem", 2, 0.5), ("theorem", 3, round(0.5 / 3 + 0.3, 6))]
-    order = spark.createDataFrame([("q", "theorem", 1, 0), ("q", "theorem", 3, -1), ("q", "failure", 6, 0)], "query_id string, memory_type string, item_id int, position int")
+    assert best(retrieval.memory_top_k(queries, items, 4))[3:] == [
+        ("theorem", 4, 0.65),
+        ("theorem", 1, 0.5),
+        ("theorem", 2, 0.5),
+        ("theorem", 3, round(0.5 / 3 + 0.3, 6)),
+    ]
+    order = spark.createDataFrame(
+        [("q", "theorem", 1, 0), ("q", "theorem", 3, -1), ("q", "failure", 6, 0)],
+        "query_id string, memory_type string, item_id int, position int",
+    )
     assert best(retrieval.memory_top_k(queries, items, 1, order=order)) == [("failure", 6, 0.0), ("prior", 7, 0.25), ("theorem", 1, 0.5)]
     assert [i for _, i, _ in best(retrieval.memory_top_k(queries, items, 1), "n")] == [5, 7, 1]
     assert retrieval.memory_top_k(queries.where("false"), items, 1).count() == 0
@@ -111,9 +140,21 @@ def edge(a, b):
 def test_graph_rules(spark):
     n = [node("f1"), node("f2"), node("main")]
     cases = [
-        (n, [edge("f1", "f2"), edge("f2", "main")], None), ([], [], "no nodes"), (n, [edge("f1", "main"), edge("f2", "main"), edge("main", "f1")], "main is no sink"),
-        ([*n, node("f1")], [], "duplicate ids"), ([node("f1")], [], "no main"), ([node("1x"), node("main")], [], "invalid id"), ([("f1", "", "s", "t"), node("main")], [], "missing field"),
-        (n, [edge("f1", "zz")], "unknown endpoint"), (n, [edge("f1", "f1")], "self edge"), (n, [edge("f1", "f2"), edge("f2", "f1"), edge("f2", "main")], "cycle"), (n, [edge("f1", "main")], "disconnected"),
+        (n, [edge("f1", "f2"), edge("f2", "main")], None), ([], [], "no nodes"), (
+            n,
+            [edge("f1", "main"), edge("f2", "main"), edge("main", "f1")],
+            "main is no sink",
+        ),
+        ([*n, node("f1")], [], "duplicate ids"), ([node("f1")], [], "no main"), ([node("1x"), node("main")], [], "invalid id"), (
+            [("f1", "", "s", "t"), node("main")],
+            [],
+            "missing field",
+        ),
+        (n, [edge("f1", "zz")], "unknown endpoint"), (n, [edge("f1", "f1")], "self edge"), (
+            n,
+            [edge("f1", "f2"), edge("f2", "f1"), edge("f2", "main")],
+            "cycle",
+        ), (n, [edge("f1", "main")], "disconnected"),
         ([node(f"n{i}") for i in range(64)] + [node("main")], [], "too many nodes"), (None, None, "no nodes"),
     ]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], G)
@@ -144,22 +185,40 @@ def test_edge_relations(spark):
 
 
 def test_canonical(spark):
-    g = spark.createDataFrame([("Q ", "a <<1+1=2>> b <<2*3=6>> c <<6+1=7>>\n#### 1,018"), ("Q2", "<<1>> #### 3"), (None, "x")], "question string, answer string")
+    g = spark.createDataFrame(
+        [("Q ", "a <<1+1=2>> b <<2*3=6>> c <<6+1=7>>\n#### 1,018"), ("Q2", "<<1>> #### 3"), (None, "x")],
+        "question string, answer string",
+    )
     rows = canonical.grade_school(g).collect()
     assert [(r.gold_answer, r.difficulty) for r in rows] == [("1018", "3")] and rows[0].id.startswith("medium_openai_gsm8k_")
-    m = spark.createDataFrame([("P", "so \\boxed{\\frac{3}{7}}", "Level 2", "Algebra"), ("P", "none", "Level 2", "A"), ("P", "\\boxed{1}", "Level 5", "A")], "problem string, solution string, level string, type string")
+    m = spark.createDataFrame(
+        [("P", "so \\boxed{\\frac{3}{7}}", "Level 2", "Algebra"), ("P", "none", "Level 2", "A"), ("P", "\\boxed{1}", "Level 5", "A")],
+        "problem string, solution string, level string, type string",
+    )
     assert [r.gold_answer for r in canonical.competition(m, "algebra").collect()] == ["\\frac{3}{7}"]
-    q = spark.createDataFrame([("P", "R", "a ) 24 , b ) 120 , c ) none of these", o, "multiply(n0,n1)|power(#0,n2)|", "physics") for o in ("c", "b", "z")], "Problem string, Rationale string, options string, correct string, linear_formula string, category string")
+    q = spark.createDataFrame(
+        [("P", "R", "a ) 24 , b ) 120 , c ) none of these", o, "multiply(n0,n1)|power(#0,n2)|", "physics") for o in ("c", "b", "z")],
+        "Problem string, Rationale string, options string, correct string, linear_formula string, category string",
+    )
     assert [r.gold_answer for r in canonical.multiple_choice(q).collect()] == ["120"]
-    o = spark.createDataFrame([(" p ", "s", "\xa0a ", None, None, None), ("p", " ", "a", ["x"], "1", "s")], "problem string, solution string, answer string, domain array<string>, difficulty string, source string")
+    o = spark.createDataFrame(
+        [(" p ", "s", "\xa0a ", None, None, None), ("p", " ", "a", ["x"], "1", "s")],
+        "problem string, solution string, answer string, domain array<string>, difficulty string, source string",
+    )
     got = canonical.omni(o).collect()
     assert len(got) == 1 and (got[0].problem, got[0].gold_answer, got[0].source) == ("p", "a", "unknown")
-    n = canonical.normalise_problem(spark.createDataFrame([(None, "t", None, "2")], "id string, question string, split string, answer string"), F.lit(3)).first()
+    n = canonical.normalise_problem(
+        spark.createDataFrame([(None, "t", None, "2")], "id string, question string, split string, answer string"),
+        F.lit(3),
+    ).first()
     assert (n.id, n.text, n.gold_answer, n.split) == ("problem-3", "t", "2", "train")
 
 
 def test_retrieval(spark):
-    items = spark.createDataFrame([(i, i, t) for i, t in enumerate([["a", "b"], ["b"], ["z"], ["a", "b", "c"]])], "item_id long, ordinal long, tokens array<string>")
+    items = spark.createDataFrame(
+        [(i, i, t) for i, t in enumerate([["a", "b"], ["b"], ["z"], ["a", "b", "c"]])],
+        "item_id long, ordinal long, tokens array<string>",
+    )
     queries = spark.createDataFrame([("q", ["a", "b"]), ("none", ["y"])], "query_id string, tokens array<string>")
     got = {(r.query_id, r["rank"]): (r.item_id, round(r.score, 4)) for r in retrieval.jaccard_top_k(queries, items, 3).collect()}
     assert got == {("q", 1): (0, 1.0), ("q", 2): (3, 0.6667), ("q", 3): (1, 0.5), ("none", 1): (0, 0.0), ("none", 2): (1, 0.0), ("none", 3): (2, 0.0)}
@@ -188,9 +247,18 @@ def test_rewards(spark):
 
 
 def test_span_rewards(spark):
-    nodes = spark.createDataFrame([(1, "f1", 1.0, None, 1.0, 1.0, None, None), (1, "main", 0.0, None, None, None, None, None)], "rollout_id int, node_id string, signature double, node double, execution double, unit_test double, property_test double, teacher double")
-    edges = spark.createDataFrame([(1, "f1", "main", 1.0), (1, "f1", "main", 1.0), (1, "gone", "main", 1.0)], "rollout_id int, source string, target string, score double")
-    out = spark.createDataFrame([(1, 1.0, 1.0, 0.0, 0.0, None)], "rollout_id int, format double, final double, backward double, consensus double, teacher double")
+    nodes = spark.createDataFrame(
+        [(1, "f1", 1.0, None, 1.0, 1.0, None, None), (1, "main", 0.0, None, None, None, None, None)],
+        "rollout_id int, node_id string, signature double, node double, execution double, unit_test double, property_test double, teacher double",
+    )
+    edges = spark.createDataFrame(
+        [(1, "f1", "main", 1.0), (1, "f1", "main", 1.0), (1, "gone", "main", 1.0)],
+        "rollout_id int, source string, target string, score double",
+    )
+    out = spark.createDataFrame(
+        [(1, 1.0, 1.0, 0.0, 0.0, None)],
+        "rollout_id int, format double, final double, backward double, consensus double, teacher double",
+    )
     w = {"signature": 0.1, "execution": 0.2, "unit_test": 0.3, "edge": 0.5, "final": 1.0, "span_credit": 0.5, "gate_floor": 0.25}
     got = {r.node_id: r.reward for r in scoring.span_rewards(nodes, edges, out, w).collect()}
     assert got == {"f1": pytest.approx(0.1 + 0.5 + 0.5 + 0.5), "main": pytest.approx(0.75 + 1.0), "gone": pytest.approx(0.25)}
@@ -207,15 +275,27 @@ def test_advantages(spark):
     rewards = spark.createDataFrame([(1, "f1", 1.0)], "rollout_id int, node_id string, reward double")
     dense = {r.rollout_id: r.advantage for r in scoring.span_advantages(rollouts, rewards).collect()}
     assert dense == {1: 1.0, 2: -1.0}
-    t = spark.range(1).select(scoring.token_advantages(F.lit(5), F.expr("array(struct('a' as node, 0 as start, 3 as end), struct('b' as node, 2 as start, 4 as end))"), F.expr("map('a', 1D, 'b', 2D)"))).first()[0]
+    t = spark.range(1).select(
+        scoring.token_advantages(
+            F.lit(5),
+            F.expr("array(struct('a' as node, 0 as start, 3 as end), struct('b' as node, 2 as start, 4 as end))"),
+            F.expr("map('a', 1D, 'b', 2D)"),
+        )
+    ).first()[0]
     assert t == [1.0, 1.0, 2.0, 2.0, 0.0]
-    said = spark.createDataFrame([("p", 1, "m", "x"), ("p", 2, "m", "x"), ("p", 3, "m", "y"), ("p", 4, "m", None)], "problem_id string, rollout_id int, node_id string, value string")
+    said = spark.createDataFrame(
+        [("p", 1, "m", "x"), ("p", 2, "m", "x"), ("p", 3, "m", "y"), ("p", 4, "m", None)],
+        "problem_id string, rollout_id int, node_id string, value string",
+    )
     assert {r.rollout_id: round(r.consensus, 4) for r in scoring.consensus(said).collect()} == {1: 0.6667, 2: 0.6667, 3: 0.3333, 4: 0.0}
 
 
 def test_node_scores(spark):
     t = "array<struct<kind:string,passed:boolean>>"
-    rows = spark.createDataFrame([("x", True, True, [("unit", True), ("property", False)], None), ("", True, True, [], None), ("x", False, None, [], None), ("x", False, None, [], 0.5)], f"text string, expects boolean, ok boolean, tests {t}, static double")
+    rows = spark.createDataFrame(
+        [("x", True, True, [("unit", True), ("property", False)], None), ("", True, True, [], None), ("x", False, None, [], None), ("x", False, None, [], 0.5)],
+        f"text string, expects boolean, ok boolean, tests {t}, static double",
+    )
     got = [r[0] for r in rows.select(scoring.node_score(F.col("text"), F.col("expects"), F.col("ok"), F.col("tests"), F.col("static"))).collect()]
     assert [g.combined for g in got] == [0.75, 0.0, None, 0.5]
 
@@ -232,7 +312,13 @@ def test_trajectory_metrics(spark):
     m = metrics.trajectory_metrics(spark.createDataFrame([(2.0, [good])], REC)).first()
     assert (m.rollout_accuracy, m.pass_at_k, m.cost_normalized_accuracy, m.average_tool_calls, m.useful_tool_ratio) == (1.0, 1.0, 0.5, 2.0, 0.5)
     m = metrics.trajectory_metrics(spark.createDataFrame([(2.0, [good, bad]), (4.0, []), (None, None)], REC)).first()
-    assert (m.rollout_accuracy, round(m.pass_at_k, 4), m.average_solving_time_seconds, m.repair_success_rate, m.verifier_disagreement_rate) == (0.5, 0.3333, 2.0, 0.0, 0.5)
+    assert (
+        m.rollout_accuracy,
+        round(m.pass_at_k, 4),
+        m.average_solving_time_seconds,
+        m.repair_success_rate,
+        m.verifier_disagreement_rate,
+    ) == (0.5, 0.3333, 2.0, 0.0, 0.5)
     assert (m.executable_but_wrong_rate, m.timeout_rate, m.tool_productivity, round(m.invalid_tool_rate, 4)) == (0.5, 0.5, 0.25, 0.3333)
     b = metrics.before_and_after(spark.createDataFrame([(2.0, [bad]), (1.0, [good])], REC)).first()
     assert (b.problems, b.accuracy_before, b.accuracy_after, b.improved, b.regressed) == (2, 1.0, 0.5, 0, 1)
@@ -240,7 +326,10 @@ def test_trajectory_metrics(spark):
 
 
 def test_positional_tests(spark):
-    rows = spark.createDataFrame([(1, [("unit",), ("property",), ("unit",)], [(True,), (True,)]), (1, [("unit",)], None)], "g int, expected array<struct<kind:string>>, actual array<struct<passed:boolean>>")
+    rows = spark.createDataFrame(
+        [(1, [("unit",), ("property",), ("unit",)], [(True,), (True,)]), (1, [("unit",)], None)],
+        "g int, expected array<struct<kind:string>>, actual array<struct<passed:boolean>>",
+    )
     r = metrics.test_totals(rows, ["g"]).first()
     assert (r.unit_passed, r.unit_total, r.property_passed, r.property_total) == (1, 3, 1, 1)
 
@@ -252,6 +341,12 @@ def test_records(spark):
     assert [(r.input_ids, r.labels) for r in got] == [([1, 7], [-100, 7]), ([2, 3, 4, 5, 6], [-100, -100, -100, 5, 6])]
     wide = records.padded(out, "b", 0).collect()
     assert {len(r.labels) for r in wide} == {5} and {len(r.attention_mask) for r in wide} == {5}
-    chat = records.chat_records(spark.createDataFrame([("x", "q")], "id string, t string"), "id", {"graph": [records.message("user", F.col("t"))], "solve": [records.message("user", F.col("t")), records.message("assistant", F.lit(" "))]})
-    assert [(r.id, r.ok) for r in chat.select("id", records.ends_with_answer(F.col("messages")).alias("ok")).collect()] == [("x:graph", False), ("x:solve", False)]
+    chat = records.chat_records(
+        spark.createDataFrame([("x", "q")], "id string, t string"),
+        "id",
+        {"graph": [records.message("user", F.col("t"))], "solve": [records.message("user", F.col("t")), records.message("assistant", F.lit(" "))]},
+    )
+    assert [
+        (r.id, r.ok) for r in chat.select("id", records.ends_with_answer(F.col("messages")).alias("ok")).collect()
+    ] == [("x:graph", False), ("x:solve", False)]
     assert spark.range(1).select(records.last_line(F.lit("a\n b \n\n"))).first()[0] == "b"

@@ -96,7 +96,10 @@ def test_replay_mix_shares(spark):
 
 
 def test_backfill(spark):
-    data = spark.createDataFrame([(f"o{i}", True, float(i)) for i in range(2)] + [(f"m{i}", False, float(i)) for i in range(3)], "id string, o boolean, s double")
+    data = spark.createDataFrame(
+        [(f"o{i}", True, float(i)) for i in range(2)] + [(f"m{i}", False, float(i)) for i in range(3)],
+        "id string, o boolean, s double",
+    )
     got = [r.id for r in sampling.quota_backfill(data, F.col("o"), 1, 5, [F.desc("s"), F.asc("id")]).collect()]
     assert got == ["o1", "m2", "m1", "m0", "o0"]
 

@@ -24,7 +24,9 @@ def test_mcnemar_matches_published_counts(spark):
 
 def test_wilson(spark):
     low, high = stats.wilson(F.col("s"), F.col("n"))
-    rows = {r.s: r for r in spark.createDataFrame([(0, 10), (5, 10), (10, 10), (7, 0)], "s int, n int").select("s", low.alias("low"), high.alias("high")).collect()}
+    rows = {
+        r.s: r for r in spark.createDataFrame([(0, 10), (5, 10), (10, 10), (7, 0)], "s int, n int").select("s", low.alias("low"), high.alias("high")).collect()
+    }
     assert rows[0].low == 0 and round(rows[10].high, 12) == 1
     assert (round(rows[5].low, 4), round(rows[5].high, 4)) == (0.2366, 0.7634)
     assert rows[7].low is None
@@ -37,7 +39,10 @@ def test_holm(spark):
 
 
 def test_pairing(spark):
-    rows = spark.createDataFrame([("a", "x", False), ("a", "y", True), ("b", "x", True), ("b", "y", False), ("c", "x", None), ("c", "y", None), ("d", "x", True)], "id string, adapter string, final_answer_correct boolean")
+    rows = spark.createDataFrame(
+        [("a", "x", False), ("a", "y", True), ("b", "x", True), ("b", "y", False), ("c", "x", None), ("c", "y", None), ("d", "x", True)],
+        "id string, adapter string, final_answer_correct boolean",
+    )
     counts = compare.with_tests(compare.transitions(compare.paired(rows, "adapter", "id", "x", "y", ("final_answer_correct",)), ["metric"])).first()
     assert (counts.n, counts.improved, counts.regressed, counts.unchanged, counts.p_value) == (3, 1, 1, 1, 1.0)
 
@@ -50,7 +55,14 @@ def test_summary_ratios_of_sums(spark):
     schema = "adapter string, status string, " + ", ".join(f"{m} boolean" for m in compare.METRICS) + ", test_counts struct<unit_passed:int,unit_total:int,property_passed:int,property_total:int>, generation_seconds double, prompt_token_count int, completion_token_count int"
     rows = spark.createDataFrame([("m", "ok", *[True] * 8, (1, 2, 1, 1), 1.0, 10, 5), ("m", "error", *[None] * 8, None, None, None, None)], schema)
     s = compare.summarise(rows, ["adapter"]).first()
-    assert (s.problems, s.errors, s.unit_test_pass_rate, s.property_test_pass_rate, s.final_answer_accuracy, s.mean_completion_tokens) == (2, 1, 0.5, 1.0, 0.5, 5.0)
+    assert (
+        s.problems,
+        s.errors,
+        s.unit_test_pass_rate,
+        s.property_test_pass_rate,
+        s.final_answer_accuracy,
+        s.mean_completion_tokens,
+    ) == (2, 1, 0.5, 1.0, 0.5, 5.0)
 
 
 def test_merge_weights(spark):

@@ -140,7 +140,10 @@ def test_a_crash_between_the_renames_loses_nothing(spark, tmp_path):
 
 
 def test_memory_is_kept_by_store(spark, tmp_path):
-    items = spark.createDataFrame([("theorem", "t1", "x", 0), ("failure_case", "f1", "y", 1), ("theorem", "t2", "z", 2)], "memory_type string, id string, text string, ordinal int")
+    items = spark.createDataFrame(
+        [("theorem", "t1", "x", 0), ("failure_case", "f1", "y", 1), ("theorem", "t2", "z", 2)],
+        "memory_type string, id string, text string, ordinal int",
+    )
     sinks.write_memory(items, str(tmp_path / "m"))
     sinks.write_memory(items, str(tmp_path / "m"))
     back = spark.read.parquet(str(tmp_path / "m"))
@@ -149,13 +152,22 @@ def test_memory_is_kept_by_store(spark, tmp_path):
     assert [i.id for i in row.theorem_items] == ["t1", "t2"] and row.algorithm_templates == [] and row.failure_cases[0].text == "y"
     seeds = spark.createDataFrame([("theorem", "t1", "old", 0), ("theorem", "t9", "seed", 1), ("failure_case", "t1", "other store", 2)], items.schema)
     loaded = {(r.memory_type, r.id): r.text for r in sinks.load_memory([seeds], items).collect()}
-    assert loaded == {("theorem", "t1"): "x", ("theorem", "t9"): "seed", ("failure_case", "t1"): "other store", ("failure_case", "f1"): "y", ("theorem", "t2"): "z"}
+    assert loaded == {
+        ("theorem", "t1"): "x",
+        ("theorem", "t9"): "seed",
+        ("failure_case", "t1"): "other store",
+        ("failure_case", "f1"): "y",
+        ("theorem", "t2"): "z",
+    }
     assert sinks.load_memory([seeds, items], None).count() == 6
 
 
 def test_mistakes_are_failed_repairs(spark, tmp_path):
     s = "problem struct<id:string>, function_graph string, rollout_records array<struct<rollout:string,execution:string,verification:string,repair:struct<status:string>>>"
-    rows = spark.createDataFrame([(("p",), "g", [("r1", "e", "v", ("failed",)), ("r2", "e", "v", ("succeeded",)), ("r3", "e", "v", None)]), (("q",), "g", [])], s)
+    rows = spark.createDataFrame(
+        [(("p",), "g", [("r1", "e", "v", ("failed",)), ("r2", "e", "v", ("succeeded",)), ("r3", "e", "v", None)]), (("q",), "g", [])],
+        s,
+    )
     sinks.append_mistakes(rows, str(tmp_path / "n"))
     sinks.append_mistakes(rows, str(tmp_path / "n"))
     assert [r.rollout for r in spark.read.json(str(tmp_path / "n")).collect()] == ["r1", "r1"]
