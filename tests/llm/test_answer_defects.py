@@ -17,12 +17,30 @@ GOOD = [
 ]
 BAD = [
     (None, "empty"), ("", "empty"), (" ​﻿", "empty"), ("<a_f1></a_f1>\n<main> </main>", "empty"), ("```python\n```", "empty"), ("\\boxed{}", "empty"), ("N/A", "empty"), ("null", "empty"), ("...", "empty"), ("—", "empty"),
-    ("I'm sorry, but I can't help with this problem.", "refusal"), ("<main>\nI must decline to answer this one.\n</main>", "refusal"), ("Diese Anfrage muss ich ablehnen.", "refusal"), ("Lo siento, pero no puedo resolver esta pregunta.", "refusal"),
-    ("```python\n# I won't be providing a worked solution here.\npass\n```", "refusal"), ("Although I see the 95 barges, I'm going to refrain from solving this.", "refusal"), ("There is nothing I may say about this question.", "refusal"),
-    (Q, "copied_question"), ("The question asks: " + Q.upper(), "copied_question"), ("<main>\n" + Q + "\n</main>", "copied_question"), (Q + "\n" + Q, "copied_question"), (Q.replace("barges", "boats"), "copied_question"),
-    ("First we add 12 and 4 to get 16. The remaining rare jars", "truncated"), ("<a_f1>\nFirst we add 2 and 3 to get 5.", "truncated"), ("Each of the 3 bays has 9 magnets, so mul…", "truncated"), ("1. First we add 60 and 22 to get 82.\n2. Using [cut]", "truncated"),
+    ("I'm sorry, but I can't help with this problem.", "refusal"), (
+        "<main>\nI must decline to answer this one.\n</main>",
+        "refusal",
+    ), ("Diese Anfrage muss ich ablehnen.", "refusal"), ("Lo siento, pero no puedo resolver esta pregunta.", "refusal"),
+    ("```python\n# I won't be providing a worked solution here.\npass\n```", "refusal"), (
+        "Although I see the 95 barges, I'm going to refrain from solving this.",
+        "refusal",
+    ), ("There is nothing I may say about this question.", "refusal"),
+    (Q, "copied_question"), (
+        "The question asks: " + Q.upper(),
+        "copied_question",
+    ), ("<main>\n" + Q + "\n</main>", "copied_question"), (Q + "\n" + Q, "copied_question"), (Q.replace("barges", "boats"), "copied_question"),
+    (
+        "First we add 12 and 4 to get 16. The remaining rare jars",
+        "truncated",
+    ), ("<a_f1>\nFirst we add 2 and 3 to get 5.", "truncated"), ("Each of the 3 bays has 9 magnets, so mul…", "truncated"), (
+        "1. First we add 60 and 22 to get 82.\n2. Using [cut]",
+        "truncated",
+    ),
     ("First we add 2 and 9 to get 11.\n```python\ndef f1(x):\n    return", "truncated"), ("Dividing 12 by 5 leaves 2.\n<mai", "truncated"),
-    ("Wir teilen 72 durch 17 und prüfen den Rest. Für Kael bleiben somit noch 4 Fässer übrig. Die Antwort lautet 4.", "other_language"), ("On divise 72 par 17 et on vérifie le reste. Il reste donc encore 4 tuiles pour Kael. La réponse est 4.", "other_language"),
+    (
+        "Wir teilen 72 durch 17 und prüfen den Rest. Für Kael bleiben somit noch 4 Fässer übrig. Die Antwort lautet 4.",
+        "other_language",
+    ), ("On divise 72 par 17 et on vérifie le reste. Il reste donc encore 4 tuiles pour Kael. La réponse est 4.", "other_language"),
     ("首先把56和82相加，得到25。 然后减去49个灯笼。 答案是28。", "other_language"), ("Сначала складываем 25 и 69, получаем 94. Ответ равен 94.", "other_language"),
 ]
 SCHEMA = "rollout_id long, problem_id string, backend string, prompt_text string, raw_text string, completion_token_ids array<int>, ingested_at timestamp_ntz, extra string, votes string"
@@ -58,7 +76,13 @@ def test_question_found_by_id(spark):
 
 
 def test_last_delivery_counts_once(spark):
-    rows = labelled(spark) + [row(710, "```python\ndef f1(n):\n    return n // 3\n```", tokens=[3] * 20), row(700, "", day=0), row(700, GOOD[0], day=5), row(701, GOOD[0], day=0), row(701, "null", day=9)]
+    rows = labelled(spark) + [
+        row(710, "```python\ndef f1(n):\n    return n // 3\n```", tokens=[3] * 20),
+        row(700, "", day=0),
+        row(700, GOOD[0], day=5),
+        row(701, GOOD[0], day=0),
+        row(701, "null", day=9),
+    ]
     got = [r.rollout_id for r in ad.answer_defects(tables(spark, rows)).where("main").collect()]
     assert 700 not in got and 710 not in got and got.count(701) == 1
 
@@ -141,11 +165,27 @@ def test_nulls_empty_and_long(spark):
     empty = tables(spark, [row(1, "x")]).where("false")
     assert ad.answer_defects(empty).count() == 0
     long = "First we add 2 and 3 to get 5. " * 40_000
-    rows = labelled(spark) + [(900, None, None, None, None, None, None, None, None), row(901, long + "The final answer is 5."), row(902, long + "The final ans")]
+    rows = labelled(spark) + [
+        (900, None, None, None, None, None, None, None, None),
+        row(901, long + "The final answer is 5."),
+        row(902, long + "The final ans"),
+    ]
     got = {r.rollout_id: r.defect for r in ad.answer_defects(tables(spark, rows)).where("main").collect()}
     assert got[900] == "empty" and 901 not in got and got[902] == "truncated"
 
 
-@pytest.mark.parametrize(("text", "language"), [("El molinero lleva 72 barriles hacia la aldea.", "es"), ("Der Müller trägt 72 Fässer in das Dorf.", "de"), ("Il reste encore 12 pommes pour nous.", "fr"), ("Depois subtraímos 55 do total, então temos 7.", "pt"), ("把64除以13，检查余数。", "zh"), ("Затем вычитаем 67 досок.", "ru"), ("How many do we have?", "en"), ("12 + 7", None)])
+@pytest.mark.parametrize(
+    ("text", "language"),
+    [
+        ("El molinero lleva 72 barriles hacia la aldea.", "es"),
+        ("Der Müller trägt 72 Fässer in das Dorf.", "de"),
+        ("Il reste encore 12 pommes pour nous.", "fr"),
+        ("Depois subtraímos 55 do total, então temos 7.", "pt"),
+        ("把64除以13，检查余数。", "zh"),
+        ("Затем вычитаем 67 досок.", "ru"),
+        ("How many do we have?", "en"),
+        ("12 + 7", None),
+    ],
+)
 def test_languages(text, language):
     assert main_language(text) == language

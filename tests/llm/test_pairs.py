@@ -58,7 +58,10 @@ def test_cross_split_equals_brute_force(spark, seed):
     texts = corpus(seed)
     splits = [random.Random(i).choice(["train", " TRAIN", None, "test", "Validation "]) for i in range(len(texts))]
     train = [(s or "train").strip().lower() == "train" for s in splits]
-    rows = spark.createDataFrame([(i, s, "src", t, "clash") for i, (s, t) in enumerate(zip(splits, texts, strict=True))], "record long, split string, source string, text string, content string")
+    rows = spark.createDataFrame(
+        [(i, s, "src", t, "clash") for i, (s, t) in enumerate(zip(splits, texts, strict=True))],
+        "record long, split string, source string, text string, content string",
+    )
     got = {tuple(sorted((r.train_record, r.other_record))) for r in cross_split.cross_split_pairs(rows).collect()}
     assert got == brute(texts, 0.75, lambda i, j: train[i] != train[j])
     report = {r.split: (r.rows, r.overlapping) for r in cross_split.overlap_report(rows).collect()}
@@ -210,7 +213,9 @@ def test_weighted_groups_equal_brute_force(spark):
         return out
 
     held = [weighted(t) for t in texts]
-    expected = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if held[i] != held[j] and exact_probability_jaccard(held[i], held[j]) >= 0.6}
+    expected = {
+        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if held[i] != held[j] and exact_probability_jaccard(held[i], held[j]) >= 0.6
+    }
     rows = spark.createDataFrame(list(enumerate(texts)), "record long, text string")
     links = {(r.class_a, r.class_b) for r in near_duplicates.near_duplicate_links(rows, 0.6, 3, weights="count").collect()}
     first = {i: min(j for j in range(len(texts)) if held[j] == held[i]) for i in range(len(texts))}
@@ -240,7 +245,10 @@ def test_empty_tables(spark):
 
 def test_very_long_text(spark):
     long = " ".join(f"t{i}" for i in range(60_000))
-    rows = spark.createDataFrame([(1, "train", "s", long), (2, "test", "s", long + " more"), (3, "test", "s", "t0 t1 t2")], "record long, split string, source string, text string")
+    rows = spark.createDataFrame(
+        [(1, "train", "s", long), (2, "test", "s", long + " more"), (3, "test", "s", "t0 t1 t2")],
+        "record long, split string, source string, text string",
+    )
     got = cross_split.cross_split_pairs(rows).collect()
     assert [(r.train_record, r.other_record) for r in got] == [(1, 2)] and got[0].coverage_train == 1.0
     assert [tuple(r) for r in near_duplicates.near_duplicate_pairs(rows.select("record", "text")).collect()] == [(1, 2)]

@@ -15,7 +15,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tab
 COLUMNS = {
     "p1_found": [("rollout_id", "bigint"), ("defect", "string")], "p2_found": [("manifest_id", "int"), ("family", "string"), ("band", "string")],
     "p3_found": [("record_a", "bigint"), ("record_b", "bigint")], "p5_found": [("record_a", "bigint"), ("record_b", "bigint")],
-    "p6_found": [("container_kind", "string"), ("doc_id", "bigint")], "p7_found": [("doc_id", "bigint"), ("item_id", "string")], "p8_found": [("doc_id", "bigint")],
+    "p6_found": [
+        ("container_kind", "string"),
+        ("doc_id", "bigint"),
+    ], "p7_found": [("doc_id", "bigint"), ("item_id", "string")], "p8_found": [("doc_id", "bigint")],
 }
 
 

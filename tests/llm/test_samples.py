@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm import proportional, stable_sample
 
-BANDS = [("medium", "d1", 1.0, 2.0, 0.5, 2), ("medium", "d2", 2.0, 3.0, 0.3, 1), ("medium", "unrated", None, None, 0.2, 3), ("omni", "low", 0.0, 5.0, 0.5, 1), ("omni", "unrated", float("nan"), float("nan"), 0.5, 1)]
+BANDS = [
+    ("medium", "d1", 1.0, 2.0, 0.5, 2),
+    ("medium", "d2", 2.0, 3.0, 0.3, 1),
+    ("medium", "unrated", None, None, 0.2, 3),
+    ("omni", "low", 0.0, 5.0, 0.5, 1),
+    ("omni", "unrated", float("nan"), float("nan"), 0.5, 1),
+]
 TARGETS = "family string, band string, difficulty_from double, difficulty_below double, target_share double, min_rows int"
 MANIFEST = "manifest_id int, selection_seed long, medium_target int, omni_target int, priority string"
 PROBLEMS = "record_no long, id string, text string, difficulty string, batch_no int, u string, band string"
@@ -49,10 +55,26 @@ def test_seats_follow_the_divisor_method(spark, sizes):
 
 
 def test_repeats_blanks_and_spellings(spark):
-    rows = [problem(1, "1"), problem(2, "1.0 ", key="medium_1"), problem(3, None, key="medium_1"), problem(4, "2", text=" 　"), problem(5, "2", text=None), problem(6, "9"), problem(7, "1", key=None, text="x"), (8, None, "t", "1", 1, "", ""), (9, "omni_math_1", "t", "1", 1, "", "")]
+    rows = [
+        problem(1, "1"),
+        problem(2, "1.0 ", key="medium_1"),
+        problem(3, None, key="medium_1"),
+        problem(4, "2", text=" 　"),
+        problem(5, "2", text=None),
+        problem(6, "9"),
+        problem(7, "1", key=None, text="x"),
+        (8, None, "t", "1", 1, "", ""),
+        (9, "omni_math_1", "t", "1", 1, "", ""),
+    ]
     omni = [(" p ", "s", "a", "4,5"), ("p", "s", "a", None), ("q", " ", "a", "1"), ("r", "s", None, "1"), ("z", "s", "a", "hard"), (None, "s", "a", "1")]
     _, report = proportional.proportional_sample(*tables(spark, rows, omni))
-    assert {(r.family, r.band): r.available for r in report.collect()} == {("medium", "d1"): 2, ("medium", "d2"): 0, ("medium", "unrated"): 0, ("omni", "low"): 1, ("omni", "unrated"): 1}
+    assert {(r.family, r.band): r.available for r in report.collect()} == {
+        ("medium", "d1"): 2,
+        ("medium", "d2"): 0,
+        ("medium", "unrated"): 0,
+        ("omni", "low"): 1,
+        ("omni", "unrated"): 1,
+    }
 
 
 def test_same_on_every_partitioning(spark):
@@ -78,11 +100,18 @@ def test_nulls_in_plans_and_bands(spark):
     plans = [(1, None, 10, None, None), (None, 7, 10, 2, "p"), (2, 7, None, 3, "p")]
     bands = [*BANDS, ("medium", None, 5.0, 6.0, None, None), (None, "x", 1.0, 2.0, 0.5, 1), ("medium", "d1", 1.0, 2.0, 0.5, 2)]
     sample, report = proportional.proportional_sample(*tables(spark, [problem(i, str(1 + i % 2)) for i in range(40)], (), plans, bands))
-    assert {r.manifest_id for r in sample.collect()} == {1} and {(r.manifest_id, r.band) for r in report.collect()} == {(m, b[1]) for m in (1, 2) for b in BANDS}
+    assert {r.manifest_id for r in sample.collect()} == {1} and {
+        (r.manifest_id, r.band) for r in report.collect()
+    } == {(m, b[1]) for m in (1, 2) for b in BANDS}
 
 
 def draw(spark, rows, plans=((1, 7, 60, 20, "p"), (2, 8, 60, 20, "p"))):
-    return {(r.manifest_id, r.id) for r in stable_sample.stable_sample(spark.createDataFrame(rows, PROBLEMS), spark.createDataFrame(list(plans), MANIFEST))[0].collect()}
+    return {
+        (r.manifest_id, r.id) for r in stable_sample.stable_sample(
+            spark.createDataFrame(rows, PROBLEMS),
+            spark.createDataFrame(list(plans), MANIFEST),
+        )[0].collect()
+    }
 
 
 def test_earlier_choices_stay(spark):
@@ -122,7 +151,10 @@ def test_late_rows_in_an_old_batch_lose_no_choice(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0.5, 0.25, 0.1, 0.3, 1 / 3, 0.0]), st.integers(0, 6)), min_size=1, max_size=6), st.integers(0, 120))
+@given(
+    st.lists(st.tuples(st.integers(0, 60), st.sampled_from([0.5, 0.25, 0.1, 0.3, 1 / 3, 0.0]), st.integers(0, 6)), min_size=1, max_size=6),
+    st.integers(0, 120),
+)
 def test_seats_from_counts_equal_a_full_order(bands, target):
     named = [(f"b{i}", n, share, floor) for i, (n, share, floor) in enumerate(bands)]
     order = sorted((rank > floor, (rank - 0.5) / share if share else float("inf"), band, rank) for band, n, share, floor in named for rank in range(1, n + 1))

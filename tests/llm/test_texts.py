@@ -103,7 +103,9 @@ def leaks(spark, docs, items, **more):
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(30)] + ["Größe", "ﬁll", "１２"]
-    items = [(f"i{k}", " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 30))), None, 0) for k in range(20)] + [("null", None, "4", 0), ("blank", " ", None, 0), ("i0b", None, None, 0)]
+    items = [
+        (f"i{k}", " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 30))), None, 0) for k in range(20)
+    ] + [("null", None, "4", 0), ("blank", " ", None, 0), ("i0b", None, None, 0)]
     docs = []
     for n in range(80):
         body = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
@@ -175,12 +177,38 @@ def test_double_and_entities(sentence):
     assert er.repair(named) is not None
 
 
-@pytest.mark.parametrize("sentence", [*SENTENCES, "plain", "", "QUESTÃO 6 – EQUAÇÃO", "The unit ångström (Å) and the empty set Ø, 24° and πr² ≈ 9.", "Grid: │ 51 │ 98 │", "© 2031 £¥¢ &amp; &lt;b&gt;", "ﬁll ２８ ½", "Âmbito, Ângulo, À Nîmes", "naïve façade Übung № 5", "satisﬁes ﬁll ﬁnd ﬁve ﬂow", "© 2031 Nº 5 £¥¢ ½ 1ª"])
+@pytest.mark.parametrize(
+    "sentence",
+    [
+        *SENTENCES,
+        "plain",
+        "",
+        "QUESTÃO 6 – EQUAÇÃO",
+        "The unit ångström (Å) and the empty set Ø, 24° and πr² ≈ 9.",
+        "Grid: │ 51 │ 98 │",
+        "© 2031 £¥¢ &amp; &lt;b&gt;",
+        "ﬁll ２８ ½",
+        "Âmbito, Ângulo, À Nîmes",
+        "naïve façade Übung № 5",
+        "satisﬁes ﬁll ﬁnd ﬁve ﬂow",
+        "© 2031 Nº 5 £¥¢ ½ 1ª",
+    ],
+)
 def test_clean_text_stays(sentence):
     assert er.repair(sentence) is None
 
 
-@pytest.mark.parametrize(("sentence", "right", "wrong"), [(SENTENCES[0], "cp1252", "mac_roman"), (SENTENCES[2], "cp1252", "cp437"), (SENTENCES[4], "cp1251", "cp1252"), (SENTENCES[4], "koi8-r", "cp1251"), (SENTENCES[4], "cp866", "cp1251"), (SENTENCES[5], "gb18030", "latin-1")])
+@pytest.mark.parametrize(
+    ("sentence", "right", "wrong"),
+    [
+        (SENTENCES[0], "cp1252", "mac_roman"),
+        (SENTENCES[2], "cp1252", "cp437"),
+        (SENTENCES[4], "cp1251", "cp1252"),
+        (SENTENCES[4], "koi8-r", "cp1251"),
+        (SENTENCES[4], "cp866", "cp1251"),
+        (SENTENCES[5], "gb18030", "latin-1"),
+    ],
+)
 def test_single_byte_confusions(sentence, right, wrong):
     found = er.repair((sentence * 2).encode(right, "ignore").decode(wrong))
     assert found is not None
@@ -209,7 +237,10 @@ def test_search_goes_on_to_the_cheapest_text(monkeypatch):
 
 
 def test_lost_characters_are_flagged(spark):
-    rows = spark.createDataFrame([(1, "La quantit� d�pend", 0), (2, None, 0), (3, "", 0), (4, "ok", 0), (5, "fÃ¼r " * 50_000, 0), (6, "FÃ¼r", 0)], "doc_id long, text string, complete int")
+    rows = spark.createDataFrame(
+        [(1, "La quantit� d�pend", 0), (2, None, 0), (3, "", 0), (4, "ok", 0), (5, "fÃ¼r " * 50_000, 0), (6, "FÃ¼r", 0)],
+        "doc_id long, text string, complete int",
+    )
     got = {r.doc_id: r for r in er.garbled_texts(rows).collect()}
     assert set(got) == {1, 5, 6}
     assert not got[1].complete and got[6].restored == "Für" and got[5].restored == "für " * 50_000
