@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.functions.words import WordHashes, flat_word_hashes, gram_hashes, split_grams
 
@@ -30,3 +32,16 @@ def shingle_batches(batches: Iterator[pd.DataFrame], size: int, counted: bool =
             "shingles": [sets[i][0].view(np.int64) for i in kept],
         }
         yield pd.DataFrame(made | {"counts": [sets[i][1].astype(np.int32) for i in kept]} if counted else made)
+
+
+#: Ids that go to all workers; 4 million are 32 MB.
+MOST_IDS = 4_000_000
+
+
+def only_needed(classes: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Classes (record, ...) among the ids (record), of which there are at most `most`.
+
+    Few texts have a candidate, so their ids go to all workers and no other text is shuffled; more than MOST_IDS join by shuffle.
+    """
+    found = ids.where("record is not null").distinct()
+    return classes.join(F.broadcast(found) if most <= MOST_IDS else found, "record", "left_semi")
