@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.words import WordHashes, flat_word_hashes, gram_hashes, mix
+from millrace.llm.blocks import only_needed
 from millrace.runtime import cut_lineage, spread
 
 GRAM, WINDOW, SHINGLE = 5, 4, 3
@@ -230,7 +231,7 @@ def class_overlaps(classes: DataFrame, threshold: float) -> DataFrame:
             F.col("n").alias(f"n{name}"),
             F.col("repeats").alias(f"r{name}"),
         )
-        texts[name] = own.withColumnRenamed("record", name).withColumnRenamed("sequence", f"s{name}")
+        texts[name] = own
     gain = threshold - 5 * (1 - threshold) / 3
     least = F.when(F.max("ra") | F.max("rb"), F.lit(1.0)).otherwise((gain * F.greatest(F.max("na"), F.max("nb")) - 5) / 4)
     seeds = (
@@ -242,7 +243,12 @@ def class_overlaps(classes: DataFrame, threshold: float) -> DataFrame:
         .where(F.size("seeds") >= F.col("least") - 1e-9)
         .select("a", "b", F.col("seeds.x").alias("xs"), F.col("seeds.y").alias("ys"))
     )
-    return seeds.join(texts["a"], "a").join(texts["b"], "b").select("a", "b", "xs", "ys", "sa", "sb").mapInPandas(_align(threshold), OVERLAP)
+    seeds = cut_lineage(seeds)
+    most = seeds.count()
+    for name, own in texts.items():
+        needed = only_needed(own, seeds.select(F.col(name).alias("record")), most)
+        seeds = seeds.join(needed.select(F.col("record").alias(name), F.col("sequence").alias(f"s{name}")), name)
+    return seeds.select("a", "b", "xs", "ys", "sa", "sb").mapInPandas(_align(threshold), OVERLAP)
 
 
 def cross_split_classes(records: DataFrame, threshold: float = 0.75) -> DataFrame:
