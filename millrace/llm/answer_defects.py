@@ -11,8 +11,9 @@ the class share and, for either class, how often each function says yes. Functio
 stay as a weak prior. A pair keeps every defect whose posterior exceeds the defect's cutoff.
 
 Cutoffs are chosen, not typed in: `validated_cutoffs` takes the fitted models and a labelled split of answers (answer_samples, of a
-bounded and documented size) and sets each defect's cutoff where F1 on the split is best, in the middle of the widest such gap. A
-second split, of other phrasing, other subjects and other languages, is only ever used to check them, in tests/llm.
+bounded and documented size) and sets each defect's cutoff where F1 on the split is best, in the middle of the widest such gap. Two
+more splits, of other phrasing, subjects and languages, only check them, in tests/llm. The last one shows a limit: refusals that
+name neither a denial beside a verb of answering nor a word of refusing are missed.
 
 Defined cases: a null response is empty; null token lists, backends and questions make the functions that need them abstain; a
 response delivered again counts once, by its last delivery; a table without rows gives none; very long texts are read whole;

@@ -1,6 +1,7 @@
-"""Hand-labelled answers: CHOOSING sets the cutoffs of the label models, CHECKING, of other phrasing and languages, only checks them.
+"""Hand-labelled answers. CHOOSING sets the cutoffs of the label models. CHECKING, of other phrasing and languages, sets nothing, but
+some functions were changed after a look at it. UNSEEN was written after all functions and measured without changing any.
 
-Both are fixed and small, so using them costs nothing at any size. No text is taken from a table.
+All are fixed and small, so using them costs nothing at any size. No text is taken from a table.
 """
 
 from __future__ import annotations
@@ -147,3 +148,29 @@ CHECKING = [
          "De bakkerij maakt 120 broodjes en verkoopt er 81 van voor de middag, dus er zijn nog 39 broodjes over.", "Il fornaio prepara 120 panini e ne vende 81 prima di mezzogiorno, quindi ne restano 39 per il pomeriggio.", "パンは120個あり、81個売れたので、残りは39個です。"),
     *_of("other_language", BUS, "The bus starts with 32 people, 9 get off and 14 get on, so it carries 37 of them."),
 ]
+
+TRAIN = "A train leaves Porto at 9:15 and arrives in Lisbon at 12:05. It stops for 20 minutes on the way. How long is it actually moving?"
+ROOTS = "Find all real numbers x such that x^2 - 7x + 10 = 0, and give the sum of their squares."
+MARCHE = "Au marché, Louise achète 3 kg de pommes à 2 euros le kilo et 4 kg de poires à 3 euros le kilo. Combien paie-t-elle en tout ?"
+
+#: Written after the functions were settled. Most of its refusals are missed; a rule for them that was tried flagged good answers
+#: and was taken back, so the functions are those from before this split.
+UNSEEN = [
+    *_of("", TRAIN, "From 9:15 to 12:05 are 170 minutes; minus the stop that makes 150 minutes, i.e. two and a half hours.", "170 min - 20 min = 150 min", "Moving time: 2 h 30 min", "We are not told the speed, but it isn't needed. The trip lasts 170 minutes and 150 of them are spent moving.",
+         "```python\nprint((12 * 60 + 5) - (9 * 60 + 15) - 20)\n```", "I can offer a short way: 12:05 minus 9:15 is 2:50, and 2:50 minus 0:20 is 2:30.", "2.5 hours"),
+    *_of("", ROOTS, "The equation factors as (x - 2)(x - 5) = 0. Hence x = 2 or x = 5 and the sum of squares is 4 + 25 = 29.", "x in {2, 5}, so 29.", "\\boxed{29}", "By Vieta: s = 7, p = 10, s^2 - 2p = 29", "<main>29</main>"),
+    *_of("", MARCHE, "Les pommes coûtent 6 euros et les poires 12 euros, donc elle paie 18 euros.", "3 * 2 + 4 * 3 = 18", "Elle ne peut pas payer moins que 18 euros, et c'est exactement ce prix."),
+    *_of("empty", TRAIN, "\n\n", ".", "<a_f1></a_f1>", "nil", "**"),
+    *_of("refusal", TRAIN, "I'd prefer not to get into this one.", "Sorry, no can do.", "This is not a question that I am able to respond to.", "You should work this out on your own; I will not do it for you.", "Helping with graded coursework is something I don't do.",
+         "I'll have to say no to that.", "Answering this would break the rules I follow.", "I don't do exams.", "That question is one I will leave to your tutor.", "My answer to this is: no answer.", "I have decided against solving it.",
+         "I am afraid I must keep silent here.", "Not today, I am not in a position to calculate this.", "I never give away solutions to contests.", "Sorry, you will get no solution out of me."),
+    *_of("", TRAIN, "I did not expect such a neat result, but the pattern repeats and the claim follows.", "I don't need calculus here; symmetry gives equality.", "Not every root is real, as I showed above.",
+         "I would not use induction; the pigeonhole principle settles it."),
+    *_of("refusal", MARCHE, "Je suis désolé, mais je ne peux pas répondre à cette question.", "Il m'est impossible de vous donner la solution."),
+    *_of("copied_question", TRAIN, TRAIN, "> " + TRAIN, "Let me restate the problem. " + TRAIN, TRAIN.replace("Porto", "Porto Alegre")),
+    *_of("copied_question", MARCHE, "Énoncé : " + MARCHE, MARCHE.upper()),
+    *_of("truncated", TRAIN, "From 9:15 to 12:05 there are 170 minutes, and the train stands for", "First, the total travel time is 12:05 - 9:15 = 2 hours and 50 minu", "1. Total time: 170 minutes.\n2. Stop:", "<main>\nThe train moves for 150", "The total is (12 * 60 + 5) - (9 * 60 +", "```python\nstart = 9 * 60 + 15\nend = 12 * 60"),
+    *_of("truncated", ROOTS, "Factoring gives (x - 2)(x - 5) = 0, which means that either x equals 2 or", "The sum of the squares can be found from Vieta's formulas, because"),
+    *_of("other_language", TRAIN, "O comboio parte às 9:15 e chega às 12:05, por isso a viagem dura 170 minutos e o comboio anda 150 minutos.", "Tren saat 9:15'te kalkar ve 12:05'te varır, yani yolculuk 170 dakika sürer ve tren 150 dakika hareket eder.", "기차는 9시 15분에 출발하여 12시 5분에 도착하므로 150분 동안 움직입니다.", "Der Zug fährt 170 Minuten, davon steht er 20 Minuten, also ist er 150 Minuten in Bewegung."),
+    *_of("other_language", MARCHE, "The apples cost 6 euros and the pears cost 12 euros, so she pays 18 euros in total."),
+]

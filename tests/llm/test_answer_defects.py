@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 from millrace.llm import answer_defects as ad
-from millrace.llm.answer_samples import CHECKING, CHOOSING
+from millrace.llm.answer_samples import CHECKING, CHOOSING, UNSEEN
 from millrace.llm.languages import main_language
 
 Q = "A cooper in Kael labels 6639 cloaks using 55 damp barges. Then 6353 tinkers split 3 magnets into brittle bays. How many cloaks remain after 22 days?"
@@ -148,6 +148,16 @@ def test_cutoffs_hold_on_unseen_phrasing():
         held[bits] = held.get(bits, 0) + 1
     models = fitted(held)
     cutoffs = ad.validated_cutoffs(models, CHOOSING)
+    by_defect = {}
+    for s in UNSEEN:
+        bits = ad.packed(ad.votes(s.text, ad.Question(s.question), s.tokens, s.last_token))
+        for d in ad.DEFECTS:
+            hit, has = post(models, d, bits) > cutoffs[d], d in s.defects
+            held_ = by_defect.setdefault(d, [0, 0, 0])
+            held_[0], held_[1], held_[2] = held_[0] + (hit and has), held_[1] + (hit and not has), held_[2] + (has and not hit)
+    # (found, wrong, missed) of each defect; refusals told in other words are a known gap
+    assert all(2 * f / (2 * f + w + m) >= 0.85 for d, (f, w, m) in by_defect.items() if d != "refusal"), by_defect
+    assert by_defect["refusal"][0] >= 2 and by_defect["refusal"][1] <= 2, by_defect
     score = {}
     for name, split in (("choosing", CHOOSING), ("checking", CHECKING)):
         right = wrong = missed = 0
