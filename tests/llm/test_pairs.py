@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions.words import words
-from millrace.llm import cross_split, near_duplicates
+from millrace.llm import blocks, cross_split, near_duplicates
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -234,6 +235,21 @@ def test_a_band_that_many_texts_share(spark):
     assert {(g.group_id, g.links) for g in groups} == {(0, 199)}
 
 
+def test_the_driver_holds_few_ids_and_no_shingles(spark):
+    """More than a million ids join by shuffle, and the shingles of candidates are never broadcast, however small Spark takes them for."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    classes = spark.range(3_000_000).select(F.col("id").alias("record"), F.array("id").alias("shingles"))
+    many, few = (spark.range(n).select((F.col("id") * 2).alias("record")) for n in (1_200_000, 1_000))
+    assert "BroadcastHashJoin" not in plan(blocks.only_needed(classes, many, 1_200_000))
+    assert blocks.only_needed(classes, many, 1_200_000).count() == 1_200_000
+    assert "BroadcastHashJoin" in plan(blocks.only_needed(classes, few, 1_000)) and blocks.only_needed(classes, few, 1_000).count() == 1_000
+    texts = corpus(3)
+    rows = spark.createDataFrame(list(enumerate(texts)), "record long, text string")
+    links = near_duplicates.near_duplicate_links(rows, 0.6, 3)
+    assert plan(links).count("BroadcastHashJoin") == plan(links).count("LeftSemi") == 2  # the ids, for either side
+    assert links.count() > 0
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "record long, split string, source string, text string")
     assert cross_split.cross_split_pairs(none).count() == 0 and cross_split.overlap_report(none).count() == 0
