@@ -248,6 +248,7 @@ def test_the_driver_holds_few_ids_and_no_shingles(spark):
     links = near_duplicates.near_duplicate_links(rows, 0.6, 3)
     assert plan(links).count("BroadcastHashJoin") == plan(links).count("LeftSemi") == 2  # the ids, for either side
     assert links.count() > 0
+    assert "Broadcast" not in plan(near_duplicates.classes_by_shingles(rows, 3)[0])
 
 
 def test_empty_tables(spark):
